@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -62,22 +62,36 @@ def rule_column(rule: Rule, schema: T.StructType | None = None) -> Column:
     return F.coalesce(reduce(lambda a, b: a & b, hits), F.lit(False))
 
 
-def bucket_of(x: Column, cuts: Sequence[float], *, closed: str = "left") -> Column:
-    """Bucket number of ``x`` between literal sorted cuts, as a balanced CASE tree.
+def number(v: float) -> str:
+    """SQL text of a double literal."""
+    return f"{float(v)!r}D"
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def bucket_of(name: str, cuts: Sequence[float], *, closed: str = "left") -> Column:
+    """Bucket number of a finite column between literal sorted cuts, as a CASE tree.
 
     ``closed='left'`` counts cuts ``<= x`` (histogram bins), ``closed='right'``
     counts cuts ``< x`` (binning with left-open, right-closed bins).  The tree
-    is O(log k) per row and stays inside generated code.
+    is O(log k) per row and stays inside generated code; it is written as SQL
+    text because hundreds of literal comparisons are slow to build one by one.
     """
+    below = "<" if closed == "left" else "<="
+    x = quoted(name)
 
-    def tree(lo: int, hi: int) -> Column:
+    def tree(lo: int, hi: int) -> str:
         if lo == hi:
-            return F.lit(lo)
+            return str(lo)
         mid = (lo + hi) // 2
-        below = x < cuts[mid] if closed == "left" else x <= cuts[mid]
-        return F.when(below, tree(lo, mid)).otherwise(tree(mid + 1, hi))
+        return (
+            f"CASE WHEN {x} {below} {number(cuts[mid])} THEN {tree(lo, mid)} "
+            f"ELSE {tree(mid + 1, hi)} END"
+        )
 
-    return F.when(x.isNotNull(), tree(0, len(cuts)))
+    return F.expr(f"CASE WHEN {x} IS NOT NULL THEN {tree(0, len(cuts))} END")
 
 
 def bucket_in(x: Column, cuts: Column, *, closed: str = "left") -> Column:
@@ -86,6 +100,38 @@ def bucket_in(x: Column, cuts: Column, *, closed: str = "left") -> Column:
     return F.when(x.isNotNull(), F.size(F.filter(cuts, inside)))
 
 
+def long_bins(
+    df: DataFrame,
+    cuts: Mapping[str, Sequence[float]],
+    *keep: str,
+    closed: str = "left",
+) -> DataFrame:
+    """Unpivot finite values to ``keep..., feature, bin`` on literal cuts.
+
+    The cleaned value is projected before the bucket trees use it: repeated in
+    every branch it would make generated methods too large for the JIT.
+    """
+    nan = F.lit(float("nan"))
+    frames = []
+    for names in batches(cuts, 32):
+        clean = df.select(
+            *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keep)],
+            *[F.coalesce(finite(c), nan).alias(c) for c in names],
+        )
+        binned = clean.select(
+            *[F.col(f"_k{i}").alias(k) for i, k in enumerate(keep)],
+            *[
+                F.when(~F.isnan(c), bucket_of(c, cuts[c], closed=closed)).alias(f"_b_{c}")
+                for c in names
+            ],
+        )
+        long = binned.unpivot(
+            list(keep), [f"_b_{c}" for c in names], "feature", "bin"
+        ).filter(F.col("bin").isNotNull())
+        frames.append(long.withColumn("feature", F.substring("feature", 4, 1000)))
+    return union_all(frames)
+
+
 def month_of(x: Column | str) -> Column:
     return F.date_format(as_col(x), "yyyy-MM")
 

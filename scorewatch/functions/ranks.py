@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorewatch.functions.expr import batches, explode_structs, finite
+from scorewatch.functions.expr import batches, finite, number, quoted, union_all
 
 SKETCH_ACCURACY = 10_000
 
@@ -25,11 +25,12 @@ def sketch(
     """Finite count and approximate quantiles per column: one aggregate per batch."""
     found: dict[str, tuple[int, list[float]]] = {}
     for group in batches(columns, 32):
-        row = df.agg(
-            *[F.count(finite(c)).alias(f"n{i}") for i, c in enumerate(group)],
+        clean = df.select(*[finite(c).alias(f"c{i}") for i, c in enumerate(group)])
+        row = clean.agg(
+            *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(group))],
             *[
-                F.percentile_approx(finite(c), [float(p) for p in probs], accuracy).alias(f"q{i}")
-                for i, c in enumerate(group)
+                F.percentile_approx(f"c{i}", [float(p) for p in probs], accuracy).alias(f"q{i}")
+                for i in range(len(group))
             ],
         ).first()
         for i, c in enumerate(group):
@@ -76,6 +77,42 @@ def running_totals(
     )
 
 
+def _brackets(
+    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int
+) -> list[tuple]:
+    """Value ranges that certainly hold the wanted ranks: ``feature, slot, lo, hi, below, n``.
+
+    Few values: one range over everything.  Many values: the sketch at twice
+    its guaranteed error around every probability, overlapping ranges merged.
+    """
+    wide = [q for p in probs for q in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
+    found = sketch(df, columns, [0.0, 1.0, *wide], accuracy)
+    ranges: dict[str, list[list[float]]] = {}
+    for c in columns:
+        n, q = found[c]
+        if not n:
+            continue
+        pairs = [[q[0], q[1]]] if n <= accuracy else sorted([a, b] for a, b in zip(q[2::2], q[3::2]))
+        merged = [list(pairs[0])]
+        for lo, hi in pairs[1:]:
+            if lo <= merged[-1][1]:
+                merged[-1][1] = max(merged[-1][1], hi)
+            else:
+                merged.append([lo, hi])
+        ranges[c] = merged
+    slots = [(c, i, lo, hi) for c, pairs in ranges.items() for i, (lo, hi) in enumerate(pairs)]
+    below: list[int] = []
+    for group in batches(slots, 48):
+        clean = df.select(*[finite(c).alias(c) for c in dict.fromkeys(s[0] for s in group)])
+        below += clean.agg(
+            *[
+                F.expr(f"count(CASE WHEN {quoted(c)} < {number(lo)} THEN 1 END)").alias(f"b{i}")
+                for i, (c, _, lo, _) in enumerate(group)
+            ]
+        ).first()
+    return [(c, i, lo, hi, b, found[c][0]) for (c, i, lo, hi), b in zip(slots, below)]
+
+
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
@@ -84,68 +121,70 @@ def quantiles(
 ) -> DataFrame:
     """Exact linear-interpolated quantiles of the finite values of many columns.
 
-    Pass 1 is a sketch that brackets every wanted rank.  Pass 2 counts rows
-    between brackets and keeps single values only inside them, so the shuffle
-    holds a few hundredths of a percent of the values instead of all of them.
+    A sketch brackets every wanted rank, one wide aggregate counts the values
+    below each bracket, and only values inside brackets are grouped and ranked.
+    The shuffle therefore holds a few hundredths of a percent of the values.
     Returns ``feature, n_finite, min_value, max_value, q`` (array, one per prob).
     """
     if not columns:
         raise ValueError("no columns")
     probs = [float(p) for p in probs]
-    # The margin is twice the error the sketch guarantees.
-    wide = [q for p in probs for q in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
-    brackets = sketch(df, columns, wide, accuracy)
-
-    structs = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        _, bounds = brackets[c]
-        zone, inside = F.lit(0), F.lit(False)
-        for lo, hi in zip(bounds[0::2], bounds[1::2]):
-            zone = zone + (x >= lo).cast("int") + (x > hi).cast("int")
-            inside = inside | ((x >= lo) & (x <= hi))
-        structs.append(
-            F.struct(
-                F.lit(c).alias("feature"),
-                F.when(F.lit(bool(bounds)), F.coalesce(zone, F.lit(0))).alias("zone"),
-                F.when(inside, x).alias("v"),
-                finite(c).alias("x"),
-            )
+    brackets = _brackets(df, columns, [0.0, *probs, 1.0], accuracy)
+    ranges: dict[str, list[tuple[float, float]]] = {}
+    for c, _, lo, hi, _, _ in brackets:
+        ranges.setdefault(c, []).append((lo, hi))
+    frames = []
+    for names in batches(ranges, 32):
+        clean = df.select(*[finite(c).alias(c) for c in names])
+        kept = clean.select(
+            *[
+                F.expr(
+                    "CASE WHEN "
+                    + " OR ".join(
+                        f"{quoted(c)} BETWEEN {number(lo)} AND {number(hi)}" for lo, hi in ranges[c]
+                    )
+                    + f" THEN {quoted(c)} END"
+                ).alias(c)
+                for c in names
+            ]
         )
+        frames.append(kept.unpivot([], list(names), "feature", "v"))
+    spark = df.sparkSession
+    slots = spark.createDataFrame(
+        brackets, "slot_feature string, slot int, lo double, hi double, below long, n_finite long"
+    )
+    if not frames:
+        empty = "feature string, n_finite long, min_value double, max_value double, q array<double>"
+        return spark.createDataFrame([], empty)
     counted = (
-        explode_structs(df, structs)
-        .filter(F.col("x").isNotNull())
-        .groupBy("feature", "zone", "v")
-        .agg(F.count("*").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"))
+        union_all(frames).filter(F.col("v").isNotNull()).groupBy("feature", "v").agg(F.count("*").alias("n"))
+    )
+    # One literal row per bracket: a small broadcast side.
+    inside = (F.col("feature") == F.col("slot_feature")) & F.col("v").between(F.col("lo"), F.col("hi"))
+    order = W.partitionBy("feature", "slot").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
+    ranked = (
+        counted.join(F.broadcast(slots), inside)
+        .withColumn("end", F.col("below") + F.sum("n").over(order))
+        .withColumn("first", F.col("end") - F.col("n"))
     )
-    ranked = running_totals(counted, by=["feature"], bucket="zone", order=["v"], sums=["n"])
-    total = F.create_map(*[F.lit(v) for c in columns for v in (c, brackets[c][0])])
-    ranked = ranked.withColumn("n_finite", total[F.col("feature")])
-
-    first = F.col("cum_n") - F.col("n")
 
     def at(rank: Column) -> Column:
-        here = (first <= rank) & (rank < F.col("cum_n"))
-        value = (
-            F.when(F.col("v").isNotNull(), F.col("v"))
-            .when(rank == first, F.col("lo"))
-            .when(rank == F.col("cum_n") - 1, F.col("hi"))
-            .otherwise(F.raise_error(F.lit("quantile outside its sketch bracket")).cast("double"))
-        )
-        return F.max(F.when(here, value))
+        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("end")), F.col("v")))
 
     parts = []
     for i, p in enumerate(probs):
         pos = (F.col("n_finite") - 1) * F.lit(p)
         parts += [at(F.floor(pos)).alias(f"a{i}"), at(F.ceil(pos)).alias(f"b{i}")]
     summary = ranked.groupBy("feature", "n_finite").agg(
-        F.min("lo").alias("min_value"), F.max("hi").alias("max_value"), *parts
+        F.min("v").alias("min_value"), F.max("v").alias("max_value"), *parts
     )
     interpolated = []
+    missed = F.raise_error(F.lit("quantile outside its sketch bracket")).cast("double")
     for i, p in enumerate(probs):
         pos = (F.col("n_finite") - 1) * F.lit(p)
         a, b = F.col(f"a{i}"), F.col(f"b{i}")
-        interpolated.append(a + (b - a) * (pos - F.floor(pos)))
+        value = a + (b - a) * (pos - F.floor(pos))
+        interpolated.append(F.when(value.isNull(), missed).otherwise(value))
     return summary.select(
         "feature", "n_finite", "min_value", "max_value", F.array(*interpolated).alias("q")
     )

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorewatch.functions.expr import ratio
 from scorewatch.roles import SEED
@@ -124,7 +125,7 @@ def fisher_two_sided(hit_pos: int, hit_neg: int, miss_pos: int, miss_neg: int) -
     return min(1.0, p)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def _fisher(hp: pd.Series, hn: pd.Series, mp: pd.Series, mn: pd.Series) -> pd.Series:
     return pd.Series(
         [fisher_two_sided(*(int(v) for v in row)) for row in zip(hp, hn, mp, mn)], dtype="float64"

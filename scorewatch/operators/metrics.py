@@ -105,7 +105,7 @@ def score_separation(
         rows.filter(F.col("_s").isNotNull())
         .groupBy("_s")
         .agg(F.count_if("_bad").alias("bad"), F.count_if(~F.col("_bad")).alias("good"))
-        .withColumn("_b", bucket_of(F.col("_s"), cuts))
+        .withColumn("_b", bucket_of("_s", cuts))
     )
     cumulative = running_totals(per_score, bucket="_b", order=["_s"], sums=["bad", "good"])
     # The three class totals are one row; joining them is a one-row broadcast.

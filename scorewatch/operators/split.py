@@ -137,7 +137,7 @@ def period_split(
     cuts = cut_points(key, ["_k"], 64)["_k"]
     counted = key.groupBy("_k").agg(F.count("*").alias("n"))
     ranked = running_totals(
-        counted.withColumn("_b", F.coalesce(bucket_of(F.col("_k"), cuts), F.lit(-1))),
+        counted.withColumn("_b", F.coalesce(bucket_of("_k", cuts), F.lit(-1))),
         bucket="_b",
         order=["_k"],
         sums=["n"],
@@ -182,8 +182,11 @@ def stratum_quotas(df: DataFrame, target: str, segment: str) -> DataFrame:
     by_cap = W.partitionBy("target").orderBy("cap", "label")
     whole = W.partitionBy("target")
     leveled = (
-        strata.join(classes.select("target", "quota"), F.col("target").eqNullSafe(classes["target"]))
-        .drop(classes["target"])
+        strata.join(
+            classes.select(F.col("target").alias("_t"), "quota"),
+            F.col("target").eqNullSafe(F.col("_t")),
+        )
+        .drop("_t")
         .withColumns({"cap": F.col("size") - 1, "label": label})
         .withColumns(
             {

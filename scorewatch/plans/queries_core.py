@@ -566,8 +566,9 @@ EDGES = [5000.0, 20000.0, 40000.0, 60000.0]
     + (ord_price > 40000)::INT + (ord_price > 60000)::INT AS BIGINT) END AS bin, count(*) AS row_count FROM dirty GROUP BY 1""",
 )
 def _(spark, sf):
-    bin_ = bucket_of(finite("ord_price"), EDGES, closed="right").cast("long")
-    return dirty(spark, sf).groupBy(bin_.alias("bin")).agg(F.count("*").alias("row_count"))
+    clean = dirty(spark, sf).select(finite("ord_price").alias("x"))
+    bin_ = bucket_of("x", EDGES, closed="right").cast("long")
+    return clean.groupBy(bin_.alias("bin")).agg(F.count("*").alias("row_count"))
 
 
 @query(
@@ -576,8 +577,9 @@ def _(spark, sf):
     count(*) AS row_count FROM risk GROUP BY 1""",
 )
 def _(spark, sf):
-    bin_ = bucket_of(finite("ord_qty"), [10.0, 25.0, 40.0]).cast("long")
-    return risk(spark, sf).groupBy(bin_.alias("bin")).agg(F.count("*").alias("row_count"))
+    clean = risk(spark, sf).select(finite("ord_qty").alias("x"))
+    bin_ = bucket_of("x", [10.0, 25.0, 40.0]).cast("long")
+    return clean.groupBy(bin_.alias("bin")).agg(F.count("*").alias("row_count"))
 
 
 # --- E. statistics ----------------------------------------------------------------------

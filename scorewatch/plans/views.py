@@ -115,13 +115,15 @@ def reference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Snapshots from 1999 on, with planted drift: prices of one segment, missing
+    """Snapshots from 1999 on, with planted drift: prices of two segments, missing
     values, a label shift, a vanished and a new segment."""
     late = risk(spark, sf_dir).filter(F.col("snapshot_date") >= F.lit(REFERENCE_END).cast("date"))
     building = F.col("segment") == "BUILDING"
     return late.withColumns(
         {
-            "ord_price": F.when(building, F.col("ord_price") * 3.0).otherwise(F.col("ord_price")),
+            "ord_price": F.when(
+                F.col("segment").isin("BUILDING", "FURNITURE"), F.col("ord_price") * 6.0
+            ).otherwise(F.col("ord_price")),
             "ord_qty": F.when(F.col("part_id") % 4 != 0, F.col("ord_qty")),
             "ord_total": F.when(
                 ~(building & (F.col("part_id") % 2 == 0)), F.col("ord_total")
@@ -140,7 +142,7 @@ current_ AS (
          CASE WHEN segment = 'MACHINERY' THEN 'MARINE' ELSE segment END AS segment,
          CASE WHEN part_id % 20 = 0 THEN 1 ELSE target END AS target,
          cust_bal, ord_disc,
-         CASE WHEN segment = 'BUILDING' THEN ord_price * 3.0::DOUBLE ELSE ord_price END AS ord_price,
+         CASE WHEN segment IN ('BUILDING', 'FURNITURE') THEN ord_price * 6.0::DOUBLE ELSE ord_price END AS ord_price,
          CASE WHEN part_id % 4 <> 0 THEN ord_qty END AS ord_qty,
          ord_tax,
          CASE WHEN NOT (segment = 'BUILDING' AND part_id % 2 = 0) THEN ord_total END AS ord_total,

@@ -71,14 +71,8 @@ def quoted(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def bucket_of(name: str, cuts: Sequence[float], *, closed: str = "left") -> Column:
-    """Bucket number of a finite column between literal sorted cuts, as a CASE tree.
-
-    ``closed='left'`` counts cuts ``<= x`` (histogram bins), ``closed='right'``
-    counts cuts ``< x`` (binning with left-open, right-closed bins).  The tree
-    is O(log k) per row and stays inside generated code; it is written as SQL
-    text because hundreds of literal comparisons are slow to build one by one.
-    """
+def bucket_sql(name: str, cuts: Sequence[float], *, closed: str = "left") -> str:
+    """SQL text of the bucket number of a non-null column, as a balanced CASE tree."""
     below = "<" if closed == "left" else "<="
     x = quoted(name)
 
@@ -91,7 +85,31 @@ def bucket_of(name: str, cuts: Sequence[float], *, closed: str = "left") -> Colu
             f"ELSE {tree(mid + 1, hi)} END"
         )
 
-    return F.expr(f"CASE WHEN {x} IS NOT NULL THEN {tree(0, len(cuts))} END")
+    return tree(0, len(cuts))
+
+
+def bucket_of(name: str, cuts: Sequence[float], *, closed: str = "left") -> Column:
+    """Bucket number of a finite column between literal sorted cuts.
+
+    ``closed='left'`` counts cuts ``<= x`` (histogram bins), ``closed='right'``
+    counts cuts ``< x`` (binning with left-open, right-closed bins).  The tree
+    is O(log k) per row and stays inside generated code; it is written as SQL
+    text because hundreds of literal comparisons are slow to build one by one.
+    """
+    return F.expr(f"CASE WHEN {quoted(name)} IS NOT NULL THEN {bucket_sql(name, cuts, closed=closed)} END")
+
+
+def bucket_by_feature(
+    feature: str, value: str, cuts: Mapping[str, Sequence[float]], *, closed: str = "left"
+) -> Column:
+    """Bucket number in a long table, with other literal cuts for every feature name."""
+    cases = " ".join(
+        "WHEN '{}' THEN {}".format(
+            f.replace("\\", "\\\\").replace("'", "\\'"), bucket_sql(value, c, closed=closed)
+        )
+        for f, c in cuts.items()
+    )
+    return F.expr(f"CASE {quoted(feature)} {cases} END") if cases else F.lit(None).cast("int")
 
 
 def bucket_in(x: Column, cuts: Column, *, closed: str = "left") -> Column:

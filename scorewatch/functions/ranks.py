@@ -53,27 +53,41 @@ def running_totals(
     bucket: str,
     order: Sequence[str | Column],
     sums: Sequence[str],
+    following: str | None = None,
 ) -> DataFrame:
     """Add ``cum_<s>`` running sums over ``order`` within ``by``.
 
+    ``following`` names a column whose value in the next row is added as
+    ``next_<column>``.
+
     ``bucket`` must not decrease along ``order``.  Only rows of one bucket meet
     in a task; the bucket offsets come from a table of ``by`` x buckets rows.
     """
-    local = W.partitionBy(*by, bucket).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
-    before = (W.partitionBy(*by) if by else W.partitionBy()).orderBy(bucket).rowsBetween(
-        W.unboundedPreceding, -1
-    )
+    rows = W.partitionBy(*by, bucket).orderBy(*order)
+    local = rows.rowsBetween(W.unboundedPreceding, 0)
+    buckets = (W.partitionBy(*by) if by else W.partitionBy()).orderBy(bucket)
+    before = buckets.rowsBetween(W.unboundedPreceding, -1)
+    firsts = [F.min(following).alias("_first")] if following else []
     offsets = (
         df.groupBy(*by, bucket)
-        .agg(*[F.sum(s).alias(s) for s in sums])
+        .agg(*[F.sum(s).alias(s) for s in sums], *firsts)
         .select(
-            *by, bucket, *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o_{s}") for s in sums]
+            *by,
+            bucket,
+            *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
+            *([F.lead("_first").over(buckets).alias("_next")] if following else []),
         )
     )
-    inner = df.select("*", *[F.sum(s).over(local).alias(f"_l_{s}") for s in sums])
+    inner = df.select(
+        "*",
+        *[F.sum(s).over(local).alias(f"_l_{s}") for s in sums],
+        *([F.lead(following).over(rows).alias("_lead")] if following else []),
+    )
     joined = inner.join(offsets, [*by, bucket], "inner")
     return joined.select(
-        *df.columns, *[(F.col(f"_l_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums]
+        *df.columns,
+        *[(F.col(f"_l_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
+        *([F.coalesce("_lead", "_next").alias(f"next_{following}")] if following else []),
     )
 
 

@@ -29,15 +29,18 @@ def as_col(x: Column | str) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def is_finite(x: Column | str) -> Column:
-    """Not null, not NaN, not infinite (never null itself)."""
-    x = as_col(x).cast("double")
-    return x.isNotNull() & ~F.isnan(x) & (F.abs(x) != F.lit(float("inf")))
+def is_finite(name: str) -> Column:
+    """Not null, not NaN, not infinite (never null itself).
+
+    NaN sorts above infinity, so one comparison excludes both.
+    """
+    return F.expr(f"coalesce(abs(CAST({quoted(name)} AS DOUBLE)) < double('Infinity'), false)")
 
 
-def finite(x: Column | str) -> Column:
-    """The value as double, or null when it is null, NaN or infinite."""
-    return F.when(is_finite(x), as_col(x).cast("double"))
+def finite(name: str) -> Column:
+    """The column as double, or null when it is null, NaN or infinite."""
+    x = f"CAST({quoted(name)} AS DOUBLE)"
+    return F.expr(f"CASE WHEN abs({x}) < double('Infinity') THEN {x} END")
 
 
 def condition_column(condition: Condition, schema: T.StructType | None = None) -> Column:

@@ -510,6 +510,16 @@ def discover(
     """Best single rules and diverse pairs on the training rows."""
     require_columns(train, [*features, target], "feature")
     spark = train.sparkSession
+    # About eight passes read these columns; blocks lost with an executor are
+    # computed again from the source.
+    train = train.select(target, *sorted(set(features))).persist()
+    try:
+        return _discover(spark, train, sorted(set(features)), target, config)
+    finally:
+        train.unpersist()
+
+
+def _discover(spark, train: DataFrame, features, target: str, config: DiscoveryConfig) -> Discovery:
     totals = train.agg(
         F.count("*").alias("n"),
         F.count_if(F.col(target) == 1).alias("pos"),

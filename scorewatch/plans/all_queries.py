@@ -1,6 +1,6 @@
 """Importing the query modules registers them."""
 
-from scorewatch.plans import queries_core, queries_monitor, queries_rules  # noqa: F401
+from scorewatch.plans import queries_core, queries_models, queries_monitor, queries_rules  # noqa: F401
 from scorewatch.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

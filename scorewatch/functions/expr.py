@@ -186,6 +186,14 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+def small_table(df: DataFrame) -> DataFrame:
+    """A model-sized result (alerts, causes, cards) as a literal table.
+
+    Several later steps read it; without this each would compute it again.
+    """
+    return df.sparkSession.createDataFrame(df.collect(), df.schema)
+
+
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column, for stable comparison of results."""
     return df.select(

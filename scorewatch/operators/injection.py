@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewatch.functions.expr import union_all
+from scorewatch.functions.expr import small_table, union_all
 from scorewatch.operators.contract import require_columns
 from scorewatch.operators.monitoring import Snapshot, detect, root_causes
 from scorewatch.operators.split import repeat_rows, take_exact
@@ -288,16 +288,18 @@ def backtest(
     """
     alerts, causes, truth = [], [], []
     for offset, s in enumerate(scenarios):
-        current = inject(df, s, seed + offset)
+        # Read by about six passes of this scenario only.
+        current = inject(df, s, seed + offset).persist()
         now = rules
         if s.drift_type == "rule_decay":
             now = rules.withColumn(
                 "lift", F.when(F.col("rule_id") == s.rule_id, 1.0).otherwise(F.col("lift"))
             )
-        found = detect(snapshot, current, now)
+        found = small_table(detect(snapshot, current, now))
         tag = F.lit(s.scenario_id).alias("scenario_id")
         alerts.append(found.select(tag, "alert_type", "scope_value"))
-        explained = root_causes(found, snapshot, current, top_k=top_k)
+        explained = small_table(root_causes(found, snapshot, current, top_k=top_k))
+        current.unpersist()
         causes.append(explained.select(tag, "dimension", "value", "rank"))
         (row,) = truth_rows([s])
         scope = {"population_shift": s.segment, "label_shift": snapshot.dataset_id}.get(s.drift_type)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorewatch.functions.expr import rounded
+from scorewatch.functions.expr import rounded, small_table
 from scorewatch.operators import findings, injection, monitoring, remediation
 from scorewatch.plans.queries_monitor import (
     ALERTS_SQL,
@@ -23,12 +23,11 @@ from scorewatch.roles import Condition
 def bridged(spark, sf):
     """Findings of the detected alerts, computed once and kept as a small table."""
     snap, now, alerts = detected(spark, sf)
-    alerts = spark.createDataFrame(alerts.collect(), alerts.schema)
-    causes = monitoring.root_causes(alerts, snap, now, top_k=3)
+    causes = small_table(monitoring.root_causes(alerts, snap, now, top_k=3))
     found = findings.identified(
         remediation.alert_findings(alerts, causes), [remediation.BRIDGE_LIMITATION]
     )
-    return alerts, causes, spark.createDataFrame(found.collect(), found.schema)
+    return alerts, causes, small_table(found)
 
 
 KIND_SQL = """CASE alert_type WHEN 'schema' THEN 'data_quality' WHEN 'missingness' THEN 'data_quality' WHEN 'distribution' THEN 'feature_drift'
@@ -223,8 +222,13 @@ def _(spark, sf):
 def _(spark, sf):
     ref = reference(spark, sf)
     rules = alert_rules(ref, 10 * F.avg("target"))
+    ref = ref.persist()
     snap = monitoring.build_snapshot(
-        ref, ROLES, FEATURE_NAMES, dataset_id="risk", specs=SPECS, evidence=rules
+        ref, ROLES, FEATURE_NAMES, dataset_id="risk", specs=SPECS, evidence=small_table(rules)
     )
     scenarios = injection.standard_scenarios("ord_qty", "BUILDING", "rule-1")
-    return injection.backtest(ref, snap, scenarios, rules.select("rule_id", "lift"))
+    scores = small_table(
+        injection.backtest(ref, snap, scenarios, small_table(rules.select("rule_id", "lift")))
+    )
+    ref.unpersist()
+    return scores

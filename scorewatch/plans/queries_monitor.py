@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from scorewatch.functions.expr import rounded, union_all
+from scorewatch.functions.expr import rounded, small_table
 from scorewatch.operators import contract, findings, metrics, monitoring
 from scorewatch.operators.split import period_split
 from scorewatch.plans.queries_core import quantile_sql, uneven
@@ -546,7 +546,7 @@ ALERTS_SQL = (
 def detected(spark, sf):
     snap = snapshot_of(spark, sf)
     now = current(spark, sf)
-    return snap, now, monitoring.detect(snap, now, current_rules(spark, sf))
+    return snap, now, small_table(monitoring.detect(snap, now, current_rules(spark, sf)))
 
 
 @query("i22_detect", f"WITH {REF_CUR_SQL}, {ALERTS_SQL} SELECT * FROM alerts")

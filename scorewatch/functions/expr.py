@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
+from collections.abc import Iterable, Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -15,14 +16,14 @@ from scorewatch.roles import Condition, Rule
 # into batches that stay below it.
 AGG_BATCH = 64
 
-_COMPARE: dict[str, Callable[[Column, object], Column]] = {
-    ">": lambda c, v: c > v,
-    ">=": lambda c, v: c >= v,
-    "<": lambda c, v: c < v,
-    "<=": lambda c, v: c <= v,
-    "==": lambda c, v: c == v,
-    "!=": lambda c, v: c != v,
-}
+
+def number(v: float) -> str:
+    """SQL text of a double literal."""
+    return f"{float(v)!r}D"
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def as_col(x: Column | str) -> Column:
@@ -43,35 +44,48 @@ def finite(name: str) -> Column:
     return F.expr(f"CASE WHEN abs({x}) < double('Infinity') THEN {x} END")
 
 
-def condition_column(condition: Condition, schema: T.StructType | None = None) -> Column:
+def literal_sql(value: object) -> str:
+    """SQL text of a condition value."""
+    if value is None:
+        return "NULL"
+    if isinstance(value, bool):
+        return str(value).lower()
+    if isinstance(value, int):
+        return f"{value}L"
+    if isinstance(value, float):
+        return number(value)
+    text = str(value).replace("\\", "\\\\").replace("'", "\\'")
+    return f"'{text}'"
+
+
+def condition_sql(condition: Condition, schema: T.StructType | None = None) -> str:
     """One comparison; null gives null, NaN in a float column never matches."""
-    column = F.col(condition.feature)
+    column = quoted(condition.feature)
     if condition.operator == "is_null":
-        return column.isNull()
-    hit = _COMPARE[condition.operator](column, F.lit(condition.value))
+        return f"{column} IS NULL"
+    operator = {"==": "=", "!=": "<>"}.get(condition.operator, condition.operator)
+    hit = f"{column} {operator} {literal_sql(condition.value)}"
     floating = schema is None or isinstance(
         schema[condition.feature].dataType, (T.FloatType, T.DoubleType)
     )
     if floating and not isinstance(condition.value, str):
-        hit = hit & ~F.isnan(column)
-    return hit
+        hit = f"{hit} AND NOT isnan({column})"
+    return f"({hit})"
 
 
-def rule_column(rule: Rule, schema: T.StructType | None = None) -> Column:
-    """AND of all conditions; an empty rule matches every row, null is false."""
-    if not rule.conditions:
-        return F.lit(True)
-    hits = [condition_column(c, schema) for c in rule.conditions]
-    return F.coalesce(reduce(lambda a, b: a & b, hits), F.lit(False))
+def condition_column(condition: Condition, schema: T.StructType | None = None) -> Column:
+    return F.expr(condition_sql(condition, schema))
 
 
-def number(v: float) -> str:
-    """SQL text of a double literal."""
-    return f"{float(v)!r}D"
+def rule_sql(rule: Rule, schema: T.StructType | None = None) -> str:
+    """AND of all conditions; an empty rule matches every row, null is false."""
+    if not rule.conditions:
+        return "true"
+    return f"coalesce({' AND '.join(condition_sql(c, schema) for c in rule.conditions)}, false)"
 
 
-def quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
+def rule_column(rule: Rule, schema: T.StructType | None = None) -> Column:
+    return F.expr(rule_sql(rule, schema))
 
 
 def bucket_sql(name: str, cuts: Sequence[float], *, closed: str = "left") -> str:
@@ -115,12 +129,6 @@ def bucket_by_feature(
     return F.expr(f"CASE {quoted(feature)} {cases} END") if cases else F.lit(None).cast("int")
 
 
-def bucket_in(x: Column, cuts: Column, *, closed: str = "left") -> Column:
-    """The same bucket number when the cuts live in an array column."""
-    inside = (lambda c: c <= x) if closed == "left" else (lambda c: c < x)
-    return F.when(x.isNotNull(), F.size(F.filter(cuts, inside)))
-
-
 def long_bins(
     df: DataFrame,
     cuts: Mapping[str, Sequence[float]],
@@ -186,6 +194,20 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
+@contextmanager
+def kept(df: DataFrame, *columns: str) -> Iterator[DataFrame]:
+    """The given columns, held for several passes and released afterwards.
+
+    Blocks that do not fit go to disk; blocks lost with an executor are
+    computed again from the source.
+    """
+    held = df.select(*columns).persist()
+    try:
+        yield held
+    finally:
+        held.unpersist()
+
+
 def small_table(df: DataFrame) -> DataFrame:
     """A model-sized result (alerts, causes, cards) as a literal table.
 

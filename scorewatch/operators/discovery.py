@@ -22,6 +22,7 @@ from scorewatch.functions.expr import (
     bucket_by_feature,
     explode_structs,
     finite,
+    kept,
     long_bins,
     number,
     quoted,
@@ -510,13 +511,10 @@ def discover(
     """Best single rules and diverse pairs on the training rows."""
     require_columns(train, [*features, target], "feature")
     spark = train.sparkSession
-    # About eight passes read these columns; blocks lost with an executor are
-    # computed again from the source.
-    train = train.select(target, *sorted(set(features))).persist()
-    try:
-        return _discover(spark, train, sorted(set(features)), target, config)
-    finally:
-        train.unpersist()
+    names = sorted(set(features))
+    # About eight passes read these columns.
+    with kept(train, target, *names) as rows:
+        return _discover(spark, rows, names, target, config)
 
 
 def _discover(spark, train: DataFrame, features, target: str, config: DiscoveryConfig) -> Discovery:

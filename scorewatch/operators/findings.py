@@ -22,6 +22,7 @@ from scorewatch.functions.expr import (
     day_of,
     explode_structs,
     is_finite,
+    kept,
     long_bins,
     month_of,
     ratio,
@@ -279,7 +280,8 @@ def feature_psi(
         raise ValueError("bin_count must be positive")
     names = sorted(set(numeric_columns(df.schema, features)))
     probs = [i / bin_count for i in range(1, bin_count)] or [0.5]
-    stats = quantile_lists(quantiles(df.filter(F.col("period") == "reference"), names, probs))
+    with kept(df.filter(F.col("period") == "reference"), *names) as rows:
+        stats = quantile_lists(quantiles(rows, names, probs))
     edges = inner_edges(stats, names) if bin_count > 1 else {f: [] for f in names}
     return psi_additive(period_bins(df, edges), epsilon)
 

@@ -13,7 +13,8 @@ from scorewatch.functions.expr import (
     explode_structs,
     finite,
     is_finite,
-    rule_column,
+    literal_sql,
+    rule_sql,
     union_all,
 )
 from scorewatch.functions.ranks import cut_points, running_totals
@@ -32,7 +33,7 @@ def rule_counts(
     All rules of a batch are conditional sums of one aggregate over one scan;
     the target is a grouping key, so each rule needs a single sum.
     """
-    frames = []
+    frames, schema = [], df.schema
     for group in batches(rules):
         wide = (
             df.withColumn("_pos", F.coalesce(F.col(target) == 1, F.lit(False)))
@@ -40,7 +41,7 @@ def rule_counts(
             .agg(
                 F.count("*").alias("_n"),
                 *[
-                    F.sum(rule_column(r, df.schema).cast("long")).alias(f"_h{i}")
+                    F.expr(f"sum(CAST({rule_sql(r, schema)} AS BIGINT)) AS _h{i}")
                     for i, r in enumerate(group)
                 ],
             )
@@ -49,7 +50,7 @@ def rule_counts(
             explode_structs(
                 wide,
                 [
-                    F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"_h{i}").alias("_h"))
+                    F.expr(f"named_struct('rule_id', {literal_sql(r.rule_id)}, '_h', _h{i})")
                     for i, r in enumerate(group)
                 ],
                 *slices,

@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewatch.functions.expr import long_bins, ratio, union_all
+from scorewatch.functions.expr import kept, long_bins, ratio, union_all
 from scorewatch.functions.ranks import quantile_lists, quantiles
 from scorewatch.functions.tokens import short_hash
 from scorewatch.operators.contract import FeatureSpec, require_columns
@@ -130,17 +130,18 @@ def bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]], *by: str) ->
 def reference_features(
     df: DataFrame, features: Sequence[str], specs: Sequence[FeatureSpec] = ()
 ) -> list[FeatureReference]:
-    """Missing and zero rate, quartile edges and histogram of every feature: three scans."""
+    """Missing and zero rate, quartile edges and histogram of every feature."""
     require_columns(df, features, "feature")
     unsupported = sorted(set(features) - set(numeric_columns(df.schema, features)))
     if unsupported:
         raise ContractError(f"numeric features are required: {', '.join(unsupported)}")
     families = {s.name: s.family for s in specs}
-    rates = {r["feature"]: r for r in column_rates(df, features).collect()}
-    edges = reference_edges(df, features)
     counts: dict[str, dict[int, int]] = {}
-    for r in bin_counts(df, edges).collect():
-        counts.setdefault(r["feature"], {})[r["bin"]] = r["n"]
+    with kept(df, *features) as rows:
+        rates = {r["feature"]: r for r in column_rates(rows, features).collect()}
+        edges = reference_edges(rows, features)
+        for r in bin_counts(rows, edges).collect():
+            counts.setdefault(r["feature"], {})[r["bin"]] = r["n"]
     return [
         FeatureReference(
             f,

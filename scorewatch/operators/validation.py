@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorewatch.functions.expr import day_of, month_of, union_all
+from scorewatch.functions.expr import day_of, month_of, small_table, union_all
 from scorewatch.functions.stats import (
     METRICS,
     fisher_p,
@@ -32,6 +32,7 @@ from scorewatch.roles import (
     Rule,
     ValidationConfig,
 )
+from scorewatch.sources.scratch import staged
 from scorewatch.sources.tables import grade_rank
 
 COUNTS = ("n", "pos", "hit", "hit_pos")
@@ -422,7 +423,7 @@ def local_rules(
         sizes.append((r["segment"], len(result.rules)))
         if not result.rules:
             continue
-        counts = validation_counts(mine, result.rules, roles)
+        counts = staged(validation_counts(mine, result.rules, roles), "local-counts")
         local, _ = validate(
             counts,
             config=config,
@@ -430,7 +431,7 @@ def local_rules(
             time_enabled=time_enabled,
             holdout_limitation=r["holdout_limitation"],
         )
-        found.append(local.withColumn("segment", F.lit(r["segment"])))
+        found.append(small_table(local).withColumn("segment", F.lit(r["segment"])))
     spark = parts.sparkSession
     rule_counts_ = spark.createDataFrame(sizes, "segment string, rule_count long")
     reports = gates.join(rule_counts_, "segment", "left")

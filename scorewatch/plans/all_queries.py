@@ -3,6 +3,7 @@
 from scorewatch.plans import (  # noqa: F401
     queries_actions,
     queries_core,
+    queries_flows,
     queries_models,
     queries_monitor,
     queries_rules,

@@ -73,7 +73,7 @@ def test_split_falls_back_to_classes(spark):
 def test_exact_selection_with_a_large_group_of_copies(spark):
     rows = [("x", 1, 0)] * 4000 + [("x", 1, i) for i in range(1, 8000)]
     df = spark.createDataFrame(rows, "segment string, target int, i int").repartition(7)
-    for quota in (1, 3999, 5000, 11_999):
+    for quota in (1, 3999, 5000, 11_998):
         quotas = spark.createDataFrame([("x", quota)], "segment string, quota long")
         got = split.take_exact(df, ["segment"], quotas)
         assert counts(got, "partition") == {("train",): quota, ("test",): 11_999 - quota}

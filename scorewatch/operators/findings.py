@@ -419,13 +419,19 @@ def segment_findings(
     )
 
 
+def month_counts(df: DataFrame, snapshot: str, target: str) -> DataFrame:
+    """Rows and positives per month; rows without a date are the null month."""
+    day = day_of(snapshot, df.schema[snapshot].dataType)
+    return df.groupBy(month_of(day).alias("period")).agg(
+        F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("pos")
+    )
+
+
 def monthly_rates(df: DataFrame, snapshot: str, target: str) -> DataFrame:
     """Rows and target rate per month (unparsable dates left out), with the previous month."""
-    day = day_of(snapshot, df.schema[snapshot].dataType)
     order = W.orderBy("period")
     return (
-        df.groupBy(month_of(day).alias("period"))
-        .agg(F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("pos"))
+        month_counts(df, snapshot, target)
         .filter(F.col("period").isNotNull())
         .withColumn("rate", F.col("pos") / F.col("n"))
         .withColumns(
@@ -451,10 +457,12 @@ def time_findings(
         if not 0 <= warning <= critical:
             raise ValueError("time diagnostic thresholds are invalid")
     months = monthly_rates(df, snapshot, target)
-    total = df.agg(F.count("*").alias("rows"))
-    summary = months.agg(
-        F.count("*").alias("months"), F.count_if(F.col("n") < min_month_size).alias("sparse")
-    ).join(F.broadcast(total))
+    dated = F.col("period").isNotNull()
+    summary = month_counts(df, snapshot, target).agg(
+        F.count_if(dated).alias("months"),
+        F.count_if(dated & (F.col("n") < min_month_size)).alias("sparse"),
+        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
+    )
     enough = F.col("months") >= min_months
     month_count = {"month_count": F.col("months"), "sample_count": F.col("rows")}
     warning = F.lit("warning")

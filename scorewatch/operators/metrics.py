@@ -97,10 +97,20 @@ def score_separation(
         raise ValueError("direction must be higher_is_bad or lower_is_bad")
     rows = df.select(finite(score).alias("_s"), (F.col(target) == 1).alias("_bad"))
     totals = rows.agg(
-        F.count_if(F.col("_s").isNotNull() & F.col("_bad")).alias("bad_count"),
-        F.count_if(F.col("_s").isNotNull() & ~F.col("_bad")).alias("good_count"),
-        F.count_if(F.col("_s").isNull()).alias("excluded_count"),
-    )
+        F.count_if(F.col("_s").isNotNull() & F.col("_bad")).alias("bad"),
+        F.count_if(F.col("_s").isNotNull() & ~F.col("_bad")).alias("good"),
+        F.count_if(F.col("_s").isNull()).alias("excluded"),
+    ).first()
+    n_bad, n_good = totals["bad"], totals["good"]
+    counts = {"bad_count": n_bad, "good_count": n_good, "excluded_count": totals["excluded"]}
+    literals = [F.lit(v).cast("long").alias(k) for k, v in counts.items()]
+    if not n_bad or not n_good:
+        none = [F.lit(None).cast("double").alias(c) for c in ("statistic", "signed_statistic")]
+        one_row = df.sparkSession.range(1)
+        return one_row.select(
+            *none, *literals, F.lit(NO_SEPARATION).alias("limitation"),
+            F.lit(None).cast("double").alias("p_value"),
+        )
     cuts = cut_points(rows, ["_s"], parts)["_s"]
     per_score = (
         rows.filter(F.col("_s").isNotNull())
@@ -109,31 +119,17 @@ def score_separation(
         .withColumn("_b", bucket_of("_s", cuts))
     )
     cumulative = running_totals(per_score, bucket="_b", order=["_s"], sums=["bad", "good"])
-    # The three class totals are one row; joining them is a one-row broadcast.
-    gap = F.col("cum_good") / F.col("good_count") - F.col("cum_bad") / F.col("bad_count")
-    best = (
-        cumulative.join(F.broadcast(totals), (F.col("bad_count") > 0) & (F.col("good_count") > 0))
-        .select(F.struct(F.abs(gap).alias("d"), (-F.col("_s")).alias("s"), gap.alias("g")).alias("x"))
-        .agg(F.max("x").alias("x"))
-    )
+    gap = F.col("cum_good") / F.lit(n_good) - F.col("cum_bad") / F.lit(n_bad)
+    best = cumulative.select(
+        F.struct(F.abs(gap).alias("d"), (-F.col("_s")).alias("s"), gap.alias("g")).alias("x")
+    ).agg(F.max("x").alias("x"))
     sign = 1.0 if direction == HIGHER_IS_BAD else -1.0
-    return (
-        totals.join(F.broadcast(best), F.lit(True), "left")
-        .select(
-            F.col("x.d").alias("statistic"),
-            (F.col("x.g") * sign).alias("signed_statistic"),
-            "bad_count",
-            "good_count",
-            "excluded_count",
-            F.when(F.col("x").isNull(), F.lit(NO_SEPARATION)).alias("limitation"),
-        )
-        .withColumn(
-            "p_value",
-            F.when(
-                F.col("statistic").isNotNull(),
-                ks_p_value(F.col("statistic"), F.col("bad_count"), F.col("good_count")),
-            ),
-        )
+    return best.select(
+        F.col("x.d").alias("statistic"),
+        (F.col("x.g") * sign).alias("signed_statistic"),
+        *literals,
+        F.lit(None).cast("string").alias("limitation"),
+        ks_p_value(F.col("x.d"), F.lit(n_bad), F.lit(n_good)).alias("p_value"),
     )
 
 

@@ -624,8 +624,9 @@ def _label_causes(alerts: DataFrame, snapshot: Snapshot, current: DataFrame) ->
         F.col("segment").isNotNull() & (F.col("n") >= snapshot.min_group_size)
     )
     rate = F.col("pos") / F.col("n")
-    # There is at most one label alert.
-    joined = groups.join(F.broadcast(alerts.select("alert_id")))
+    joined = groups.withColumn("alert_type", F.lit("label")).join(
+        alerts.select("alert_id", "alert_type"), "alert_type"
+    )
     base = F.lit(snapshot.positive_rate)
     return _causes(joined, "segment", F.col("segment"), F.abs(rate - base) * F.col("share"), base, rate)
 

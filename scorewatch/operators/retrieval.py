@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scorewatch.functions.expr import broadcast_if_small
+
 # Fixed value: a term starts with a letter and has 2 to 64 word characters or hyphens.
 TERM = r"(?U)\b[^\W\d_][\w-]{1,63}\b"
 
@@ -48,7 +50,9 @@ def citations(df: DataFrame, *, scope: str = "scope", text: str = "text") -> Dat
 def inverse_frequency(postings: DataFrame, documents: DataFrame) -> DataFrame:
     """Smoothed idf per scope and term; ``documents`` gives the documents per scope."""
     sizes = documents.groupBy("scope").agg(F.count("*").alias("n_docs"))
-    df = postings.groupBy("scope", "term").agg(F.count("*").alias("df"))
+    # Counting tf keeps the grouped postings identical for every use, so that
+    # Spark reuses their shuffle.
+    df = postings.groupBy("scope", "term").agg(F.count("tf").alias("df"))
     idf = F.log((1 + F.col("n_docs")) / (1 + F.col("df"))) + 1
     return df.join(sizes, "scope").select("scope", "term", "df", idf.alias("idf"))
 
@@ -79,8 +83,9 @@ def search(documents: DataFrame, queries: DataFrame, *, limit: int = 5) -> DataF
 
     ``queries`` has ``query_id, scope, text``.  The cosine is clamped to [0, 1],
     rounded to 12 digits and must be positive; equal scores order by citation
-    id.  Only matching terms are joined, the ranking keeps ``limit`` rows per
-    query before its shuffle.
+    id.  A small query table is broadcast to the postings, so frequent terms are
+    not shuffled to one task; the ranking keeps ``limit`` rows per query before
+    its shuffle.
     """
     if not 1 <= limit <= 100:
         raise ValueError("limit must be between 1 and 100")
@@ -88,7 +93,9 @@ def search(documents: DataFrame, queries: DataFrame, *, limit: int = 5) -> DataF
     idf = inverse_frequency(postings, documents)
     norms = document_norms(postings, idf)
     asked = term_counts(queries, "query_id", "scope").withColumnRenamed("tf", "qtf")
-    weighted = asked.join(idf, ["scope", "term"]).withColumn("qw", F.col("qtf") * F.col("idf"))
+    weighted = broadcast_if_small(
+        asked.join(idf, ["scope", "term"]).withColumn("qw", F.col("qtf") * F.col("idf"))
+    )
     lengths = weighted.groupBy("query_id", "scope").agg(
         F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm")
     )

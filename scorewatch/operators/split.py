@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorewatch.functions.expr import bucket_of, day_of
+from scorewatch.functions.expr import broadcast_if_small, bucket_of, day_of
 from scorewatch.functions.ranks import cut_points, running_totals
 from scorewatch.roles import SEED
 
@@ -60,21 +60,16 @@ def time_boundaries(df: DataFrame, snapshot: str) -> DataFrame:
         return F.min(F.when(condition, F.struct(gap.alias("gap"), F.col("i"), F.col("day"))))
 
     i, g = F.col("i"), F.col("dates")
-    first = counts.agg(
-        closest(6, (g >= 3) & (i <= g - 2)).alias("a"),
+    # The window covers the calendar dates only.
+    train = closest(6, (g >= 3) & (i <= g - 2)).over(W.partitionBy())
+    found = counts.withColumn("a", train).agg(
+        closest(8, (i > F.col("a.i")) & (i <= g - 1)).alias("b"),
+        F.max("a").alias("a"),
         F.min(F.when(g == 2, F.col("day"))).alias("first_day"),
         F.max("day").alias("last_day"),
         F.max("dates").alias("date_count"),
     )
-    # A one-row side joined to a table of calendar dates.
-    second = counts.join(F.broadcast(first)).agg(
-        closest(8, (i > F.col("a.i")) & (i <= g - 1)).alias("b"),
-        F.first("a").alias("a"),
-        F.first("first_day").alias("first_day"),
-        F.first("last_day").alias("last_day"),
-        F.first("date_count").alias("date_count"),
-    )
-    return second.select(
+    return found.select(
         F.coalesce("a.day", "first_day", "last_day").alias("train_end"),
         F.coalesce("b.day", "last_day").alias("test_end"),
         F.coalesce("date_count", F.lit(0)).alias("date_count"),
@@ -274,6 +269,7 @@ def take_exact(
         )
         .withColumn("_border", F.coalesce("_border", F.lit(HASH_BUCKETS)))
     )
+    border = broadcast_if_small(border)
     placed = hashed.join(border, same(hashed))
     settled = placed.filter(F.col("_b") != F.col("_border")).select(
         *columns, F.when(F.col("_b") < F.col("_border"), inside).otherwise(outside).alias(name)

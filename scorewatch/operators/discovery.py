@@ -37,7 +37,6 @@ from scorewatch.roles import (
     Rule,
     canonical_conditions,
     numeric_columns,
-    rule_id_of,
 )
 
 # The quantiles that serve as thresholds.

@@ -23,20 +23,16 @@ from scorewatch.plans.views import (
     DIRTY_SQL,
     FEATURE_NAMES,
     FEATURES,
-    REF_CUR_SQL,
     RISK_SQL,
     ROLES,
-    current,
     dirty,
     r6,
-    reference,
     risk,
     table,
 )
 from scorewatch.roles import Condition, Features, Rule
 from scorewatch.sources.tables import (
     read_table,
-    rules_frame,
     rules_from_json,
     rules_to_json,
     table_fingerprint,

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from scorewatch.functions.expr import rounded, small_table
-from scorewatch.operators import contract, findings, metrics, monitoring
-from scorewatch.operators.split import period_split
+from scorewatch.operators import contract, findings, monitoring
 from scorewatch.plans.queries_core import quantile_sql, uneven
 from scorewatch.plans.registry import query
 from scorewatch.plans.views import (

@@ -659,6 +659,19 @@ def _(spark, sf):
     )
 
 
+@query(
+    "e6_ks_p_value",
+    f"""WITH {RISK_SQL}, src AS (SELECT ord_total AS x, target = 1 AS bad FROM risk WHERE part_id % 5 = 0),
+    {KS_SQL.format(src='src', sign='1')} SELECT statistic, bad_count, good_count, p_value FROM ({KS_OUT})""",
+)
+def _(spark, sf):
+    df = risk(spark, sf).withColumn(
+        "ord_total", F.when(F.col("part_id") % 5 == 0, F.col("ord_total"))
+    )
+    found = metrics.score_separation(df, "ord_total", "target")
+    return rounded(found.select("statistic", "bad_count", "good_count", "p_value"))
+
+
 @query(
     "e7_class_weights",
     f"""WITH {RISK_SQL}, w AS (SELECT count(*)::DOUBLE / (2 * count(*) FILTER (target = 0)) AS w0,

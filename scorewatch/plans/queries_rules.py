@@ -177,6 +177,18 @@ def _pairs(spark, sf):
     return discovery.pair_candidates(df, discovery.pair_beam(singles, 20), "target", CONFIG, n, p)
 
 
+@query(
+    "f6_supported_rules",
+    f"WITH {RISK_SQL}, c AS ({counts_sql('risk')}) SELECT rule_id, hit FROM c "
+    "WHERE hit BETWEEN ceil(n * 0.15) AND floor(n * 0.85)",
+)
+def _(spark, sf):
+    df = risk(spark, sf)
+    low, high = discovery.support_bounds(df.count(), 0.15)
+    counts = rule_counts(df, RULES, "target")
+    return counts.filter(F.col("hit").between(low, high)).select("rule_id", "hit")
+
+
 @query("f7_single_candidates", f"WITH {SINGLES_SQL} SELECT {CANDIDATE_OUT} FROM singles")
 def _(spark, sf):
     return rounded(_singles(spark, sf)[3].select(*CANDIDATE_COLS))

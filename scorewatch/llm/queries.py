@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm import packing, simhash
+from scorewatch.llm import (
+    chunks,
+    compression,
+    embeddings,
+    langid,
+    packing,
+    pieces,
+    rules,
+    simhash,
+    suffix,
+    toxicity,
+)
 from scorewatch.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -35,3 +46,75 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def held_out(modulus: int, value: int):
+    """Whether a row's id leaves this remainder of its checksum."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus == value, F.lit(False))
+
+
+@query
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links, groups and survivors of all vectors at a cosine of 0.93 within their label."""
+    return embeddings.near_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
+@query
+def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every whole text; models learn from four fifths of the rows."""
+    crc = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
+    docs = table(spark, sf_dir, "documents")
+    found = langid.languages(docs, learn=crc >= 2, check=crc == 1)
+    return found.withColumn("held_out", held_out(5, 0)).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every whole text by compression; labels of two thirds of the rows."""
+    docs = table(spark, sf_dir, "documents")
+    model = compression.fit(docs, table(spark, sf_dir, "labels"), held_out(3, 1))
+    found = compression.scored(docs, model).withColumn("held_out", held_out(3, 1))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every whole text after restoring its words; labels of two thirds of the rows."""
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), held_out(3, 1))
+    found = toxicity.scored(docs, model).withColumn("held_out", held_out(3, 1))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+@query
+def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Word, symbol and repeat counts of every whole text and the verdict of the learned list."""
+    found = rules.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return found.select("doc_id", *rules.BASE, "base_failed", "kept")
+
+
+@query
+def op5_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What chunk deduplication removes from every whole text, and a digest of what it leaves."""
+    found = chunks.deduplicated(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", "n_repeated", "n_removed", "n_spans",
+        F.sha2(F.coalesce(F.col("kept"), F.lit("")).cast("binary"), 256).alias("kept_sha256"),
+    )
+
+
+@query
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and checksum of the ids of every whole text, and whether they decode to it."""
+    return pieces.encoded(table(spark, sf_dir, "documents"), "piece_bpe_32k.model", ids=False)
+
+
+@query
+def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every whole text outside strings of 400 bytes that start anywhere else too."""
+    found = suffix.without_repeats(table(spark, sf_dir, "documents"), 400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["after"] - s["first"])
+    return found.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )

@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The folder of a session in one JVM that has none set.
+_OWN: list[str] = []
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the given tables."""
@@ -26,9 +29,9 @@ def shared_folder(spark: SparkSession) -> str:
     master = spark.conf.get("spark.master", "")
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    base = tempfile.mkdtemp(prefix="scorewatch-llm-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="scorewatch-llm-"))
+    return _OWN[0]
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:

@@ -20,9 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from scorewatch.llm.common import identity
+
 WINDOW = 16
 GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
 BUFFER = 1 << 20
@@ -75,10 +77,6 @@ def boundaries(data: bytes, average: int, apart: int = 8, most: int = 4096) -> n
     return cuts[(cuts > 0) & np.concatenate([[True], cuts[1:] != cuts[:-1]])]
 
 
-def _identity() -> Column:
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
-
-
 def chunks(docs: DataFrame, average: int = 32) -> DataFrame:
     """Chunks of every text: `oid`, `digest`, `start`, `size`, and whether the digest came before in the text (`again`)."""
     names = ["oid", "digest", "start", "size", "again"]
@@ -115,7 +113,7 @@ def chunks(docs: DataFrame, average: int = 32) -> DataFrame:
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(_identity().alias("oid"), "text").mapInArrow(
+    return docs.select(identity().alias("oid"), "text").mapInArrow(
         rows, "oid long, digest long, start long, size int, again boolean"
     )
 
@@ -149,7 +147,7 @@ def deduplicated(docs: DataFrame, average: int = 32, least_run: int = 80, keep:
     `n_repeated` counts the bytes in runs of repeated chunks, first ones included; `keep` names
     further columns of `docs` to carry along.
     """
-    own = docs.select(_identity().alias("oid"), "doc_id", "text", F.struct(*[F.col(c) for c in keep] or [F.lit(0)]).alias("more"))
+    own = docs.select(identity().alias("oid"), "doc_id", "text", F.struct(*[F.col(c) for c in keep] or [F.lit(0)]).alias("more"))
     joined = own.join(repeats(docs, average), "oid", "left").select("doc_id", "more", "text", "found")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

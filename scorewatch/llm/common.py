@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The folder of a session in one JVM that has none set.
@@ -45,6 +45,11 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def identity() -> Column:
+    """The id of a document, or for one without it a hash of its text."""
+    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+
+
 def total(df: DataFrame, *sums) -> tuple:
     """One row of aggregates of `df`."""
     return tuple(df.agg(*sums).first())

@@ -264,7 +264,7 @@ def repeated_runs(
     kinds of runs goes on with the next of `grams`, and after the last with the whole string.
     """
     out = None
-    for gram in (*grams, length):
+    for gram in (*(g for g in grams if g < length), length):
         runs = staged(_runs(texts, length, gram), "runs")
         equal = runs.groupBy("seed", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("uid", "base", "a", "b")).alias("one"))
         copies = equal.where("n > 1").select("seed", "ctx")

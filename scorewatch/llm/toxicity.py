@@ -39,7 +39,7 @@ RESEMBLES = {
     "*": "aeiou", "#": "aeiou", "%": "aeiou", "?": "aeiou",
 }
 #: Costs in nats of a sign for a letter, of a sign as a break, of a dropped sign, of a dropped repeat.
-SIGN, BREAK, DROP, REPEAT = 1.5, 4.0, 3.0, 0.3
+SIGN, BREAK, DROP, REPEAT = 0.7, 4.0, 5.0, 0.3
 BEAM, MEMO, LM_ORDER = 24, 200_000, 3
 OPENINGS = (4, 5, 6)
 _RUN = re.compile(r"([^\W\d_])\1\1")
@@ -71,7 +71,7 @@ class Restorer:
             if c.isalpha():
                 arcs = [(c, 0.0)] + ([(None, REPEAT)] if c == before else [])
             else:
-                arcs = [(x, SIGN) for x in RESEMBLES.get(c, "")] + [(" ", BREAK), (None, DROP)]
+                arcs = [(x, SIGN) for x in RESEMBLES.get(c, "")] + [(" ", BREAK), (None, REPEAT if c == before else DROP)]
             before = c
             heard = [(s, x, w) for s in beam for x, w in arcs if x is not None]
             keys = [(s << 16 | (0 if x == " " else ord(x) & 0xFFFF)) for s, x, _ in heard]
@@ -102,8 +102,12 @@ class Restorer:
         runs = _RUN.search(text) is not None
         single: list[str] = []
         for token in text.split():
-            if len(token) == 1 and (token.isalpha() or token in RESEMBLES):
-                single.append(token)
+            alone = token if len(token) == 1 else token.rstrip(".,;:")
+            if len(alone) == 1 and (alone.isalpha() or alone in RESEMBLES):
+                single.append(alone)
+                if alone != token:  # a stop ends what is spelled out
+                    self._spelled(single, found)
+                    single = []
                 continue
             if single:
                 self._spelled(single, found)
@@ -193,11 +197,11 @@ def _counted(docs: DataFrame, letters: charlm.Model, name: str, only: set[str] |
 
 
 def _lexicon(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, lift: float) -> dict[str, float]:
-    """Log ratio of the shares of toxic and clean documents, less two standard errors, where over log `lift`."""
+    """Log ratio of the shares of toxic and clean documents, less one and a half standard errors, where over log `lift`."""
     out = {}
     for f, n in toxic.items():
         a, b = n + 0.5, clean.get(f, 0) + 0.5
-        weight = np.log(a / (n_toxic + 1)) - np.log(b / (n_clean + 1)) - 2 * np.sqrt(1 / a + 1 / b)
+        weight = np.log(a / (n_toxic + 1)) - np.log(b / (n_clean + 1)) - 1.5 * np.sqrt(1 / a + 1 / b)
         if n and weight >= np.log(lift):
             out[f] = float(weight)
     return out

@@ -157,7 +157,7 @@ def long_bins(
         long = binned.unpivot(
             list(keep), [f"_b_{c}" for c in names], "feature", "bin"
         ).filter(F.col("bin").isNotNull())
-        frames.append(long.withColumn("feature", F.substring("feature", 4, 1000)))
+        frames.append(long.withColumn("feature", F.expr("substring(feature, 4)")))
     return union_all(frames)
 
 
@@ -216,22 +216,6 @@ def small_table(df: DataFrame) -> DataFrame:
     return df.sparkSession.createDataFrame(df.collect(), df.schema)
 
 
-BROADCAST_ROWS = 100_000
-
-
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """A literal table with a broadcast hint when ``df`` has at most ``rows`` rows.
-
-    The size is read, not estimated: without it the optimizer would shuffle the
-    large side of the join first.  A larger table is returned as it is and
-    joined the way the optimizer decides.
-    """
-    head = df.limit(rows + 1).collect()
-    if len(head) > rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(head, df.schema))
-
-
 def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every floating column, for stable comparison of results."""
     return df.select(

@@ -96,7 +96,7 @@ def value_counts(df: DataFrame, features: Sequence[str], target: str) -> DataFra
     return (
         clean.unpivot(["_bad"], [f"_v_{c}" for c in features], "feature", "v")
         .filter(F.col("v").isNotNull())
-        .groupBy(F.substring("feature", 4, 1000).alias("feature"), "v")
+        .groupBy(F.expr("substring(feature, 4)").alias("feature"), "v")
         .agg(F.count("*").alias("n"), F.sum("_bad").alias("bad"))
         .withColumn("v", F.col("v").cast("double"))
     )

@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
-from urllib.parse import unquote, urlsplit
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -15,7 +14,7 @@ from pyspark.sql import types as T
 from scorewatch.functions.expr import kept, long_bins, ratio, union_all
 from scorewatch.functions.ranks import quantile_lists, quantiles
 from scorewatch.functions.tokens import short_hash
-from scorewatch.operators.contract import FeatureSpec, require_columns
+from scorewatch.operators.contract import require_columns
 from scorewatch.operators.metrics import column_rates
 from scorewatch.roles import ContractError, Roles, numeric_columns
 
@@ -48,6 +47,11 @@ FEATURE_SCHEMA = (
     "feature string, family string, dtype string, missing_rate double, zero_rate double, "
     "edges array<double>, counts array<long>"
 )
+HEAD_SCHEMA = (
+    "dataset_id string, row_count long, positive_rate double, min_group_size int, "
+    "entity string, snapshot string, segment string, target string"
+)
+RULE_SCHEMA = "rule_id string, coverage double, bad_rate double, lift double"
 
 
 @dataclass(frozen=True)
@@ -89,18 +93,31 @@ def dtype_family(dtype: T.DataType | str) -> str:
     return name
 
 
-def public_identifier(identifier: str) -> str:
-    """Reject identifiers that look like paths, also when percent-encoded."""
-    decoded = identifier
-    while unquote(decoded) != decoded:
-        decoded = unquote(decoded)
-    if (
-        urlsplit(decoded).scheme.lower() == "file"
-        or re.search(r"[/\\]", decoded)
-        or re.match(r"[A-Za-z]:", decoded)
-    ):
-        raise ContractError("path-like identifier is not allowed in a reference snapshot")
-    return identifier
+def _encoded(letters: str, plain: str) -> str:
+    """Pattern of a sign as it is or percent-encoded, at any depth of encoding."""
+    codes = "|".join(f"{ord(c):02x}" for c in letters)
+    return f"(?:{plain}|%(?:25)*(?:{codes}))"
+
+
+_ANY_LETTER = r"(?:[a-z]|%(?:25)*[46][1-9a-f]|%(?:25)*[57][0-9a])"
+_COLON = _encoded(":", ":")
+#: A slash or backslash anywhere, a drive letter or the file scheme ahead.
+PATH_LIKE = (
+    f"(?i){_encoded('/', '/')}|{_encoded(chr(92), chr(92) * 2)}|^{_ANY_LETTER}{_COLON}|^"
+    + "".join(_encoded(c + c.upper(), c) for c in "file")
+    + _COLON
+)
+
+
+def path_like(text: Column) -> Column:
+    """Whether an identifier looks like a path, also when percent-encoded."""
+    return F.rlike(text, F.lit(PATH_LIKE))
+
+
+def no_path(text: Column, what: str) -> Column:
+    """The identifier itself; a path-like one fails the job."""
+    message = F.lit(f"path-like {what} is not allowed in a reference snapshot")
+    return F.when(path_like(text), F.raise_error(message).cast("string")).otherwise(text)
 
 
 # --- building the reference ---------------------------------------------------------
@@ -128,14 +145,14 @@ def bin_counts(df: DataFrame, edges: Mapping[str, Sequence[float]], *by: str) ->
 
 
 def reference_features(
-    df: DataFrame, features: Sequence[str], specs: Sequence[FeatureSpec] = ()
+    df: DataFrame, features: Sequence[str], catalog: DataFrame | None = None
 ) -> list[FeatureReference]:
     """Missing and zero rate, quartile edges and histogram of every feature."""
     require_columns(df, features, "feature")
     unsupported = sorted(set(features) - set(numeric_columns(df.schema, features)))
     if unsupported:
         raise ContractError(f"numeric features are required: {', '.join(unsupported)}")
-    families = {s.name: s.family for s in specs}
+    families = {} if catalog is None else {r["feature"]: r["source"] for r in catalog.collect()}
     counts: dict[str, dict[int, int]] = {}
     with kept(df, *features) as rows:
         rates = {r["feature"]: r for r in column_rates(rows, features).collect()}
@@ -175,20 +192,13 @@ def features_from_frame(df: DataFrame) -> list[FeatureReference]:
 
 
 def reference_segments(df: DataFrame, segment: str, min_group_size: int) -> DataFrame:
-    """Segment counts of groups that are large enough; path-like labels are an error."""
+    """Segment counts of groups that are large enough; a path-like label of any size is an error."""
     label = F.coalesce(F.col(segment).cast("string"), F.lit("None"))
-    bad = F.col("segment").rlike(r"[/\\]|^[A-Za-z]:|^[Ff][Ii][Ll][Ee]:")
-    return (
-        df.groupBy(label.alias("segment"))
-        .agg(F.count("*").alias("n"))
-        .filter(F.col("n") >= min_group_size)
-        .withColumn(
-            "segment",
-            F.when(bad, F.raise_error(F.lit("path-like segment label")).cast("string")).otherwise(
-                F.col("segment")
-            ),
-        )
-    )
+    counted = df.groupBy(label.alias("segment")).agg(F.count("*").alias("n"))
+    guarded = counted.withColumn("segment", no_path(F.col("segment"), "segment label"))
+    # The guard is part of the condition: a filter on the count alone would run before it.
+    large = F.when(F.col("segment").isNotNull(), F.col("n") >= min_group_size)
+    return guarded.filter(large)
 
 
 def reference_rules(evidence: DataFrame) -> DataFrame:
@@ -196,7 +206,7 @@ def reference_rules(evidence: DataFrame) -> DataFrame:
     copies = F.count("*").over(W.partitionBy("rule_id"))
     return evidence.select(
         F.when(copies > 1, F.raise_error(F.lit("duplicate rule identifier")).cast("string"))
-        .otherwise(F.col("rule_id"))
+        .otherwise(no_path(F.col("rule_id"), "rule identifier"))
         .alias("rule_id"),
         "coverage",
         F.col("hit_bad_rate").alias("bad_rate"),
@@ -211,25 +221,65 @@ def build_snapshot(
     *,
     dataset_id: str,
     min_group_size: int = 100,
-    specs: Sequence[FeatureSpec] = (),
+    catalog: DataFrame | None = None,
     evidence: DataFrame | None = None,
 ) -> Snapshot:
     """Aggregate-only reference of one table."""
     totals = df.agg(
-        F.count("*").alias("n"), F.count_if(F.col(roles.target) == 1).alias("pos")
+        F.count("*").alias("n"),
+        F.count_if(F.col(roles.target) == 1).alias("pos"),
+        path_like(F.lit(dataset_id)).alias("path"),
     ).first()
+    if totals["path"]:
+        raise ContractError("path-like dataset identifier is not allowed in a reference snapshot")
     return Snapshot(
-        public_identifier(dataset_id),
+        dataset_id,
         totals["n"],
         totals["pos"] / totals["n"] if totals["n"] else 0.0,
         roles,
         min_group_size,
-        tuple(reference_features(df, features, specs)),
+        tuple(reference_features(df, features, catalog)),
         reference_segments(df, roles.segment, min_group_size),
         None if evidence is None else reference_rules(evidence),
     )
 
 
+def save_snapshot(snapshot: Snapshot, path: str) -> None:
+    """Write the snapshot as Parquet tables below ``path``: head, features, segments and rules."""
+    spark = snapshot.segments.sparkSession
+    r = snapshot.roles
+    head = spark.createDataFrame(
+        [
+            (
+                snapshot.dataset_id, snapshot.row_count, snapshot.positive_rate,
+                snapshot.min_group_size, r.entity, r.snapshot, r.segment, r.target,
+            )
+        ],
+        HEAD_SCHEMA,
+    )
+    reference_frame(spark, snapshot.features).write.parquet(f"{path}/features")
+    snapshot.segments.write.parquet(f"{path}/segments")
+    rules = snapshot.rules
+    head = head.withColumn("with_rules", F.lit(rules is not None))
+    head.write.parquet(f"{path}/head")
+    (spark.createDataFrame([], RULE_SCHEMA) if rules is None else rules).write.parquet(f"{path}/rules")
+
+
+def load_snapshot(spark: SparkSession, path: str) -> Snapshot:
+    """The snapshot that ``save_snapshot`` wrote below ``path``."""
+    head = spark.read.parquet(f"{path}/head").first()
+    return Snapshot(
+        head["dataset_id"],
+        head["row_count"],
+        head["positive_rate"],
+        Roles(head["entity"], head["snapshot"], head["segment"], head["target"]),
+        head["min_group_size"],
+        tuple(features_from_frame(spark.read.parquet(f"{path}/features"))),
+        spark.read.parquet(f"{path}/segments"),
+        spark.read.parquet(f"{path}/rules") if head["with_rules"] else None,
+    )
+
+
 def snapshot_id(snapshot: Snapshot) -> DataFrame:
     """SHA-256 over the snapshot tables, in canonical order; one row."""
     spark = snapshot.segments.sparkSession

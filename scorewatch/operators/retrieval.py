@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorewatch.functions.expr import broadcast_if_small
 
 # Fixed value: a term starts with a letter and has 2 to 64 word characters or hyphens.
 TERM = r"(?U)\b[^\W\d_][\w-]{1,63}\b"
@@ -83,9 +82,9 @@ def search(documents: DataFrame, queries: DataFrame, *, limit: int = 5) -> DataF
 
     ``queries`` has ``query_id, scope, text``.  The cosine is clamped to [0, 1],
     rounded to 12 digits and must be positive; equal scores order by citation
-    id.  A small query table is broadcast to the postings, so frequent terms are
-    not shuffled to one task; the ranking keeps ``limit`` rows per query before
-    its shuffle.
+    id.  How the query terms meet the postings is left to the optimizer, which
+    splits frequent terms; the ranking keeps ``limit`` rows per query before its
+    shuffle.
     """
     if not 1 <= limit <= 100:
         raise ValueError("limit must be between 1 and 100")
@@ -93,9 +92,7 @@ def search(documents: DataFrame, queries: DataFrame, *, limit: int = 5) -> DataF
     idf = inverse_frequency(postings, documents)
     norms = document_norms(postings, idf)
     asked = term_counts(queries, "query_id", "scope").withColumnRenamed("tf", "qtf")
-    weighted = broadcast_if_small(
-        asked.join(idf, ["scope", "term"]).withColumn("qw", F.col("qtf") * F.col("idf"))
-    )
+    weighted = asked.join(idf, ["scope", "term"]).withColumn("qw", F.col("qtf") * F.col("idf"))
     lengths = weighted.groupBy("query_id", "scope").agg(
         F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm")
     )

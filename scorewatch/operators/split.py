@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorewatch.functions.expr import broadcast_if_small, bucket_of, day_of
+from scorewatch.functions.expr import bucket_of, day_of
 from scorewatch.functions.ranks import cut_points, running_totals
 from scorewatch.roles import SEED
 
@@ -77,7 +77,8 @@ def time_boundaries(df: DataFrame, snapshot: str) -> DataFrame:
 
 
 def time_split(df: DataFrame, snapshot: str, name: str = "partition") -> DataFrame:
-    """Add train / test / holdout by whole snapshot dates; null dates are dropped.
+    """Add train / test / holdout by whole snapshot dates; null dates are dropped
+    (``undated_rows`` counts them).
 
     The two boundary dates are read first, so the label is a literal comparison
     and needs neither a join nor a shuffle.
@@ -94,6 +95,12 @@ def time_split(df: DataFrame, snapshot: str, name: str = "partition") -> DataFra
     return df.filter(day.isNotNull()).withColumn(name, label)
 
 
+def undated_rows(df: DataFrame, snapshot: str) -> DataFrame:
+    """One row: all rows, and those that a split by time leaves out for want of a readable date."""
+    day = day_of(snapshot, df.schema[snapshot].dataType)
+    return df.agg(F.count("*").alias("row_count"), F.count_if(day.isNull()).alias("excluded_rows"))
+
+
 def period_boundary(df: DataFrame, snapshot: str) -> date | None:
     """Last reference date: the first 60% of the distinct dates, at least one left over."""
     cut = date_counts(df, snapshot).filter(
@@ -269,7 +276,6 @@ def take_exact(
         )
         .withColumn("_border", F.coalesce("_border", F.lit(HASH_BUCKETS)))
     )
-    border = broadcast_if_small(border)
     placed = hashed.join(border, same(hashed))
     settled = placed.filter(F.col("_b") != F.col("_border")).select(
         *columns, F.when(F.col("_b") < F.col("_border"), inside).otherwise(outside).alias(name)
@@ -328,7 +334,7 @@ def stratified_split(
     return take_exact(df, [target], named, seed=seed), [FALLBACK_LIMITATION]
 
 
-def discovery_sample(df: DataFrame, rows: int = 50_000, *, seed: int = SEED) -> DataFrame:
+def discovery_sample(df: DataFrame, rows: int, *, seed: int = SEED) -> DataFrame:
     """A fixed-size random sample in hash order: the sampling operator itself."""
     return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(rows)
 

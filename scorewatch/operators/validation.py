@@ -36,7 +36,6 @@ from scorewatch.sources.scratch import staged
 from scorewatch.sources.tables import grade_rank
 
 COUNTS = ("n", "pos", "hit", "hit_pos")
-MAX_LOCAL_SEGMENTS = 5
 PERFORMANCE_WINDOW_UNKNOWN = "label performance window unknown"
 HOLDOUT_MISSING = "Holdout evidence is missing for this rule"
 HOLDOUT_EMPTY = "Holdout partition is empty; validation unavailable"
@@ -318,9 +317,9 @@ def validate(
 
 
 def local_candidates(
-    cards: DataFrame, slices: DataFrame, limit: int = MAX_LOCAL_SEGMENTS
+    cards: DataFrame, slices: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """Segments where a Local rule works, best first; beyond ``limit`` they are blocked."""
+    """Segments where a Local rule works, best first; beyond ``limit``, if given, they are blocked."""
     token = stable_token(F.col("segment"), "institution")
     order = W.orderBy(F.desc("global_lift"), F.desc("global_support"), "institution_token")
     best = (
@@ -405,14 +404,15 @@ def local_rules(
     config: ValidationConfig = ValidationConfig(),
     grade: str = "B",
     time_enabled: bool = True,
+    limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Discovery and validation inside segments that passed the gates.
 
-    Returns ``(reports, local cards)``.  At most five segments are searched, so
-    the loop over segments is bounded; the segment filter of each run is pushed
-    to the scan.
+    Returns ``(reports, local cards)``.  Segments are searched one after another, the best first;
+    ``limit`` bounds their number.  The segment filter of each run is pushed to the scan.
     """
-    gates = local_gates(local_candidates(cards, slices), parts, roles, config.min_group_size).persist()
+    candidates = local_candidates(cards, slices, limit)
+    gates = small_table(local_gates(candidates, parts, roles, config.min_group_size))
     done = gates.filter(F.col("status") == "completed").orderBy("place").collect()
     found, sizes = [], []
     for r in done:

@@ -9,7 +9,7 @@ from scorewatch.operators import findings, injection, monitoring, remediation
 from scorewatch.plans.queries_monitor import (
     ALERTS_SQL,
     CAUSES_SQL,
-    SPECS,
+    order_catalog,
     alert_rules,
     detected,
 )
@@ -181,9 +181,9 @@ def _(spark, sf):
     return df.agg(F.sum("target").alias("positives"))
 
 
-@query("l6_schema_drift", f"WITH {RISK_SQL} SELECT * EXCLUDE (ord_disc) FROM risk WHERE ord_qty = 1")
+@query("l6_schema_drift", f"WITH {RISK_SQL} SELECT * EXCLUDE (ord_disc) FROM risk")
 def _(spark, sf):
-    return injected(spark, sf, "schema", "ord_disc", 0.3).filter("ord_qty = 1")
+    return injected(spark, sf, "schema", "ord_disc", 0.3)
 
 
 @query(
@@ -224,7 +224,7 @@ def _(spark, sf):
     rules = alert_rules(ref, 10 * F.avg("target"))
     ref = ref.persist()
     snap = monitoring.build_snapshot(
-        ref, ROLES, FEATURE_NAMES, dataset_id="risk", specs=SPECS, evidence=small_table(rules)
+        ref, ROLES, FEATURE_NAMES, dataset_id="risk", catalog=order_catalog(spark), evidence=small_table(rules)
     )
     scenarios = injection.standard_scenarios("ord_qty", "BUILDING", "rule-1")
     scores = small_table(

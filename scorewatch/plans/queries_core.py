@@ -98,11 +98,11 @@ METRIC_NAMES = ["support_count", *RATIO_SQL]
 
 @query(
     "a1_projected_scan",
-    """SELECT o_orderpriority, o_totalprice, o_orderkey FROM orders WHERE o_totalprice > 300000""",
+    """SELECT o_orderpriority, o_totalprice, o_orderkey FROM orders""",
 )
 def _(spark, sf):
     wanted = ["o_orderpriority", "o_totalprice", "o_orderkey"]
-    return read_table(spark, f"{sf}/orders.parquet", wanted).filter("o_totalprice > 300000")
+    return read_table(spark, f"{sf}/orders.parquet", wanted)
 
 
 NUMERIC_RULES = [r for r in RULES if r.rule_id in ("disc", "qtybal", "price")]
@@ -279,7 +279,7 @@ EVENT_COUNTS_SQL = """e AS (SELECT *, date_diff('day', CAST(ts AS DATE), DATE '2
 def _(spark, sf):
     df = event_counts(spark, sf)
     names = EVENT_FEATURES.select(df.columns)
-    return contract.window_inversions(df, contract.feature_catalog(names, EVENT_FEATURES.families))
+    return contract.window_inversions(df, contract.feature_catalog(spark, names, EVENT_FEATURES.families))
 
 
 @query(
@@ -337,6 +337,14 @@ def _(spark, sf):
     )
 
 
+@query(
+    "c1_undated_rows",
+    f"""WITH {DIRTY_SQL} SELECT count(*) AS row_count, count(*) FILTER (snapshot_date IS NULL) AS excluded_rows FROM dirty""",
+)
+def _(spark, sf):
+    return split.undated_rows(dirty(spark, sf), "snapshot_date")
+
+
 # Train rows per class: floor(0.7 n) by largest remainder, then dealt out in turns.
 QUOTA_SQL = (
     SLICED_SQL.replace(
@@ -630,16 +638,30 @@ KS_SQL = """s AS (SELECT x, count(*) FILTER (bad) AS b, count(*) FILTER (NOT bad
  ks AS (SELECT abs(d) AS statistic, {sign} * d AS signed_statistic, CAST(nb AS BIGINT) AS bad_count, CAST(ng AS BIGINT) AS good_count,
    (SELECT count(*) FROM {src} WHERE x IS NULL OR NOT isfinite(x)) AS excluded_count,
    sqrt(nb::DOUBLE * ng / (nb + ng)) AS en FROM best),
- kl AS (SELECT *, (en + 0.12::DOUBLE + 0.11::DOUBLE / en) * statistic AS lam FROM ks)"""
+ kl AS (SELECT *, en * statistic AS lam FROM ks),
+-- Up to 10,000 rows a side: the chance of the lattice paths that leave the band, step by step.
+band AS (SELECT bad_count AS m, good_count AS n, bad_count // gcd(bad_count, good_count) AS a,
+   good_count // gcd(bad_count, good_count) AS b,
+   CAST(round(statistic * (bad_count // gcd(bad_count, good_count)) * good_count) AS BIGINT) AS h
+   FROM kl WHERE greatest(bad_count, good_count) <= 10000),
+walk AS (SELECT CAST(0 AS BIGINT) AS step, [CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0 END for i in range(0, m + 1)] AS p, 0.0::DOUBLE AS gone FROM band
+   UNION ALL
+   SELECT step + 1, [CASE WHEN abs(i * b - (step + 1 - i) * a) >= h THEN 0 ELSE q[i + 1] END for i in range(0, m + 1)],
+     gone + coalesce(list_sum([q[i + 1] for i in range(0, m + 1) if abs(i * b - (step + 1 - i) * a) >= h]), 0)
+   FROM (SELECT step, gone, m, n, a, b, h,
+      [(CASE WHEN step >= i AND step - i < n THEN p[i + 1] * (n - step + i) ELSE 0 END
+        + CASE WHEN i > 0 THEN p[i] * (m - i + 1) ELSE 0 END) / (m + n - step) for i in range(0, m + 1)] AS q
+      FROM walk, band WHERE step < m + n)),
+exact AS (SELECT least(1, gone) AS chance FROM walk, band WHERE step = m + n)"""
 KS_OUT = f"""SELECT {r6("statistic")} AS statistic, {r6("signed_statistic")} AS signed_statistic, bad_count, good_count,
- excluded_count, NULL::VARCHAR AS limitation, CASE WHEN lam < 0.2::DOUBLE THEN 1.0::DOUBLE ELSE {r6(
+ excluded_count, NULL::VARCHAR AS limitation, CASE WHEN (SELECT count(*) FROM exact) > 0 THEN (SELECT {r6("chance")} FROM exact) WHEN lam < 0.2::DOUBLE THEN 1.0::DOUBLE ELSE {r6(
     "greatest(0, least(1, 2 * (SELECT sum((CASE WHEN j % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0::DOUBLE * j * j * lam * lam)) FROM range(1, 101) AS q(j))))"
  )} END AS p_value FROM kl"""
 
 
 @query(
     "e5_score_separation",
-    f"""WITH {DIRTY_SQL}, src AS (SELECT ord_price AS x, target = 1 AS bad FROM dirty WHERE target IS NOT NULL),
+    f"""WITH RECURSIVE {DIRTY_SQL}, src AS (SELECT ord_price AS x, target = 1 AS bad FROM dirty WHERE target IS NOT NULL),
     {KS_SQL.format(src='src', sign='1')} {KS_OUT}""",
 )
 def _(spark, sf):
@@ -649,7 +671,7 @@ def _(spark, sf):
 
 @query(
     "e5_score_separation_lower",
-    f"""WITH {RISK_SQL}, src AS (SELECT ord_disc AS x, target = 1 AS bad FROM risk),
+    f"""WITH RECURSIVE {RISK_SQL}, src AS (SELECT ord_disc AS x, target = 1 AS bad FROM risk),
     {KS_SQL.format(src='src', sign='-1')} {KS_OUT}""",
 )
 def _(spark, sf):
@@ -661,14 +683,24 @@ def _(spark, sf):
 
 @query(
     "e6_ks_p_value",
-    f"""WITH {RISK_SQL}, src AS (SELECT ord_total AS x, target = 1 AS bad FROM risk WHERE part_id % 5 = 0),
+    f"""WITH RECURSIVE {RISK_SQL}, src AS (SELECT ord_total AS x, target = 1 AS bad FROM risk),
+    {KS_SQL.format(src='src', sign='1')} SELECT statistic, bad_count, good_count, p_value FROM ({KS_OUT})""",
+)
+def _(spark, sf):
+    found = metrics.score_separation(risk(spark, sf), "ord_total", "target")
+    return rounded(found.select("statistic", "bad_count", "good_count", "p_value"))
+
+
+@query(
+    "e6_ks_p_value_small",
+    f"""WITH RECURSIVE src AS (SELECT c_acctbal AS x, c_mktsegment = 'BUILDING' AS bad FROM customer),
     {KS_SQL.format(src='src', sign='1')} SELECT statistic, bad_count, good_count, p_value FROM ({KS_OUT})""",
 )
 def _(spark, sf):
-    df = risk(spark, sf).withColumn(
-        "ord_total", F.when(F.col("part_id") % 5 == 0, F.col("ord_total"))
+    rows = table(spark, sf, "customer").select(
+        "c_acctbal", (F.col("c_mktsegment") == "BUILDING").cast("int").alias("building")
     )
-    found = metrics.score_separation(df, "ord_total", "target")
+    found = metrics.score_separation(rows, "c_acctbal", "building")
     return rounded(found.select("statistic", "bad_count", "good_count", "p_value"))
 
 

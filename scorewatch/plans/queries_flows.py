@@ -19,7 +19,6 @@ from scorewatch.sources.tables import read_history_csv, write_table
 from scorewatch.streaming import monitor as streaming
 
 
-
 @query("a2_history_csv", f"WITH {HISTORY_SQL} {J_SQL['bureau']}")
 def _(spark, sf):
     path = scratch_path(spark, "bureau")
@@ -60,7 +59,7 @@ def drained(stream, name: str, mode: str):
         availableNow=True
     ).start()
     try:
-        running.awaitTermination(600)
+        running.awaitTermination()  # until all input is read; a failure is raised here
     finally:
         running.stop()
     return stream.sparkSession.table(name)

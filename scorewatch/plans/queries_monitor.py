@@ -322,7 +322,8 @@ def _(spark, sf):
 
 # --- I. reference snapshot and alerts ---------------------------------------------------------
 
-SPECS = contract.feature_catalog(FEATURE_NAMES, FEATURES.families)
+def order_catalog(spark):
+    return contract.feature_catalog(spark, FEATURE_NAMES, FEATURES.families)
 
 
 def alert_rules(frame, lift):
@@ -338,7 +339,7 @@ def snapshot_of(spark, sf):
     ref = reference(spark, sf)
     evidence = alert_rules(ref, 10 * F.avg("target"))
     return monitoring.build_snapshot(
-        ref, ROLES, FEATURE_NAMES, dataset_id="risk", specs=SPECS, evidence=evidence
+        ref, ROLES, FEATURE_NAMES, dataset_id="risk", catalog=order_catalog(spark), evidence=evidence
     )
 
 

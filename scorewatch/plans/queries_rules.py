@@ -278,16 +278,15 @@ def fisher_sql(source: str, name: str = "fisher") -> str:
     )
 
 
-SMALL_SQL = f"small AS (SELECT * FROM risk WHERE part_id % 30 = 0), c AS ({counts_sql('small')})"
+WHOLE_SQL = f"c AS ({counts_sql('risk')})"
 
 
 @query(
     "e2_fisher_exact",
-    f"WITH {RISK_SQL}, {SMALL_SQL}, {fisher_sql('c')} SELECT rule_id, {r6('p_value')} AS p_value FROM fisher",
+    f"WITH {RISK_SQL}, {WHOLE_SQL}, {fisher_sql('c')} SELECT rule_id, {r6('p_value')} AS p_value FROM fisher",
 )
 def _(spark, sf):
-    small = risk(spark, sf).filter(F.col("part_id") % 30 == 0)
-    counts = rule_counts(small, RULES, "target")
+    counts = rule_counts(risk(spark, sf), RULES, "target")
     p = fisher_p("n", "pos", "hit", "hit_pos")
     return rounded(counts.select("rule_id", p.alias("p_value")))
 

@@ -31,6 +31,7 @@ class Analysis:
     cards: DataFrame
     slices: DataFrame
     limitations: tuple[str, ...]
+    excluded_rows: int = 0
 
 
 def analyse(
@@ -58,8 +59,10 @@ def analyse(
         performance_window_days=performance_window_days, time_enabled=time_enabled,
     )
     limitations: list[str] = []
+    excluded = 0
     if time_enabled:
         parts = split.time_split(df, roles.snapshot)
+        excluded = split.undated_rows(df, roles.snapshot).first()["excluded_rows"]
     else:
         parts, limitations = split.stratified_split(df, roles.target, roles.segment)
     gates = small_table(split.partition_gates(parts, roles.target))
@@ -88,7 +91,7 @@ def analyse(
     else:
         cards = found.frame.limit(0).withColumn("grade", F.lit(""))
         slices = found.frame.limit(0)
-    return Analysis(profile, issues, gates, found, cards, slices, tuple(limitations))
+    return Analysis(profile, issues, gates, found, cards, slices, tuple(limitations), excluded)
 
 
 def monitor(

@@ -14,10 +14,10 @@ FEATURES = ["f_a", "f_b", "f_c"]
 
 
 @pytest.fixture(scope="module")
-def snapshot(planted):
-    specs = feature_catalog(FEATURES, {"fam": ("f_",)})
+def snapshot(planted, spark):
+    specs = feature_catalog(spark, FEATURES, {"fam": ("f_",)})
     return monitoring.build_snapshot(
-        planted, ROLES, FEATURES, dataset_id="demo", min_group_size=50, specs=specs
+        planted, ROLES, FEATURES, dataset_id="demo", min_group_size=50, catalog=specs
     )
 
 
@@ -74,11 +74,47 @@ def test_oversampling_is_exact_with_copies(planted, spark, share):
     assert got == {"A": 500 + round(1200 * share), "B": 700}
 
 
-def test_path_like_identifiers_are_rejected():
-    for bad in ("/tmp/x", "a%2Fb", "C:data", "file:x", "a\\b"):
-        with pytest.raises(ContractError):
-            monitoring.public_identifier(bad)
-    assert monitoring.public_identifier("demo-1") == "demo-1"
+PATHS = [
+    "/tmp/x", "a%2Fb", "a%252fb", "C:data", "c%3Adata", "%43:data", "file:x", "%66ILE%3Ax", "a\\b", "a%5Cb",
+]
+PLAIN = ["demo-1", "ab:c", "50% off", "profile:x", "x%2", "%41"]
+
+
+def test_path_like_identifiers_are_rejected(planted, spark):
+    df = spark.createDataFrame([(x,) for x in PATHS + PLAIN], "x string")
+    found = [r.p for r in df.select(monitoring.path_like(F.col("x")).alias("p")).collect()]
+    assert found == [True] * len(PATHS) + [False] * len(PLAIN)
+    with pytest.raises(ContractError):
+        monitoring.build_snapshot(planted.limit(5), ROLES, [FEATURES[0]], dataset_id="a%2Fb")
+    few = spark.createDataFrame([("a%2Fb",), ("ok",), ("ok",)], "segment string")
+    with pytest.raises(Exception, match="path-like segment"):
+        monitoring.reference_segments(few, "segment", 2).collect()
+    rules = spark.createDataFrame([("/x/y", 0.1, 0.2, 1.5)], "rule_id string, coverage double, hit_bad_rate double, lift double")
+    with pytest.raises(Exception, match="path-like rule"):
+        monitoring.reference_rules(rules).collect()
+
+
+def test_a_saved_snapshot_gives_the_same_alerts(snapshot, planted, spark, tmp_path):
+    monitoring.save_snapshot(snapshot, f"{tmp_path}/snapshot")
+    again = monitoring.load_snapshot(spark, f"{tmp_path}/snapshot")
+    assert again == snapshot and again.rules is None
+    assert monitoring.snapshot_id(again).first() == monitoring.snapshot_id(snapshot).first()
+    now = planted.withColumn("f_a", F.when(F.col("segment") != "A", F.col("f_a")))
+    rows = [sorted(map(str, monitoring.detect(s, now).collect())) for s in (snapshot, again)]
+    assert rows[0] == rows[1] and rows[0]
+
+
+def test_feature_catalog(spark):
+    names = ["ord_amt_sum_30d", "ord_pay_cnt_7d", "cust_num_avg_90d_x", "cust_rate_amt", "other_30days", "ord_"]
+    rows = {r.feature: tuple(r)[1:] for r in feature_catalog(spark, names, {"order": ("ord_",), "customer": ("cust_", "c_")}).collect()}
+    assert rows == {
+        "ord_amt_sum_30d": ("order", 30, "amt_sum", "amount", False),
+        "ord_pay_cnt_7d": ("order", 7, "pay_cnt", "count", True),
+        "cust_num_avg_90d_x": ("customer", 90, "num_avg_x", "count", False),
+        "cust_rate_amt": ("customer", None, "rate_amt", "ratio", False),
+        "other_30days": ("unknown", None, "other_30days", "numeric", False),
+        "ord_": ("order", None, "", "numeric", False),
+    }
 
 
 def test_psi_closed_form(spark):
@@ -123,7 +159,7 @@ def test_profile_contract(spark):
     features = Features({"order": ("order_",)})
     df = spark.createDataFrame(ok, schema)
     assert profile(df, ROLES, features, dataset_id="d").first().feature_count == 2
-    broken = window_inversions(df, feature_catalog(features.select(df.columns, ROLES), features.families))
+    broken = window_inversions(df, feature_catalog(spark, features.select(df.columns, ROLES), features.families))
     assert broken.first().affected_rows == 1
     for change in ({"target": F.lit(2)}, {"snapshot_date": F.lit("n/a")}, {"target": F.lit(None).cast("int")}):
         with pytest.raises(Exception, match="column"):

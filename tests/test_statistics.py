@@ -158,3 +158,29 @@ def test_class_weights(spark):
     assert got == {1: 2.0, 0: pytest.approx(2 / 3)}
     with pytest.raises(ContractError):
         row_weights(rows(spark, [(1,), (1,)], "t int"), "t")
+
+
+def test_ks_chance_is_exact_for_small_samples():
+    from itertools import combinations
+
+    from scorewatch.functions.stats import ks_exact
+
+    assert abs(ks_exact(0.6, 5, 5) - 0.35714285714285715) < 1e-12
+    for d, m, n in ((0.5, 4, 6), (1.0, 2, 2), (0.4, 3, 5), (0.75, 4, 4)):
+        found = 0
+        for places in combinations(range(m + n), m):
+            ones = [int(k in places) for k in range(m + n)]
+            far = max(
+                abs(sum(ones[:k]) / m - (k - sum(ones[:k])) / n) for k in range(1, m + n + 1)
+            )
+            found += far >= d - 1e-12
+        assert abs(ks_exact(d, m, n) - found / math.comb(m + n, m)) < 1e-12
+
+
+def test_feature_names_are_never_cut(spark):
+    from scorewatch.functions.expr import long_bins
+
+    a, b = "f" * 1004 + "a", "f" * 1004 + "b"
+    df = spark.createDataFrame([(1.0, 5.0), (2.0, 6.0)], f"{a} double, {b} double")
+    rows = long_bins(df, {a: [1.5], b: [5.5]}).groupBy("feature", "bin").count().collect()
+    assert {(r["feature"], r["bin"]) for r in rows} == {(x, k) for x in (a, b) for k in (0, 1)}

@@ -91,7 +91,9 @@ def test_unsafe_values_and_names(spark):
     got = {(r.column, r.reason): r.row_count for r in privacy.unsafe_values(df).collect()}
     assert got == {("s", "path"): 1, ("s", "email"): 1, ("s", "identifier"): 1, ("v", "non_finite"): 1}
     names = ["customerId", "customer_count", "raw_x", "lift", "file_path", "userTotal", "target"]
-    assert privacy.forbidden_columns(names) == ["customerId", "raw_x", "file_path", "target"]
+    assert privacy.exposing_columns(names) == ["customerId", "raw_x", "file_path", "target"]
+    odd = ["uri", "my_uri", "raw", "Raw Rows", "personName", "personCount", "entity", "total_user", "HTTPPath", ""]
+    assert privacy.exposing_columns(odd) == ["my_uri", "raw", "Raw Rows", "personName", "entity"]
 
 
 def chain(run, n):

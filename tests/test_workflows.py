@@ -48,10 +48,10 @@ def test_nothing_is_local_without_local_cards(analysis):
     assert validation.local_candidates(cards, analysis.slices).count() == 0
 
 
-def test_monitor_and_scores(planted):
-    specs = contract.feature_catalog(["f_a", "f_b", "f_c"], FEATURES.families)
+def test_monitor_and_scores(planted, spark):
+    specs = contract.feature_catalog(spark, ["f_a", "f_b", "f_c"], FEATURES.families)
     snapshot = monitoring.build_snapshot(
-        planted, ROLES, ["f_a", "f_b", "f_c"], dataset_id="demo", min_group_size=50, specs=specs
+        planted, ROLES, ["f_a", "f_b", "f_c"], dataset_id="demo", min_group_size=50, catalog=specs
     )
     s = injection.Scenario("label", "label_shift", "target", 1.0)
     out = workflows.monitor(snapshot, injection.inject(planted, s))

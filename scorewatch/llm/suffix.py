@@ -267,13 +267,16 @@ def repeated_runs(
     for gram in (*(g for g in grams if g < length), length):
         runs = staged(_runs(texts, length, gram), "runs")
         equal = runs.groupBy("seed", "ctx").agg(F.count("*").alias("n"), F.min(F.struct("uid", "base", "a", "b")).alias("one"))
-        copies = equal.where("n > 1").select("seed", "ctx")
+        several = equal.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1")
+        known = equal.join(several, "seed", "left").where("n > 1 or kinds is not null")
+        known = staged(known.select("seed", "ctx", "n", "kinds", "one.uid", "one.base", "one.a", "one.b"), "known")
+        # From a table, so that the join may split a run that very many texts share.
+        copies = known.where("n > 1").select("seed", "ctx")
         found = runs.join(copies, ["seed", "ctx"], "left_semi").select("uid", "a", "b")
         out = found if out is None else out.unionAll(found)
         if gram == length:
             break
-        several = equal.groupBy("seed").agg(F.count("*").alias("kinds")).where("kinds > 1")
-        wanted = equal.join(several, "seed").select("seed", "kinds", "n", "one.uid", "one.base", "one.a", "one.b")
+        wanted = known.where("kinds is not null").drop("ctx")
         cut = F.expr(f"substring(data, int(a - base + 1), int(b - a + {length}))")
         parts = staged(wanted.join(texts, ["uid", "base"]).select("seed", "kinds", "n", "uid", "a", cut.alias("data")), "parts")
         size, most = total(parts, F.coalesce(F.sum(F.length("data")), F.lit(0)), F.coalesce(F.max("kinds"), F.lit(0)))

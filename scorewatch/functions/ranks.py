@@ -38,12 +38,35 @@ def sketch(
     return found
 
 
-def cut_points(df: DataFrame, columns: Sequence[str], parts: int) -> dict[str, list[float]]:
-    """Sorted distinct cut points that split each column into about ``parts`` buckets."""
+#: About so many distinct values are sorted together.
+VALUES_PER_BUCKET = 100_000
+
+
+def bucketed(
+    counts: DataFrame, value: str, by: str | None = None, *, size: int = VALUES_PER_BUCKET, name: str = "bucket"
+) -> DataFrame:
+    """Add a bucket number that follows ``value`` (within ``by``), from a table of distinct values.
+
+    Cuts are quantiles of the distinct values, not of the rows behind them, so a value that nearly
+    all rows have is one value among others.  The number of buckets follows the number of distinct
+    values.  The cuts (a list per ``by``) are literals: every reader sees the same buckets.
+    """
+    key = F.lit("") if by is None else F.col(by)
+    keyed = counts.select(key.alias("_by"), F.col(value).cast("double").alias("_v"))
+    most = keyed.groupBy("_by").agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0] or 0
+    parts = max(16, -(-most // size))
     probs = [i / parts for i in range(1, parts)]
-    if not probs:
-        return {c: [] for c in columns}
-    return {c: sorted(set(q)) for c, (_, q) in sketch(df, columns, probs, 1_000).items()}
+    found = keyed.groupBy("_by").agg(F.percentile_approx("_v", probs, 20 * parts).alias("q")).collect()
+    cuts = [(r["_by"], sorted(set(r["q"] or []))) for r in found]
+    table = counts.sparkSession.createDataFrame(cuts, "_by string, _cuts array<double>")
+    number = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
+    # One row per feature.
+    return (
+        counts.withColumn("_by", key)
+        .join(F.broadcast(table), "_by")
+        .withColumn(name, F.coalesce(number, F.lit(-1)))
+        .drop("_by", "_cuts")
+    )
 
 
 def running_totals(

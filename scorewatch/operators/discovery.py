@@ -27,7 +27,7 @@ from scorewatch.functions.expr import (
     number,
     quoted,
 )
-from scorewatch.functions.ranks import cut_points, quantile_lists, quantiles, running_totals
+from scorewatch.functions.ranks import bucketed, quantile_lists, quantiles, running_totals
 from scorewatch.functions.stats import rule_metrics
 from scorewatch.operators.contract import require_columns
 from scorewatch.roles import (
@@ -38,6 +38,7 @@ from scorewatch.roles import (
     canonical_conditions,
     numeric_columns,
 )
+from scorewatch.sources.scratch import staged
 
 # The quantiles that serve as thresholds.
 THRESHOLD_PROBS = (0.1, 0.25, 0.5, 0.75, 0.9)
@@ -159,31 +160,22 @@ def tree_thresholds(
     min_leaf: int,
     *,
     balanced: bool = False,
-    parts: int = 64,
 ) -> dict[str, list[float]]:
     """Split points of a depth-2 Gini tree on every single feature, by exact search."""
     if not features:
         return {}
-    cuts = cut_points(df, features, max(2, parts // len(features)))
-    # Kept for three passes; a lost executor only means recounting its part.
-    counts = (
-        value_counts(df, features, target)
-        .withColumn("bucket", bucket_by_feature("feature", "v", cuts))
-        .persist()
-    )
-    try:
-        root = {
-            r["feature"]: r["threshold"]
-            for r in best_splits(counts, [], min_leaf, balanced=balanced).collect()
-        }
-        found = {f: [t] for f, t in root.items()}
-        if root:
-            side = bucket_by_feature("feature", "v", {f: [t] for f, t in root.items()}, closed="right")
-            children = counts.filter(F.col("feature").isin(list(root))).withColumn("node", side)
-            for r in best_splits(children, ["node"], min_leaf, balanced=balanced).collect():
-                found[r["feature"]].append(r["threshold"])
-    finally:
-        counts.unpersist()
+    # A table of distinct values, for the three passes that follow.
+    counts = bucketed(staged(value_counts(df, features, target), "values"), "v", "feature")
+    root = {
+        r["feature"]: r["threshold"]
+        for r in best_splits(counts, [], min_leaf, balanced=balanced).collect()
+    }
+    found = {f: [t] for f, t in root.items()}
+    if root:
+        side = bucket_by_feature("feature", "v", {f: [t] for f, t in root.items()}, closed="right")
+        children = counts.filter(F.col("feature").isin(list(root))).withColumn("node", side)
+        for r in best_splits(children, ["node"], min_leaf, balanced=balanced).collect():
+            found[r["feature"]].append(r["threshold"])
     return {f: sorted(t) for f, t in found.items()}
 
 

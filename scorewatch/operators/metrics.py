@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from scorewatch.functions.expr import (
     batches,
-    bucket_of,
     explode_structs,
     finite,
     is_finite,
@@ -17,9 +16,10 @@ from scorewatch.functions.expr import (
     rule_sql,
     union_all,
 )
-from scorewatch.functions.ranks import cut_points, running_totals
+from scorewatch.functions.ranks import bucketed, running_totals
 from scorewatch.functions.stats import ks_p_value, rule_metrics
 from scorewatch.roles import ContractError, Rule
+from scorewatch.sources.scratch import staged
 
 HIGHER_IS_BAD, LOWER_IS_BAD = "higher_is_bad", "lower_is_bad"
 NO_SEPARATION = "single_class_or_no_finite_scores"
@@ -84,7 +84,6 @@ def score_separation(
     target: str,
     *,
     direction: str = HIGHER_IS_BAD,
-    parts: int = 64,
 ) -> DataFrame:
     """Two-sample KS of a score between bads and goods; one row.
 
@@ -111,14 +110,15 @@ def score_separation(
             *none, *literals, F.lit(NO_SEPARATION).alias("limitation"),
             F.lit(None).cast("double").alias("p_value"),
         )
-    cuts = cut_points(rows, ["_s"], parts)["_s"]
-    per_score = (
+    per_score = staged(
         rows.filter(F.col("_s").isNotNull())
         .groupBy("_s")
-        .agg(F.count_if("_bad").alias("bad"), F.count_if(~F.col("_bad")).alias("good"))
-        .withColumn("_b", bucket_of("_s", cuts))
+        .agg(F.count_if("_bad").alias("bad"), F.count_if(~F.col("_bad")).alias("good")),
+        "scores",
+    )
+    cumulative = running_totals(
+        bucketed(per_score, "_s"), bucket="bucket", order=["_s"], sums=["bad", "good"]
     )
-    cumulative = running_totals(per_score, bucket="_b", order=["_s"], sums=["bad", "good"])
     gap = F.col("cum_good") / F.lit(n_good) - F.col("cum_bad") / F.lit(n_bad)
     best = cumulative.select(
         F.struct(F.abs(gap).alias("d"), (-F.col("_s")).alias("s"), gap.alias("g")).alias("x")

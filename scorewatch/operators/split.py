@@ -13,15 +13,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorewatch.functions.expr import bucket_of, day_of
-from scorewatch.functions.ranks import cut_points, running_totals
+from scorewatch.functions.expr import day_of
+from scorewatch.functions.ranks import bucketed, running_totals
 from scorewatch.roles import SEED
+from scorewatch.sources.scratch import staged
 
 TRAIN, TEST, HOLDOUT = "train", "test", "holdout"
 FALLBACK_LIMITATION = (
     "Institution x target stratification unavailable; fell back to target-only stratification"
 )
-HASH_BUCKETS = 4096
+HASH_BUCKETS, HASH_LEVELS = 4096, 2
 _COPY_CHUNK = 1000
 
 
@@ -123,8 +124,8 @@ def period_split(
 ) -> DataFrame:
     """Add ``reference`` / ``current``: by dates, else the first 70% along ``order_by``.
 
-    Spark rows have no order, so the fallback needs a numeric order column;
-    rows with equal order values stay on one side.
+    Spark rows have no order, so the fallback needs a numeric order column; of the
+    rows that share the value at the boundary, the row hash decides which come first.
     """
     end = period_boundary(df, snapshot) if time_enabled else None
     if end is not None:
@@ -135,20 +136,26 @@ def period_split(
         raise ValueError("a split without two dates needs order_by")
     n = df.count()
     keep = max(1, min(n - 1, n * 7 // 10))
-    key = df.select(F.col(order_by).cast("double").alias("_k"))
-    cuts = cut_points(key, ["_k"], 64)["_k"]
-    counted = key.groupBy("_k").agg(F.count("*").alias("n"))
+    place = F.col(order_by).cast("double")
+    counted = staged(df.groupBy(place.alias("_k")).agg(F.count("*").alias("n")), "order")
     ranked = running_totals(
-        counted.withColumn("_b", F.coalesce(bucket_of("_k", cuts), F.lit(-1))),
-        bucket="_b",
-        order=["_k"],
-        sums=["n"],
-    )
-    last = ranked.filter(F.col("cum_n") <= keep).agg(F.max("_k")).first()[0]
-    inside = F.lit(False) if last is None else F.col(order_by).cast("double") <= last
-    return df.withColumn(
-        name, F.when(F.coalesce(inside, F.lit(True)), "reference").otherwise("current")
+        bucketed(counted.filter(F.col("_k").isNotNull()), "_k"), bucket="bucket", order=["_k"], sums=["n"]
     )
+    missing = counted.filter(F.col("_k").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # Rows without an order value come first, as nulls do.
+    edge = ranked.filter(F.col("cum_n") + missing > keep).agg(F.min(F.struct("_k", "cum_n", "n")).alias("e")).first()["e"]
+    if edge is None or missing >= keep:
+        at, need = F.col(order_by).cast("double").isNull(), keep
+        before = F.lit(False)
+    else:
+        at, need = place == F.lit(edge["_k"]), keep - missing - (edge["cum_n"] - edge["n"])
+        before = place.isNull() | (place < F.lit(edge["_k"]))
+    at, before = F.coalesce(at, F.lit(False)), F.coalesce(before, F.lit(False))
+    rest = df.filter(~at).withColumn(name, F.when(before, "reference").otherwise("current"))
+    ties = df.filter(at).withColumn("_one", F.lit(1))
+    quota = df.sparkSession.createDataFrame([(1, need)], "_one int, quota long")
+    dealt = take_exact(ties, ["_one"], quota, name=name, inside="reference", outside="current")
+    return rest.unionByName(dealt.drop("_one"))
 
 
 # --- by stratum -------------------------------------------------------------
@@ -244,54 +251,40 @@ def take_exact(
     """Label exactly ``quota`` rows of every stratum ``inside``, chosen by row hash.
 
     Counting rows per hash bucket finds the bucket where the quota is used up;
-    rows of other buckets are labelled in place.  Only the boundary bucket
-    (1/4096 of a stratum) is ranked, and there equal rows are counted, not
-    listed, so a large group of copies is one row until it is written out again.
+    rows of other buckets are labelled in place.  The boundary bucket is cut once
+    more by further bits of the hash, so what is ranked is one of 16 million
+    parts of a stratum, and there equal rows are counted, not listed: a large
+    group of copies is one row until it is written out again.
     """
     columns = df.columns
     h = F.xxhash64(F.lit(seed), *columns)
-    hashed = df.withColumns({"_h": h, "_b": F.pmod(h, F.lit(HASH_BUCKETS))})
-    order = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    counts = (
-        hashed.groupBy(*strata, "_b")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_cum", F.sum("_n").over(order))
+    names = [f"_k_{s}" for s in strata]
+    open_rows = df.withColumn("_h", h)
+    wanted = quotas.select(
+        *[F.col(s).alias(k) for s, k in zip(strata, names)], F.col("quota").cast("long").alias("_q")
     )
-    wanted = quotas.select(*[F.col(s).alias(f"_k_{s}") for s in strata], F.col("quota").alias("_q"))
-
-    def same(left: DataFrame) -> Column:
-        condition = F.lit(True)
-        for s in strata:
-            condition = condition & left[s].eqNullSafe(F.col(f"_k_{s}"))
-        return condition
-
-    border = (
-        counts.join(wanted, same(counts))
-        .groupBy(*[f"_k_{s}" for s in strata], "_q")
-        .agg(
-            F.min(F.when(F.col("_cum") > F.col("_q"), F.col("_b"))).alias("_border"),
-            F.coalesce(F.max(F.when(F.col("_cum") <= F.col("_q"), F.col("_cum"))), F.lit(0)).alias(
-                "_before"
-            ),
+    settled = []
+    for level in range(HASH_LEVELS):
+        part = F.shiftrightunsigned("_h", 12 * level).bitwiseAND(F.lit(HASH_BUCKETS - 1))
+        hashed = open_rows.withColumn("_b", part)
+        border = _border(hashed, strata, wanted)
+        placed = hashed.join(border, _same(hashed, strata))
+        settled.append(
+            placed.filter(F.col("_b") != F.col("_border")).select(
+                *columns, F.when(F.col("_b") < F.col("_border"), inside).otherwise(outside).alias(name)
+            )
         )
-        .withColumn("_border", F.coalesce("_border", F.lit(HASH_BUCKETS)))
-    )
-    placed = hashed.join(border, same(hashed))
-    settled = placed.filter(F.col("_b") != F.col("_border")).select(
-        *columns, F.when(F.col("_b") < F.col("_border"), inside).otherwise(outside).alias(name)
-    )
+        open_rows = placed.filter(F.col("_b") == F.col("_border")).select(*columns, "_h")
+        wanted = border.select(*names, (F.col("_q") - F.col("_before")).alias("_q"))
     rank = W.partitionBy(*strata).orderBy("_h", *columns).rowsBetween(W.unboundedPreceding, 0)
-    need = F.col("_q") - F.col("_before")
     kept = (
-        placed.filter(F.col("_b") == F.col("_border"))
-        .groupBy(*columns, "_h", "_q", "_before")
+        open_rows.join(wanted, _same(open_rows, strata))
+        .groupBy(*columns, "_h", "_q")
         .agg(F.count("*").alias("_m"))
         .withColumn("_cum", F.sum("_m").over(rank))
         .withColumn(
             "_in",
-            F.greatest(
-                F.lit(0), F.least(F.col("_m"), need - (F.col("_cum") - F.col("_m")))
-            ),
+            F.greatest(F.lit(0), F.least(F.col("_m"), F.col("_q") - (F.col("_cum") - F.col("_m")))),
         )
         .select(
             *columns,
@@ -304,7 +297,38 @@ def take_exact(
         )
         .select(*columns, "_s.*")
     )
-    return settled.unionByName(repeat_rows(kept, "_m"))
+    out = repeat_rows(kept, "_m")
+    for more in settled:
+        out = out.unionByName(more)
+    return out
+
+
+def _same(left: DataFrame, strata: Sequence[str]) -> Column:
+    condition = F.lit(True)
+    for s in strata:
+        condition = condition & left[s].eqNullSafe(F.col(f"_k_{s}"))
+    return condition
+
+
+def _border(hashed: DataFrame, strata: Sequence[str], wanted: DataFrame) -> DataFrame:
+    """Per stratum the bucket that the quota ends in, and the rows in the buckets before it."""
+    order = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
+    counts = (
+        hashed.groupBy(*strata, "_b")
+        .agg(F.count("*").alias("_n"))
+        .withColumn("_cum", F.sum("_n").over(order))
+    )
+    return (
+        counts.join(wanted, _same(counts, strata))
+        .groupBy(*[f"_k_{s}" for s in strata], "_q")
+        .agg(
+            F.min(F.when(F.col("_cum") > F.col("_q"), F.col("_b"))).alias("_border"),
+            F.coalesce(F.max(F.when(F.col("_cum") <= F.col("_q"), F.col("_cum"))), F.lit(0)).alias(
+                "_before"
+            ),
+        )
+        .withColumn("_border", F.coalesce("_border", F.lit(HASH_BUCKETS)))
+    )
 
 
 def repeat_rows(df: DataFrame, copies: str) -> DataFrame:

@@ -444,6 +444,20 @@ def _(spark, sf):
     )
 
 
+@query(
+    "c5_hot_order_split",
+    """WITH r AS (SELECT count(*) AS n FROM lineitem), k AS (SELECT n, greatest(1, least(n - 1, n * 7 // 10)) AS keep FROM r)
+    SELECT 'reference' AS period, keep AS row_count FROM k UNION ALL SELECT 'current', n - keep FROM k""",
+)
+def _(spark, sf):
+    # Nearly all rows share the lowest order value.
+    rows = table(spark, sf, "lineitem").withColumn(
+        "place", F.when(F.col("l_linenumber") <= 6, 0).otherwise(F.col("l_linenumber"))
+    )
+    found = split.period_split(rows, "l_shipdate", time_enabled=False, order_by="place")
+    return found.groupBy("period").agg(F.count("*").alias("row_count"))
+
+
 @query(
     "c6_segment_subset",
     f"""WITH {RISK_SQL} SELECT target, count(*) AS row_count, {r6("sum(ord_total)")} AS total

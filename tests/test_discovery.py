@@ -90,7 +90,7 @@ def test_tree_thresholds_against_brute_force(planted):
     small = planted.limit(600)
     pdf = small.select("f_a", "f_c", "target").toPandas()
     frame = planted.sparkSession.createDataFrame(pdf)
-    got = discovery.tree_thresholds(frame, ["f_a", "f_c"], "target", 30, parts=8)
+    got = discovery.tree_thresholds(frame, ["f_a", "f_c"], "target", 30)
     for f in ("f_a", "f_c"):
         x = pdf[f].to_numpy().astype(np.float32).astype(np.float64)
         assert got[f] == pytest.approx(brute_tree(x, pdf["target"].to_numpy(), 30))

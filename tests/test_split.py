@@ -100,3 +100,8 @@ def test_period_split(spark):
     assert counts(parts, "period") == {("reference",): 3, ("current",): 2}
     ordered = split.period_split(spark.range(10).toDF("i"), "i", time_enabled=False, order_by="i")
     assert counts(ordered, "period") == {("reference",): 7, ("current",): 3}
+    hot = spark.createDataFrame([(0, i) for i in range(90)] + [(None, 1)] * 5 + [(i, 0) for i in range(1, 6)], "k int, v int")
+    found = split.period_split(hot, "k", time_enabled=False, order_by="k")
+    assert counts(found, "period") == {("reference",): 70, ("current",): 30}
+    assert counts(found.filter("k IS NULL"), "period") == {("reference",): 5}
+    assert counts(found.filter("k > 0"), "period") == {("current",): 5}

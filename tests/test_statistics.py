@@ -111,7 +111,7 @@ def test_score_separation_with_many_values(spark):
     grid = np.unique(s)
     bad, good = np.sort(s[t == 1]), np.sort(s[t == 0])
     gap = np.searchsorted(good, grid, "right") / len(good) - np.searchsorted(bad, grid, "right") / len(bad)
-    r = score_separation(df, "s", "t", parts=7).first()
+    r = score_separation(df, "s", "t").first()
     assert r.statistic == pytest.approx(np.abs(gap).max())
     assert r.signed_statistic == pytest.approx(gap[np.argmax(np.abs(gap))])
 
@@ -184,3 +184,16 @@ def test_feature_names_are_never_cut(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 6.0)], f"{a} double, {b} double")
     rows = long_bins(df, {a: [1.5], b: [5.5]}).groupBy("feature", "bin").count().collect()
     assert {(r["feature"], r["bin"]) for r in rows} == {(x, k) for x in (a, b) for k in (0, 1)}
+
+
+def test_buckets_follow_distinct_values(spark):
+    from scorewatch.functions.ranks import bucketed
+
+    rows = [(f"f{k}", float(v)) for k in range(200) for v in range(40)]
+    df = spark.createDataFrame(rows, "feature string, v double")
+    found = bucketed(df, "v", "feature", size=10).groupBy("feature", "bucket").count().collect()
+    assert max(r["count"] for r in found) <= 4 and len({r["feature"] for r in found}) == 200
+    # 99 rows of 100 hold one value: it is one value among the others.
+    zeros = spark.createDataFrame([(0.0,)] * 9900 + [(float(v),) for v in range(1, 101)], "v double")
+    counts = bucketed(zeros.groupBy("v").count(), "v", size=10)
+    assert max(r["n"] for r in counts.groupBy("bucket").agg(F.count("*").alias("n")).collect()) <= 10

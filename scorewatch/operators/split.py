@@ -163,7 +163,11 @@ def period_split(
 
 def class_quotas(df: DataFrame, target: str) -> DataFrame:
     """Train rows per class: floor(0.7 n) shared out by largest remainder."""
-    counts = df.groupBy(F.col(target).alias("target")).agg(F.count("*").alias("n"))
+    return _class_quotas(df.groupBy(F.col(target).alias("target")).agg(F.count("*").alias("n")))
+
+
+def _class_quotas(counts: DataFrame) -> DataFrame:
+    """The same from the rows ``n`` of every ``target``."""
     all_classes = W.partitionBy()
     total = F.sum("n").over(all_classes)
     wanted = F.floor(F.lit(0.7) * total)
@@ -183,10 +187,13 @@ def stratum_quotas(df: DataFrame, target: str, segment: str) -> DataFrame:
     and the first few strata in label order one more.  ``feasible`` is false
     where the whole split must fall back to classes only.
     """
-    classes = class_quotas(df, target)
-    strata = df.groupBy(F.col(segment).alias("segment"), F.col(target).alias("target")).agg(
-        F.count("*").alias("size")
-    )
+    names = [F.col(segment).alias("segment"), F.col(target).alias("target")]
+    return _stratum_quotas(df.groupBy(*names).agg(F.count("*").alias("size")))
+
+
+def _stratum_quotas(strata: DataFrame) -> DataFrame:
+    """The same from the rows ``size`` of every ``segment`` and ``target``."""
+    classes = _class_quotas(strata.groupBy("target").agg(F.sum("size").alias("n")))
     label = F.coalesce(F.concat(F.lit('"'), F.col("segment").cast("string"), F.lit('"')), F.lit("null"))
     by_cap = W.partitionBy("target").orderBy("cap", "label")
     whole = W.partitionBy("target")
@@ -238,6 +245,10 @@ def stratum_quotas(df: DataFrame, target: str, segment: str) -> DataFrame:
     ).select("segment", "target", "size", "quota", (F.col("_ok") & F.col("_big")).alias("feasible"))
 
 
+def _hash_part(level: int) -> Column:
+    return F.shiftrightunsigned("_h", 12 * level).bitwiseAND(F.lit(HASH_BUCKETS - 1))
+
+
 def take_exact(
     df: DataFrame,
     strata: Sequence[str],
@@ -256,35 +267,52 @@ def take_exact(
     parts of a stratum, and there equal rows are counted, not listed: a large
     group of copies is one row until it is written out again.
     """
-    columns = df.columns
-    h = F.xxhash64(F.lit(seed), *columns)
-    names = [f"_k_{s}" for s in strata]
-    open_rows = df.withColumn("_h", h)
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *df.columns))
+    counts = hashed.groupBy(*strata, _hash_part(0).alias("_b")).agg(F.count("*").alias("_n"))
+    return _take(hashed, strata, counts, quotas, name, inside, outside)
+
+
+def _take(
+    hashed: DataFrame, strata: Sequence[str], counts: DataFrame, quotas: DataFrame, name: str, inside: str, outside: str
+) -> DataFrame:
+    """``take_exact`` on rows with their hash ``_h``, from the rows ``_n`` of every first bucket ``_b``."""
+    columns = [c for c in hashed.columns if c != "_h"]
+    keys = [f"_k_{s}" for s in strata]
     wanted = quotas.select(
-        *[F.col(s).alias(k) for s, k in zip(strata, names)], F.col("quota").cast("long").alias("_q")
+        *[F.col(s).alias(k) for s, k in zip(strata, keys)], F.col("quota").cast("long").alias("_q")
     )
-    settled = []
-    for level in range(HASH_LEVELS):
-        part = F.shiftrightunsigned("_h", 12 * level).bitwiseAND(F.lit(HASH_BUCKETS - 1))
-        hashed = open_rows.withColumn("_b", part)
-        border = _border(hashed, strata, wanted)
-        placed = hashed.join(border, _same(hashed, strata))
-        settled.append(
-            placed.filter(F.col("_b") != F.col("_border")).select(
-                *columns, F.when(F.col("_b") < F.col("_border"), inside).otherwise(outside).alias(name)
-            )
-        )
-        open_rows = placed.filter(F.col("_b") == F.col("_border")).select(*columns, "_h")
-        wanted = border.select(*names, (F.col("_q") - F.col("_before")).alias("_q"))
+    first = staged(_border(counts, strata, wanted), "border")
+    edge = hashed.join(first, _same(hashed, strata)).filter(_hash_part(0) == F.col("_border"))
+    again = edge.groupBy(*strata, _hash_part(1).alias("_b")).agg(F.count("*").alias("_n"))
+    rest = first.select(*keys, (F.col("_q") - F.col("_before")).alias("_q"))
+    second = _border(again, strata, rest).select(
+        *[F.col(k).alias(f"_2{k}") for k in keys],
+        F.col("_border").alias("_border2"),
+        (F.col("_q") - F.col("_before")).alias("_left"),
+    )
+    both = F.lit(True)
+    for k in keys:
+        both = both & F.col(k).eqNullSafe(F.col(f"_2{k}"))
+    marks = staged(
+        first.join(second, both, "left").select(*keys, "_border", "_border2", "_left"), "marks"
+    )
+    placed = hashed.join(marks, _same(hashed, strata)).withColumn(
+        "_side",
+        F.when(_hash_part(0) < F.col("_border"), inside)
+        .when(_hash_part(0) > F.col("_border"), outside)
+        .when(_hash_part(1) < F.col("_border2"), inside)
+        .when(_hash_part(1) > F.col("_border2"), outside),
+    )
+    settled = placed.filter(F.col("_side").isNotNull()).select(*columns, F.col("_side").alias(name))
     rank = W.partitionBy(*strata).orderBy("_h", *columns).rowsBetween(W.unboundedPreceding, 0)
     kept = (
-        open_rows.join(wanted, _same(open_rows, strata))
-        .groupBy(*columns, "_h", "_q")
+        placed.filter(F.col("_side").isNull())
+        .groupBy(*columns, "_h", "_left")
         .agg(F.count("*").alias("_m"))
         .withColumn("_cum", F.sum("_m").over(rank))
         .withColumn(
             "_in",
-            F.greatest(F.lit(0), F.least(F.col("_m"), F.col("_q") - (F.col("_cum") - F.col("_m")))),
+            F.greatest(F.lit(0), F.least(F.col("_m"), F.col("_left") - (F.col("_cum") - F.col("_m")))),
         )
         .select(
             *columns,
@@ -297,10 +325,7 @@ def take_exact(
         )
         .select(*columns, "_s.*")
     )
-    out = repeat_rows(kept, "_m")
-    for more in settled:
-        out = out.unionByName(more)
-    return out
+    return settled.unionByName(repeat_rows(kept, "_m"))
 
 
 def _same(left: DataFrame, strata: Sequence[str]) -> Column:
@@ -310,16 +335,12 @@ def _same(left: DataFrame, strata: Sequence[str]) -> Column:
     return condition
 
 
-def _border(hashed: DataFrame, strata: Sequence[str], wanted: DataFrame) -> DataFrame:
+def _border(counts: DataFrame, strata: Sequence[str], wanted: DataFrame) -> DataFrame:
     """Per stratum the bucket that the quota ends in, and the rows in the buckets before it."""
     order = W.partitionBy(*strata).orderBy("_b").rowsBetween(W.unboundedPreceding, 0)
-    counts = (
-        hashed.groupBy(*strata, "_b")
-        .agg(F.count("*").alias("_n"))
-        .withColumn("_cum", F.sum("_n").over(order))
-    )
+    running = counts.withColumn("_cum", F.sum("_n").over(order))
     return (
-        counts.join(wanted, _same(counts, strata))
+        running.join(wanted, _same(running, strata))
         .groupBy(*[f"_k_{s}" for s in strata], "_q")
         .agg(
             F.min(F.when(F.col("_cum") > F.col("_q"), F.col("_b"))).alias("_border"),
@@ -350,12 +371,22 @@ def stratified_split(
     Falls back to classes only, with a limitation text, when some stratum has a
     single row or the class quota cannot be dealt out.
     """
-    quotas = stratum_quotas(df, target, segment)
+    hashed = df.withColumn("_h", F.xxhash64(F.lit(seed), *df.columns))
+    # One count of the rows gives the strata, the classes and the hash buckets.
+    counted = staged(
+        hashed.groupBy(segment, target, _hash_part(0).alias("_b")).agg(F.count("*").alias("_n")), "buckets"
+    )
+    strata = counted.groupBy(F.col(segment).alias("segment"), F.col(target).alias("target")).agg(
+        F.sum("_n").alias("size")
+    )
+    quotas = staged(_stratum_quotas(strata), "quotas")
     if quotas.agg(F.min(F.col("feasible").cast("int"))).first()[0] == 1:
         named = quotas.select(F.col("segment").alias(segment), F.col("target").alias(target), "quota")
-        return take_exact(df, [segment, target], named, seed=seed), []
-    named = class_quotas(df, target).select(F.col("target").alias(target), "quota")
-    return take_exact(df, [target], named, seed=seed), [FALLBACK_LIMITATION]
+        return _take(hashed, [segment, target], counted, named, "partition", TRAIN, TEST), []
+    classes = counted.groupBy(target, "_b").agg(F.sum("_n").alias("_n"))
+    sizes = counted.groupBy(F.col(target).alias("target")).agg(F.sum("_n").alias("n"))
+    named = _class_quotas(sizes).select(F.col("target").alias(target), "quota")
+    return _take(hashed, [target], classes, named, "partition", TRAIN, TEST), [FALLBACK_LIMITATION]
 
 
 def discovery_sample(df: DataFrame, rows: int, *, seed: int = SEED) -> DataFrame:

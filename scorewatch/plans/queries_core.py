@@ -32,6 +32,7 @@ from scorewatch.plans.views import (
 )
 from scorewatch.roles import Condition, Features, Rule
 from scorewatch.sources.tables import (
+    portable_fingerprint,
     read_table,
     rules_from_json,
     rules_to_json,
@@ -158,6 +159,15 @@ def _(spark, sf):
     return table_fingerprint(risk(spark, sf))
 
 
+@query(
+    "a7_portable_fingerprint",
+    """SELECT count(*) AS row_count, CAST(sum(CAST('0x' || substring(sha256(concat_ws('|', CAST(event_id AS VARCHAR),
+    CAST(user_id AS VARCHAR), event_type)), 1, 12) AS BIGINT)) AS VARCHAR) AS digest_sum FROM events""",
+)
+def _(spark, sf):
+    return portable_fingerprint(table(spark, sf, "events").select("event_id", "user_id", "event_type"))
+
+
 # --- B. contract and profile ---------------------------------------------------
 
 
@@ -404,6 +414,18 @@ def _(spark, sf):
     return split.discovery_sample(risk(spark, sf), 5_000)
 
 
+@query(
+    "c4_sample_membership",
+    f"""WITH {RISK_SQL} SELECT least(5000, count(*)) AS sampled, least(5000, count(*)) AS members FROM risk""",
+)
+def _(spark, sf):
+    rows = risk(spark, sf)
+    drawn = split.discovery_sample(rows, 5_000)
+    keys = ["entity_id", "line_no", "part_id", "supplier_id"]
+    both = drawn.join(rows.select(*keys).distinct().withColumn("known", F.lit(1)), keys, "left")
+    return both.agg(F.count("*").alias("sampled"), F.count("known").alias("members"))
+
+
 PERIOD_SQL = (
     RISK_SQL
     + """, pd AS (SELECT DISTINCT snapshot_date AS day FROM risk),

@@ -130,7 +130,7 @@ def _(spark, sf):
 # hyphens at the end.
 TERMS_SQL = r"""runs AS (SELECT {key}, unnest(regexp_extract_all(replace(lower(text), 'ß', 'ss'), '[\p{{L}}\p{{N}}_-]+')) AS run FROM {src}),
  cut AS (SELECT {key}, regexp_replace(regexp_extract(run, '(?:^|-)(\p{{L}}[\p{{L}}\p{{N}}_-]*)', 1), '-+$', '') AS term FROM runs),
- {name} AS (SELECT {key}, term, count(*) AS tf FROM cut WHERE length(term) >= 2 GROUP BY ALL)"""
+ {name} AS MATERIALIZED (SELECT {key}, term, count(*) AS tf FROM cut WHERE length(term) >= 2 GROUP BY ALL)"""
 
 
 @query(
@@ -145,7 +145,7 @@ def corpus(spark, sf):
     return retrieval.citations(table(spark, sf, "documents"), scope="lang")
 
 
-CORPUS_SQL = """corpus AS (SELECT scope, text, content_hash, sha256('document' || chr(0) || content_hash) AS document_id,
+CORPUS_SQL = """corpus AS MATERIALIZED (SELECT scope, text, content_hash, sha256('document' || chr(0) || content_hash) AS document_id,
    sha256('citation' || chr(0) || scope || chr(0) || sha256('document' || chr(0) || content_hash)) AS citation_id
    FROM (SELECT DISTINCT lang AS scope, text, sha256(text) AS content_hash FROM documents))"""
 
@@ -158,8 +158,8 @@ def _(spark, sf):
 IDF_SQL = (
     CORPUS_SQL + ", " + TERMS_SQL.format(key="scope, citation_id", src="corpus", name="post")
     + """, sizes AS (SELECT scope, count(*) AS n FROM corpus GROUP BY 1),
- idf AS (SELECT scope, term, ln((1 + n)::DOUBLE / (1 + count(*))) + 1 AS idf FROM post JOIN sizes USING (scope) GROUP BY scope, term, n),
- norms AS (SELECT scope, citation_id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM post JOIN idf USING (scope, term) GROUP BY 1, 2)"""
+ idf AS MATERIALIZED (SELECT scope, term, ln((1 + n)::DOUBLE / (1 + count(*))) + 1 AS idf FROM post JOIN sizes USING (scope) GROUP BY scope, term, n),
+ norms AS MATERIALIZED (SELECT scope, citation_id, sqrt(sum(tf * idf * tf * idf)) AS norm FROM post JOIN idf USING (scope, term) GROUP BY 1, 2)"""
 )
 
 

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from scorewatch.llm.common import identity
+from scorewatch.llm.common import identity, staged
 
 WINDOW = 16
 GEAR = np.random.default_rng(20).integers(0, 1 << 16, 256, dtype=np.uint16)
@@ -121,9 +121,11 @@ def chunks(docs: DataFrame, average: int = 32) -> DataFrame:
 def repeats(docs: DataFrame, average: int = 32) -> DataFrame:
     """Per document the chunks that are also elsewhere: `oid`, `found` of (`start`, `size`, `first`)."""
     all_chunks = chunks(docs, average)
-    shared = all_chunks.groupBy("digest").agg(
+    counted = all_chunks.groupBy("digest").agg(
         F.min("oid").alias("low"), F.max("oid").alias("high"), F.max("again").alias("twice")
-    ).where("low < high or twice").select("digest", "low")
+    )
+    # From a table, so that the join may split a digest that very many documents have.
+    shared = staged(counted.where("low < high or twice").select("digest", "low"), "shared")
     met = all_chunks.join(shared, "digest").select(
         "oid", F.struct("start", "size", ((F.col("oid") == F.col("low")) & ~F.col("again")).alias("first")).alias("c")
     )

@@ -324,7 +324,7 @@ def test_unigram_vocabulary_keeps_the_best_sum(codec):
     v = object.__new__(pieces.Vocabulary)
     v.merges, v.texts, v.scores = False, ["a", "b", "ab", "ba", "aba"], [-1.0, -1.0, -1.5, -1.2, -3.0]
     v.ids, v.longest, v.allowed = {t: k for k, t in enumerate(v.texts)}, 3, {}
-    v.lengths = {"a": (3, 2, 1), "b": (2, 1)}
+    v.lengths = pieces.ending_lengths(v.ids)
     r = random.Random(1)
     for _ in range(100):
         text = "".join(r.choices("ab", k=r.randint(1, 60)))

@@ -65,6 +65,17 @@ class Encoder:
         return b"".join([memo[w] for w in words])
 
 
+_READY: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """The encoder of a vocabulary; a worker serves many tasks and keeps it."""
+    if path not in _READY:
+        _READY.clear()
+        _READY[path] = Encoder(path)
+    return _READY[path]
+
+
 def vocabulary_path(name: str) -> str:
     """A path as it is; a bare name is looked up among the installed public vocabularies."""
     if "/" in name:
@@ -82,7 +93,7 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = Encoder(vocabulary_path(vocabulary)), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = encoder_of(vocabulary_path(vocabulary)), np.array([end_id], dtype="<u4").tobytes()
         for batch in batches:
             out: list[list] = [[] for _ in names]
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):

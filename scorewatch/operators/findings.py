@@ -34,6 +34,7 @@ from scorewatch.operators.contract import require_columns
 from scorewatch.operators.metrics import column_rates
 from scorewatch.operators.split import period_split
 from scorewatch.roles import Roles, numeric_columns
+from scorewatch.sources.scratch import staged
 
 # Finding kinds and severities.
 DATA_QUALITY = "data_quality"
@@ -395,11 +396,15 @@ def segment_findings(
     """Target rate, lift and share of every segment that is large enough, tokenised."""
     if min_group_size < 1:
         raise ValueError("min_group_size must be positive")
-    everything = W.partitionBy()
+    counted = staged(
+        df.groupBy(segment).agg(F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("pos")),
+        "segments",
+    )
+    whole = counted.agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).first()
     groups = (
-        df.groupBy(segment)
-        .agg(F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("pos"))
-        .withColumns({"total": F.sum("n").over(everything), "bad": F.sum("pos").over(everything)})
+        counted.withColumns(
+            {"total": F.lit(whole["n"]).cast("long"), "bad": F.lit(whole["pos"]).cast("long")}
+        )
         .filter(F.col("n") >= min_group_size)
         .withColumn("rate", F.col("pos") / F.col("n"))
         .withColumn("lift", ratio(F.col("rate"), F.col("bad") / F.col("total")))

@@ -17,6 +17,7 @@ from scorewatch.operators.contract import require_columns
 from scorewatch.operators.monitoring import Snapshot, detect, root_causes
 from scorewatch.operators.split import repeat_rows, take_exact
 from scorewatch.roles import SEED, Condition
+from scorewatch.sources.scratch import staged
 
 # Per drift type the alert it must raise and the dimension of its cause.
 EXPECTED = {
@@ -27,7 +28,7 @@ EXPECTED = {
     "schema": ("schema", "schema"),
     "rule_decay": ("rule_decay", "rule"),
 }
-ROWS_PER_DRAW = 50_000
+ROWS_PER_DRAW, DRAW_GROUPS = 50_000, 1024
 
 
 @dataclass(frozen=True)
@@ -99,8 +100,9 @@ def select_rows(df: DataFrame, s: Scenario, seed: int = SEED) -> DataFrame:
 def oversample(df: DataFrame, s: Scenario, seed: int = SEED) -> DataFrame:
     """Append max(1, round(N * magnitude)) candidate rows drawn with replacement.
 
-    Equal rows are one weighted row.  The driver deals the draws out to hash
-    buckets of about 50,000 rows, and every bucket deals its share to its rows.
+    Equal rows are one weighted row.  Draws are dealt out in three steps: to at most
+    ``DRAW_GROUPS`` groups of hash buckets on the driver, inside each group to its buckets of about
+    50,000 rows, and inside each bucket to its rows.
     """
     counted = df.agg(
         F.count("*").alias("n"), F.count_if(_candidate(df, s)).alias("candidates")
@@ -116,14 +118,24 @@ def oversample(df: DataFrame, s: Scenario, seed: int = SEED) -> DataFrame:
         .agg(F.count("*").alias("_m"))
         .withColumn("_b", F.pmod(F.xxhash64(F.lit(seed), *columns), F.lit(buckets)))
     )
-    sizes = weighted.groupBy("_b").agg(F.sum("_m").alias("m")).orderBy("_b").collect()
+    group = F.pmod(F.col("_b"), F.lit(min(buckets, DRAW_GROUPS))).alias("_g")
+    sizes = staged(weighted.groupBy("_b").agg(F.sum("_m").alias("m")).select("_b", "m", group), "draws")
+    tops = sizes.groupBy("_g").agg(F.sum("m").alias("m")).orderBy("_g").collect()
     rng = np.random.default_rng(seed)
-    weight = np.array([r["m"] for r in sizes], dtype=np.float64)
+    weight = np.array([r["m"] for r in tops], dtype=np.float64)
     share = rng.multinomial(draws, weight / weight.sum())
-    plan = df.sparkSession.createDataFrame(
-        [(int(r["_b"]), int(k)) for r, k in zip(sizes, share)], "_b long, _k long"
+    groups = df.sparkSession.createDataFrame(
+        [(int(r["_g"]), int(k)) for r, k in zip(tops, share)], "_g long, _k long"
     )
 
+    def share_out(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        order = pdf.sort_values("_b")
+        m = order["m"].to_numpy(dtype=np.float64)
+        local = np.random.default_rng([seed, 1, int(key[0])])
+        return order[["_b"]].assign(_k=local.multinomial(int(order["_k"].iloc[0]), m / m.sum()))
+
+    plan = sizes.join(groups, "_g").groupBy("_g").applyInPandas(share_out, "_b long, _k long")
+
     def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         order = pdf.sort_values("_h", kind="stable")
         m = order["_m"].to_numpy(dtype=np.float64)

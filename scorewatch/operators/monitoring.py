@@ -17,6 +17,7 @@ from scorewatch.functions.tokens import short_hash
 from scorewatch.operators.contract import require_columns
 from scorewatch.operators.metrics import column_rates
 from scorewatch.roles import ContractError, Roles, numeric_columns
+from scorewatch.sources.scratch import staged
 
 # Quartiles of the reference, alert thresholds and alert types.
 QUARTILES = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -487,13 +488,10 @@ def population_alerts(snapshot: Snapshot, current: DataFrame) -> DataFrame:
     """Share changes of segments; new and vanished segments count when they are large."""
     minimum = snapshot.min_group_size
     label = F.coalesce(F.col(snapshot.roles.segment).cast("string"), F.lit("None"))
-    now = current.groupBy(label.alias("segment")).agg(F.count("*").alias("now"))
-    now = now.withColumn("now_total", F.sum("now").over(W.partitionBy()))
+    now = staged(current.groupBy(label.alias("segment")).agg(F.count("*").alias("now")), "segments")
+    total = now.agg(F.sum("now")).first()[0]
     joined = now.join(snapshot.segments.withColumnRenamed("n", "ref"), "segment", "full_outer")
-    # Vanished segments carry no current total of their own.
-    joined = joined.withColumn("now_total", F.max("now_total").over(W.partitionBy())).fillna(
-        0, ["now", "ref"]
-    )
+    joined = joined.fillna(0, ["now", "ref"]).withColumn("now_total", F.lit(total).cast("long"))
     r, c = F.col("ref"), F.col("now")
     eligible = (
         ((r == 0) & (c >= minimum)) | ((c == 0) & (r >= minimum)) | ((r >= minimum) & (c >= minimum))
@@ -566,12 +564,12 @@ def alert_overview(alerts: DataFrame) -> DataFrame:
 
 def eligible_segments(current: DataFrame, segment: str, min_group_size: int) -> DataFrame:
     """Labelled segments that are large enough, with their share of all rows."""
-    counts = current.groupBy(F.col(segment).cast("string").alias("segment")).agg(
-        F.count("*").alias("n")
+    counts = staged(
+        current.groupBy(F.col(segment).cast("string").alias("segment")).agg(F.count("*").alias("n")),
+        "segments",
     )
-    return (
-        counts.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy()))
-        .filter(F.col("segment").isNotNull() & (F.col("n") >= min_group_size))
+    return counts.withColumn("share", F.col("n") / F.lit(counts.agg(F.sum("n")).first()[0])).filter(
+        F.col("segment").isNotNull() & (F.col("n") >= min_group_size)
     )
 
 
@@ -667,16 +665,21 @@ def root_causes(
 
 def _label_causes(alerts: DataFrame, snapshot: Snapshot, current: DataFrame) -> DataFrame:
     seg, target = snapshot.roles.segment, snapshot.roles.target
-    groups = current.groupBy(F.col(seg).cast("string").alias("segment")).agg(
-        F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("pos")
-    )
-    groups = groups.withColumn("share", F.col("n") / F.sum("n").over(W.partitionBy())).filter(
+    groups = staged(
+        current.groupBy(F.col(seg).cast("string").alias("segment")).agg(
+            F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("pos")
+        ),
+        "segments",
+    )
+    total = F.lit(groups.agg(F.sum("n")).first()[0])
+    groups = groups.withColumn("share", F.col("n") / total).filter(
         F.col("segment").isNotNull() & (F.col("n") >= snapshot.min_group_size)
     )
     rate = F.col("pos") / F.col("n")
-    joined = groups.withColumn("alert_type", F.lit("label")).join(
-        alerts.select("alert_id", "alert_type"), "alert_type"
-    )
+    # There is one target, so at most one alert about it.
+    ids = [r["alert_id"] for r in alerts.filter("alert_type = 'label'").select("alert_id").collect()]
+    named = F.array(*[F.lit(x) for x in ids]).cast("array<string>")
+    joined = groups.select("*", F.lit("label").alias("alert_type"), F.explode(named).alias("alert_id"))
     base = F.lit(snapshot.positive_rate)
     return _causes(joined, "segment", F.col("segment"), F.abs(rate - base) * F.col("share"), base, rate)
 

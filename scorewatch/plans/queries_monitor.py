@@ -367,7 +367,7 @@ SNAP_SQL = (
     FROM rh h JOIN fam USING (feature) JOIN rr USING (feature) JOIN rz USING (feature) GROUP BY h.feature""",
 )
 def _(spark, sf):
-    rows = monitoring.reference_features(reference(spark, sf), FEATURE_NAMES, SPECS)
+    rows = monitoring.reference_features(reference(spark, sf), FEATURE_NAMES, order_catalog(spark))
     df = monitoring.reference_frame(spark, rows)
     return rounded(
         df.select(

@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +42,8 @@ RESEMBLES = {
 SIGN, BREAK, DROP, REPEAT = 0.7, 4.0, 5.0, 0.3
 BEAM, MEMO, LM_ORDER = 24, 200_000, 3
 OPENINGS = (4, 5, 6)
+#: What may stand around a word without being part of it.
+_AROUND = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$@") + "«»“”„’‘…"
 _RUN = re.compile(r"([^\W\d_])\1\1")
 _SPLIT = re.compile(r"[^\w@$!|+*#%?]+|_")
 _READY: dict[str, object] = {}
@@ -102,20 +104,24 @@ class Restorer:
         runs = _RUN.search(text) is not None
         single: list[str] = []
         for token in text.split():
-            alone = token if len(token) == 1 else token.rstrip(".,;:")
-            if len(alone) == 1 and (alone.isalpha() or alone in RESEMBLES):
-                single.append(alone)
-                if alone != token:  # a stop ends what is spelled out
-                    self._spelled(single, found)
-                    single = []
-                continue
+            if token.isalpha() and len(token) > 1:
+                word = token
+            else:
+                alone = token if len(token) == 1 else token.rstrip(".,;:")
+                if len(alone) == 1 and (alone.isalpha() or alone in RESEMBLES):
+                    single.append(alone)
+                    if alone != token:  # a stop ends what is spelled out
+                        self._spelled(single, found)
+                        single = []
+                    continue
+                word = token.strip(_AROUND)
             if single:
                 self._spelled(single, found)
                 single = []
-            if token.isalpha() and not (runs and _RUN.search(token)):
-                found.add(token)
-            else:
-                self._odd(token, found)
+            if word.isalpha() and not (runs and _RUN.search(word)):
+                found.add(word)
+            elif word:
+                self._odd(word, found)
         if single:
             self._spelled(single, found)
         found.discard("")
@@ -127,11 +133,7 @@ class Restorer:
         found.update(x for x in letters if x.isalpha())
 
     def _odd(self, token: str, found: set[str]) -> None:
-        while token and not token[-1].isalnum() and token[-1] not in "$@":
-            token = token[:-1]
-        while token and not token[0].isalnum() and token[0] not in "$@":
-            token = token[1:]
-        if not token or not any(c.isalpha() for c in token):
+        if not any(c.isalpha() for c in token):
             return
         parts = [p for p in _SPLIT.split(token) if p]
         if len(parts) >= 3 and max(map(len, parts)) == 1:  # s.c.u.m
@@ -155,6 +157,11 @@ def features(words: set[str]) -> set[str]:
     return out
 
 
+def heads(names: Iterable[str]) -> set[str]:
+    """The first four letters of each feature: a word with another head has none of them."""
+    return {n.rstrip("~")[: OPENINGS[0]] for n in names}
+
+
 @dataclass
 class Model:
     letters: charlm.Model
@@ -176,6 +183,7 @@ def _counted(docs: DataFrame, letters: charlm.Model, name: str, only: set[str] |
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         restore, seen = _restorer(letters, name), (Counter(), Counter())
+        known = None if only is None else heads(only)
 
         def out(half: int) -> pa.RecordBatch:
             keys, counts = list(seen[half]), list(seen[half].values())
@@ -185,8 +193,12 @@ def _counted(docs: DataFrame, letters: charlm.Model, name: str, only: set[str] |
 
         for batch in batches:
             for text, half in zip(batch.column("text"), batch.column("half").to_pylist()):
-                found = features(restore.words(text.as_py()))
-                seen[half].update(found if only is None else [f for f in found if f in only])
+                words = restore.words(text.as_py())
+                if known is None:
+                    seen[half].update(features(words))
+                else:
+                    some = features({w for w in words if w[: OPENINGS[0]] in known})
+                    seen[half].update([f for f in some if f in only])
                 if len(seen[half]) > 1 << 20:
                     yield out(half)
         yield out(0)
@@ -211,12 +223,14 @@ def _evidence(docs: DataFrame, letters: charlm.Model, name: str, lexicon: dict[s
     """Per row: strongest weight, sum of the three strongest, log of the number of words with weight."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        restore = _restorer(letters, name)
+        restore, known = _restorer(letters, name), heads(lexicon)
         for batch in batches:
             out = [[], [], []]
             for text in batch.column("text"):
                 found = []
                 for w in restore.words(text.as_py()):
+                    if w[: OPENINGS[0]] not in known:
+                        continue
                     best = max([lexicon.get(w, 0.0), *(lexicon.get(w[:k] + "~", 0.0) for k in OPENINGS if len(w) > k)])
                     if best > 0:
                         found.append(best)

@@ -594,3 +594,30 @@ def diagnose(
     if time_enabled:
         found.append(time_findings(df, roles.snapshot, roles.target))
     return identified(union_all(found))
+
+
+# What a report says about its own limits.
+TIME_DISABLED = "time_monitoring_disabled"
+TOO_LITTLE_REFERENCE = "insufficient_drift_reference"
+WINDOW_UNKNOWN = "label_performance_window_unknown"
+
+
+def report_limitations(
+    df: DataFrame,
+    roles: Roles,
+    *,
+    time_enabled: bool = True,
+    order_by: str | None = None,
+    grade: str = "B",
+) -> list[str]:
+    """What the diagnostics of this table cannot show."""
+    out = [] if time_enabled else [TIME_DISABLED]
+    sides = set()
+    if time_enabled or order_by is not None:
+        periods = period_split(df, roles.snapshot, time_enabled=time_enabled, order_by=order_by)
+        sides = {r["period"] for r in periods.select("period").distinct().collect()}
+    if len(sides) < 2:
+        out.append(TOO_LITTLE_REFERENCE)
+    if grade == "B":
+        out.append(WINDOW_UNKNOWN)
+    return out

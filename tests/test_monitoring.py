@@ -201,3 +201,14 @@ def test_retest_rules(spark):
     done = remediation.verifications(remediation.retest(opened, before, after))
     state = remediation.apply_verifications(opened, done).first()
     assert state.status == "failed" and state.remediation_id != opened.first().remediation_id
+
+
+def test_report_limitations(spark):
+    df = spark.createDataFrame([("e", "2024-01-01", "s", 0, k) for k in range(4)], "entity_id string, snapshot_date string, segment string, target int, k int")
+    with_time = df.withColumn("snapshot_date", F.format_string("2024-0%d-01", F.col("k") + 1))
+    assert findings.report_limitations(with_time, ROLES, grade="A") == []
+    assert findings.report_limitations(with_time, ROLES) == ["label_performance_window_unknown"]
+    off = findings.report_limitations(df, ROLES, time_enabled=False, grade="A")
+    assert off == ["time_monitoring_disabled", "insufficient_drift_reference"]
+    ordered = findings.report_limitations(df, ROLES, time_enabled=False, order_by="k", grade="A")
+    assert ordered == ["time_monitoring_disabled"]

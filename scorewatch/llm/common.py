@@ -76,10 +76,8 @@ def connected(edges: DataFrame, left: str, right: str) -> DataFrame:
         lowest = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) m")
         large = both.join(lowest, "u").where("v > u").selectExpr("v big", "m small")
         lowest = large.groupBy("big").agg(F.min("small").alias("m"))
-        small = large.join(lowest, "big").select(
-            F.explode(F.array(F.struct("big", "m"), F.struct(F.col("small").alias("big"), "m"))).alias("e")
-        ).selectExpr("e.big big", "e.m small").where("big > small").distinct()
-        pairs = staged(small, "edges")
+        small = large.join(lowest, "big").where("small > m").selectExpr("small big", "m small")
+        pairs = staged(small.unionAll(lowest.selectExpr("big", "m small")).distinct(), "edges")
     return pairs.selectExpr("big node", "small root").unionAll(
         pairs.selectExpr("small node", "small root").distinct()
     )

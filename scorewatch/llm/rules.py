@@ -40,15 +40,16 @@ FEATURES = {
 }
 
 
-def statistics(docs: DataFrame) -> DataFrame:
-    """`doc_id` and the counts of every whole text."""
+def statistics(docs: DataFrame, *keep: Column) -> DataFrame:
+    """`doc_id` (or the columns of `keep`) and the counts of every whole text."""
     text = F.coalesce(F.col("text"), F.lit(""))
+    kept = F.struct(*(keep or [F.col("doc_id")])).alias("kept_columns")
 
     def count(signs: str) -> Column:
         return (F.char_length(text) - F.char_length(F.translate(text, signs, ""))).cast("long")
 
     split = docs.select(
-        "doc_id",
+        kept,
         F.array_remove(F.split(text, BLANK), "").alias("w"),
         F.filter(F.split(text, "\n"), lambda x: F.length(F.btrim(x, F.lit(" \t\x0b\x0c\r"))) > 0).alias("lines"),
         count("#*$%&|<>").alias("n_symbols"),
@@ -73,7 +74,7 @@ def statistics(docs: DataFrame) -> DataFrame:
         ).alias("p"),
     )
     return repeated.select(
-        "doc_id",
+        "kept_columns.*",
         "n_words",
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         "n_symbols",
@@ -200,6 +201,20 @@ def learn(
     return rules
 
 
+def filtered(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of `docs`, all columns as they are, that the base rules and the learned list keep.
+
+    The counts are made once to learn from and once more next to the text, which is cheaper than
+    to join them with it.
+    """
+    known = docs.select("doc_id", "text")
+    learned = learn(staged(statistics(known), "statistics"), labels)
+    row = F.struct(*docs.columns).alias("row")
+    # The row number keeps the condition above the counts; pushed below, it would repeat them.
+    counted = statistics(docs, row).withColumn("place", F.monotonically_increasing_id())
+    return counted.where(verdict(learned) & (F.col("place") >= 0)).select("row.*")
+
+
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The statistics of every row with `base_failed` and `kept`."""
     stats = staged(statistics(docs), "statistics")

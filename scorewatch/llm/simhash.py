@@ -12,7 +12,7 @@ a null id never names a group.  Extra columns of the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -130,19 +130,25 @@ def near_copies(docs: DataFrame, words: int = 5, distance: int = 3) -> DataFrame
     return grouped(rows, distance).select("doc_id", "fp", "component_id")
 
 
-def survivors(docs: DataFrame, words: int = 5, distance: int = 7, rounds: int = 3) -> DataFrame:
+#: Fingerprint and distance of each round of `survivors`.
+ROUNDS = ((0, 5), (0, 7), (1, 7), (2, 7))
+
+
+def survivors(docs: DataFrame, words: int = 5, rounds: Sequence[tuple[int, int]] = ROUNDS) -> DataFrame:
     """Identities (`doc_id`, each once) of the documents that stay when one of each group of near copies does.
 
     A document without an id is known by a hash of its text.
 
     One fingerprint misses near copies whose bits happen to differ more: of texts that share 0.8 to
     0.85 of their shingles a third is within 7 of 64 bits, of those that share 0.9 four fifths.  So
-    every round groups the documents left by a fingerprint of its own and keeps the smallest id of
-    each group.  7 bits are far from what unrelated texts share (one pair in 2e10).
+    every round groups the documents left by one of several fingerprints and keeps the smallest id
+    of each group.  The first round, at a smaller distance, leaves little of large groups, whose
+    members would be linked with each other many times.  7 bits are far from what unrelated texts
+    share (one pair in 2e10).
     """
     known = docs.select(identity().alias("doc_id"), "text")
-    left = staged(fingerprints(known, words, rounds), "fingerprints")
-    for k in range(rounds):
+    left = staged(fingerprints(known, words, 1 + max(k for k, _ in rounds)), "fingerprints")
+    for k, distance in rounds:
         found = grouped(left.withColumn("fp", F.col(f"fp{k}" if k else "fp")), distance)
         first = found.where("doc_id = component_id")
         left = staged(first.drop("component_id").dropDuplicates(["doc_id"]), "survivors")

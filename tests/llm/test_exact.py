@@ -104,7 +104,7 @@ def test_survivors_of_rounds(shared):
     base = prose(3, 400).split()
     near = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(0, 400, 100)]
     texts = [" ".join(base), *near, prose(4, 400), None, "", "one", "one"]
-    left = {r["doc_id"] for r in simhash.survivors(frame(shared, texts), 5, 7, 3).collect()}
+    left = {r["doc_id"] for r in simhash.survivors(frame(shared, texts)).collect()}
     assert left == {0, 5, 6, 8}
 
 

@@ -12,12 +12,12 @@ a null id never names a group.  Extra columns of the input are not read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewatch.llm.common import connected, identity, staged
@@ -25,23 +25,24 @@ from scorewatch.llm.common import connected, identity, staged
 BITS = 64
 
 
-def fingerprint_of(text: str | None, words: int, several: int = 1) -> list[int]:
-    """Signed SimHashes of the word shingles of a text; ties of a bit give zero.
-
-    The first is of the shingles' XXH64, `several` more are of that value mixed with their number.
-    """
+def shingles_of(text: str | None, words: int) -> np.ndarray:
+    """XXH64 of every word shingle of a text; of the whole text where it has no more words."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return [0] * several
     joined = b" ".join(tokens)
     digest = xxhash.xxh64_intdigest
     if len(tokens) <= words:
-        hashes = [digest(joined, 42)]
+        hashes = [digest(joined, 42)] if tokens else []
     else:
         ends = np.cumsum([len(t) + 1 for t in tokens]) - 1
         starts = (ends - [len(t) for t in tokens])[: len(tokens) - words + 1].tolist()
         hashes = [digest(joined[a:z], 42) for a, z in zip(starts, ends[words - 1 :].tolist())]
-    found, plain = [], np.array(hashes, dtype="<u8")
+    return np.array(hashes, dtype="<u8")
+
+
+def _prints(plain: np.ndarray, several: int) -> list[int]:
+    if not len(plain):
+        return [0] * several
+    found = []
     for k in range(several):
         mixed = plain
         if k:
@@ -51,11 +52,19 @@ def fingerprint_of(text: str | None, words: int, several: int = 1) -> list[int]:
         rows = mixed.view(np.uint8).reshape(-1, 8)
         ones = np.zeros(BITS, dtype=np.int64)
         for at in range(0, len(rows), 1 << 14):  # very long texts, piece by piece
-            ones += np.unpackbits(rows[at : at + (1 << 14)], axis=1, bitorder="little").sum(0, dtype=np.int64)
+            ones += np.unpackbits(rows[at : at + (1 << 14)], axis=1, bitorder="little").sum(0, dtype=np.uint16)
         found.append(int(np.packbits(2 * ones > len(rows), bitorder="little").view("<i8")[0]))
     return found
 
 
+def fingerprint_of(text: str | None, words: int, several: int = 1) -> list[int]:
+    """Signed SimHashes of the word shingles of a text; ties of a bit give zero.
+
+    The first is of the shingles' XXH64, `several` more are of that value mixed with their number.
+    """
+    return _prints(shingles_of(text, words), several)
+
+
 def fingerprints(docs: DataFrame, words: int = 5, several: int = 1) -> DataFrame:
     """`doc_id` and signed 64-bit `fp` of every row, with more than one `fp`, `fp1`, ..."""
     names = ["fp", *(f"fp{k}" for k in range(1, several))]
@@ -130,26 +139,132 @@ def near_copies(docs: DataFrame, words: int = 5, distance: int = 3) -> DataFrame
     return grouped(rows, distance).select("doc_id", "fp", "component_id")
 
 
-#: Fingerprint and distance of each round of `survivors`.
-ROUNDS = ((0, 5), (0, 7), (1, 7), (2, 7))
+#: Least Jaccard similarity of near copies: this many fifths of the distinct shingles of both.
+FIFTHS = 4
+#: Fingerprints of a document, and bits of each of the bands they are cut into.
+SEVERAL, BAND = 16, 16
+#: Bits of the first two fingerprints that may differ; near copies at 0.8 differ in 19 of 128, with a deviation of 4.
+DIFFERING = 40
+
+
+def _copy_key() -> Column:
+    """What rows of equal texts share, besides their identity."""
+    return F.xxhash64("text")
+
+
+def _sets(known: DataFrame, words: int) -> DataFrame:
+    """`doc_id`, `copy`, `n` distinct shingles, `node` (a hash of their set) and `fps` of every row."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, nodes, prints = [], [], []
+            for text in batch.column("text"):
+                plain = shingles_of(text.as_py(), words)
+                kinds = np.unique(plain)
+                sizes.append(len(kinds))
+                nodes.append(xxhash.xxh64_intdigest(kinds.tobytes(), 7) - (1 << 63))
+                prints.append(_prints(kinds, SEVERAL))
+            columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("copy"), *columns], ["doc_id", "copy", "n", "node", "fps"]
+            )
+
+    return known.mapInArrow(rows, "doc_id long, copy long, n long, node long, fps array<long>")
+
+
+def _bands(nodes: DataFrame, *more: str, several: int = SEVERAL) -> DataFrame:
+    """One row per node and band of the first `several` fingerprints: its number and bits (`key`)."""
+    keys = [
+        F.shiftrightunsigned(F.col("fps")[k], low).bitwiseAND(F.lit((1 << BAND) - 1)) + F.lit((k * BITS + low) << BAND)
+        for k in range(several)
+        for low in range(0, BITS, BAND)
+    ]
+    # Distinct sets of fewer than five shingles share less than 0.8 with any other.
+    some = nodes.where("n >= 4").select(
+        "node", "n", F.col("fps")[0].alias("fp"), F.col("fps")[1].alias("fp1"), *more, F.array(*keys).alias("keys")
+    )
+    return some.select("node", "n", "fp", "fp1", *more, F.explode("keys").alias("key"))
+
+
+def _may_be_near(a: DataFrame, b: DataFrame) -> Column:
+    """What holds for every pair at the least similarity: the shares of sizes surely, of bits nearly."""
+    bits = F.bit_count(a["fp"].bitwiseXOR(b["other_fp"])) + F.bit_count(a["fp1"].bitwiseXOR(b["other_fp1"]))
+    return (5 * F.least(a["n"], b["other_n"]) >= FIFTHS * F.greatest(a["n"], b["other_n"])) & (bits <= DIFFERING)
+
+
+def _renamed(bands: DataFrame) -> DataFrame:
+    return bands.select(*[F.col(c).alias(c if c == "key" else f"other_{c}") for c in bands.columns])
+
+
+def _verified(pairs: DataFrame, nodes: DataFrame, known: DataFrame, words: int) -> DataFrame:
+    """The `pairs` (`a`, `b`) whose distinct shingles have a Jaccard similarity of 0.8 at least, from their texts."""
+    pairs = staged(pairs.distinct(), "pairs")
+    needed = pairs.selectExpr("explode(array(a, b)) node").distinct()
+    named = nodes.select("node", "first.doc_id", "first.copy").join(needed, "node", "left_semi")
+    texts = known.join(named, ["doc_id", "copy"]).dropDuplicates(["node"]).select("node", "text")
+    texts = staged(texts, "texts")
+    both = pairs.join(texts.selectExpr("node a", "text left_text"), "a").join(texts.selectExpr("node b", "text right_text"), "b")
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo: dict[int, np.ndarray] = {}
+
+        def kinds(node: int, text: pa.Scalar) -> np.ndarray:
+            if node not in memo:
+                if len(memo) >= 256:
+                    memo.clear()
+                memo[node] = np.unique(shingles_of(text.as_py(), words))
+            return memo[node]
+
+        for batch in batches:
+            keep = []
+            for a, b, x, y in zip(batch["a"].to_pylist(), batch["b"].to_pylist(), batch["left_text"], batch["right_text"]):
+                one, other = kinds(a, x), kinds(b, y)
+                shared = len(np.intersect1d(one, other, assume_unique=True))
+                keep.append(5 * shared >= FIFTHS * (len(one) + len(other) - shared))
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return staged(both.select("a", "b", "left_text", "right_text").mapInArrow(rows, "a long, b long"), "links")
 
 
-def survivors(docs: DataFrame, words: int = 5, rounds: Sequence[tuple[int, int]] = ROUNDS) -> DataFrame:
-    """Identities (`doc_id`, each once) of the documents that stay when one of each group of near copies does.
+def survivors(docs: DataFrame, words: int = 5) -> DataFrame:
+    """`doc_id` and `copy` (a hash of the text) of the one document that stays of each group of near copies.
 
-    A document without an id is known by a hash of its text.
+    A document without an id is known by a hash of its text; rows of one id with other texts are
+    other documents.  The smallest id stays.  Groups are joined by links of all fingerprints, and a
+    link is a pair whose distinct shingles have a Jaccard similarity of 0.8 at least, counted from
+    their texts.  Equal sets of shingles are one node.
 
-    One fingerprint misses near copies whose bits happen to differ more: of texts that share 0.8 to
-    0.85 of their shingles a third is within 7 of 64 bits, of those that share 0.9 four fifths.  So
-    every round groups the documents left by one of several fingerprints and keeps the smallest id
-    of each group.  The first round, at a smaller distance, leaves little of large groups, whose
-    members would be linked with each other many times.  7 bits are far from what unrelated texts
-    share (one pair in 2e10).
+    Two nodes meet where one of 64 bands of 16 bits is equal: by calculation 0.99 of the pairs that
+    share 0.8 do, nearly all that share more.  So that a large group does not make all of its pairs, every
+    node is first compared with the smallest one of each value of the first 16 bands; then, within each
+    value of any band, all pairs of different groups are, and those of its commonest group among
+    themselves need not be.
     """
-    known = docs.select(identity().alias("doc_id"), "text")
-    left = staged(fingerprints(known, words, 1 + max(k for k, _ in rounds)), "fingerprints")
-    for k, distance in rounds:
-        found = grouped(left.withColumn("fp", F.col(f"fp{k}" if k else "fp")), distance)
-        first = found.where("doc_id = component_id")
-        left = staged(first.drop("component_id").dropDuplicates(["doc_id"]), "survivors")
-    return left.select("doc_id")
+    known = docs.select(identity().alias("doc_id"), _copy_key().alias("copy"), "text")
+    rows = staged(_sets(known, words), "sets")
+    nodes = staged(
+        rows.groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("first"), F.first("n").alias("n"), F.first("fps").alias("fps")),
+        "nodes",
+    )
+    bands = _bands(nodes, several=4)
+    lead = bands.groupBy("key").agg(F.min(F.struct("node", "n", "fp", "fp1")).alias("lead"), F.count("*").alias("many"))
+    lead = _renamed(staged(lead.where("many > 1").select("key", "lead.*"), "leads"))
+    met = bands.join(lead, (bands["key"] == lead["key"]) & (bands["node"] > lead["other_node"]) & _may_be_near(bands, lead))
+    found = _verified(met.select(F.col("other_node").alias("a"), F.col("node").alias("b")), nodes, known, words)
+
+    groups = connected(found, "a", "b")
+    marked = staged(nodes.join(groups, "node", "left").withColumn("own", F.coalesce("root", "node")), "marked")
+    counts = _bands(marked.where("root is not null"), "own").groupBy("key", "own").count()
+    chief = staged(counts.groupBy("key").agg(F.max(F.struct("count", "own"))["own"].alias("chief")), "chiefs")
+    bands = _bands(marked, "own").join(chief, "key", "left")
+    minor, every = bands.where("chief is null or own <> chief"), _renamed(bands)
+    once = F.coalesce(every["other_own"] == every["other_chief"], F.lit(False)) | (minor["node"] < every["other_node"])
+    met = minor.join(
+        every, (minor["key"] == every["key"]) & (minor["own"] != every["other_own"]) & once & _may_be_near(minor, every)
+    )
+    met = met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+    found = found.unionAll(_verified(met, nodes, known, words))
+
+    groups = connected(found, "a", "b")
+    grouped_nodes = nodes.select("node", "first").join(groups, "node", "left").withColumn("own", F.coalesce("root", "node"))
+    return grouped_nodes.groupBy("own").agg(F.min("first").alias("first")).select("first.*")

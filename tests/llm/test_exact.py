@@ -108,6 +108,52 @@ def test_survivors_of_rounds(shared):
     assert left == {0, 5, 6, 8}
 
 
+def near_pairs(texts):
+    """Pairs of texts with a Jaccard similarity of 0.8 at least, by brute force."""
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append({tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))})
+    pairs = [(a, b) for b in range(len(sets)) for a in range(b)]
+    return [(a, b) for a, b in pairs if 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])]
+
+
+def changed(text, seed, places):
+    r, words = random.Random(seed), text.split()
+    for k in r.sample(range(len(words)), places):
+        words[k] = f"new{seed}x{k}"
+    return " ".join(words)
+
+
+def test_survivors_recall_of_loose_near_copies(shared):
+    texts = []
+    for k in range(250):
+        base = prose(1000 + k, 300)
+        texts += [base, changed(base, k, 5 + k % 3)]  # about 0.8 to 0.85 of the shingles are shared
+    near = near_pairs(texts)
+    assert len(near) > 150
+    left = {r["doc_id"] for r in simhash.survivors(frame(shared, texts)).collect()}
+    assert sum(b not in left for _, b in near) >= 0.98 * len(near)
+
+
+def test_survivors_unite_links_and_take_only_verified_ones(shared):
+    texts = []
+    for k in range(30):  # chains: the ends share less than 0.8, the middle 0.8 and more with both
+        middle = prose(2000 + k, 300)
+        texts += [changed(middle, 2 * k, 3), changed(middle, 2 * k + 1, 3), middle]
+    for k in range(60):  # templated texts under 0.8
+        base = prose(3000 + k, 300)
+        texts += [base, changed(base, k, 8)]
+    hot = prose(4000, 300)
+    texts += [changed(hot, k, 2) for k in range(60)]
+    order = list(range(len(texts)))
+    random.Random(1).shuffle(order)
+    texts = [texts[k] for k in order]
+    want = groups_of(range(len(texts)), near_pairs(texts))
+    left = {r["doc_id"] for r in simhash.survivors(frame(shared, texts)).collect()}
+    assert left == set(want.values())
+
+
 def test_packing(shared, given):
     import public_tokenizers
     from tokenizers import Tokenizer

@@ -13,7 +13,7 @@ import corpus_pipeline
 from scorewatch.llm import charlm, compression, embeddings, langid, toxicity
 from scorewatch.llm.queries import QUERIES, held_out
 
-from .conftest import ODD, frame
+from .conftest import DOC, ODD, frame
 from .test_exact import groups_of, prose
 
 
@@ -242,6 +242,13 @@ def test_pipeline_stages_one_by_one(shared, given):
     assert counts[0] > counts[2] >= counts[3] == counts[4] == counts[5] > 0.5 * counts[0]
 
 
+def test_near_duplicates_keeps_other_texts_of_one_id(shared, given):
+    rows = [(1, prose(1, 120)), (1, prose(2, 120)), (1, prose(1, 120)), (2, prose(2, 120) + " end"), (3, prose(3, 120))]
+    docs = shared.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], DOC)
+    left = sorted((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(shared, docs, given).collect())
+    assert left == sorted({rows[0], rows[1], rows[4]})
+
+
 def test_pipeline_takes_odd_tables(shared, given):
     good = [prose(k, 120) for k in range(6)]
     texts = ODD + good + [good[0], good[1] + " end"]

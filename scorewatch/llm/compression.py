@@ -4,8 +4,9 @@ Two zstandard dictionaries are built from labelled text, one from good and one f
 A text is compressed once with each; the difference of the sizes, as a share of the text, and how
 far the text shrinks at all go through a logistic curve that labelled rows calibrate.
 
-Only a bounded sample of labelled rows (`sample` of each class, drawn by hash) reaches the driver to
-fit the two dictionaries and the curve; every text is scored whole.
+A bounded sample of labelled documents (`sample` of each class, drawn by hash) fits the two dictionaries
+and the curve.  For the dictionaries at most `parts` pieces of 4 KB of each class, drawn by hash from the
+whole texts, reach the driver; for the curve the sizes of whole texts do.  Every text is scored whole.
 
 Cases: null and empty texts are scored as the empty text; without labelled rows of both classes
 every score is the share of good labels (0.5 without any).  Rows given twice are scored twice.  Extra
@@ -22,7 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-OPENING = 16_384
+from scorewatch.llm.common import staged
+
+#: Bytes of a piece of text that a dictionary is trained on.
+PIECE = 4096
 
 
 @dataclass
@@ -49,12 +53,11 @@ class Sizes:
         return 100 * (bad - good) / n, (good + bad) / (2 * n), np.log(n) / 5
 
 
-def _train(texts: list[str], size: int) -> bytes:
+def _train(parts: list[bytes], size: int) -> bytes:
     import zstandard
 
-    parts = [t.encode("utf-8", "surrogatepass")[at : at + 4096] for t in texts for at in range(0, len(t), 4096)]
     try:
-        return zstandard.train_dictionary(size, [p for p in parts if p]).as_bytes()
+        return zstandard.train_dictionary(size, parts).as_bytes()
     except zstandard.ZstdError:  # too little text to train on: the text itself is the dictionary
         return b"".join(parts)[-size:] or b"\x00" * 8
 
@@ -76,40 +79,82 @@ def training_marks(labels: DataFrame, label: str, held_out: Column) -> DataFrame
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, per_class: int) -> DataFrame:
-    """At most `per_class` labelled rows of each class that are not held out, drawn by hash.
+    """At most `per_class` labelled documents of each class that are not held out, drawn by hash.
 
-    `label` 0/1, `text` and the row's place in the draw (`at`).  A document with several label rows counts once.
+    `mark` 0/1, whole `text` and the row's place in the draw (`at`).  A document with several label rows counts once.
     """
     marks, drawn = training_marks(labels, label, held_out), None
     for value in (0, 1):
         some = marks.where(F.col("mark") == value).orderBy(F.xxhash64("doc_id", F.lit(11)), "doc_id").limit(per_class)
         drawn = some if drawn is None else drawn.unionAll(some)
     return docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id").where("text is not null").select(
-        "mark", F.xxhash64("doc_id", F.lit(11)).alias("at"), "doc_id", F.left("text", F.lit(OPENING)).alias("text")
+        "mark", F.xxhash64("doc_id", F.lit(11)).alias("at"), "doc_id", "text"
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 3000, size: int = 32_768) -> Model:
-    """The two dictionaries and the curve, from at most `sample` labelled rows of each class.
+def _pieces(rows: DataFrame, parts: int) -> list[bytes]:
+    """At most `parts` pieces of the whole texts, drawn by hash."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, text in zip(batch.column("at"), batch.column("text")):
+                data = text.as_py().encode("utf-8", "surrogatepass")
+                for low in range(0, len(data), PIECE << 8):  # very long texts, piece by piece
+                    places = list(range(low, min(len(data), low + (PIECE << 8)), PIECE))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([at.as_py()] * len(places), pa.int64()), pa.array(places, pa.int64()),
+                         pa.array([data[k : k + PIECE] for k in places], pa.binary())], ["at", "place", "piece"]
+                    )
+
+    found = rows.select("at", "text").mapInArrow(cut, "at long, place long, piece binary")
+    drawn = found.orderBy(F.xxhash64("at", "place"), "at", "place", "piece").limit(parts)
+    return [bytes(r["piece"]) for r in drawn.select("at", "place", "piece").collect()]
+
+
+def _sizes(rows: DataFrame, good: bytes, bad: bytes) -> np.ndarray:
+    """The inputs of the curve, from whole texts, in the order of the draw."""
 
-    Half of the sampled rows build the dictionaries, the other half calibrate.
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sizes = Sizes(good, bad)
+        for batch in batches:
+            x = np.array([sizes(t.as_py()) for t in batch.column("text")]).reshape(-1, 3)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("at"), *(pa.array(x[:, k], pa.float64()) for k in range(3))], ["at", "x0", "x1", "x2"]
+            )
+
+    found = rows.select("at", "text").mapInArrow(measured, "at long, x0 double, x1 double, x2 double").toPandas()
+    found = found.sort_values(["at", "x0", "x1", "x2"])
+    return np.insert(found[["x0", "x1", "x2"]].to_numpy(dtype=float), 0, 1.0, axis=1)
+
+
+def fit(
+    docs: DataFrame, labels: DataFrame, held_out: Column, sample: int = 3000, size: int = 32_768, parts: int = 6000
+) -> Model:
+    """The two dictionaries and the curve, from at most `sample` labelled documents of each class.
+
+    Half of them build the dictionaries (at most `parts` pieces of 4 KB of each class, from anywhere
+    in their texts), the other half calibrate by their whole texts.
     """
-    rows = training_rows(docs, labels, "quality", held_out, sample).toPandas().sort_values(["at", "doc_id"])
-    texts = {v: rows.loc[rows["mark"] == v, "text"].tolist() for v in (0, 1)}
+    rows = staged(training_rows(docs, labels, "quality", held_out, sample), "labelled")
+    drawn = sorted({tuple(r) for r in rows.select("mark", "at", "doc_id").collect()})
     counts = {r["mark"]: r["count"] for r in training_marks(labels, "quality", held_out).groupBy("mark").count().collect()}
     known = sum(counts.values())
     base = counts.get(1, 0) / known if known else 0.5
-    if not texts[0] or not texts[1]:
+    places = {v: [at for mark, at, _ in drawn if mark == v] for v in (0, 1)}
+    if not places[0] or not places[1]:
         return Model(b"", b"", [], base)
-    build = {v: t[::2] or t for v, t in texts.items()}
-    check = {v: t[1::2] or t for v, t in texts.items()}
-    good, bad = _train(build[1], size), _train(build[0], size)
-    sizes = Sizes(good, bad)
-    x = np.array([(1.0, *sizes(t)) for v in (0, 1) for t in check[v]])
-    y = np.repeat([0.0, 1.0], [len(check[0]), len(check[1])])
-    weights = _logistic(x, y)
+
+    def some(v: int, first: int) -> DataFrame:
+        chosen = [(at,) for at in places[v][first::2] or places[v]]
+        ids = rows.sparkSession.createDataFrame(chosen, "at long")
+        return rows.where(F.col("mark") == v).join(F.broadcast(ids), "at", "left_semi")
+
+    good, bad = (_train(_pieces(some(v, 0), parts), size) for v in (1, 0))
+    x = [_sizes(some(v, 1), good, bad) for v in (0, 1)]
+    y = np.repeat([0.0, 1.0], [len(x[0]), len(x[1])])
+    weights = _logistic(np.concatenate(x), y)
     # The sample may hold the classes in other shares than the labels do.
-    weights[0] += np.log(counts[1] / counts[0]) - np.log(len(check[1]) / len(check[0]))
+    weights[0] += np.log(counts[1] / counts[0]) - np.log(len(x[1]) / len(x[0]))
     return Model(good, bad, weights.tolist(), base)
 
 

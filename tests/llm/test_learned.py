@@ -178,6 +178,20 @@ def test_quality_learns_and_takes_odd_texts(shared):
     assert compression.scored(docs.limit(0), compression.fit(docs.limit(0), labels, F.lit(False))).count() == 0
 
 
+def test_quality_learns_from_whole_long_texts(shared):
+    r = random.Random(12)
+    words = [["".join(r.choices("abcdefghijklmnoprstuvé", k=r.randint(5, 11))) for _ in range(1200)] for _ in range(2)]
+    texts = []  # what tells the classes apart comes after 16,384 characters, in texts that are not ASCII
+    for k in range(120):
+        texts.append(prose(k, 2400) + " é" * 2000 + " " + " ".join(r.choices(words[k % 2], k=2500)))
+    assert min(t.index(" é é") for t in texts) > 10_000
+    docs = frame(shared, texts)
+    labels = shared.createDataFrame([(k, k % 2, 0) for k in range(60)], "doc_id long, quality int, toxic int")
+    model = compression.fit(docs, labels, F.lit(False))
+    found = {r["doc_id"]: r["score"] for r in compression.scored(docs, model).collect()}
+    assert sum((found[k] >= 0.5) == bool(k % 2) for k in range(60, 120)) >= 57
+
+
 INSULTS = ["moron", "scum", "idiot", "pathetic"]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,15 +12,18 @@ from scorewatch.llm import (
     chunks,
     compression,
     embeddings,
+    idfiles,
     langid,
     packing,
     pieces,
     rules,
+    search,
     simhash,
     suffix,
     toxicity,
+    whitening,
 )
-from scorewatch.llm.common import table
+from scorewatch.llm.common import shared_folder, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +122,51 @@ def op10_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best of all documents for each benchmark item."""
+    found = search.index(table(spark, sf_dir, "documents"))
+    return search.ranked(found, table(spark, sf_dir, "benchmark"), "item_id", "text", k=20)
+
+
+ORACLES["op11_search"] = r"""
+WITH words AS (
+  SELECT doc_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+counted AS (SELECT doc_id, term, count(*) AS tf FROM words GROUP BY doc_id, term),
+sizes AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM counted GROUP BY doc_id),
+corpus AS (SELECT count(*) AS docs, sum(n)::BIGINT AS length FROM sizes),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * max(docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w
+  FROM counted, corpus GROUP BY term),
+asked AS (
+  SELECT item_id, unnest(regexp_extract_all(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+scores AS (
+  SELECT item_id, doc_id,
+    sum(w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * docs) // length))))::BIGINT AS score
+  FROM asked JOIN counted USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), corpus
+  GROUP BY item_id, doc_id),
+ranks AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank, doc_id, score
+  FROM scores WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM ranks WHERE rank <= 20
+"""
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 32 whitened components of all embeddings, with their certificates."""
+    return whitening.whitened(table(spark, sf_dir, "embeddings"), count=32)
+
+
+@query
+def op13_idfiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as ids in grammar-compressed files, read back from them."""
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    idfiles.written(table(spark, sf_dir, "documents"), path, "byte_bpe_50k.json")
+    return idfiles.read(spark, path, ids=False)

@@ -9,8 +9,9 @@ shorter ones are everyday phrases and stay.
 A document sends each of its digests once to be counted, as smallest and largest id per digest, so a
 chunk that a third of all documents share is one row per task; only repeated digests come back.
 
-Cases: null text is empty and has no chunks; rows with the same id are one document, given several
-times; a null id takes part under a hash of its text.  Extra columns of the input are not read.
+Cases: null text is empty and has no chunks; rows with the same id and text are one document, given
+several times; rows with the same id and other texts are documents of their own, ordered by a hash of
+the text; a null id takes part under a hash of its text.  Extra columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from scorewatch.llm.common import identity, staged
@@ -78,14 +79,14 @@ def boundaries(data: bytes, average: int, apart: int = 8, most: int = 4096) -> n
 
 
 def chunks(docs: DataFrame, average: int = 32) -> DataFrame:
-    """Chunks of every text: `oid`, `digest`, `start`, `size`, and whether the digest came before in the text (`again`)."""
-    names = ["oid", "digest", "start", "size", "again"]
+    """Chunks of every text: `oid`, `version`, `digest`, `start`, `size`, and whether the digest came before in the text (`again`)."""
+    names = ["oid", "version", "digest", "start", "size", "again"]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for oid, text in zip(batch.column("oid").to_pylist(), batch.column("text")):
+            for oid, version, text in zip(*(batch.column(c).to_pylist() for c in ("oid", "version")), batch.column("text")):
                 data = (text.as_py() or "").encode("utf-8", "surrogatepass")
                 ends = boundaries(data, average)
                 starts = np.concatenate([[0], ends[:-1]])[: len(ends)]
@@ -93,11 +94,12 @@ def chunks(docs: DataFrame, average: int = 32) -> DataFrame:
                 seen: set[int] = set()
                 again = [x in seen or seen.add(x) is not None for x in found]
                 out[0].append(np.full(len(ends), oid, dtype=np.int64))
-                out[1] += found
-                out[2].append(starts)
-                out[3].append(ends - starts)
-                out[4] += again
-                if len(out[1]) > BUFFER:
+                out[1].append(np.full(len(ends), version, dtype=np.int64))
+                out[2] += found
+                out[3].append(starts)
+                out[4].append(ends - starts)
+                out[5] += again
+                if len(out[2]) > BUFFER:
                     yield made(out)
                     out = [[] for _ in names]
             yield made(out)
@@ -106,30 +108,49 @@ def chunks(docs: DataFrame, average: int = 32) -> DataFrame:
         join = lambda x, kind: np.concatenate(x).astype(kind) if x else np.zeros(0, dtype=kind)
         columns = [
             pa.array(join(out[0], np.int64)),
-            pa.array(np.array(out[1], dtype=np.uint64).view(np.int64)),
-            pa.array(join(out[2], np.int64)),
-            pa.array(join(out[3], np.int32)),
-            pa.array(out[4], pa.bool_()),
+            pa.array(join(out[1], np.int64)),
+            pa.array(np.array(out[2], dtype=np.uint64).view(np.int64)),
+            pa.array(join(out[3], np.int64)),
+            pa.array(join(out[4], np.int32)),
+            pa.array(out[5], pa.bool_()),
         ]
         return pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.select(identity().alias("oid"), "text").mapInArrow(
-        rows, "oid long, digest long, start long, size int, again boolean"
+    return docs.select(*_names(), "text").mapInArrow(
+        rows, "oid long, version long, digest long, start long, size int, again boolean"
     )
 
 
+def _names() -> list[Column]:
+    """What tells documents apart: the id, and a hash of the text for rows that share one."""
+    return [identity().alias("oid"), F.xxhash64("text").alias("version")]
+
+
 def repeats(docs: DataFrame, average: int = 32) -> DataFrame:
-    """Per document the chunks that are also elsewhere: `oid`, `found` of (`start`, `size`, `first`)."""
+    """Per document the chunks that are also elsewhere: `oid`, `version`, `found` of (`start`, `size`, `first`).
+
+    Ids that stand for several texts are few, as a rule none: their chunks alone are also counted by
+    version, so that one of the texts is the first.
+    """
     all_chunks = chunks(docs, average)
     counted = all_chunks.groupBy("digest").agg(
         F.min("oid").alias("low"), F.max("oid").alias("high"), F.max("again").alias("twice")
     )
+    versions = docs.select(*_names()).groupBy("oid").agg(F.min("version").alias("one"), F.max("version").alias("other"))
+    several = staged(versions.where("one <> other").select("oid"), "several")
+    same_id = docs.withColumn("oid", identity()).join(several, "oid", "left_semi").select("doc_id", "text")
+    by_version = chunks(same_id, average).groupBy("digest", F.col("oid").alias("low")).agg(
+        F.min("version").alias("low_version"), F.max("version").alias("high_version")
+    )
+    counted = counted.join(staged(by_version, "versions"), ["digest", "low"], "left")
     # From a table, so that the join may split a digest that very many documents have.
-    shared = staged(counted.where("low < high or twice").select("digest", "low"), "shared")
+    shared = counted.where("low < high or twice or low_version < high_version")
+    shared = staged(shared.select("digest", "low", "low_version"), "shared")
+    first = (F.col("oid") == F.col("low")) & ~F.col("again") & (F.col("version") == F.coalesce("low_version", "version"))
     met = all_chunks.join(shared, "digest").select(
-        "oid", F.struct("start", "size", ((F.col("oid") == F.col("low")) & ~F.col("again")).alias("first")).alias("c")
+        "oid", "version", F.struct("start", "size", first.alias("first")).alias("c")
     )
-    return met.groupBy("oid").agg(F.collect_list("c").alias("found"))
+    return met.groupBy("oid", "version").agg(F.collect_list("c").alias("found"))
 
 
 def _runs(found: list[tuple[int, int]], least: int) -> list[tuple[int, int]]:
@@ -149,8 +170,8 @@ def deduplicated(docs: DataFrame, average: int = 32, least_run: int = 80, keep:
     `n_repeated` counts the bytes in runs of repeated chunks, first ones included; `keep` names
     further columns of `docs` to carry along.
     """
-    own = docs.select(identity().alias("oid"), "doc_id", "text", F.struct(*[F.col(c) for c in keep] or [F.lit(0)]).alias("more"))
-    joined = own.join(repeats(docs, average), "oid", "left").select("doc_id", "more", "text", "found")
+    own = docs.select(*_names(), "doc_id", "text", F.struct(*[F.col(c) for c in keep] or [F.lit(0)]).alias("more"))
+    joined = own.join(repeats(docs, average), ["oid", "version"], "left").select("doc_id", "more", "text", "found")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -326,6 +326,25 @@ def test_chunks_resist_shifts_and_odd_texts(shared):
     assert chunks.deduplicated(docs.select("doc_id", "text").unionAll(docs.select("doc_id", "text"))).count() == 2 * len(texts)
 
 
+def test_chunks_of_texts_that_share_an_id(shared):
+    r = random.Random(64)
+    passage, own = prose(60, 60), "".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(150))
+    texts = [(7, prose(61, 80) + passage), (7, own + prose(62, 50)), (7, passage + prose(63, 60)), (8, own + "z"), (7, passage + prose(63, 60))]
+    docs = shared.createDataFrame(texts, "doc_id long, text string")
+    rows = chunks.deduplicated(docs, keep=("text",)).collect()
+    kept = defaultdict(list)
+    for r in rows:
+        rest = iter(r["more"]["text"])
+        assert all(c in rest for c in r["kept"])  # nothing of another text
+        kept[r["more"]["text"]].append((r["n_removed"], r["kept"]))
+    assert len(rows) == 5 and len(kept[texts[2][1]]) == 2 and len(set(kept[texts[2][1]])) == 1
+    # One of the two texts with the passage keeps it; the text of id 8 loses what one of id 7 has.
+    lost = sorted([kept[texts[0][1]][0][0], kept[texts[2][1]][0][0]])
+    assert lost[0] == 0 and lost[1] > 0.6 * len(passage)
+    assert kept[texts[1][1]][0] == (0, texts[1][1])
+    assert kept[texts[3][1]][0][0] >= 80
+
+
 @pytest.fixture(scope="module")
 def codec():
     import public_tokenizers

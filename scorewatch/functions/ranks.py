@@ -1,230 +1,307 @@
 """Running totals and exact quantiles that never sort one group in one task.
 
-A window without a bounded partition would send all rows of a group to a
-single task.  Both helpers here first take a small quantile sketch, use it as
-literal cut points, and then only sort inside the resulting buckets.
+Quantiles are selected by rounds of histograms: values are counted in ordered ranges, and only the
+range that holds a wanted rank is looked at again, until it holds one distinct value.  Running totals
+are a prefix sum over a range partitioning: every task adds up its own sorted rows, and the totals of
+the partitions before it are added.  Both work alike at every size, on any distribution, and for all
+groups and columns at once.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from functools import reduce
+from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from scorewatch.functions.expr import batches, finite, number, quoted, union_all
+from scorewatch.sources.scratch import staged
 
-SKETCH_ACCURACY = 10_000
+# --- running totals -------------------------------------------------------------------
 
 
-def sketch(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int = SKETCH_ACCURACY
-) -> dict[str, tuple[int, list[float]]]:
-    """Finite count and approximate quantiles per column: one aggregate per batch."""
-    found: dict[str, tuple[int, list[float]]] = {}
-    for group in batches(columns, 32):
-        clean = df.select(*[finite(c).alias(f"c{i}") for i, c in enumerate(group)])
-        row = clean.agg(
-            *[F.count(f"c{i}").alias(f"n{i}") for i in range(len(group))],
-            *[
-                F.percentile_approx(f"c{i}", [float(p) for p in probs], accuracy).alias(f"q{i}")
-                for i in range(len(group))
-            ],
-        ).first()
-        for i, c in enumerate(group):
-            found[c] = (row[f"n{i}"], list(row[f"q{i}"] or []))
-    return found
+def _prefix_sums(keys: int, by: Sequence[str], sums: Sequence[str], following: str | None):
+    """A function over the sorted rows of a partition: sums so far within ``by``, next value."""
 
+    def run(found: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        last: tuple | None = None
+        carried = [0] * len(sums)
+        waiting: pa.RecordBatch | None = None
 
-#: About so many distinct values are sorted together.
-VALUES_PER_BUCKET = 100_000
+        def finished(batch: pa.RecordBatch, starts: np.ndarray, after) -> pa.RecordBatch:
+            if following is None:
+                return batch
+            values = batch.column(following)
+            ahead = np.full(len(values), None, dtype=object)
+            ahead[:-1] = values.to_pylist()[1:]
+            ahead[np.maximum(starts - 1, 0)[starts > 0]] = None
+            ahead[-1] = after
+            return batch.append_column("_lead", pa.array(ahead.tolist(), values.type))
 
+        for batch in found:
+            if not batch.num_rows:
+                continue
+            columns = [batch.column(c).to_pylist() for c in by]
+            new = np.zeros(batch.num_rows, dtype=bool)
+            for values in columns:
+                values = np.array(values, dtype=object)
+                new[1:] |= values[1:] != values[:-1]
+            key = tuple(values[0] for values in columns)
+            same = last is not None and key == last
+            starts = np.flatnonzero(new) if same else np.append(0, np.flatnonzero(new))
+            made = batch.append_column("_part", pa.array(np.full(batch.num_rows, part, dtype=np.int32)))
+            edges = np.unique(np.append(0, starts))
+            group = np.repeat(np.arange(len(edges)), np.diff(np.append(edges, batch.num_rows)))
+            for k, name in enumerate(sums):
+                values = batch.column(name).to_numpy(zero_copy_only=False)
+                total = np.cumsum(values)
+                base = np.where(edges > 0, total[edges - 1], 0)
+                run_sum = total - base[group]
+                if same:
+                    run_sum[group == 0] += carried[k]
+                carried[k] = run_sum[-1]
+                made = made.append_column(f"_l_{name}", pa.array(run_sum))
+            if waiting is not None:
+                after = batch.column(following)[0].as_py() if following is not None and same else None
+                yield finished(waiting, waiting_starts, after)
+            waiting, waiting_starts, last = made, starts, tuple(values[-1] for values in columns)
+        if waiting is not None:
+            yield finished(waiting, waiting_starts, None)
 
-def bucketed(
-    counts: DataFrame, value: str, by: str | None = None, *, size: int = VALUES_PER_BUCKET, name: str = "bucket"
-) -> DataFrame:
-    """Add a bucket number that follows ``value`` (within ``by``), from a table of distinct values.
-
-    Cuts are quantiles of the distinct values, not of the rows behind them, so a value that nearly
-    all rows have is one value among others.  The number of buckets follows the number of distinct
-    values.  The cuts (a list per ``by``) are literals: every reader sees the same buckets.
-    """
-    key = F.lit("") if by is None else F.col(by)
-    keyed = counts.select(key.alias("_by"), F.col(value).cast("double").alias("_v"))
-    most = keyed.groupBy("_by").agg(F.count("_v").alias("n")).agg(F.max("n")).first()[0] or 0
-    parts = max(16, -(-most // size))
-    probs = [i / parts for i in range(1, parts)]
-    found = keyed.groupBy("_by").agg(F.percentile_approx("_v", probs, 20 * parts).alias("q")).collect()
-    cuts = [(r["_by"], sorted(set(r["q"] or []))) for r in found]
-    table = counts.sparkSession.createDataFrame(cuts, "_by string, _cuts array<double>")
-    number = F.size(F.filter("_cuts", lambda c: c <= F.col(value)))
-    # One row per feature.
-    return (
-        counts.withColumn("_by", key)
-        .join(F.broadcast(table), "_by")
-        .withColumn(name, F.coalesce(number, F.lit(-1)))
-        .drop("_by", "_cuts")
-    )
+    return run
 
 
 def running_totals(
     df: DataFrame,
     *,
     by: Sequence[str] = (),
-    bucket: str,
-    order: Sequence[str | Column],
+    order: Sequence[str],
     sums: Sequence[str],
     following: str | None = None,
 ) -> DataFrame:
-    """Add ``cum_<s>`` running sums over ``order`` within ``by``.
-
-    ``following`` names a column whose value in the next row is added as
-    ``next_<column>``.
+    """Add ``cum_<s>`` running sums over ``order`` within ``by``; the result is a stage table.
 
-    ``bucket`` must not decrease along ``order``.  Only rows of one bucket meet
-    in a task; the bucket offsets come from a table of ``by`` x buckets rows.
+    ``following`` names an order column whose value in the next row is added as ``next_<column>``.  One
+    shuffle deals the rows out by ranges of ``by`` and ``order``; however many rows a group has, it is
+    spread over as many partitions.  What is joined back has one row per group and partition that the
+    group reaches into.
     """
-    rows = W.partitionBy(*by, bucket).orderBy(*order)
-    local = rows.rowsBetween(W.unboundedPreceding, 0)
-    buckets = (W.partitionBy(*by) if by else W.partitionBy()).orderBy(bucket)
-    before = buckets.rowsBetween(W.unboundedPreceding, -1)
+    keys = [*by, *order]
+    kinds = {f.name: f.dataType for f in df.schema}
+    fields = [*df.schema.fields, T.StructField("_part", T.IntegerType())]
+    for s in sums:
+        whole = isinstance(kinds[s], T.IntegralType)
+        fields.append(T.StructField(f"_l_{s}", T.LongType() if whole else T.DoubleType()))
+    if following is not None:
+        fields.append(T.StructField("_lead", kinds[following]))
+    ranged = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
+    local = staged(ranged.mapInArrow(_prefix_sums(len(keys), by, sums, following), T.StructType(fields)), "prefix")
     firsts = [F.min(following).alias("_first")] if following else []
-    offsets = (
-        df.groupBy(*by, bucket)
-        .agg(*[F.sum(s).alias(s) for s in sums], *firsts)
-        .select(
-            *by,
-            bucket,
-            *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
-            *([F.lead("_first").over(buckets).alias("_next")] if following else []),
-        )
+    one = F.lit(0).alias("_all")
+    totals = local.groupBy(one, *by, "_part").agg(*[F.sum(s).alias(s) for s in sums], *firsts)
+    parts = W.partitionBy("_all", *by).orderBy("_part")
+    before = parts.rowsBetween(W.unboundedPreceding, -1)
+    offsets = totals.select(
+        *[F.col(c).alias(f"_b_{c}") for c in by],
+        F.col("_part").alias("_at"),
+        *[F.coalesce(F.sum(s).over(before), F.lit(0)).alias(f"_o_{s}") for s in sums],
+        *([F.lead("_first").over(parts).alias("_next")] if following else []),
     )
-    inner = df.select(
-        "*",
-        *[F.sum(s).over(local).alias(f"_l_{s}") for s in sums],
-        *([F.lead(following).over(rows).alias("_lead")] if following else []),
+    same = reduce(
+        lambda a, c: a & F.col(c).eqNullSafe(F.col(f"_b_{c}")), by, F.col("_part") == F.col("_at")
     )
-    joined = inner.join(offsets, [*by, bucket], "inner")
-    return joined.select(
+    return local.join(offsets, same).select(
         *df.columns,
         *[(F.col(f"_l_{s}") + F.col(f"_o_{s}")).alias(f"cum_{s}") for s in sums],
         *([F.coalesce("_lead", "_next").alias(f"next_{following}")] if following else []),
     )
 
 
-def _brackets(
-    df: DataFrame, columns: Sequence[str], probs: Sequence[float], accuracy: int
-) -> list[tuple]:
-    """Value ranges that certainly hold the wanted ranks: ``feature, slot, lo, hi, below, n``.
+# --- quantiles ------------------------------------------------------------------------
+
+#: Ranges of the first histogram for each doubling of the value.
+RANGES_PER_DOUBLING = 64
+#: Ranges into which every further round cuts a range that is still open.
+RANGES_PER_ROUND = 512
+
+
+class _Range(NamedTuple):
+    """An ordered range of values: its group and column, least and largest value, rows below, rows in it."""
+
+    group: str | None
+    feature: str
+    low: float
+    high: float
+    below: int
+    rows: int
 
-    Few values: one range over everything.  Many values: the sketch at twice
-    its guaranteed error around every probability, overlapping ranges merged.
+
+def first_ranges(df: DataFrame, columns: Sequence[str], by: str | None) -> list[_Range]:
+    """Rows of every column in ranges of equal ratio, zero by itself: one pass over the rows.
+
+    The number of ranges depends on the spread of the values only (a double has 2,100 doublings).
     """
-    wide = [q for p in probs for q in (max(0.0, p - 2 / accuracy), min(1.0, p + 2 / accuracy))]
-    found = sketch(df, columns, [0.0, 1.0, *wide], accuracy)
-    ranges: dict[str, list[list[float]]] = {}
-    for c in columns:
-        n, q = found[c]
-        if not n:
-            continue
-        pairs = [[q[0], q[1]]] if n <= accuracy else sorted([a, b] for a, b in zip(q[2::2], q[3::2]))
-        merged = [list(pairs[0])]
-        for lo, hi in pairs[1:]:
-            if lo <= merged[-1][1]:
-                merged[-1][1] = max(merged[-1][1], hi)
-            else:
-                merged.append([lo, hi])
-        ranges[c] = merged
-    slots = [(c, i, lo, hi) for c, pairs in ranges.items() for i, (lo, hi) in enumerate(pairs)]
-    below: list[int] = []
-    for group in batches(slots, 48):
-        clean = df.select(*[finite(c).alias(c) for c in dict.fromkeys(s[0] for s in group)])
-        below += clean.agg(
-            *[
-                F.expr(f"count(CASE WHEN {quoted(c)} < {number(lo)} THEN 1 END)").alias(f"b{i}")
-                for i, (c, _, lo, _) in enumerate(group)
-            ]
-        ).first()
-    return [(c, i, lo, hi, b, found[c][0]) for (c, i, lo, hi), b in zip(slots, below)]
+    v = F.col("v")
+    # The logarithm never falls when its argument rises, so ranges are ordered as values are.
+    size = F.floor(F.log2(F.abs(v)) * RANGES_PER_DOUBLING) + 80_000
+    place = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+    frames = []
+    for names in batches(columns, 32):
+        frames.append(_long(df, names, by, {}).groupBy("g", "feature", place.alias("place")))
+    found = [f.agg(F.min("v").alias("low"), F.max("v").alias("high"), F.count("*").alias("rows")) for f in frames]
+    rows: dict[tuple, list] = {}
+    for part in found:
+        for r in part.collect():
+            rows.setdefault((r["g"], r["feature"]), []).append((r["place"], r["low"], r["high"], r["rows"]))
+    out = []
+    for (group, feature), ranges in rows.items():
+        below = 0
+        for _, low, high, n in sorted(ranges):
+            out.append(_Range(group, feature, low, high, below, n))
+            below += n
+    return out
+
+
+def _long(df: DataFrame, names: Sequence[str], by: str | None, only: Mapping[str, list[_Range]]) -> DataFrame:
+    """``g, feature, v`` of finite values; with ``only``, of those in one of a column's ranges."""
+    key = F.lit(None).cast("string") if by is None else F.col(by).cast("string")
+    clean = df.select(key.alias("g"), *[finite(c).alias(f"v_{c}") for c in names])
+    if only:
+        picked = []
+        for c in names:
+            x = quoted(f"v_{c}")
+            inside = " OR ".join(
+                f"{x} BETWEEN {number(low)} AND {number(high)}" for low, high in sorted({(r.low, r.high) for r in only[c]})
+            )
+            picked.append(F.expr(f"CASE WHEN {inside} THEN {x} END").alias(f"v_{c}"))
+        clean = clean.select("g", *picked)
+    long = clean.unpivot(["g"], [f"v_{c}" for c in names], "feature", "v").filter(F.col("v").isNotNull())
+    return long.withColumn("feature", F.expr("substring(feature, 3)"))
+
+
+def _inside(long: DataFrame, open_ranges: Sequence[_Range]) -> DataFrame:
+    """The rows of a long table that lie in an open range, with its number (``slot``)."""
+    spark = long.sparkSession
+    # One literal row per open range: columns x probabilities x groups at most.
+    slots = spark.createDataFrame(
+        [(k, r.group, r.feature, r.low, r.high) for k, r in enumerate(open_ranges)],
+        "slot int, sg string, sf string, low double, high double",
+    )
+    met = F.col("g").eqNullSafe(F.col("sg")) & (F.col("feature") == F.col("sf")) & F.col("v").between(F.col("low"), F.col("high"))
+    return long.join(F.broadcast(slots), met)
+
+
+def _cut(inside: DataFrame, open_ranges: Sequence[_Range]) -> list[list[_Range]]:
+    """Every open range in up to ``RANGES_PER_ROUND`` parts; least and largest value never share one."""
+    last = RANGES_PER_ROUND - 1
+    place = F.floor((F.col("v") - F.col("low")) / (F.col("high") - F.col("low")) * last)
+    parts = inside.groupBy("slot", place.alias("place")).agg(
+        F.min("v").alias("least"), F.max("v").alias("largest"), F.sum("n").alias("rows")
+    )
+    found: list[list] = [[] for _ in open_ranges]
+    for r in parts.collect():
+        found[r["slot"]].append((r["place"], r["least"], r["largest"], r["rows"]))
+    out = []
+    for r, ranges in zip(open_ranges, found):
+        below, cut = r.below, []
+        for _, low, high, n in sorted(ranges):
+            cut.append(_Range(r.group, r.feature, low, high, below, n))
+            below += n
+        out.append(cut)
+    return out
+
+
+def _of_rank(ranges: Sequence[_Range], rank: int) -> _Range:
+    return next(r for r in ranges if r.below <= rank < r.below + r.rows)
+
+
+def few_values(
+    df: DataFrame, columns: Sequence[str], most: int, first: Sequence[_Range] | None = None
+) -> dict[str, list[float]]:
+    """The sorted distinct finite values of the columns that have ``most`` of them at most.
+
+    A column is given up as soon as its ranges prove more values, so none is ever listed in full.
+    """
+    held: dict[str, list[_Range]] = {}
+    for r in first_ranges(df, columns, None) if first is None else first:
+        held.setdefault(r.feature, []).append(r)
+    while True:
+        held = {c: ranges for c, ranges in held.items() if sum(1 + (r.low < r.high) for r in ranges) <= most}
+        only = {c: [r for r in ranges if r.low < r.high] for c, ranges in held.items()}
+        only = {c: ranges for c, ranges in only.items() if ranges}
+        if not only:
+            return {c: [r.low for r in ranges] for c, ranges in held.items()}
+        open_ranges = [r for ranges in only.values() for r in ranges]
+        rows = union_all([_long(df, names, None, only) for names in batches(sorted(only), 32)])
+        cut = dict(zip(open_ranges, _cut(_inside(rows.withColumn("n", F.lit(1)), open_ranges), open_ranges)))
+        held = {c: [x for r in ranges for x in cut.get(r, [r])] for c, ranges in held.items()}
 
 
 def quantiles(
     df: DataFrame,
     columns: Sequence[str],
     probs: Sequence[float],
-    accuracy: int = SKETCH_ACCURACY,
+    by: str | None = None,
+    first: Sequence[_Range] | None = None,
 ) -> DataFrame:
-    """Exact linear-interpolated quantiles of the finite values of many columns.
+    """Exact linear-interpolated quantiles of the finite values of many columns, of every group of ``by``.
 
-    A sketch brackets every wanted rank, one wide aggregate counts the values
-    below each bracket, and only values inside brackets are grouped and ranked.
-    The shuffle therefore holds a few hundredths of a percent of the values.
-    Returns ``feature, n_finite, min_value, max_value, q`` (array, one per prob).
+    Two passes read the rows: one counts them in ranges of equal ratio, one cuts the ranges that hold
+    a wanted rank.  The few values in ranges that are open after that are written down, and further
+    rounds read only these.  No values are sorted, and no round's result grows with the rows.
+    Returns ``[by,] feature, n_finite, min_value, max_value, q`` (array, one per prob).
     """
     if not columns:
         raise ValueError("no columns")
     probs = [float(p) for p in probs]
-    brackets = _brackets(df, columns, [0.0, *probs, 1.0], accuracy)
-    ranges: dict[str, list[tuple[float, float]]] = {}
-    for c, _, lo, hi, _, _ in brackets:
-        ranges.setdefault(c, []).append((lo, hi))
-    frames = []
-    for names in batches(ranges, 32):
-        clean = df.select(*[finite(c).alias(c) for c in names])
-        kept = clean.select(
-            *[
-                F.expr(
-                    "CASE WHEN "
-                    + " OR ".join(
-                        f"{quoted(c)} BETWEEN {number(lo)} AND {number(hi)}" for lo, hi in ranges[c]
-                    )
-                    + f" THEN {quoted(c)} END"
-                ).alias(c)
-                for c in names
-            ]
-        )
-        frames.append(kept.unpivot([], list(names), "feature", "v"))
-    spark = df.sparkSession
-    slots = spark.createDataFrame(
-        brackets, "slot_feature string, slot int, lo double, hi double, below long, n_finite long"
-    )
-    if not frames:
-        empty = "feature string, n_finite long, min_value double, max_value double, q array<double>"
-        return spark.createDataFrame([], empty)
-    counted = (
-        union_all(frames).filter(F.col("v").isNotNull()).groupBy("feature", "v").agg(F.count("*").alias("n"))
-    )
-    # One literal row per bracket: a small broadcast side.
-    inside = (F.col("feature") == F.col("slot_feature")) & F.col("v").between(F.col("lo"), F.col("hi"))
-    order = W.partitionBy("feature", "slot").orderBy("v").rowsBetween(W.unboundedPreceding, 0)
-    ranked = (
-        counted.join(F.broadcast(slots), inside)
-        .withColumn("end", F.col("below") + F.sum("n").over(order))
-        .withColumn("first", F.col("end") - F.col("n"))
-    )
+    held: dict[tuple, list[_Range]] = {}
+    for r in first_ranges(df, columns, by) if first is None else first:
+        held.setdefault((r.group, r.feature), []).append(r)
+    total = {k: sum(r.rows for r in ranges) for k, ranges in held.items()}
 
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("first") <= rank) & (rank < F.col("end")), F.col("v")))
+    def ranks(n: int) -> set[int]:
+        return {r for p in probs for r in (math.floor((n - 1) * p), math.ceil((n - 1) * p))}
 
-    parts = []
-    for i, p in enumerate(probs):
-        pos = (F.col("n_finite") - 1) * F.lit(p)
-        parts += [at(F.floor(pos)).alias(f"a{i}"), at(F.ceil(pos)).alias(f"b{i}")]
-    summary = ranked.groupBy("feature", "n_finite").agg(
-        F.min("v").alias("min_value"), F.max("v").alias("max_value"), *parts
-    )
-    interpolated = []
-    missed = F.raise_error(F.lit("quantile outside its sketch bracket")).cast("double")
-    for i, p in enumerate(probs):
-        pos = (F.col("n_finite") - 1) * F.lit(p)
-        a, b = F.col(f"a{i}"), F.col(f"b{i}")
-        value = a + (b - a) * (pos - F.floor(pos))
-        interpolated.append(F.when(value.isNull(), missed).otherwise(value))
-    return summary.select(
-        "feature", "n_finite", "min_value", "max_value", F.array(*interpolated).alias("q")
-    )
+    at = {(k, rank): _of_rank(ranges, rank) for k, ranges in held.items() for rank in ranks(total[k])}
+    rest: DataFrame | None = None
+    rounds = 0
+    while open_ranges := sorted({r for r in at.values() if r.low < r.high}, key=repr):
+        if rest is None:
+            only: dict[str, list[_Range]] = {}
+            for r in open_ranges:
+                only.setdefault(r.feature, []).append(r)
+            rows = union_all([_long(df, names, by, only) for names in batches(sorted(only), 32)])
+            if rounds:
+                rows = staged(rows.groupBy("g", "feature", "v").agg(F.count("*").alias("n")), "ranks")
+                rest = rows
+            else:
+                rows = rows.withColumn("n", F.lit(1).cast("long"))
+        else:
+            rows = rest
+        cut = dict(zip(open_ranges, _cut(_inside(rows, open_ranges), open_ranges)))
+        at = {k: _of_rank(cut[r], k[1]) if r in cut else r for k, r in at.items()}
+        rounds += 1
+    rows_out = []
+    for key, ranges in held.items():
+        n, q = total[key], []
+        for p in probs:
+            place = (n - 1) * p
+            a, b = at[key, math.floor(place)].low, at[key, math.ceil(place)].low
+            q.append(a + (b - a) * (place - math.floor(place)))
+        ends = (ranges[0].low, ranges[-1].high)
+        rows_out.append((key[0], key[1], n, *ends, q))
+    names = "feature string, n_finite long, min_value double, max_value double, q array<double>"
+    out = df.sparkSession.createDataFrame(rows_out, f"{quoted(by) if by else '_g'} string, {names}")
+    return out if by else out.drop("_g")
 
 
 def quantile_lists(df: DataFrame) -> dict[str, dict]:
@@ -237,5 +314,4 @@ def quantile_lists(df: DataFrame) -> dict[str, dict]:
             "q": [float(v) for v in r["q"]],
         }
         for r in df.collect()
-        if r["n_finite"] and not math.isnan(r["min_value"])
     }

@@ -19,15 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from scorewatch.functions.expr import (
-    bucket_by_feature,
     explode_structs,
     finite,
     kept,
     long_bins,
     number,
     quoted,
+    small_table,
 )
-from scorewatch.functions.ranks import bucketed, quantile_lists, quantiles, running_totals
+from scorewatch.functions.ranks import quantile_lists, quantiles, running_totals
 from scorewatch.functions.stats import rule_metrics
 from scorewatch.operators.contract import require_columns
 from scorewatch.roles import (
@@ -88,45 +88,34 @@ def eligible_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
     )
 
 
-def value_counts(df: DataFrame, features: Sequence[str], target: str) -> DataFrame:
-    """Rows and bads per feature and distinct single-precision value."""
+def value_counts(df: DataFrame, features: Sequence[str], target: str, by: str | None = None) -> DataFrame:
+    """Rows and bads per group, feature and distinct single-precision value."""
     clean = df.select(
+        group_key(by),
         (F.col(target) == 1).cast("long").alias("_bad"),
         *[finite(c).cast("float").alias(f"_v_{c}") for c in features],
     )
     return (
-        clean.unpivot(["_bad"], [f"_v_{c}" for c in features], "feature", "v")
+        clean.unpivot(["g", "_bad"], [f"_v_{c}" for c in features], "feature", "v")
         .filter(F.col("v").isNotNull())
-        .groupBy(F.expr("substring(feature, 4)").alias("feature"), "v")
+        .groupBy("g", F.expr("substring(feature, 4)").alias("feature"), "v")
         .agg(F.count("*").alias("n"), F.sum("_bad").alias("bad"))
         .withColumn("v", F.col("v").cast("double"))
     )
 
 
-def best_splits(
-    counts: DataFrame, nodes: Sequence[str], min_leaf: int, *, balanced: bool = False
-) -> DataFrame:
-    """Best Gini split per node: ``feature, nodes..., threshold``.
+def group_key(by: str | None) -> Column:
+    """The group a row belongs to (``g``); without ``by`` all rows are one group."""
+    return F.lit("").alias("g") if by is None else F.coalesce(F.col(by).cast("string"), F.lit("None")).alias("g")
+
 
-    ``counts`` has ``feature, v, n, bad, bucket`` (and the node keys).  Class
-    totals run along the sorted values, bucket by bucket; the first best value
-    wins and the threshold is the midpoint to the next value.  With
-    ``balanced`` the classes of a feature weigh the same.
+def _best_splits(run: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Best Gini split per node: ``keys..., threshold, left_n, left_bad``.
+
+    ``run`` has class totals up to every sorted value (``cum_n, cum_bad``), the next value, and per
+    node its totals, weights and smallest leaf.  The first best value wins; the threshold is the
+    midpoint to the next value.
     """
-    keys = ["feature", *nodes]
-    totals = counts.groupBy(*keys).agg(F.sum("n").alias("n_all"), F.sum("bad").alias("bad_all"))
-    weights = W.partitionBy("feature")
-    feature_n, feature_bad = F.sum("n_all").over(weights), F.sum("bad_all").over(weights)
-    one = F.lit(1.0)
-    totals = totals.withColumns(
-        {
-            "w1": feature_n / (2 * feature_bad) if balanced else one,
-            "w0": feature_n / (2 * (feature_n - feature_bad)) if balanced else one,
-        }
-    ).filter((F.col("bad_all") > 0) & (F.col("bad_all") < F.col("n_all")))
-    run = running_totals(
-        counts, by=keys, bucket="bucket", order=["v"], sums=["n", "bad"], following="v"
-    ).join(totals, keys)
 
     def purity(n: Column, bad: Column) -> Column:
         b, g = bad * F.col("w1"), (n - bad) * F.col("w0")
@@ -135,8 +124,10 @@ def best_splits(
     left_n, left_bad = F.col("cum_n"), F.col("cum_bad")
     right_n, right_bad = F.col("n_all") - left_n, F.col("bad_all") - left_bad
     allowed = (
-        (left_n >= min_leaf)
-        & (right_n >= min_leaf)
+        (F.col("bad_all") > 0)
+        & (F.col("bad_all") < F.col("n_all"))
+        & (left_n >= F.col("leaf"))
+        & (right_n >= F.col("leaf"))
         & (right_n > 0)
         & (F.col("next_v") > F.col("v") + SPLIT_TOLERANCE)
     )
@@ -148,35 +139,67 @@ def best_splits(
             (purity(left_n, left_bad) + purity(right_n, right_bad)).alias("gain"),
             (-F.col("v")).alias("first"),
             threshold.alias("threshold"),
+            left_n.alias("left_n"),
+            left_bad.alias("left_bad"),
         ).alias("s"),
     )
-    return scored.groupBy(*keys).agg(F.max("s").alias("s")).select(*keys, "s.threshold")
+    found = scored.groupBy(*keys).agg(F.max("s").alias("s"))
+    return found.select(*keys, "s.threshold", "s.left_n", "s.left_bad")
 
 
 def tree_thresholds(
     df: DataFrame,
     features: Sequence[str],
     target: str,
-    min_leaf: int,
+    min_leaf: int | Mapping[str, int],
     *,
     balanced: bool = False,
-) -> dict[str, list[float]]:
-    """Split points of a depth-2 Gini tree on every single feature, by exact search."""
+    by: str | None = None,
+) -> dict:
+    """Split points of a depth-2 Gini tree on every single feature, by exact search.
+
+    Distinct values are put in order once, for all features and groups; totals up to each value give
+    the first split, and the same totals less those of the left side give the splits of both sides.
+    With ``balanced`` the classes of a feature weigh the same.  Keys of the result are features, with
+    ``by`` pairs of group and feature; ``min_leaf`` may differ by group.
+    """
     if not features:
         return {}
-    # A table of distinct values, for the three passes that follow.
-    counts = bucketed(staged(value_counts(df, features, target), "values"), "v", "feature")
-    root = {
-        r["feature"]: r["threshold"]
-        for r in best_splits(counts, [], min_leaf, balanced=balanced).collect()
-    }
-    found = {f: [t] for f, t in root.items()}
-    if root:
-        side = bucket_by_feature("feature", "v", {f: [t] for f, t in root.items()}, closed="right")
-        children = counts.filter(F.col("feature").isin(list(root))).withColumn("node", side)
-        for r in best_splits(children, ["node"], min_leaf, balanced=balanced).collect():
-            found[r["feature"]].append(r["threshold"])
-    return {f: sorted(t) for f, t in found.items()}
+    counts = staged(value_counts(df, features, target, by), "values")
+    run = running_totals(counts, by=["g", "feature"], order=["v"], sums=["n", "bad"], following="v")
+    leaf = F.lit(min_leaf) if isinstance(min_leaf, int) else F.create_map(
+        *[F.lit(x) for pair in min_leaf.items() for x in pair]
+    )[F.col("g")]
+    one = F.lit(1.0)
+    totals = run.groupBy("g", "feature").agg(F.max("cum_n").alias("n_all"), F.max("cum_bad").alias("bad_all"))
+    totals = totals.withColumns(
+        {
+            "w1": F.col("n_all") / F.nullif(2 * F.col("bad_all"), F.lit(0)) if balanced else one,
+            "w0": F.col("n_all") / F.nullif(2 * (F.col("n_all") - F.col("bad_all")), F.lit(0)) if balanced else one,
+            "leaf": leaf,
+        }
+    )
+    # A row per group and feature, read by both searches.
+    totals = small_table(totals)
+    rows = run.join(F.broadcast(totals), ["g", "feature"])
+    root = small_table(_best_splits(rows, ["g", "feature"]))
+    found: dict[tuple, list] = {(r["g"], r["feature"]): [r["threshold"]] for r in root.collect()}
+    if found:
+        right = F.col("v") > F.col("threshold")
+
+        def side(total: str, left: str) -> Column:
+            return F.when(right, F.col(total) - F.col(left)).otherwise(F.col(left))
+
+        children = rows.join(F.broadcast(root), ["g", "feature"]).select(
+            "g", "feature", "v", "next_v", "w1", "w0", "leaf", right.alias("node"),
+            (F.col("cum_n") - F.when(right, F.col("left_n")).otherwise(0)).alias("cum_n"),
+            (F.col("cum_bad") - F.when(right, F.col("left_bad")).otherwise(0)).alias("cum_bad"),
+            side("n_all", "left_n").alias("n_all"),
+            side("bad_all", "left_bad").alias("bad_all"),
+        )
+        for r in _best_splits(children, ["g", "feature", "node"]).collect():
+            found[r["g"], r["feature"]].append(r["threshold"])
+    return {k if by else k[1]: sorted(t) for k, t in found.items()}
 
 
 def boosted_thresholds(

@@ -16,7 +16,7 @@ from scorewatch.functions.expr import (
     rule_sql,
     union_all,
 )
-from scorewatch.functions.ranks import bucketed, running_totals
+from scorewatch.functions.ranks import running_totals
 from scorewatch.functions.stats import ks_p_value, rule_metrics
 from scorewatch.roles import ContractError, Rule
 from scorewatch.sources.scratch import staged
@@ -88,7 +88,7 @@ def score_separation(
     """Two-sample KS of a score between bads and goods; one row.
 
     Rows are first counted per distinct score, then running class totals are
-    taken bucket by bucket, so neither a hot score nor many distinct scores
+    taken over ranges of scores, so neither a hot score nor many distinct scores
     end up in one task.  The sign is taken at the lowest score that reaches the
     largest distance.
     """
@@ -110,15 +110,13 @@ def score_separation(
             *none, *literals, F.lit(NO_SEPARATION).alias("limitation"),
             F.lit(None).cast("double").alias("p_value"),
         )
-    per_score = staged(
+    per_score = (
         rows.filter(F.col("_s").isNotNull())
         .groupBy("_s")
-        .agg(F.count_if("_bad").alias("bad"), F.count_if(~F.col("_bad")).alias("good")),
-        "scores",
-    )
-    cumulative = running_totals(
-        bucketed(per_score, "_s"), bucket="bucket", order=["_s"], sums=["bad", "good"]
+        .agg(F.count_if("_bad").alias("bad"), F.count_if(~F.col("_bad")).alias("good"))
     )
+    # The table is small beside the rows, but sampling its ranges would compute it twice.
+    cumulative = running_totals(staged(per_score, "scores"), order=["_s"], sums=["bad", "good"])
     gap = F.col("cum_good") / F.lit(n_good) - F.col("cum_bad") / F.lit(n_bad)
     best = cumulative.select(
         F.struct(F.abs(gap).alias("d"), (-F.col("_s")).alias("s"), gap.alias("g")).alias("x")

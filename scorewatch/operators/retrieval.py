@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from scorewatch.sources.scratch import staged
+
 
 # Fixed value: a term starts with a letter and has 2 to 64 word characters or hyphens.
 TERM = r"(?U)\b[^\W\d_][\w-]{1,63}\b"
@@ -77,42 +87,206 @@ def tfidf(postings: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def search(documents: DataFrame, queries: DataFrame, *, limit: int = 5) -> DataFrame:
-    """Best ``limit`` citations of every query inside its scope.
+#: Documents of a block, about.
+BLOCK = 128
+#: Queries that are answered together; their weights and k-th scores are all that the driver holds.
+QUERY_BATCH = 512
+#: Block and query pairs up to which the documents are filtered by a broadcast join; about 4 MB.
+BROADCAST_PAIRS = 100_000
+#: Bounds are sums of doubles in another order than scores; this covers the difference.
+SLACK = 1e-9
+
+
+class Index(NamedTuple):
+    """``vectors`` (a row per document: parallel arrays of terms and weights, and its block),
+    ``blocks`` (a row per block: its terms and the largest weight of each), ``idf`` (scope, term)."""
+
+    vectors: DataFrame
+    blocks: DataFrame
+    idf: DataFrame
 
-    ``queries`` has ``query_id, scope, text``.  The cosine is clamped to [0, 1],
-    rounded to 12 digits and must be positive; equal scores order by citation
-    id.  How the query terms meet the postings is left to the optimizer, which
-    splits frequent terms; the ranking keeps ``limit`` rows per query before its
-    shuffle.
+
+def build_index(documents: DataFrame, *, size: int = BLOCK) -> Index:
+    """Inverted index in blocks over one row per document, written to the shared folder.
+
+    A document keeps its whole weighted term map in one row.  Documents of a scope with about the same number
+    of terms have weights of about the same size; they share blocks, so that the largest weight of a
+    block says something about all its documents.
     """
-    if not 1 <= limit <= 100:
-        raise ValueError("limit must be between 1 and 100")
-    postings = term_counts(documents, "scope", "citation_id")
-    idf = inverse_frequency(postings, documents)
-    norms = document_norms(postings, idf)
-    asked = term_counts(queries, "query_id", "scope").withColumnRenamed("tf", "qtf")
-    weighted = asked.join(idf, ["scope", "term"]).withColumn("qw", F.col("qtf") * F.col("idf"))
-    lengths = weighted.groupBy("query_id", "scope").agg(
-        F.sqrt(F.sum(F.col("qw") * F.col("qw"))).alias("qnorm")
+    postings = staged(term_counts(documents, "scope", "citation_id"), "postings")
+    idf = staged(inverse_frequency(postings, documents), "idf")
+    weight = F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))
+    maps = (
+        postings.join(idf, ["scope", "term"])
+        .groupBy("scope", "citation_id")
+        .agg(F.array_sort(F.collect_list(weight)).alias("map"))
     )
-    dots = (
-        postings.join(weighted, ["scope", "term"])
-        .groupBy("query_id", "scope", "citation_id")
-        .agg(F.sum(F.col("tf") * F.col("idf") * F.col("qw")).alias("dot"))
+    norm = F.sqrt(F.aggregate("map", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
+    maps = maps.withColumn("norm", norm).select(
+        "scope",
+        "citation_id",
+        F.col("map.term").alias("terms"),
+        F.transform("map", lambda x: x["w"] / F.col("norm")).alias("weights"),
+        F.floor(2 * F.log2(F.size("map"))).cast("int").alias("kind"),
     )
-    cosine = F.col("dot") / (F.col("norm") * F.col("qnorm"))
-    score = F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), cosine)), 12)
-    scored = (
-        dots.join(norms, ["scope", "citation_id"])
-        .join(lengths, ["query_id", "scope"])
-        .select("query_id", "scope", "citation_id", score.alias("score"))
-        .filter(F.col("score") > 0)
+    maps = staged(maps, "maps")
+    # One row per scope and kind of length: a few dozen.
+    kinds = maps.groupBy("scope", "kind").agg(F.ceil(F.count("*") / size).alias("parts"))
+    part = F.pmod(F.xxhash64("citation_id"), F.col("parts"))
+    vectors = maps.join(kinds, ["scope", "kind"]).select(
+        "scope", F.struct("kind", part.alias("part")).alias("block"), "citation_id", "terms", "weights"
     )
+    vectors = staged(vectors.repartition("scope", "block").sortWithinPartitions("scope", "block"), "vectors")
+    largest = vectors.select("scope", "block", F.explode(F.arrays_zip("terms", "weights")).alias("x"))
+    largest = largest.groupBy("scope", "block", F.col("x.terms").alias("term")).agg(F.max("x.weights").alias("w"))
+    blocks = largest.groupBy("scope", "block").agg(F.collect_list(F.struct("term", "w")).alias("map"))
+    blocks = blocks.select("scope", "block", F.col("map.term").alias("terms"), F.col("map.w").alias("weights"))
+    return Index(vectors, staged(blocks, "blocks"), idf)
+
+
+class _Asked(NamedTuple):
+    """Queries of one scope: their numbers, all their terms, and weights as terms x queries."""
+
+    numbers: list[int]
+    terms: list[str]
+    weights: np.ndarray
+
+
+def _asked(index: Index, queries: list[tuple]) -> dict:
+    """Normalised query vectors by scope; terms that no document of the scope has do not count."""
+    spark = index.idf.sparkSession
+    rows = spark.createDataFrame([(n, scope, text) for n, (_, scope, text) in enumerate(queries)], "n int, scope string, text string")
+    counted = term_counts(rows, "n", "scope").join(index.idf, ["scope", "term"])
+    found: dict = {}
+    for r in counted.select("scope", "n", "term", (F.col("tf") * F.col("idf")).alias("w")).collect():
+        found.setdefault(r["scope"], []).append((r["n"], r["term"], r["w"]))
+    out = {}
+    for scope, entries in found.items():
+        numbers, terms = sorted({e[0] for e in entries}), sorted({e[1] for e in entries})
+        at, row = {n: k for k, n in enumerate(numbers)}, {t: k for k, t in enumerate(terms)}
+        weights = np.zeros((len(terms), len(numbers)))
+        for n, term, w in entries:
+            weights[row[term], at[n]] = w
+        out[scope] = _Asked(numbers, terms, weights / np.sqrt((weights**2).sum(axis=0)))
+    return out
+
+
+def _products(batch: pa.RecordBatch, asked: dict) -> Iterator[tuple[np.ndarray, _Asked, np.ndarray]]:
+    """For each scope: row numbers of the batch, its queries, and term maps times query weights."""
+    scopes = np.array(batch.column("scope").to_pylist(), dtype=object)
+    for scope, own in asked.items():
+        rows = np.flatnonzero(scopes == scope)
+        for first in range(0, len(rows), 1024):
+            part = rows[first : first + 1024]
+            picked = batch.take(pa.array(part))
+            terms, weights = picked.column("terms"), picked.column("weights").flatten().to_numpy()
+            column = pc.index_in(terms.flatten(), value_set=pa.array(own.terms, terms.type.value_type))
+            line = np.repeat(np.arange(len(part)), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
+            known = column.is_valid().to_numpy(zero_copy_only=False)
+            dense = np.zeros((len(part), len(own.terms)))
+            dense[line[known], column.drop_null().to_numpy()] = weights[known]
+            yield part, own, dense @ own.weights
+
+
+def _bounds(index: Index, asked: dict, least: dict[int, float], keep: int | None) -> DataFrame:
+    """Blocks and the queries (``numbers``) whose score a document of the block may reach ``least``.
+
+    With ``keep``, only the so many best blocks of each query, and whether they are all that reach it.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, own, bounds in _products(batch, asked):
+                wanted = (bounds > 0) & (bounds + SLACK >= np.array([least.get(n, 0.0) for n in own.numbers]))
+                line, query = np.nonzero(wanted)
+                picked = batch.select(["scope", "block"]).take(pa.array(part[line]))
+                numbers = np.array(own.numbers, dtype=np.int32)[query]
+                yield pa.RecordBatch.from_arrays(
+                    [*picked.columns, pa.array(numbers), pa.array(bounds[line, query])], ["scope", "block", "n", "bound"]
+                )
+
+    block = index.blocks.schema["block"].dataType.simpleString()
+    found = index.blocks.mapInArrow(rows, f"scope string, block {block}, n int, bound double")
+    if keep is not None:
+        best = W.partitionBy("n").orderBy(F.desc("bound"), "block")
+        found = found.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= keep)
+    return found.groupBy("scope", "block").agg(F.collect_list("n").alias("numbers"))
+
+
+def _best(index: Index, asked: dict, wanted: DataFrame, limit: int) -> DataFrame:
+    """The ``limit`` best documents of the wanted blocks: ``n, score, scope, citation_id``.
+
+    Scores are computed where the documents are; a task passes on ``limit`` rows per query.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["n", "score", "scope", "citation_id"]
+        best: dict[int, list] = {}
+        for batch in batches:
+            lists = batch.column("numbers").to_pylist()
+            ids, scopes = batch.column("citation_id").to_pylist(), batch.column("scope").to_pylist()
+            for part, own, cosine in _products(batch, asked):
+                scores = np.round(np.clip(cosine, 0.0, 1.0), 12)
+                at = {n: k for k, n in enumerate(own.numbers)}
+                may = np.zeros(scores.shape, dtype=bool)
+                for line, row in enumerate(part.tolist()):
+                    may[line, [at[n] for n in lists[row]]] = True
+                scores[~may] = 0.0
+                for k in np.flatnonzero(scores.any(axis=0)).tolist():
+                    column = scores[:, k]
+                    edge = np.partition(column, -limit)[-limit] if len(column) > limit else 0.0
+                    lines = np.flatnonzero((column >= edge) & (column > 0)).tolist()
+                    ranks = best.setdefault(own.numbers[k], [])
+                    ranks += [(-float(column[x]), ids[part[x]], scopes[part[x]]) for x in lines]
+                    ranks.sort(key=lambda r: r[:2])
+                    del ranks[limit:]
+        flat = [(n, -score, scope, citation) for n, ranks in best.items() for score, citation, scope in ranks]
+        kinds = (pa.int32(), pa.float64(), pa.string(), pa.string())
+        columns = zip(*flat) if flat else ([],) * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    if wanted.limit(BROADCAST_PAIRS + 1).count() <= BROADCAST_PAIRS:
+        wanted = F.broadcast(wanted)
+    joined = index.vectors.join(wanted, ["scope", "block"]).select("scope", "citation_id", "terms", "weights", "numbers")
+    found = joined.mapInArrow(rows, "n int, score double, scope string, citation_id string")
+    order = W.partitionBy("n").orderBy(F.desc("score"), "citation_id")
+    return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("rank")
+
+
+def ask(index: Index, documents: DataFrame, queries: DataFrame, *, limit: int = 5, first_blocks: int = 4) -> DataFrame:
+    """Best ``limit`` citations of every query inside its scope, from a built index.
+
+    ``queries`` has ``query_id, scope, text``.  The cosine is clamped to [0, 1], rounded to 12 digits
+    and must be positive; equal scores order by citation id.  The documents of the few blocks with the
+    highest bound give every query a k-th score; then only blocks whose bound reaches it are read.
+    """
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be between 1 and 100")
+    spark = index.vectors.sparkSession
+    kinds = {f.name: f.dataType.simpleString() for f in queries.schema}
+    pending = queries.select("query_id", F.col("scope").cast("string"), "text").toLocalIterator()
+    answers = []
+    while part := [tuple(r) for r in islice(pending, QUERY_BATCH)]:
+        asked = _asked(index, part)
+        first = staged(_best(index, asked, staged(_bounds(index, asked, {}, first_blocks), "blocks"), limit), "best")
+        kth = first.groupBy("n").agg(F.count("*").alias("found"), F.min("score").alias("score")).collect()
+        least = {r["n"]: r["score"] for r in kth if r["found"] == limit}
+        # Blocks of the first round are read again: their documents compete with the others for each place.
+        best = _best(index, asked, staged(_bounds(index, asked, least, None), "blocks"), limit)
+        names = spark.createDataFrame([(n, q[0]) for n, q in enumerate(part)], f"n int, query_id {kinds['query_id']}")
+        answers.append(staged(best.join(F.broadcast(names), "n").drop("n"), "answers"))
+    if not answers:
+        empty = spark.createDataFrame([], f"score double, scope string, citation_id string, query_id {kinds['query_id']}")
+        answers = [empty]
     order = W.partitionBy("query_id", "scope").orderBy(F.desc("score"), "citation_id")
-    top = scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
+    ranked = reduce(DataFrame.unionAll, answers).withColumn("rank", F.row_number().over(order))
     ids = documents.select("scope", "citation_id", "document_id", "content_hash")
-    return top.join(ids, ["scope", "citation_id"])
+    return ranked.join(ids, ["scope", "citation_id"])
+
+
+def search(documents: DataFrame, queries: DataFrame, *, limit: int = 5) -> DataFrame:
+    """:func:`ask` on an index built for this call."""
+    return ask(build_index(documents), documents, queries, limit=limit)
 
 
 def replace_scope(documents: DataFrame, path: str) -> None:

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from scorewatch.functions.expr import day_of
-from scorewatch.functions.ranks import bucketed, running_totals
+from scorewatch.functions.ranks import running_totals
 from scorewatch.roles import SEED
 from scorewatch.sources.scratch import staged
 
@@ -138,9 +138,7 @@ def period_split(
     keep = max(1, min(n - 1, n * 7 // 10))
     place = F.col(order_by).cast("double")
     counted = staged(df.groupBy(place.alias("_k")).agg(F.count("*").alias("n")), "order")
-    ranked = running_totals(
-        bucketed(counted.filter(F.col("_k").isNotNull()), "_k"), bucket="bucket", order=["_k"], sums=["n"]
-    )
+    ranked = running_totals(counted.filter(F.col("_k").isNotNull()), order=["_k"], sums=["n"])
     missing = counted.filter(F.col("_k").isNull()).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     # Rows without an order value come first, as nulls do.
     edge = ranked.filter(F.col("cum_n") + missing > keep).agg(F.min(F.struct("_k", "cum_n", "n")).alias("e")).first()["e"]

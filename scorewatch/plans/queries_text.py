@@ -165,7 +165,10 @@ IDF_SQL = (
 
 @query(
     "n3_tfidf",
-    f"WITH {IDF_SQL} SELECT scope, citation_id, term, {r6('tf * idf / norm')} AS weight FROM post JOIN idf USING (scope, term) JOIN norms USING (scope, citation_id)",
+    "WITH " + CORPUS_SQL + ", " + TERMS_SQL.format(key="scope, citation_id", src="corpus", name="post")
+    + f""", sizes AS (SELECT scope, count(*) AS n FROM corpus GROUP BY 1),
+ w AS (SELECT scope, citation_id, term, tf * (ln((1 + n)::DOUBLE / (1 + count(*) OVER (PARTITION BY scope, term))) + 1) AS w FROM post JOIN sizes USING (scope))
+ SELECT scope, citation_id, term, {r6('w / sqrt(sum(w * w) OVER (PARTITION BY scope, citation_id))')} AS weight FROM w""",
 )
 def _(spark, sf):
     documents = corpus(spark, sf)

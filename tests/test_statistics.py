@@ -116,8 +116,12 @@ def test_score_separation_with_many_values(spark):
     assert r.signed_statistic == pytest.approx(gap[np.argmax(np.abs(gap))])
 
 
-@pytest.mark.parametrize("accuracy", [20, 100, 10_000])
-def test_quantiles_equal_numpy(spark, accuracy):
+@pytest.mark.parametrize("ranges", [(64, 512), (1, 2), (3, 7)])
+def test_quantiles_equal_numpy(spark, monkeypatch, ranges):
+    from scorewatch.functions import ranks
+
+    monkeypatch.setattr(ranks, "RANGES_PER_DOUBLING", ranges[0])
+    monkeypatch.setattr(ranks, "RANGES_PER_ROUND", ranges[1])
     rng = np.random.default_rng(3)
     n = 4000
     data = {
@@ -127,29 +131,58 @@ def test_quantiles_equal_numpy(spark, accuracy):
         "flat": np.full(n, 2.5),
         "holes": np.where(rng.uniform(size=n) < 0.3, np.nan, rng.uniform(size=n)),
     }
+    if ranges[1] > 2:
+        data["close"] = 1e6 + rng.integers(0, 50, n) * 2.0**-30
+        data["wide"] = np.sign(rng.normal(size=n)) * 10.0 ** rng.integers(-320, 308, n)
     data["holes"][0] = np.inf
     df = spark.createDataFrame(pd.DataFrame(data)).repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.9, 1.0]
-    got = quantile_lists(quantiles(df, list(data), probs, accuracy))
+    got = quantile_lists(quantiles(df, list(data), probs))
     for name, values in data.items():
         finite = values[np.isfinite(values)]
         assert got[name]["n"] == len(finite)
+        assert (got[name]["min"], got[name]["max"]) == (finite.min(), finite.max())
         assert got[name]["q"] == pytest.approx(list(np.quantile(finite, probs)), rel=1e-12)
 
 
+def test_quantiles_by_group_and_few_values(spark):
+    from scorewatch.functions.ranks import few_values
+
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"g": rng.choice(["a", "b", "c"], 3000), "x": rng.normal(size=3000), "k": rng.integers(0, 5, 3000) * 0.1})
+    df = spark.createDataFrame(pdf)
+    for r in quantiles(df, ["x", "k"], [0.25, 0.5], by="g").collect():
+        own = pdf.loc[pdf["g"] == r["g"], r["feature"]]
+        assert r["n_finite"] == len(own) and list(r["q"]) == pytest.approx(list(own.quantile([0.25, 0.5])))
+    assert few_values(df, ["x", "k"], 5) == {"k": sorted(pdf["k"].unique())}
+    assert few_values(df, ["x", "k"], 4) == {}
+
+
 def test_quantiles_of_tiny_and_empty_columns(spark):
     df = rows(spark, [(1.0, None), (2.0, None), (4.0, None)], "a double, b double")
     got = quantile_lists(quantiles(df, ["a", "b"], [0.25, 0.5]))
     assert got["a"]["q"] == [1.5, 2.0] and "b" not in got
 
 
-def test_running_totals_cross_buckets(spark):
-    pdf = pd.DataFrame({"v": range(30), "n": [(i * 7) % 5 for i in range(30)]})
-    pdf["b"] = pdf["v"] // 8
-    df = spark.createDataFrame(pdf)
-    got = running_totals(df, bucket="b", order=["v"], sums=["n"], following="v").orderBy("v").collect()
-    assert [r.cum_n for r in got] == list(pdf["n"].cumsum())
-    assert [r.next_v for r in got] == [*range(1, 30), None]
+@pytest.mark.parametrize("parts", [1, 7, 60])
+def test_running_totals_cross_partitions(spark, parts):
+    rng = np.random.default_rng(parts)
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        pdf = pd.DataFrame({"f": rng.choice(["a", "b", "c", None], 500, p=[0.9, 0.05, 0.03, 0.02]), "v": rng.permutation(500), "n": rng.integers(0, 5, 500), "w": rng.uniform(size=500)})
+        got = running_totals(spark.createDataFrame(pdf).repartition(5), by=["f"], order=["v"], sums=["n", "w"], following="v").toPandas()
+        assert len(got) == 500
+        for _, own in got.sort_values("v").groupby("f", dropna=False):
+            assert list(own["cum_n"]) == list(own["n"].cumsum())
+            assert list(own["cum_w"]) == pytest.approx(list(own["w"].cumsum()))
+            assert list(own["next_v"])[:-1] == list(own["v"])[1:] and own["next_v"].isna().iloc[-1]
+        whole = running_totals(spark.createDataFrame(pdf), order=["v"], sums=["n"], following="v").toPandas().sort_values("v")
+        assert list(whole["cum_n"]) == list(pdf.sort_values("v")["n"].cumsum())
+        assert list(whole["next_v"])[:-1] == list(range(1, 500))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
 
 
 def test_class_weights(spark):
@@ -184,16 +217,3 @@ def test_feature_names_are_never_cut(spark):
     df = spark.createDataFrame([(1.0, 5.0), (2.0, 6.0)], f"{a} double, {b} double")
     rows = long_bins(df, {a: [1.5], b: [5.5]}).groupBy("feature", "bin").count().collect()
     assert {(r["feature"], r["bin"]) for r in rows} == {(x, k) for x in (a, b) for k in (0, 1)}
-
-
-def test_buckets_follow_distinct_values(spark):
-    from scorewatch.functions.ranks import bucketed
-
-    rows = [(f"f{k}", float(v)) for k in range(200) for v in range(40)]
-    df = spark.createDataFrame(rows, "feature string, v double")
-    found = bucketed(df, "v", "feature", size=10).groupBy("feature", "bucket").count().collect()
-    assert max(r["count"] for r in found) <= 4 and len({r["feature"] for r in found}) == 200
-    # 99 rows of 100 hold one value: it is one value among the others.
-    zeros = spark.createDataFrame([(0.0,)] * 9900 + [(float(v),) for v in range(1, 101)], "v double")
-    counts = bucketed(zeros.groupBy("v").count(), "v", size=10)
-    assert max(r["n"] for r in counts.groupBy("bucket").agg(F.count("*").alias("n")).collect()) <= 10

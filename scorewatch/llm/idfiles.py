@@ -24,11 +24,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,16 +42,44 @@ FORMAT = 1
 #: Ids of a shard; its arrays take about 40 bytes an id while it is compressed.
 SHARD_IDS = 1 << 20
 #: Slots in which pairs are counted; pairs of one slot share their count, which only guides the choice.
-_SLOTS = 1 << 20
-_MEMO = 400_000
+_SLOT_BITS = 18
+_MEMO = 1_000_000
+#: Documents that are encoded together.
+_DOCS = 2000
 _NO_ID = -(1 << 63)
 #: A blank with no white space beside it: the splitter of the vocabulary always cuts in front of it.
 _BLANK = re.compile(r"(?<=\S) (?=\S)")
-_SPACES = re.compile(r"[^\S ]|  |^ | $")
+_SPACE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+_BESIDE = rf"{_SPACE}{_SPACE}|\A{_SPACE}|{_SPACE}\z"
+#: Runs of Latin letters, which the splitter takes whole, with a blank in front of them.
+_RUN = r"( ?[a-zA-Z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)"
+#: Parts that are not cut at letters: with an apostrophe (a shortened word may follow), blanks, or other signs.
+_UNCUT = r"['\x00-\x08\x0b\x0c\x0e-\x20\x7f-\x{a0}]|[^\x00-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}]"
+_LATIN = re.compile("[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+\\Z")
+_MARK = "\x01"
+
+
+def _gathered(table: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The entries `code` of a table of runs one after another, and the end of each."""
+    starts, length = np.cumsum(sizes) - sizes, sizes[code]
+    after = np.cumsum(length)
+    place = np.repeat(starts[code] - (after - length), length)
+    return table[place + np.arange(len(place))], after
+
+
+def _sums(sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Sum of the sizes between one edge and the next."""
+    return np.diff(np.append(0, np.cumsum(sizes))[edges])
 
 
 class Encoder:
-    """Ids of texts; what stands between two single blanks is encoded once and remembered."""
+    """Ids of texts; every distinct word of a batch is looked up once, and what was seen before is remembered.
+
+    The splitter of the vocabulary cuts a text into words, each of which is encoded by itself.  It
+    always cuts in front of a blank that stands alone, and around a run of letters.  So texts are cut
+    at such blanks into parts, and distinct parts around letters; parts for which the second is not
+    certain stay whole, and a text that names a special token goes to the tokenizer as it is.
+    """
 
     def __init__(self, vocabulary: str):
         from tokenizers import Tokenizer
@@ -58,27 +89,74 @@ class Encoder:
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {}
 
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if any(s in text for s in self.special):
-            return self.whole(text)
-        # The first part lacks a blank; a mark that no other part can begin with tells it apart.
-        parts = text.split(" ") if not _SPACES.search(text) else _BLANK.split(text)
-        parts[0] = "  " + parts[0]
-        memo = self.memo
-        try:
-            return b"".join([memo[p] for p in parts])
-        except KeyError:
-            pass
-        if len(memo) > _MEMO:
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """Little-endian 32-bit ids of every text; null is empty."""
+        texts = pc.fill_null(texts, "")
+        special = np.zeros(len(texts), dtype=bool)
+        for s in self.special:
+            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
+        beside = pc.match_substring_regex(texts, _BESIDE).to_numpy(zero_copy_only=False) & ~special
+        out: list[bytes] = [b""] * len(texts)
+        for k in np.flatnonzero(special).tolist():
+            out[k] = array("I", self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids).tobytes()
+        easy = np.flatnonzero(~special & ~beside)
+        if len(easy):
+            self._put(out, easy, pc.split_pattern(texts.take(pa.array(easy)), " "))
+        hard = np.flatnonzero(beside)
+        if len(hard):
+            parts = [_BLANK.split(texts[k].as_py()) for k in hard.tolist()]
+            self._put(out, hard, pa.array(parts, pa.list_(texts.type)))
+        return out
+
+    def _put(self, out: list[bytes], places: np.ndarray, lists: pa.ListArray) -> None:
+        """Ids of texts that were cut into parts; all parts but the first had a blank in front."""
+        edges = lists.offsets.to_numpy()
+        coded = lists.flatten().dictionary_encode()
+        code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
+        first = edges[:-1]
+        parts = pa.concat_arrays(
+            [pc.binary_join_element_wise(" ", distinct, ""), distinct.take(pa.array(code[first]))]
+        )
+        code[first] = len(distinct) + np.arange(len(first))
+        bare = pa.concat_arrays([distinct, distinct.take(pa.array(coded.indices.to_numpy()[first]))])
+        uncut = pc.match_substring_regex(bare, _UNCUT)
+        cut = pc.if_else(uncut, parts, pc.replace_substring_regex(parts, _RUN, f"{_MARK}\\1{_MARK}"))
+        words = pc.split_pattern(cut, _MARK)
+        word_edges = words.offsets.to_numpy()
+        coded = words.flatten().dictionary_encode()
+        known = self._words(coded.dictionary.to_pylist())
+        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
+        word_code = coded.indices.to_numpy().astype(np.int64)
+        table, _ = _gathered(np.frombuffer(b"".join(known), dtype="<u4"), sizes, word_code)
+        ids, after = _gathered(table, _sums(sizes[word_code], word_edges), code)
+        data, ends = ids.tobytes(), 4 * np.append(0, after)[edges]
+        for k, a, b in zip(places.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
+            out[k] = data[a:b]
+
+    def _words(self, words: list[str]) -> list[bytes]:
+        """Ids of words; new ones of letters share calls, with a blank or else a line end between them."""
+        memo, encode = self.memo, self.tokenizer.encode_batch
+        new = [w for w in words if w not in memo]
+        if len(memo) + len(new) > _MEMO:
             memo.clear()
-        new = list({p for p in parts if p not in memo})
-        asked = [p[2:] if p.startswith("  ") else " " + p for p in new]
-        for part, found in zip(new, self.tokenizer.encode_batch(asked, add_special_tokens=False)):
-            memo[part] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join([memo[p] for p in parts])
+            new = words
+        plain = [[], []]
+        others = []
+        for w in new:
+            bare = w[1:] if w[:1] == " " else w
+            plain[bare is w].append(w) if _LATIN.match(bare) else others.append(w)
+        for bare, found in enumerate(plain):
+            groups = [found[k : k + 256] for k in range(0, len(found), 256)]
+            for group, made in zip(groups, encode([("\n" * bare).join(g) for g in groups], add_special_tokens=False)):
+                ids, owners, first = array("I", made.ids), made.word_ids, 0
+                for k, word in enumerate(group):
+                    first = bisect_left(owners, k + k * bare, first)
+                    after = bisect_right(owners, k + k * bare, first)
+                    memo[word] = ids[first:after].tobytes()
+                    first = after
+        for word, made in zip(others, encode(others, add_special_tokens=False)):
+            memo[word] = array("I", made.ids).tobytes()
+        return [memo[w] for w in words]
 
 
 _READY: dict[str, Encoder] = {}
@@ -96,40 +174,47 @@ def compress(ids: np.ndarray, base: int, least: int = 4, gain: float = 0.01) ->
     """Symbols, rules (left, right) and ids per rule; symbol `base + k` is rule k.
 
     A pair becomes a rule when it is replaced `least` times in a round; a round that shortens the
-    sequence by less than `gain` of it is the last.
+    sequence by less than `gain` of it is the last.  Pairs are counted in slots of a hash that changes
+    from round to round; of two pairs in one slot, one waits for a later round.
     """
-    symbols, rules, lengths = ids.astype(np.int64), [], []
-    made = 0
+    symbols, rules = ids.astype(np.uint32), []
+    lengths = np.zeros(0, dtype=np.int64)
+    turn = 0
     while len(symbols) > least:
         left, right = symbols[:-1], symbols[1:]
-        slot = (left * 0x9E3779B1 + right * 0x85EBCA6B >> 7) & (_SLOTS - 1)
-        count = np.bincount(slot, minlength=_SLOTS)[slot]
+        slot = (left * np.uint32(0x9E3779B1 + 2 * turn) ^ right * np.uint32(0x85EBCA6B + 4 * turn)) >> np.uint32(32 - _SLOT_BITS)
+        count = np.minimum(np.bincount(slot, minlength=1 << _SLOT_BITS), 4095).astype(np.uint32)
+        often = count >= least
         # Of overlapping pairs the more frequent one wins; among equals the slot decides, and then
         # the first of a run of one and the same pair.
-        rank = (count << 20) + slot
-        ahead, behind = np.zeros(len(rank) + 1, dtype=np.int64), np.zeros(len(rank) + 1, dtype=np.int64)
-        ahead[1:], behind[:-1] = rank, rank
-        wins = (count >= least) & (rank > ahead[:-1]) & (rank >= behind[1:])
+        rank = ((count << np.uint32(_SLOT_BITS)) | np.arange(1 << _SLOT_BITS, dtype=np.uint32)) * often
+        rank = rank[slot]
+        wins = rank > 0
+        wins[1:] &= rank[1:] > rank[:-1]
+        wins[:-1] &= rank[:-1] >= rank[1:]
         at = np.flatnonzero(wins)
-        pairs, which, times = np.unique(left[at] << 32 | right[at], return_inverse=True, return_counts=True)
-        good = times >= least
-        number = np.cumsum(good) - 1 + made
-        at, which = at[good[which]], which[good[which]]
+        own = slot[at]
+        pairs = left[at].astype(np.uint64) << np.uint64(32) | right[at]
+        taken = np.zeros(1 << _SLOT_BITS, dtype=np.uint64)
+        taken[own] = pairs
+        same = taken[own] == pairs
+        at, own = at[same], own[same]
+        good = np.bincount(own, minlength=1 << _SLOT_BITS) >= least
+        fits = good[own]
+        at, own = at[fits], own[fits]
         if len(at) < gain * len(symbols):
             break
-        pairs = pairs[good]
-        rules.append(np.stack([pairs >> 32, pairs & 0xFFFFFFFF], axis=1))
-        known = np.concatenate([np.zeros(0, dtype=np.int64), *lengths])
-        parts = [np.where(side < base, 1, known[np.maximum(side - base, 0)] if len(known) else 1) for side in rules[-1].T]
-        lengths.append(parts[0] + parts[1])
-        made += len(pairs)
+        number = (np.cumsum(good) + (len(lengths) + base - 1)).astype(np.uint32)
+        rules.append(np.stack([taken[good] >> np.uint64(32), taken[good] & np.uint64(0xFFFFFFFF)], axis=1).astype(np.int64))
+        known = np.append(np.ones(base, dtype=np.int64), lengths)
+        lengths = np.append(lengths, known[rules[-1]].sum(axis=1))
         symbols = symbols.copy()
-        symbols[at] = base + number[which]
+        symbols[at] = number[own]
         keep = np.ones(len(symbols), dtype=bool)
         keep[at + 1] = False
         symbols = symbols[keep]
-    rule_rows = np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64)
-    return symbols, rule_rows, np.concatenate(lengths) if lengths else np.zeros(0, dtype=np.int64)
+        turn += 1
+    return symbols.astype(np.int64), np.concatenate(rules) if rules else np.zeros((0, 2), dtype=np.int64), lengths
 
 
 class Shard(NamedTuple):
@@ -176,17 +261,27 @@ class Shard(NamedTuple):
         a, b = int(np.searchsorted(ends, first, side="right")), int(np.searchsorted(ends, after))
         skipped = int(ends[a] - sizes[a])
         found = self.symbols[a : b + 1]
-        while True:
+        if len(found) > len(self.rules):
+            # Every rule is expanded once, and its ids are copied to where it stands.
             rule = found >= self.base
-            if not rule.any():
-                return found[first - skipped : after - skipped].astype("<u4")
-            # One level: each nonterminal becomes its two symbols.
+            code = np.where(rule, found - self.base, len(self.rules) + np.cumsum(~rule) - 1)
+            table = np.append(self._expanded(np.arange(len(self.rules)) + self.base), found[~rule])
+            sizes = np.append(self.lengths, np.ones(int((~rule).sum()), dtype=np.int64))
+            out, _ = _gathered(table, sizes, code)
+        else:
+            out = self._expanded(found)
+        return out[first - skipped : after - skipped].astype("<u4")
+
+    def _expanded(self, found: np.ndarray) -> np.ndarray:
+        """The ids that symbols stand for, one level of rules after another."""
+        while (rule := found >= self.base).any():
             at = np.arange(len(found)) + np.cumsum(rule) - rule
             out = np.empty(len(found) + int(rule.sum()), dtype=np.int64)
             pairs = self.rules[found[rule] - self.base]
             out[at] = found
             out[at[rule]], out[at[rule] + 1] = pairs[:, 0], pairs[:, 1]
             found = out
+        return found
 
 
 _SHARDS = "part int, shard int, before long, n_docs long, n_ids long, n_symbols long, n_rules long, data binary"
@@ -216,9 +311,9 @@ def written(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_
             row = (part, shard, before, len(held), len(ids), len(symbols), len(rules), data)
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names)
 
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                found = encode(text.as_py() or "") + end
+        for batch in (b.slice(k, _DOCS) for b in batches for k in range(0, b.num_rows, _DOCS)):
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text"))):
+                found += end
                 if held and size + len(found) // 4 > shard_ids:
                     yield closed()
                     before += size

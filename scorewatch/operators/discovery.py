@@ -6,7 +6,6 @@ counting runs as grouped aggregates whose shuffles hold feature x bin rows.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 from decimal import ROUND_CEILING, ROUND_FLOOR, Decimal
@@ -22,16 +21,16 @@ from scorewatch.functions.expr import (
     explode_structs,
     finite,
     kept,
+    literal_sql,
     long_bins,
     number,
     quoted,
     small_table,
 )
-from scorewatch.functions.ranks import quantile_lists, quantiles, running_totals
+from scorewatch.functions.ranks import quantiles, running_totals
 from scorewatch.functions.stats import rule_metrics
 from scorewatch.operators.contract import require_columns
 from scorewatch.roles import (
-    SEED,
     Condition,
     DiscoveryConfig,
     Rule,
@@ -59,8 +58,11 @@ def support_bounds(rows: int, min_support: float) -> tuple[int, int]:
 # --- thresholds --------------------------------------------------------------------
 
 
-def eligible_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
-    """Numeric features with their infinity count and finite range; ``eligible`` says usable."""
+def eligible_features(df: DataFrame, features: Sequence[str], by: str | None = None) -> DataFrame:
+    """Numeric features with their infinity count and finite range; ``eligible`` says usable.
+
+    With ``by`` one row per group (``g``) and feature.
+    """
     names = numeric_columns(df.schema, sorted(set(features)))
     aggs = []
     for i, c in enumerate(names):
@@ -70,7 +72,8 @@ def eligible_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
             F.min(finite(c)).alias(f"a{i}"),
             F.max(finite(c)).alias(f"b{i}"),
         ]
-    wide = df.agg(F.count("*").alias("n"), *aggs)
+    keys = [] if by is None else [group_key(by)]
+    wide = df.groupBy(*keys).agg(F.count("*").alias("n"), *aggs)
     return explode_structs(
         wide,
         [
@@ -85,6 +88,7 @@ def eligible_features(df: DataFrame, features: Sequence[str]) -> DataFrame:
             )
             for i, c in enumerate(names)
         ],
+        *(["g"] if by else []),
     )
 
 
@@ -202,68 +206,169 @@ def tree_thresholds(
     return {k if by else k[1]: sorted(t) for k, t in found.items()}
 
 
+#: Settings of the boosted cuts: trees, learning rate, ranges a feature is cut into.
+BOOST_TREES, BOOST_RATE, BOOST_BINS = 30, 0.05, 256
+
+
 def boosted_thresholds(
-    df: DataFrame, feature: str, target: str, *, balanced: bool = False, seed: int = SEED
-) -> list[float]:
-    """Split points of 30 boosted depth-2 trees on one feature (rate 0.05).
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    *,
+    balanced: bool = False,
+    by: str | None = None,
+    trees: int = BOOST_TREES,
+    rate: float = BOOST_RATE,
+    bins: int = BOOST_BINS,
+) -> dict:
+    """Split points of boosted depth-2 trees on every single feature, by histogram boosting.
 
-    Fitted with Spark ML on binned values, so the cuts are close to, but not the
-    same as, those of other boosting libraries.
+    The trees of a feature see nothing but its values, so rows of one bin always get the same score:
+    one job counts rows and bads per group, feature and bin, and every round sums the residuals of
+    these bins in place, for all features at once.  Splits gain in squared residual sums, leaves take
+    the mean residual.  Bins are cut at quantiles of the values, their borders are the candidate
+    cuts; a feature with few values is cut at each of them.  With ``balanced`` the classes weigh the same.
     """
-    from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.feature import VectorAssembler
+    if not features:
+        return {}
+    key = None if by is None else "g"
+    rows = df if by is None else df.withColumn("g", group_key(by))
+    probs = [k / bins for k in range(1, bins)]
+    cuts = {
+        ((r["g"] if by else ""), r["feature"]): sorted({v for v in r["q"] if v < r["max_value"]})
+        for r in quantiles(rows, features, probs, by=key).collect()
+    }
+    cuts = {k: v for k, v in cuts.items() if v}
+    if not cuts:
+        return {}
+    spark = df.sparkSession
+    table = spark.createDataFrame([(g, f, v) for (g, f), v in cuts.items()], "g string, feature string, cuts array<double>")
+    long = rows.select(
+        F.col("g") if by else F.lit("").alias("g"),
+        (F.col(target) == 1).cast("long").alias("bad"),
+        *[finite(c).alias(f"v_{c}") for c in features],
+    ).unpivot(["g", "bad"], [f"v_{c}" for c in features], "feature", "v")
+    long = long.filter(F.col("v").isNotNull()).withColumn("feature", F.expr("substring(feature, 3)"))
+    # As many cuts lie below a value as there are before its place in the sorted list.
+    below = F.expr("aggregate(sequence(0, 9), 0, (at, k) -> CASE WHEN at + shiftright(512, k) <= size(cuts) AND element_at(cuts, at + shiftright(512, k)) < v THEN at + shiftright(512, k) ELSE at END)")
+    counted = (
+        long.join(F.broadcast(table), ["g", "feature"])
+        .groupBy("g", "feature", below.alias("bin"))
+        .agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    )
 
-    from scorewatch.operators.metrics import row_weights
+    def boost(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("bin")
+        own = cuts[pdf["g"].iloc[0], pdf["feature"].iloc[0]]
+        found = boosted_cuts(
+            pdf["bin"].to_numpy(), pdf["n"].to_numpy(float), pdf["bad"].to_numpy(float),
+            trees=trees, rate=rate, balanced=balanced,
+        )
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "feature": pdf["feature"].iloc[0], "cuts": [[own[k] for k in found]]})
 
-    rows = df.select(finite(feature).alias("x"), F.col(target).cast("double").alias("label")).filter(
-        F.col("x").isNotNull()
-    )
-    classes = rows.agg(F.min("label"), F.max("label")).first()
-    if classes[0] is None or classes[0] == classes[1]:
+    # A group holds one row per bin of one feature.
+    found = counted.groupBy("g", "feature").applyInPandas(boost, "g string, feature string, cuts array<double>")
+    return {((r["g"], r["feature"]) if by else r["feature"]): list(r["cuts"]) for r in found.collect()}
+
+
+def boosted_cuts(
+    bins: np.ndarray, n: np.ndarray, bad: np.ndarray, *, trees: int, rate: float, balanced: bool = False
+) -> list[int]:
+    """Bins after which a tree splits, from counts per bin of one feature (logistic loss)."""
+    if not 0 < bad.sum() < n.sum():
         return []
-    data = VectorAssembler(inputCols=["x"], outputCol="features").transform(rows)
-    booster = GBTClassifier(maxIter=30, maxDepth=2, stepSize=0.05, seed=seed)
-    if balanced:
-        data = row_weights(data, "label")
-        booster = booster.setWeightCol("weight")
-    text = booster.fit(data).toDebugString
-    return sorted({float(v) for v in re.findall(r"feature 0 <= ([-+0-9.eE]+)", text)})
+    w1 = n.sum() / (2 * bad.sum()) if balanced else 1.0
+    w0 = n.sum() / (2 * (n - bad).sum()) if balanced else 1.0
+    weight, positive = bad * w1 + (n - bad) * w0, bad * w1
+    score = np.full(len(n), np.log(positive.sum() / (weight.sum() - positive.sum())))
+    used: set[int] = set()
+
+    def split(lo: int, hi: int, residual: np.ndarray) -> int | None:
+        """Place of the best split of bins lo..hi: the largest sum of squared sums over weights."""
+        r, w = np.cumsum(residual[lo:hi]), np.cumsum(weight[lo:hi])
+        if hi - lo < 2:
+            return None
+        gain = r[:-1] ** 2 / w[:-1] + (r[-1] - r[:-1]) ** 2 / (w[-1] - w[:-1]) - r[-1] ** 2 / w[-1]
+        at = int(np.argmax(gain))
+        return lo + at + 1 if gain[at] > 1e-12 * weight.sum() else None
+
+    for _ in range(trees):
+        chance = 1 / (1 + np.exp(-score))
+        residual, curve = positive - weight * chance, weight * chance * (1 - chance)
+        edges = [0, len(n)]
+        for _depth in range(2):
+            more = [split(a, b, residual) for a, b in zip(edges, edges[1:])]
+            edges = sorted({*edges, *(m for m in more if m is not None)})
+        if len(edges) == 2:
+            break
+        used.update(edges[1:-1])
+        for a, b in zip(edges, edges[1:]):
+            score[a:b] += rate * residual[a:b].sum() / max(curve[a:b].sum(), 1e-12)
+    return sorted(int(bins[k - 1]) for k in used)
 
 
 def rule_thresholds(
     df: DataFrame, features: Sequence[str], target: str, config: DiscoveryConfig, rows: int
 ) -> dict[str, list[float]]:
     """Sorted distinct thresholds of every eligible feature."""
-    usable = [
-        r["feature"] for r in eligible_features(df, features).filter("eligible").collect()
-    ]
-    if not usable:
+    return {f: cuts for (_, f), cuts in group_thresholds(df, features, target, config, {"": rows}).items()}
+
+
+def group_thresholds(
+    df: DataFrame,
+    features: Sequence[str],
+    target: str,
+    config: DiscoveryConfig,
+    rows: Mapping[str, int],
+    by: str | None = None,
+) -> dict[tuple[str, str], list[float]]:
+    """Sorted distinct thresholds per group and eligible feature; ``rows`` has the groups and their sizes.
+
+    Quantiles, tree cuts and boosted cuts are found for all groups and features at once.  WOE cuts,
+    off by default, are fitted group after group.
+    """
+    usable = {
+        (r["g"] if by else "", r["feature"])
+        for r in eligible_features(df, features, by).filter("eligible").collect()
+    }
+    usable = {k for k in usable if k[0] in rows}
+    names = sorted({f for _, f in usable})
+    if not names:
         return {}
-    stats = quantile_lists(quantiles(df, usable, THRESHOLD_PROBS))
-    found = {f: set(stats[f]["q"]) for f in usable if f in stats}
+    if by is not None:
+        df = df.withColumn("g", group_key(by)).filter(F.col("g").isin(list(rows)))
+    key = None if by is None else "g"
+    cuts: dict[tuple[str, str], set[float]] = {k: set() for k in usable}
+    for r in quantiles(df, names, THRESHOLD_PROBS, by=key).collect():
+        cuts.get((r["g"] if by else "", r["feature"]), set()).update(r["q"])
+
+    def add(found: Mapping) -> None:
+        for k, values in found.items():
+            cuts.get(k if by else ("", k), set()).update(values)
+
     if config.tree_cuts:
-        leaf, _ = support_bounds(rows, config.min_support)
-        trees = tree_thresholds(df, usable, target, leaf, balanced=config.balanced)
-        for f, cuts in trees.items():
-            found[f].update(cuts)
+        leaves = {g: support_bounds(n, config.min_support)[0] for g, n in rows.items()}
+        leaf = leaves if by else leaves[""]
+        add(tree_thresholds(df, names, target, leaf, balanced=config.balanced, by=key))
     if config.woe_cuts:
         from scorewatch.operators.scorecard import fit_woe
 
-        models = fit_woe(
-            df,
-            usable,
-            target,
-            max_bins=config.woe_max_bins,
-            min_bin_fraction=config.woe_min_bin_fraction,
-            monotonic=config.woe_monotonic,
-        )
-        for m in models:
-            if m.iv >= config.woe_min_iv:
-                found[m.feature].update(m.edges)
+        for g in rows:
+            own = [f for f in names if (g, f) in usable]
+            models = fit_woe(
+                df if by is None else df.filter(F.col("g") == g),
+                own,
+                target,
+                max_bins=config.woe_max_bins,
+                min_bin_fraction=config.woe_min_bin_fraction,
+                monotonic=config.woe_monotonic,
+            )
+            for m in models:
+                if m.iv >= config.woe_min_iv:
+                    cuts[g, m.feature].update(m.edges)
     if config.boosted_cuts:
-        for f in usable:
-            found[f].update(boosted_thresholds(df, f, target, balanced=config.balanced))
-    return {f: sorted(cuts) for f, cuts in sorted(found.items())}
+        add(boosted_thresholds(df, names, target, balanced=config.balanced, by=key))
+    return {k: sorted(v) for k, v in sorted(cuts.items())}
 
 
 # --- candidates ----------------------------------------------------------------------
@@ -312,26 +417,72 @@ def single_candidates(
     Rows are binned between the thresholds once; running sums over the bins
     give all candidates, however many thresholds there are.
     """
-    spark = df.sparkSession
-    low, high = support_bounds(rows, config.min_support)
     binned = (
         long_bins(
             df.withColumn("_bad", (F.col(target) == 1).cast("long")), thresholds, "_bad", closed="right"
         )
-        .groupBy("feature", "bin")
+        .groupBy(F.lit("").alias("g"), "feature", "bin")
         .agg(F.count("*").alias("n"), F.sum("_bad").alias("bad"))
     )
+    named = {("", f): cuts for f, cuts in thresholds.items()}
+    return _sides(binned, named, {"": (rows, positives)}, config).drop("g")
+
+
+def group_candidates(
+    df: DataFrame,
+    thresholds: Mapping[tuple[str, str], Sequence[float]],
+    target: str,
+    config: DiscoveryConfig,
+    sizes: Mapping[str, tuple[int, int]],
+    by: str,
+) -> DataFrame:
+    """:func:`single_candidates` of every group, each with thresholds and totals of its own.
+
+    One histogram over group, feature and bin: a value is compared with the few cuts of its group,
+    which come as one literal row per group and feature.
+    """
+    names = sorted({f for _, f in thresholds})
+    spark = df.sparkSession
+    cuts = spark.createDataFrame(
+        [(g, f, [float(t) for t in values]) for (g, f), values in thresholds.items()],
+        "g string, feature string, cuts array<double>",
+    )
+    long = df.select(
+        group_key(by), (F.col(target) == 1).cast("long").alias("bad"), *[finite(c).alias(f"v_{c}") for c in names]
+    ).unpivot(["g", "bad"], [f"v_{c}" for c in names], "feature", "v")
+    long = long.filter(F.col("v").isNotNull()).withColumn("feature", F.expr("substring(feature, 3)"))
+    binned = (
+        long.join(F.broadcast(cuts), ["g", "feature"])
+        .groupBy("g", "feature", F.size(F.filter("cuts", lambda c: c < F.col("v"))).alias("bin"))
+        .agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+    )
+    return _sides(binned, thresholds, sizes, config)
+
+
+def _sides(
+    binned: DataFrame,
+    thresholds: Mapping[tuple[str, str], Sequence[float]],
+    sizes: Mapping[str, tuple[int, int]],
+    config: DiscoveryConfig,
+) -> DataFrame:
+    """Both sides of every threshold, from counts per group, feature and bin."""
+    spark = binned.sparkSession
     grid = spark.createDataFrame(
-        [(f, b, t) for f, cuts in thresholds.items() for b, t in enumerate([*cuts, None])],
-        "feature string, bin int, value double",
+        [(g, f, b, t) for (g, f), cuts in thresholds.items() for b, t in enumerate([*cuts, None])],
+        "g string, feature string, bin int, value double",
+    )
+    totals = spark.createDataFrame(
+        [(g, n, pos, *support_bounds(n, config.min_support)) for g, (n, pos) in sizes.items()],
+        "g string, rows long, positives long, low long, high long",
     )
-    # Windows over feature x bin rows.
-    whole = W.partitionBy("feature")
+    # Windows over group x feature x bin rows.
+    whole = W.partitionBy("g", "feature")
     upto = whole.orderBy("bin").rowsBetween(W.unboundedPreceding, 0)
     cumulative = (
-        grid.join(binned, ["feature", "bin"], "left")
+        grid.join(binned, ["g", "feature", "bin"], "left")
         .fillna(0, ["n", "bad"])
         .select(
+            "g",
             "feature",
             "value",
             F.sum("n").over(upto).alias("n_low"),
@@ -351,14 +502,17 @@ def single_candidates(
                 (F.col("bad_all") - F.col("bad_low")).alias("hit_pos"),
             ),
         ],
+        "g",
         "feature",
         "value",
-    ).filter(F.col("hit").between(low, high))
+    )
+    sides = sides.join(F.broadcast(totals), "g").filter(F.col("hit").between(F.col("low"), F.col("high")))
     shaped = sides.select(
+        "g",
         F.lit("discovery_single").alias("origin"),
         F.array(_condition(F.col("feature"), F.col("operator"), F.col("value"))).alias("conditions"),
-        F.lit(rows).cast("long").alias("n"),
-        F.lit(positives).cast("long").alias("pos"),
+        F.col("rows").alias("n"),
+        F.col("positives").alias("pos"),
         "hit",
         "hit_pos",
     )
@@ -491,6 +645,158 @@ def diverse_pairs(pairs: DataFrame, maximum: int) -> DataFrame:
     )
 
 
+# --- pairs of every group ----------------------------------------------------------------
+
+
+def _group_pairs(
+    df: DataFrame,
+    beams: Mapping[str, Sequence],
+    target: str,
+    config: DiscoveryConfig,
+    sizes: Mapping[str, tuple[int, int]],
+    by: str,
+) -> DataFrame:
+    """:func:`pair_candidates` of every group: bit ``k`` of a row is rule ``k`` of its group's beam."""
+    width = max(map(len, beams.values()))
+    names = sorted({r["conditions"][0]["feature"] for beam in beams.values() for r in beam})
+    clean = df.select(
+        group_key(by), (F.col(target) == 1).cast("long").alias("_bad"), *[finite(c).alias(f"v_{c}") for c in names]
+    )
+
+    def bits(group: str, first: int) -> str:
+        terms = []
+        for k, r in enumerate(beams[group][first : first + _WORD]):
+            c = r["conditions"][0]
+            hit = f"{quoted('v_' + c['feature'])} {c['operator']} {number(c['value'])}"
+            terms.append(f"CASE WHEN {hit} THEN {1 << k}L ELSE 0L END")
+        return " + ".join(terms) or "0L"
+
+    words = []
+    for k, first in enumerate(range(0, width, _WORD)):
+        cases = " ".join(f"WHEN {literal_sql(g)} THEN {bits(g, first)}" for g in beams)
+        words.append(F.expr(f"CASE g {cases} END").alias(f"w{k}"))
+    columns = [f"w{k}" for k in range(len(words))]
+    patterns = (
+        clean.filter(F.col("g").isin(list(beams)))
+        .select("g", "_bad", *words)
+        .groupBy("g", *columns)
+        .agg(F.count("*").alias("n"), F.sum("_bad").alias("bad"))
+    )
+
+    def overlaps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts: dict[str, np.ndarray] = {}
+        place = np.arange(width)
+        for pdf in batches:
+            for g, own in pdf.groupby("g"):
+                word = own[columns].to_numpy(dtype=np.int64)[:, place // _WORD]
+                on = (word >> (place % _WORD)) & 1
+                both = [on.T @ (on * own[c].to_numpy(dtype=np.int64)[:, None]) for c in ("n", "bad")]
+                counts[g] = counts.get(g, 0) + np.stack(both)
+        i, j = np.triu_indices(width, k=1)
+        for g, (hit, bad) in counts.items():
+            yield pd.DataFrame({"g": g, "i": i, "j": j, "hit": hit[i, j], "hit_pos": bad[i, j]})
+
+    counted = (
+        patterns.mapInPandas(overlaps, "g string, i long, j long, hit long, hit_pos long")
+        .groupBy("g", "i", "j")
+        .agg(F.sum("hit").alias("hit"), F.sum("hit_pos").alias("hit_pos"))
+    )
+    spark = df.sparkSession
+    side = spark.createDataFrame(
+        [
+            (g, k, r["conditions"][0]["feature"], r["conditions"][0]["operator"], r["conditions"][0]["value"], r["hit"])
+            for g, beam in beams.items() for k, r in enumerate(beam)
+        ],
+        "g string, k long, feature string, operator string, value double, side_hit long",
+    )
+
+    def named(prefix: str, number_: str) -> DataFrame:
+        return side.select(
+            "g",
+            F.col("k").alias(number_),
+            _condition(F.col("feature"), F.col("operator"), F.col("value")).alias(f"{prefix}c"),
+            F.col("side_hit").alias(f"{prefix}hit"),
+        )
+
+    totals = spark.createDataFrame(
+        [(g, n, pos, support_bounds(n, config.min_support)[0]) for g, (n, pos) in sizes.items()],
+        "g string, n long, pos long, low long",
+    )
+    joined = (
+        counted.join(F.broadcast(named("l", "i")), ["g", "i"])
+        .join(F.broadcast(named("r", "j")), ["g", "j"])
+        .join(F.broadcast(totals), "g")
+        .filter(F.col("lc.feature") != F.col("rc.feature"))
+        .filter((F.col("hit") >= F.col("low")) & (F.col("hit") != F.col("lhit")) & (F.col("hit") != F.col("rhit")))
+    )
+    shaped = joined.select(
+        "g",
+        F.lit("discovery_pair").alias("origin"),
+        F.sort_array(F.array("lc", "rc")).alias("conditions"),
+        "n",
+        "pos",
+        "hit",
+        "hit_pos",
+    )
+    return rule_metrics(with_identity(shaped))
+
+
+def discover_groups(
+    train: DataFrame,
+    by: str,
+    features: Sequence[str],
+    target: str,
+    config: DiscoveryConfig = DiscoveryConfig(),
+) -> DataFrame:
+    """:func:`discover` inside every group of ``by``: ``g`` and the columns of a discovery frame.
+
+    The groups go through every step together, so the number of jobs does not depend on how many there are.
+    The result has at most a few hundred rows per group; groups with one class have none.
+    """
+    require_columns(train, [*features, target, by], "feature")
+    spark = train.sparkSession
+    names = sorted(set(features))
+    empty = spark.createDataFrame([], f"g string, {OUTPUT_SCHEMA}")
+    with kept(train, target, by, *[n for n in names if n != by]) as rows:
+        counts = rows.groupBy(group_key(by)).agg(
+            F.count("*").alias("n"),
+            F.count_if(F.col(target) == 1).alias("pos"),
+            F.count_if(F.col(target).isNotNull() & (F.col(target) != 1)).alias("neg"),
+        )
+        sizes = {r["g"]: (r["n"], r["pos"]) for r in counts.collect() if r["pos"] and r["neg"]}
+        if not sizes:
+            return empty
+        thresholds = group_thresholds(rows, names, target, config, {g: n for g, (n, _) in sizes.items()}, by)
+        if not thresholds:
+            return empty
+        singles = group_candidates(rows, thresholds, target, config, sizes, by).persist()
+        try:
+            best = W.partitionBy("g").orderBy(*by_rank())
+            place = F.row_number().over(best)
+            chosen = singles.withColumn("_k", place).filter(F.col("_k") <= config.max_single_rules)
+            chosen = chosen.select("g", *OUTPUT).orderBy("g", "_k").collect()
+            picked = []
+            if config.max_pair_rules:
+                first = F.col("conditions")[0]["feature"]
+                turn = F.row_number().over(W.partitionBy("g", first).orderBy(*by_rank()))
+                beam_place = F.row_number().over(W.partitionBy("g").orderBy("_turn", first))
+                beam = singles.withColumn("_turn", turn).withColumn("_k", beam_place)
+                beams: dict[str, list] = {}
+                for r in beam.filter(F.col("_k") <= config.beam_width).orderBy("g", "_k").collect():
+                    beams.setdefault(r["g"], []).append(r)
+                if beams:
+                    pairs = _group_pairs(rows, beams, target, config, sizes, by)
+                    both = F.array_sort(F.transform("conditions", lambda c: c["feature"]))
+                    leads = F.row_number().over(W.partitionBy("g", both).orderBy(*by_rank())) == 1
+                    order = W.partitionBy("g").orderBy(F.desc("_first"), *by_rank())
+                    pairs = pairs.withColumn("_first", leads).withColumn("_k", F.row_number().over(order))
+                    kept_pairs = pairs.filter(F.col("_k") <= config.max_pair_rules)
+                    picked = kept_pairs.select("g", *OUTPUT).orderBy("g", *by_rank()).collect()
+        finally:
+            singles.unpersist()
+    return spark.createDataFrame([*chosen, *picked], f"g string, {OUTPUT_SCHEMA}")
+
+
 # --- the whole search ------------------------------------------------------------------
 
 

@@ -28,21 +28,29 @@ NO_SEPARATION = "single_class_or_no_finite_scores"
 def rule_counts(
     df: DataFrame, rules: Sequence[Rule], target: str, slices: Sequence[str] = ()
 ) -> DataFrame:
-    """2x2 counts of every rule in every slice: ``n, pos, hit, hit_pos``.
+    """2x2 counts of every rule in every slice: ``n, pos, hit, hit_pos``."""
+    texts = [(r.rule_id, rule_sql(r, df.schema)) for r in rules]
+    return expression_counts(df, texts, target, slices)
 
-    All rules of a batch are conditional sums of one aggregate over one scan;
-    the target is a grouping key, so each rule needs a single sum.
+
+def expression_counts(
+    df: DataFrame, texts: Sequence[tuple[str, str]], target: str, slices: Sequence[str] = ()
+) -> DataFrame:
+    """Counts of conditions given as (id, SQL text that is true or false).
+
+    All conditions of a batch are conditional sums of one aggregate over one scan;
+    the target is a grouping key, so each condition needs a single sum.
     """
-    frames, schema = [], df.schema
-    for group in batches(rules):
+    frames = []
+    for group in batches(texts):
         wide = (
             df.withColumn("_pos", F.coalesce(F.col(target) == 1, F.lit(False)))
             .groupBy(*slices, "_pos")
             .agg(
                 F.count("*").alias("_n"),
                 *[
-                    F.expr(f"sum(CAST({rule_sql(r, schema)} AS BIGINT)) AS _h{i}")
-                    for i, r in enumerate(group)
+                    F.expr(f"sum(CAST({text} AS BIGINT)) AS _h{i}")
+                    for i, (_, text) in enumerate(group)
                 ],
             )
         )
@@ -50,8 +58,8 @@ def rule_counts(
             explode_structs(
                 wide,
                 [
-                    F.expr(f"named_struct('rule_id', {literal_sql(r.rule_id)}, '_h', _h{i})")
-                    for i, r in enumerate(group)
+                    F.expr(f"named_struct('rule_id', {literal_sql(name)}, '_h', _h{i})")
+                    for i, (name, _) in enumerate(group)
                 ],
                 *slices,
                 "_pos",

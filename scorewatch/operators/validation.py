@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorewatch.functions.expr import day_of, month_of, small_table, union_all
+from scorewatch.functions.expr import day_of, literal_sql, month_of, rule_sql, small_table
 from scorewatch.functions.stats import (
     METRICS,
     fisher_p,
@@ -21,11 +21,12 @@ from scorewatch.functions.stats import (
     with_adjusted_p,
 )
 from scorewatch.functions.tokens import stable_token
-from scorewatch.operators.discovery import Discovery, discover
-from scorewatch.operators.metrics import rule_counts
+from scorewatch.operators.discovery import Discovery, discover_groups, group_key
+from scorewatch.operators.metrics import expression_counts, rule_counts
 from scorewatch.operators.split import HOLDOUT, TEST, TRAIN
 from scorewatch.roles import (
     GRADES,
+    Condition,
     ContractError,
     DiscoveryConfig,
     Roles,
@@ -167,15 +168,19 @@ def evidence(
     grade: str = "B",
     time_enabled: bool = True,
     segment_name: str = "institution",
+    by_prefix: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Evidence per rule and its slices, from validation counts.
 
     Returns ``(cards, slices)``.  The p-values that are adjusted come from
-    train, the interval and the slices from ``partition``.
+    train, the interval and the slices from ``partition``.  ``by_prefix`` adjusts
+    them among rules whose ids agree up to the first ``|``.
     """
     size = config.min_group_size
+    family = F.substring_index("rule_id", "|", 1) if by_prefix else F.lit("")
     train = with_adjusted_p(
-        dataset_metrics(counts, TRAIN).withColumn("p_value", fisher_p(*COUNTS))
+        dataset_metrics(counts, TRAIN).withColumn("p_value", fisher_p(*COUNTS)).withColumn("_family", family),
+        by=["_family"],
     )
     test = dataset_metrics(counts, partition)
     slices = slice_metrics(counts, partition, "segment", size)
@@ -246,7 +251,7 @@ def evidence(
 # --- holdout -------------------------------------------------------------------------
 
 
-def with_limitation(cards: DataFrame, text: str, *, downgrade: bool) -> DataFrame:
+def with_limitation(cards: DataFrame, text: str | Column, *, downgrade: bool) -> DataFrame:
     """Add a limitation to every card, and make it Suspicious when asked to."""
     added = cards.withColumn(
         "limitations", F.array_sort(F.array_union("limitations", F.array(F.lit(text))))
@@ -393,6 +398,42 @@ def local_gates(
     )
 
 
+def local_counts(
+    parts: DataFrame, found: DataFrame, roles: Roles, *, partition: str = "partition"
+) -> DataFrame:
+    """:func:`validation_counts` of rules that each belong to one segment (``g``).
+
+    Rule ``k`` of every segment shares one conditional sum, whose condition depends on the row's
+    segment; so the passes follow the longest list of rules, not the number of segments.  Rule ids
+    become ``segment number|rule id``.
+    """
+    lists: dict[str, list[Rule]] = {}
+    for r in found.collect():
+        conditions = tuple(Condition(c["feature"], c["operator"], c["value"]) for c in r["conditions"])
+        lists.setdefault(r["g"], []).append(Rule(r["rule_id"], conditions, r["origin"]))
+    month = month_of(day_of(roles.snapshot, parts.schema[roles.snapshot].dataType))
+    sliced = parts.withColumns(
+        {"_part": F.col(partition), "_segment": group_key(roles.segment), "_month": month}
+    ).filter(F.col("_segment").isin(list(lists)))
+    texts, names = [], []
+    for k in range(max(map(len, lists.values()))):
+        cases = " ".join(
+            f"WHEN {literal_sql(g)} THEN {rule_sql(rules[k], parts.schema)}" for g, rules in lists.items() if k < len(rules)
+        )
+        texts.append((str(k), f"CASE _segment {cases} ELSE false END"))
+    for number, (g, rules) in enumerate(sorted(lists.items())):
+        names += [(g, str(k), f"{number}|{r.rule_id}") for k, r in enumerate(rules)]
+    owners = parts.sparkSession.createDataFrame(names, "_segment string, rule_id string, key string")
+    counts = expression_counts(sliced, texts, roles.target, ["_part", "_segment", "_month"])
+    return counts.join(F.broadcast(owners), ["_segment", "rule_id"]).select(
+        F.col("key").alias("rule_id"),
+        F.col("_part").alias("partition"),
+        F.col("_segment").alias("segment"),
+        F.col("_month").alias("month"),
+        *COUNTS,
+    )
+
+
 def local_rules(
     parts: DataFrame,
     cards: DataFrame,
@@ -406,37 +447,45 @@ def local_rules(
     time_enabled: bool = True,
     limit: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
-    """Discovery and validation inside segments that passed the gates.
+    """Discovery and validation inside segments that passed the gates, all of them in the same jobs.
 
-    Returns ``(reports, local cards)``.  Segments are searched one after another, the best first;
-    ``limit`` bounds their number.  The segment filter of each run is pushed to the scan.
+    Returns ``(reports, local cards)``; p-values are adjusted within a segment.  ``limit`` bounds the
+    number of segments.
     """
-    candidates = local_candidates(cards, slices, limit)
+    # A row per segment at most; without candidates the gates read no rows.
+    candidates = small_table(local_candidates(cards, slices, limit))
+    if not candidates.take(1):
+        parts = parts.limit(0)
     gates = small_table(local_gates(candidates, parts, roles, config.min_group_size))
-    done = gates.filter(F.col("status") == "completed").orderBy("place").collect()
-    found, sizes = [], []
-    for r in done:
-        mine = parts.filter(F.col(roles.segment).cast("string") == r["segment"])
-        result = discover(
-            mine.filter(F.col("partition") == TRAIN), features, roles.target, discovery
-        )
-        sizes.append((r["segment"], len(result.rules)))
-        if not result.rules:
-            continue
-        counts = staged(validation_counts(mine, result.rules, roles), "local-counts")
-        local, _ = validate(
-            counts,
-            config=config,
-            grade=grade,
-            time_enabled=time_enabled,
-            holdout_limitation=r["holdout_limitation"],
+    done = [r["segment"] for r in gates.filter(F.col("status") == "completed").collect()]
+    none = cards.withColumn("segment", F.lit("")).limit(0)
+    if not done:
+        return gates.withColumn("rule_count", F.lit(None).cast("long")), none
+    mine = parts.filter(F.col(roles.segment).cast("string").isin(done))
+    train = mine.filter(F.col("partition") == TRAIN)
+    found = small_table(discover_groups(train, roles.segment, features, roles.target, discovery))
+    sizes = found.groupBy(F.col("g").alias("segment")).agg(F.count("*").alias("rule_count"))
+    reports = gates.join(F.broadcast(sizes), "segment", "left").withColumn(
+        "rule_count", F.when(F.col("status") == "completed", F.coalesce("rule_count", F.lit(0).cast("long")))
+    )
+    if not found.take(1):
+        return reports, none
+    counts = staged(local_counts(mine, found, roles), "local-counts")
+    settings = dict(config=config, grade=grade, time_enabled=time_enabled, by_prefix=True)
+    local, own = evidence(counts, **settings)
+    owners = small_table(counts.select("rule_id", "segment").distinct())
+    local = local.join(F.broadcast(owners), "rule_id")
+    if time_enabled:
+        limits = gates.select("segment", "holdout_limitation")
+        local = local.join(F.broadcast(limits), "segment", "left")
+        blocked = with_limitation(
+            local.filter(F.col("holdout_limitation").isNotNull()), F.col("holdout_limitation"), downgrade=True
         )
-        found.append(small_table(local).withColumn("segment", F.lit(r["segment"])))
-    spark = parts.sparkSession
-    rule_counts_ = spark.createDataFrame(sizes, "segment string, rule_count long")
-    reports = gates.join(rule_counts_, "segment", "left")
-    local_cards = union_all(found) if found else cards.withColumn("segment", F.lit("")).limit(0)
-    return reports, local_cards
+        held, _ = evidence(counts, partition=HOLDOUT, **settings)
+        merged, _ = attach_holdout(local.filter(F.col("holdout_limitation").isNull()), own, held)
+        local = merged.unionByName(blocked).drop("holdout_limitation")
+    local = local.withColumn("rule_id", F.substring_index("rule_id", "|", -1))
+    return reports, small_table(local.select(*cards.columns, "segment") if set(cards.columns) <= set(local.columns) else local)
 
 
 # --- summaries ---------------------------------------------------------------------------

@@ -32,6 +32,12 @@ class Analysis:
     slices: DataFrame
     limitations: tuple[str, ...]
     excluded_rows: int = 0
+    local_reports: DataFrame | None = None
+    local_cards: DataFrame | None = None
+
+
+#: Fixed value: segments with local rules, at most.
+LOCAL_SEGMENTS = 5
 
 
 def analyse(
@@ -46,7 +52,7 @@ def analyse(
     discovery: DiscoveryConfig = DiscoveryConfig(),
     config: ValidationConfig = ValidationConfig(),
 ) -> Analysis:
-    """Profile, split, discover, validate and grade."""
+    """Profile, split, discover, validate and grade; then rules inside segments with Local evidence."""
     grade = metadata_grade(performance_window_days)
     names = features.select(df.columns, roles)
     if not names:
@@ -88,10 +94,17 @@ def analyse(
             segment_name=segment_name,
         )
         cards = small_table(cards)
+        reports, local = validation.local_rules(
+            parts, cards, slices, names, roles, discovery=discovery, config=config, grade=grade,
+            time_enabled=time_enabled, limit=LOCAL_SEGMENTS,
+        )
     else:
+        reports = local = None
         cards = found.frame.limit(0).withColumn("grade", F.lit(""))
         slices = found.frame.limit(0)
-    return Analysis(profile, issues, gates, found, cards, slices, tuple(limitations), excluded)
+    return Analysis(
+        profile, issues, gates, found, cards, slices, tuple(limitations), excluded, reports, local
+    )
 
 
 def monitor(

@@ -87,7 +87,9 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.memo: dict[str, bytes] = {}
+        # Words that were seen, by number, and their ids one after another.
+        self.memo: dict[str, int] = {}
+        self.ids, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
 
     def batch(self, texts: pa.Array) -> list[bytes]:
         """Little-endian 32-bit ids of every text; null is empty."""
@@ -124,39 +126,48 @@ class Encoder:
         words = pc.split_pattern(cut, _MARK)
         word_edges = words.offsets.to_numpy()
         coded = words.flatten().dictionary_encode()
-        known = self._words(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, known), dtype=np.int64, count=len(known)) // 4
-        word_code = coded.indices.to_numpy().astype(np.int64)
-        table, _ = _gathered(np.frombuffer(b"".join(known), dtype="<u4"), sizes, word_code)
+        numbers, ids, sizes = self._words(coded.dictionary.to_pylist())
+        word_code = numbers[coded.indices.to_numpy()]
+        table, _ = _gathered(ids, sizes, word_code)
         ids, after = _gathered(table, _sums(sizes[word_code], word_edges), code)
         data, ends = ids.tobytes(), 4 * np.append(0, after)[edges]
         for k, a, b in zip(places.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
             out[k] = data[a:b]
 
-    def _words(self, words: list[str]) -> list[bytes]:
-        """Ids of words; new ones of letters share calls, with a blank or else a line end between them."""
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of words in a table of ids and sizes.
+
+        New words of letters share calls, with their blank or else a line end between them.  They are
+        remembered until the memory is full; later ones serve one batch.
+        """
         memo, encode = self.memo, self.tokenizer.encode_batch
-        new = [w for w in words if w not in memo]
-        if len(memo) + len(new) > _MEMO:
-            memo.clear()
-            new = words
-        plain = [[], []]
+        plain: tuple[list, list] = ([], [])
         others = []
-        for w in new:
-            bare = w[1:] if w[:1] == " " else w
-            plain[bare is w].append(w) if _LATIN.match(bare) else others.append(w)
+        for w in words:
+            if w not in memo:
+                bare = w[1:] if w[:1] == " " else w
+                plain[bare is w].append(w) if _LATIN.match(bare) else others.append(w)
+        ids, sizes = [self.ids], [self.sizes]
         for bare, found in enumerate(plain):
-            groups = [found[k : k + 256] for k in range(0, len(found), 256)]
+            groups = [found[k : k + 1024] for k in range(0, len(found), 1024)]
             for group, made in zip(groups, encode([("\n" * bare).join(g) for g in groups], add_special_tokens=False)):
-                ids, owners, first = array("I", made.ids), made.word_ids, 0
-                for k, word in enumerate(group):
-                    first = bisect_left(owners, k + k * bare, first)
-                    after = bisect_right(owners, k + k * bare, first)
-                    memo[word] = ids[first:after].tobytes()
-                    first = after
-        for word, made in zip(others, encode(others, add_special_tokens=False)):
-            memo[word] = array("I", made.ids).tobytes()
-        return [memo[w] for w in words]
+                owners = np.array(made.word_ids)
+                own = owners % (1 + bare) == 0  # what is between is a line end
+                ids.append(np.array(made.ids, dtype="<u4")[own])
+                sizes.append(np.bincount(owners[own] // (1 + bare), minlength=len(group)))
+        for made in encode(others, add_special_tokens=False):
+            ids.append(np.array(made.ids, dtype="<u4"))
+        sizes.append(np.array([len(x) for x in ids[len(ids) - len(others) :]], dtype=np.int64))
+        new = [*plain[0], *plain[1], *others]
+        table, size = np.concatenate(ids), np.concatenate(sizes)
+        numbered = dict(zip(new, range(len(self.sizes), len(size))))
+        if len(memo) + len(new) <= _MEMO:
+            memo.update(numbered)
+            self.ids, self.sizes = table, size
+            look = memo.__getitem__
+        else:
+            look = lambda w: numbered[w] if w in numbered else memo[w]
+        return np.fromiter(map(look, words), dtype=np.int64, count=len(words)), table, size
 
 
 _READY: dict[str, Encoder] = {}

@@ -17,7 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -145,15 +145,19 @@ class _Range(NamedTuple):
     rows: int
 
 
+def range_place(v: Column) -> Column:
+    """Number of the range of equal ratio that a finite value lies in; zero is a range by itself."""
+    # The logarithm never falls when its argument rises, so ranges are ordered as values are.
+    size = F.floor(F.log2(F.abs(v)) * RANGES_PER_DOUBLING) + 80_000
+    return F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+
+
 def first_ranges(df: DataFrame, columns: Sequence[str], by: str | None) -> list[_Range]:
     """Rows of every column in ranges of equal ratio, zero by itself: one pass over the rows.
 
     The number of ranges depends on the spread of the values only (a double has 2,100 doublings).
     """
-    v = F.col("v")
-    # The logarithm never falls when its argument rises, so ranges are ordered as values are.
-    size = F.floor(F.log2(F.abs(v)) * RANGES_PER_DOUBLING) + 80_000
-    place = F.when(v > 0, size).when(v < 0, -size).otherwise(F.lit(0))
+    place = range_place(F.col("v"))
     frames = []
     for names in batches(columns, 32):
         frames.append(_long(df, names, by, {}).groupBy("g", "feature", place.alias("place")))

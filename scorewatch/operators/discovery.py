@@ -27,7 +27,7 @@ from scorewatch.functions.expr import (
     quoted,
     small_table,
 )
-from scorewatch.functions.ranks import quantiles, running_totals
+from scorewatch.functions.ranks import quantiles, range_place, running_totals
 from scorewatch.functions.stats import rule_metrics
 from scorewatch.operators.contract import require_columns
 from scorewatch.roles import (
@@ -206,8 +206,8 @@ def tree_thresholds(
     return {k if by else k[1]: sorted(t) for k, t in found.items()}
 
 
-#: Settings of the boosted cuts: trees, learning rate, ranges a feature is cut into.
-BOOST_TREES, BOOST_RATE, BOOST_BINS = 30, 0.05, 256
+#: Settings of the boosted cuts: trees and learning rate.
+BOOST_TREES, BOOST_RATE = 30, 0.05
 
 
 def boosted_thresholds(
@@ -219,62 +219,44 @@ def boosted_thresholds(
     by: str | None = None,
     trees: int = BOOST_TREES,
     rate: float = BOOST_RATE,
-    bins: int = BOOST_BINS,
 ) -> dict:
     """Split points of boosted depth-2 trees on every single feature, by histogram boosting.
 
-    The trees of a feature see nothing but its values, so rows of one bin always get the same score:
-    one job counts rows and bads per group, feature and bin, and every round sums the residuals of
-    these bins in place, for all features at once.  Splits gain in squared residual sums, leaves take
-    the mean residual.  Bins are cut at quantiles of the values, their borders are the candidate
-    cuts; a feature with few values is cut at each of them.  With ``balanced`` the classes weigh the same.
+    The trees of a feature see nothing but its values, so rows of one range of values always get the
+    same score: one job counts rows and bads per group, feature and range (64 for each doubling of the
+    value), and every round sums the residuals of these ranges, for all features at once.  Splits gain
+    in squared residual sums, leaves take a Newton step; a cut lies midway between two ranges.  With
+    ``balanced`` the classes weigh the same.
     """
     if not features:
         return {}
-    key = None if by is None else "g"
-    rows = df if by is None else df.withColumn("g", group_key(by))
-    probs = [k / bins for k in range(1, bins)]
-    cuts = {
-        ((r["g"] if by else ""), r["feature"]): sorted({v for v in r["q"] if v < r["max_value"]})
-        for r in quantiles(rows, features, probs, by=key).collect()
-    }
-    cuts = {k: v for k, v in cuts.items() if v}
-    if not cuts:
-        return {}
-    spark = df.sparkSession
-    table = spark.createDataFrame([(g, f, v) for (g, f), v in cuts.items()], "g string, feature string, cuts array<double>")
-    long = rows.select(
-        F.col("g") if by else F.lit("").alias("g"),
-        (F.col(target) == 1).cast("long").alias("bad"),
-        *[finite(c).alias(f"v_{c}") for c in features],
+    long = df.select(
+        group_key(by), (F.col(target) == 1).cast("long").alias("bad"), *[finite(c).alias(f"v_{c}") for c in features]
     ).unpivot(["g", "bad"], [f"v_{c}" for c in features], "feature", "v")
-    long = long.filter(F.col("v").isNotNull()).withColumn("feature", F.expr("substring(feature, 3)"))
-    # As many cuts lie below a value as there are before its place in the sorted list.
-    below = F.expr("aggregate(sequence(0, 9), 0, (at, k) -> CASE WHEN at + shiftright(512, k) <= size(cuts) AND element_at(cuts, at + shiftright(512, k)) < v THEN at + shiftright(512, k) ELSE at END)")
     counted = (
-        long.join(F.broadcast(table), ["g", "feature"])
-        .groupBy("g", "feature", below.alias("bin"))
-        .agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
+        long.filter(F.col("v").isNotNull())
+        .groupBy("g", F.expr("substring(feature, 3)").alias("feature"), range_place(F.col("v")).alias("place"))
+        .agg(F.count("*").alias("n"), F.sum("bad").alias("bad"), F.min("v").alias("low"), F.max("v").alias("high"))
     )
 
     def boost(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("bin")
-        own = cuts[pdf["g"].iloc[0], pdf["feature"].iloc[0]]
-        found = boosted_cuts(
-            pdf["bin"].to_numpy(), pdf["n"].to_numpy(float), pdf["bad"].to_numpy(float),
-            trees=trees, rate=rate, balanced=balanced,
-        )
-        return pd.DataFrame({"g": pdf["g"].iloc[0], "feature": pdf["feature"].iloc[0], "cuts": [[own[k] for k in found]]})
+        pdf = pdf.sort_values("place")
+        low, high = pdf["low"].to_numpy(), pdf["high"].to_numpy()
+        found = boosted_cuts(pdf["n"].to_numpy(float), pdf["bad"].to_numpy(float), trees=trees, rate=rate, balanced=balanced)
+        cuts = [float(high[k - 1] / 2 + low[k] / 2) for k in found]
+        return pd.DataFrame({"g": pdf["g"].iloc[0], "feature": pdf["feature"].iloc[0], "cuts": [cuts]})
 
-    # A group holds one row per bin of one feature.
+    # A group of this step has one row per range of one feature.
     found = counted.groupBy("g", "feature").applyInPandas(boost, "g string, feature string, cuts array<double>")
-    return {((r["g"], r["feature"]) if by else r["feature"]): list(r["cuts"]) for r in found.collect()}
+    return {
+        ((r["g"], r["feature"]) if by else r["feature"]): list(r["cuts"]) for r in found.collect() if r["cuts"]
+    }
 
 
 def boosted_cuts(
-    bins: np.ndarray, n: np.ndarray, bad: np.ndarray, *, trees: int, rate: float, balanced: bool = False
+    n: np.ndarray, bad: np.ndarray, *, trees: int, rate: float, balanced: bool = False
 ) -> list[int]:
-    """Bins after which a tree splits, from counts per bin of one feature (logistic loss)."""
+    """Places at which a tree splits the ordered ranges of one feature, from their counts (logistic loss)."""
     if not 0 < bad.sum() < n.sum():
         return []
     w1 = n.sum() / (2 * bad.sum()) if balanced else 1.0
@@ -304,7 +286,7 @@ def boosted_cuts(
         used.update(edges[1:-1])
         for a, b in zip(edges, edges[1:]):
             score[a:b] += rate * residual[a:b].sum() / max(curve[a:b].sum(), 1e-12)
-    return sorted(int(bins[k - 1]) for k in used)
+    return sorted(used)
 
 
 def rule_thresholds(

@@ -14,7 +14,19 @@ from pyspark.sql import types as T
 
 from scorewatch.functions.expr import small_table, union_all
 from scorewatch.operators.contract import require_columns
-from scorewatch.operators.monitoring import Snapshot, detect, root_causes
+from scorewatch.operators.monitoring import (
+    Facts,
+    Snapshot,
+    comparable_features,
+    counted_facts,
+    label_alerts,
+    long_facts,
+    population_alerts,
+    root_causes,
+    rule_decay_alerts,
+    schema_alerts,
+    value_alerts,
+)
 from scorewatch.operators.split import repeat_rows, take_exact
 from scorewatch.roles import SEED, Condition
 from scorewatch.sources.scratch import staged
@@ -285,6 +297,76 @@ def standard_scenarios(feature: str, segment: str, rule_id: str, **columns: str)
     ]
 
 
+def inject_all(df: DataFrame, scenarios: Sequence[Scenario], seed: int = SEED) -> DataFrame:
+    """The tables of all scenarios in one, told apart by ``scenario_id``.
+
+    Rows are written once per scenario and chosen for all scenarios together; a schema drift leaves
+    its column in place, as one table has one schema (:func:`dropped` names it).  Drawn copies of a
+    population shift are added scenario by scenario.
+    """
+    for s in scenarios:
+        label = s.drift_type == "rule_decay"
+        require_columns(df, [s.target_column if label else s.target], "label" if label else "drift target")
+    names = [s.scenario_id for s in scenarios]
+    if len(set(names)) < len(names):
+        raise ValueError("scenario ids must be unique")
+    spark = df.sparkSession
+    drawn = [s for s in scenarios if s.drift_type == "population_shift"]
+    marked = [s for s in scenarios if s.drift_type not in ("population_shift", "schema")]
+    tag = F.col("scenario_id")
+    each = df.select("*", F.explode(F.array(*[F.lit(s.scenario_id) for s in scenarios if s not in drawn])).alias("scenario_id")) if len(drawn) < len(names) else None
+    frames = [oversample(df, s, seed + names.index(s.scenario_id)).withColumn("scenario_id", F.lit(s.scenario_id)) for s in drawn]
+    if each is not None:
+        open_rows = F.lit(False)
+        for s in marked:
+            open_rows = F.when(tag == s.scenario_id, _candidate(df, s)).otherwise(open_rows)
+        each = each.withColumn("_candidate", F.coalesce(open_rows, F.lit(False)))
+        counted = each.groupBy("scenario_id", "_candidate").agg(F.count("*").alias("n")).collect()
+        sizes = {(r["scenario_id"], r["_candidate"]): r["n"] for r in counted}
+        share = {s.scenario_id: s.magnitude for s in marked}
+        quotas = [
+            (name, on, min(n, max(1, round(n * share[name]))) if on and share.get(name) else 0)
+            for (name, on), n in sizes.items()
+        ]
+        chosen = take_exact(
+            each, ["scenario_id", "_candidate"],
+            spark.createDataFrame(quotas, "scenario_id string, _candidate boolean, quota long"),
+            seed=seed, name="_selected", inside="yes", outside="no",
+        )
+        frames.append(_changed(chosen.withColumn("_selected", F.col("_selected") == "yes"), df, marked).drop("_candidate", "_selected"))
+    return union_all(frames)
+
+
+def _changed(chosen: DataFrame, df: DataFrame, scenarios: Sequence[Scenario]) -> DataFrame:
+    """The chosen rows with the drift of their own scenario."""
+    shifts = [s.target for s in scenarios if s.drift_type == "numeric_shift"]
+    for c in shifts:
+        if not isinstance(df.schema[c].dataType, T.NumericType):
+            raise ValueError("numeric_shift requires a numeric target")
+    spread = df.agg(*[F.stddev_samp(c).alias(c) for c in dict.fromkeys(shifts)]).first().asDict() if shifts else {}
+    values = {c: F.col(c) for c in df.columns}
+    for s in scenarios:
+        on = (F.col("scenario_id") == s.scenario_id) & F.col("_selected")
+        column = s.target_column if s.drift_type in ("label_shift", "rule_decay") else s.target
+        dtype = df.schema[column].dataType
+        if s.drift_type == "missingness":
+            new = F.lit(None).cast(dtype)
+        elif s.drift_type == "numeric_shift":
+            new = (F.col(column) + F.lit(s.magnitude * (spread[column] or 0.0))).cast(dtype)
+        else:
+            old, flipped = (0, 1) if s.drift_type == "label_shift" else (1, 0)
+            on = on & (F.col(column) == old)
+            on = on & _decay_hits(s) if s.drift_type == "rule_decay" else on
+            new = F.lit(flipped).cast(dtype)
+        values[column] = F.when(on, new).otherwise(values[column])
+    return chosen.select(*[v.alias(c) for c, v in values.items()], "scenario_id", "_candidate", "_selected")
+
+
+def dropped(df: DataFrame, s: Scenario) -> DataFrame:
+    """The table as a scenario sees it: without the column that a schema drift takes away."""
+    return df.drop(s.target) if s.drift_type == "schema" else df
+
+
 def backtest(
     df: DataFrame,
     snapshot: Snapshot,
@@ -296,25 +378,36 @@ def backtest(
 ) -> DataFrame:
     """Inject, detect, explain and score every scenario (a handful); one row each.
 
-    ``rules`` are the current rule lifts; for a decaying rule its lift is set to 1.
+    All scenarios go through injection, one grouped count, detection and attribution together, with
+    ``scenario_id`` as one more key.  ``rules`` are the current rule lifts; for a decaying rule its
+    lift is set to 1.
     """
-    alerts, causes, truth = [], [], []
-    for offset, s in enumerate(scenarios):
-        # Read by about six passes of this scenario only.
-        current = inject(df, s, seed + offset).persist()
-        now = rules
-        if s.drift_type == "rule_decay":
-            now = rules.withColumn(
-                "lift", F.when(F.col("rule_id") == s.rule_id, 1.0).otherwise(F.col("lift"))
-            )
-        found = small_table(detect(snapshot, current, now))
-        tag = F.lit(s.scenario_id).alias("scenario_id")
-        alerts.append(found.select(tag, "alert_type", "scope_value"))
-        explained = small_table(root_causes(found, snapshot, current, top_k=top_k))
-        current.unpersist()
-        causes.append(explained.select(tag, "dimension", "value", "rank"))
-        (row,) = truth_rows([s])
-        scope = {"population_shift": s.segment, "label_shift": snapshot.dataset_id}.get(s.drift_type)
-        truth.append((row[0], row[1], scope or row[2], row[3], row[4]))
-    frame = truth_frame(df.sparkSession, truth)
-    return alert_scores(union_all(alerts), frame, union_all(causes), top_k=top_k)
+    tags = ("scenario_id",)
+    tag = F.col("scenario_id")
+    tables = {s.scenario_id: dropped(df, s) for s in scenarios}
+    present = tuple(((k,), tuple(comparable_features(snapshot, t))) for k, t in tables.items())
+    every = list({f.feature: f for _, found in present for f in found}.values())
+    stacked = inject_all(df, scenarios, seed)
+    known = Facts(counted_facts(long_facts(snapshot, stacked, every, tags), tags), present, tags)
+    frames = [
+        schema_alerts(snapshot, t).select(F.lit(k).alias("scenario_id"), "*") for k, t in tables.items()
+    ] + value_alerts(snapshot, known)
+    roles = snapshot.roles
+    for column, found in ((roles.target, label_alerts), (roles.segment, population_alerts)):
+        having = [k for k, t in tables.items() if column in t.columns]
+        if having:
+            frames.append(found(snapshot, known).filter(tag.isin(having)))
+    if snapshot.rules is not None:
+        now = rules.select(F.explode(F.array(*[F.lit(k) for k in tables])).alias("scenario_id"), "rule_id", "lift")
+        for s in scenarios:
+            if s.drift_type == "rule_decay":
+                gone = (tag == s.scenario_id) & (F.col("rule_id") == s.rule_id)
+                now = now.withColumn("lift", F.when(gone, 1.0).otherwise(F.col("lift")))
+        frames.append(rule_decay_alerts(snapshot.rules, now, tags))
+    alerts = small_table(union_all(frames))
+    causes = root_causes(alerts, snapshot, stacked, top_k=top_k, known=known)
+    truth = []
+    for s, (name, alert, scope, dimension, value) in zip(scenarios, truth_rows(scenarios)):
+        fixed = {"population_shift": s.segment, "label_shift": snapshot.dataset_id}.get(s.drift_type)
+        truth.append((name, alert, fixed or scope, dimension, value))
+    return alert_scores(alerts, truth_frame(df.sparkSession, truth), small_table(causes), top_k=top_k)

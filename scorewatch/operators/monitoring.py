@@ -11,7 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from scorewatch.functions.expr import kept, long_bins, ratio, union_all
+from scorewatch.functions.expr import bucket_of, finite, kept, long_bins, ratio, small_table, union_all
 from scorewatch.functions.ranks import quantile_lists, quantiles
 from scorewatch.functions.tokens import short_hash
 from scorewatch.operators.contract import require_columns
@@ -325,6 +325,7 @@ def alert_rows(
     current_text: Column | None = None,
     delta: Column | None = None,
     evidence: Mapping[str, Column] | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Shape rows into alerts, each with the id of its type, scope, value and metric."""
     number, text = F.lit(None).cast("double"), F.lit(None).cast("string")
@@ -333,6 +334,7 @@ def alert_rows(
     empty = F.create_map().cast("map<string,double>")
     key = F.concat_ws("|", F.lit(alert_type), F.lit(scope), scope_value, metric)
     return df.select(
+        *keep,
         short_hash(key, 12).alias("alert_id"),
         F.lit(alert_type).alias("alert_type"),
         severity.alias("severity"),
@@ -393,56 +395,125 @@ def comparable_features(snapshot: Snapshot, current: DataFrame) -> list[FeatureR
     return [f for f in snapshot.features if kinds.get(f.feature) == dtype_family(f.dtype)]
 
 
-def missing_alerts(snapshot: Snapshot, current: DataFrame) -> DataFrame:
-    """Increase of the missing rate against the reference."""
+#: Marks the rows of :func:`facts` that count rows and positives instead of a feature's values.
+ROWS = ""
+
+
+@dataclass(frozen=True)
+class Facts:
+    """What detection and attribution read: one grouped count of a current table, or of several.
+
+    ``counts`` is a stage table with ``[tags,] segment, feature, bin, n, total``: finite values by
+    reference bin and their sum, missing values under a null bin, and rows with their positives under
+    the feature ``ROWS``.  ``present`` lists the tags of every table with the features that are
+    comparable in it; without tags that is one entry.
+    """
+
+    counts: DataFrame
+    present: tuple[tuple[tuple[str, ...], tuple[FeatureReference, ...]], ...]
+    tags: tuple[str, ...] = ()
+
+    @property
+    def features(self) -> list[FeatureReference]:
+        """All features that are comparable in any table."""
+        return list({f.feature: f for _, features in self.present for f in features}.values())
+
+    def reference(self, columns: str, row) -> DataFrame:
+        """Literal rows for every table and comparable feature; ``row`` gives those of one feature."""
+        rows = [(*tag, *r) for tag, features in self.present for f in features for r in row(f)]
+        names = ", ".join([*(f"{t} string" for t in self.tags), columns])
+        return self.counts.sparkSession.createDataFrame(rows, names)
+
+
+def long_facts(
+    snapshot: Snapshot, current: DataFrame, features: Sequence[FeatureReference], tags: Sequence[str] = ()
+) -> DataFrame:
+    """The rows behind :func:`facts`: ``[tags,] segment, feature, bin, v``, one per row and feature."""
+    roles, columns = snapshot.roles, set(current.columns)
+    none = F.lit(None).cast("string")
+    segment = F.col(roles.segment).cast("string") if roles.segment in columns else none
+    bad = F.coalesce(F.col(roles.target) == 1, F.lit(False)) if roles.target in columns else F.lit(False)
+    names = [f.feature for f in features]
+    clean = current.select(
+        *tags, segment.alias("segment"), bad.cast("double").alias("_bad"), *[finite(c).alias(f"v_{c}") for c in names]
+    )
+    empty = F.lit(None).cast("int")
+    values = [F.struct(empty.alias("bin"), F.col("_bad").alias("v")).alias("v_")]
+    for f in features:
+        inner = list(f.edges[1:-1])
+        place = bucket_of(f"v_{f.feature}", inner) if inner else F.when(F.col(f"v_{f.feature}").isNotNull(), F.lit(0))
+        values.append(F.struct(place.cast("int").alias("bin"), F.col(f"v_{f.feature}").alias("v")).alias(f"v_{f.feature}"))
+    long = clean.select(*tags, "segment", *values)
+    long = long.unpivot([*tags, "segment"], ["v_", *[f"v_{c}" for c in names]], "feature", "x")
+    return long.select(*tags, "segment", F.expr("substring(feature, 3)").alias("feature"), "x.bin", "x.v")
+
+
+def counted_facts(long: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
+    """Counts and sums of the rows of :func:`long_facts`, as a stage table."""
+    grouped = long.groupBy(*tags, "segment", "feature", "bin")
+    return staged(grouped.agg(F.count("*").alias("n"), F.sum("v").alias("total")), "facts")
+
+
+def facts(snapshot: Snapshot, current: DataFrame) -> Facts:
+    """One pass over a current table for all its alerts and causes."""
     features = comparable_features(snapshot, current)
-    ref = reference_frame(current.sparkSession, features).select(
-        "feature", "family", F.col("missing_rate").alias("reference_rate")
-    )
-    rates = column_rates(current, [f.feature for f in features])
-    joined = rates.join(ref, "feature").withColumn(
-        "delta", F.col("missing_rate") - F.col("reference_rate")
-    )
+    return Facts(counted_facts(long_facts(snapshot, current, features)), (((), tuple(features)),))
+
+
+def _rows(known: Facts, *by: str) -> DataFrame:
+    """Rows and positives per table (and ``by``)."""
+    marks = known.counts.filter(F.col("feature") == ROWS)
+    return marks.groupBy(*known.tags, *by).agg(F.sum("n").alias("rows"), F.sum("total").alias("positives"))
+
+
+def missing_alerts(snapshot: Snapshot, current: DataFrame | Facts) -> DataFrame:
+    """Increase of the missing rate against the reference."""
+    known = current if isinstance(current, Facts) else facts(snapshot, current)
+    tags = known.tags
+    ref = known.reference("feature string, reference_rate double", lambda f: [(f.feature, f.missing_rate)])
+    missing = known.counts.groupBy(*tags, "feature").agg(
+        F.sum("n").alias("n"), F.sum(F.when(F.col("bin").isNull(), F.col("n")).otherwise(0)).alias("missing")
+    )
+    joined = ref.join(missing, [*tags, "feature"], "left").fillna(0, ["n", "missing"])
+    joined = joined.withColumn("missing_rate", ratio(F.col("missing"), F.col("n")))
+    joined = joined.withColumn("delta", F.col("missing_rate") - F.col("reference_rate"))
     severity = two_level(F.col("delta"), MISSING_WARNING, MISSING_CRITICAL)
     return alert_rows(
         joined.filter(severity.isNotNull()), "missingness", "feature", "missing_rate",
         F.col("feature"), severity, reference=F.col("reference_rate"),
-        current=F.col("missing_rate"), delta=F.col("delta"),
+        current=F.col("missing_rate"), delta=F.col("delta"), keep=tags,
     )
 
 
-def psi_floored(snapshot: Snapshot, current: DataFrame) -> DataFrame:
+def psi_floored(snapshot: Snapshot, current: DataFrame | Facts) -> DataFrame:
     """Stability index per feature on the reference bins, probabilities floored at 1e-6."""
-    features = [f for f in comparable_features(snapshot, current) if f.counts]
-    spark = current.sparkSession
-    grid = spark.createDataFrame(
-        [
-            (f.feature, b, len(f.counts), int(n), int(sum(f.counts)))
-            for f in features
-            for b, n in enumerate(f.counts)
-        ],
+    known = current if isinstance(current, Facts) else facts(snapshot, current)
+    keys = [*known.tags, "feature"]
+    grid = known.reference(
         "feature string, bin int, bins int, ref_n long, ref_total long",
+        lambda f: [(f.feature, b, len(f.counts), int(n), int(sum(f.counts))) for b, n in enumerate(f.counts)],
     )
-    counted = bin_counts(current, {f.feature: f.edges for f in features})
-    full = grid.join(counted, ["feature", "bin"], "left").fillna(0, ["n"])
-    full = full.withColumn("total", F.sum("n").over(W.partitionBy("feature")))
+    counted = known.counts.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    full = grid.join(counted, [*keys, "bin"], "left").fillna(0, ["n"])
+    full = full.withColumn("total", F.sum("n").over(W.partitionBy(*keys)))
     r = F.greatest(F.col("ref_n") / F.col("ref_total"), F.lit(PROBABILITY_FLOOR))
     c = F.greatest(ratio(F.col("n"), F.col("total")), F.lit(PROBABILITY_FLOOR))
     part = F.when(F.col("total") > 0, (c - r) * F.log(c / r)).otherwise(F.lit(0.0))
-    return full.groupBy("feature", "bins").agg(F.sum(part).alias("psi"))
+    return full.groupBy(*keys, "bins").agg(F.sum(part).alias("psi"))
 
 
-def distribution_alerts(snapshot: Snapshot, current: DataFrame) -> DataFrame:
+def distribution_alerts(snapshot: Snapshot, current: DataFrame | Facts) -> DataFrame:
+    known = current if isinstance(current, Facts) else facts(snapshot, current)
     psi = F.col("psi")
     severity = two_level(F.abs(psi), PSI_WARNING, PSI_CRITICAL)
     return alert_rows(
-        psi_floored(snapshot, current).filter(severity.isNotNull()), "distribution", "feature",
+        psi_floored(snapshot, known).filter(severity.isNotNull()), "distribution", "feature",
         "psi", F.col("feature"), severity, reference=F.lit(0.0), current=psi, delta=psi,
-        evidence={"bucket_count": F.col("bins")},
+        evidence={"bucket_count": F.col("bins")}, keep=known.tags,
     )
 
 
-def family_alerts(snapshot: Snapshot, missing: DataFrame) -> DataFrame:
+def family_alerts(snapshot: Snapshot, missing: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
     """Families with at least two features whose missing rate rose."""
     spark = missing.sparkSession
     sizes: dict[str, int] = {}
@@ -454,7 +525,7 @@ def family_alerts(snapshot: Snapshot, missing: DataFrame) -> DataFrame:
     )
     grouped = (
         missing.join(families, missing["scope_value"] == families["feature"])
-        .groupBy("family", "size")
+        .groupBy(*tags, "family", "size")
         .agg(
             F.count("*").alias("anomalous"),
             F.max((F.col("severity") == "critical").cast("int")).alias("critical"),
@@ -468,30 +539,41 @@ def family_alerts(snapshot: Snapshot, missing: DataFrame) -> DataFrame:
             "anomalous_feature_count": F.col("anomalous"),
             "family_feature_count": F.col("size"),
         },
+        keep=tags,
     )
 
 
-def label_alerts(snapshot: Snapshot, current: DataFrame) -> DataFrame:
+def label_alerts(snapshot: Snapshot, current: DataFrame | Facts) -> DataFrame:
     """Absolute change of the positive rate; null targets are not positive."""
-    rate = F.count_if(F.col(snapshot.roles.target) == 1) / F.count("*")
-    now = current.groupBy().agg(F.count("*").alias("n"), F.when(F.count("*") > 0, rate).alias("rate"))
+    known = current if isinstance(current, Facts) else facts(snapshot, current)
+    now = _rows(known).withColumn("rate", F.col("positives") / F.col("rows"))
     delta = F.col("rate") - snapshot.positive_rate
     severity = two_level(F.abs(delta), LABEL_WARNING, LABEL_CRITICAL)
     return alert_rows(
         now.filter(severity.isNotNull()), "label", "dataset", "positive_rate",
         F.lit(snapshot.dataset_id), severity, reference=F.lit(snapshot.positive_rate),
-        current=F.col("rate"), delta=delta,
+        current=F.col("rate"), delta=delta, keep=known.tags,
     )
 
 
-def population_alerts(snapshot: Snapshot, current: DataFrame) -> DataFrame:
+def population_alerts(snapshot: Snapshot, current: DataFrame | Facts) -> DataFrame:
     """Share changes of segments; new and vanished segments count when they are large."""
-    minimum = snapshot.min_group_size
-    label = F.coalesce(F.col(snapshot.roles.segment).cast("string"), F.lit("None"))
-    now = staged(current.groupBy(label.alias("segment")).agg(F.count("*").alias("now")), "segments")
-    total = now.agg(F.sum("now")).first()[0]
-    joined = now.join(snapshot.segments.withColumnRenamed("n", "ref"), "segment", "full_outer")
-    joined = joined.fillna(0, ["now", "ref"]).withColumn("now_total", F.lit(total).cast("long"))
+    known = current if isinstance(current, Facts) else facts(snapshot, current)
+    tags, minimum = known.tags, snapshot.min_group_size
+    now = _rows(known, "segment").withColumn("segment", F.coalesce("segment", F.lit("None")))
+    now = now.groupBy(*tags, "segment").agg(F.sum("rows").alias("now"))
+    totals = _rows(known).select(*tags, F.col("rows").alias("now_total"))
+    ref = snapshot.segments.withColumnRenamed("n", "ref")
+    if tags:
+        # A handful of tables times the segments of the reference.
+        named = F.array(*[F.struct(*[F.lit(v).alias(t) for t, v in zip(tags, tag)]) for tag, _ in known.present])
+        ref = ref.select(F.explode(named).alias("_t"), "segment", "ref").select("_t.*", "segment", "ref")
+    joined = now.join(ref, [*tags, "segment"], "full_outer").fillna(0, ["now", "ref"])
+    if tags:
+        joined = joined.join(totals, list(tags))
+    else:
+        total = totals.first()
+        joined = joined.withColumn("now_total", F.lit(total["now_total"] if total else None).cast("long"))
     r, c = F.col("ref"), F.col("now")
     eligible = (
         ((r == 0) & (c >= minimum)) | ((c == 0) & (r >= minimum)) | ((r >= minimum) & (c >= minimum))
@@ -506,44 +588,52 @@ def population_alerts(snapshot: Snapshot, current: DataFrame) -> DataFrame:
     )
     return alert_rows(
         shares, "population", "institution", "share", F.col("segment"), F.lit("warning"),
-        reference=F.col("r_share"), current=F.col("c_share"), delta=F.col("delta"),
+        reference=F.col("r_share"), current=F.col("c_share"), delta=F.col("delta"), keep=tags,
     )
 
 
-def rule_decay_alerts(reference: DataFrame, current: DataFrame) -> DataFrame:
-    """Loss of lift of rules known on both sides (``rule_id, lift`` tables)."""
+def rule_decay_alerts(reference: DataFrame, current: DataFrame, tags: Sequence[str] = ()) -> DataFrame:
+    """Loss of lift of rules known on both sides (``rule_id, lift`` tables; the current one may be tagged)."""
     joined = reference.select("rule_id", F.col("lift").alias("ref")).join(
-        current.select("rule_id", F.col("lift").alias("now")), "rule_id"
+        current.select(*tags, "rule_id", F.col("lift").alias("now")), "rule_id"
     )
     decay = (F.col("ref") - F.col("now")) / F.col("ref")
     rows = joined.filter(F.col("ref") > 0).withColumn("decay", decay)
     severity = two_level(F.col("decay"), DECAY_WARNING, DECAY_CRITICAL)
     return alert_rows(
         rows.filter(severity.isNotNull()), "rule_decay", "rule", "lift_decay", F.col("rule_id"),
-        severity, reference=F.col("ref"), current=F.col("now"), delta=F.col("decay"),
+        severity, reference=F.col("ref"), current=F.col("now"), delta=F.col("decay"), keep=tags,
     )
 
 
 def detect(
-    snapshot: Snapshot, current: DataFrame, current_rules: DataFrame | None = None
+    snapshot: Snapshot,
+    current: DataFrame,
+    current_rules: DataFrame | None = None,
+    known: Facts | None = None,
 ) -> DataFrame:
-    """All alerts of a current table against a reference snapshot."""
-    missing = missing_alerts(snapshot, current)
-    frames = [
-        schema_alerts(snapshot, current),
-        missing,
-        distribution_alerts(snapshot, current),
-        family_alerts(snapshot, missing),
-    ]
+    """All alerts of a current table against a reference snapshot.
+
+    The rows are read once, for :func:`facts`; with ``known`` they are not read at all.
+    """
+    known = facts(snapshot, current) if known is None else known
+    frames = [schema_alerts(snapshot, current), *value_alerts(snapshot, known)]
     if snapshot.roles.target in current.columns:
-        frames.append(label_alerts(snapshot, current))
+        frames.append(label_alerts(snapshot, known))
     if snapshot.roles.segment in current.columns:
-        frames.append(population_alerts(snapshot, current))
+        frames.append(population_alerts(snapshot, known))
     if snapshot.rules is not None and current_rules is not None:
         frames.append(rule_decay_alerts(snapshot.rules, current_rules))
     return union_all(frames)
 
 
+def value_alerts(snapshot: Snapshot, known: Facts) -> list[DataFrame]:
+    """Alerts about the values of features and families."""
+    # Anomalous features only; the family alerts read them again.
+    missing = small_table(missing_alerts(snapshot, known))
+    return [missing, distribution_alerts(snapshot, known), family_alerts(snapshot, missing, known.tags)]
+
+
 def alert_order(alerts: DataFrame) -> DataFrame:
     return alerts.orderBy("alert_type", "scope", "scope_value", "metric")
 
@@ -573,48 +663,58 @@ def eligible_segments(current: DataFrame, segment: str, min_group_size: int) ->
     )
 
 
-def segment_contributions(snapshot: Snapshot, current: DataFrame, features: Sequence[str]) -> DataFrame:
+def segment_contributions(
+    snapshot: Snapshot, current: DataFrame | Facts, features: Sequence[str]
+) -> DataFrame:
     """Per feature and eligible segment: missing-rate and centre shift times share.
 
-    One grouped aggregate covers all features; the reference side is a small
-    table of edges and rates.
+    The reference side is a small table of edges and rates.
     """
-    wanted = [f for f in snapshot.features if f.feature in set(features) & set(current.columns)]
-    seg = snapshot.roles.segment
-    rates = column_rates(
-        current.withColumn("_seg", F.col(seg).cast("string")), [f.feature for f in wanted], "_seg"
-    )
-    ref = current.sparkSession.createDataFrame(
-        [
-            (f.feature, f.family, f.missing_rate, sum(f.edges) / len(f.edges) if f.edges else 0.0)
-            for f in wanted
-        ],
+    if isinstance(current, Facts):
+        known = current
+    else:
+        # Every feature of the reference that the table has counts here, whatever its type family.
+        wanted = [f for f in snapshot.features if f.feature in set(features) & set(current.columns)]
+        known = Facts(counted_facts(long_facts(snapshot, current, wanted)), (((), tuple(wanted)),))
+    tags = known.tags
+    finite_n = F.sum(F.when(F.col("bin").isNotNull(), F.col("n")).otherwise(0))
+    rates = known.counts.groupBy(*tags, "segment", "feature").agg(
+        F.sum("n").alias("n"),
+        finite_n.alias("n_finite"),
+        F.sum(F.when(F.col("bin").isNotNull(), F.col("total"))).alias("total"),
+    )
+    rates = rates.filter(F.col("feature").isin([f for f in features]) & (F.col("feature") != ROWS))
+    ref = known.reference(
         "feature string, family string, ref_missing double, ref_center double",
+        lambda f: [(f.feature, f.family, f.missing_rate, sum(f.edges) / len(f.edges) if f.edges else 0.0)],
     )
-    total = F.sum("n").over(W.partitionBy("feature"))
-    center = F.coalesce("mean", F.lit(0.0))
+    whole = F.sum("n").over(W.partitionBy(*tags, "feature"))
+    missing = ratio(F.col("n") - F.col("n_finite"), F.col("n"))
+    center = F.coalesce(F.col("total") / F.nullif("n_finite", F.lit(0)), F.lit(0.0))
     return (
-        rates.withColumn("share", F.col("n") / total)
-        .filter(F.col("_seg").isNotNull() & (F.col("n") >= snapshot.min_group_size))
-        .join(ref, "feature")
+        rates.withColumns({"share": F.col("n") / whole, "missing_rate": missing, "center": center})
+        .filter(F.col("segment").isNotNull() & (F.col("n") >= snapshot.min_group_size))
+        .join(ref, [*tags, "feature"])
         .select(
+            *tags,
             "feature",
             "family",
-            F.col("_seg").alias("segment"),
+            "segment",
             "share",
             "ref_missing",
             "missing_rate",
             (F.abs(F.col("missing_rate") - F.col("ref_missing")) * F.col("share")).alias("missing_part"),
             "ref_center",
-            center.alias("center"),
-            (F.abs(center - F.col("ref_center")) * F.col("share")).alias("center_part"),
+            "center",
+            (F.abs(F.col("center") - F.col("ref_center")) * F.col("share")).alias("center_part"),
         )
     )
 
 
-def _causes(df: DataFrame, dimension: str, value: Column, contribution: Column, ref=None, cur=None):
+def _causes(df: DataFrame, dimension: str, value: Column, contribution: Column, ref=None, cur=None, tags=()):
     number = F.lit(None).cast("double")
     return df.select(
+        *tags,
         "alert_id",
         F.lit(dimension).alias("dimension"),
         value.alias("value"),
@@ -625,33 +725,45 @@ def _causes(df: DataFrame, dimension: str, value: Column, contribution: Column,
 
 
 def root_causes(
-    alerts: DataFrame, snapshot: Snapshot, current: DataFrame, *, top_k: int = 3
+    alerts: DataFrame,
+    snapshot: Snapshot,
+    current: DataFrame,
+    *,
+    top_k: int = 3,
+    known: Facts | None = None,
 ) -> DataFrame:
-    """Ranked causes per alert: segments, families, features, target, rule or schema."""
+    """Ranked causes per alert: segments, families, features, target, rule or schema.
+
+    ``known`` are the facts of the current table where they are at hand; the rows are read once otherwise.
+    With tagged facts, ``alerts`` and the result carry the tags.
+    """
     if top_k < 1:
         raise ValueError("top_k must be positive")
+    if known is None:
+        known = facts(snapshot, current)
+    tags = known.tags
     kind = F.col("alert_type")
     one = lambda t: alerts.filter(kind == t)
     size = F.abs(F.coalesce("delta", F.lit(0.0)))
     value, ref, cur = F.col("scope_value"), F.col("reference_value"), F.col("current_value")
     frames = [
-        _causes(one("schema"), "schema", value, F.lit(1.0)),
-        _causes(one("population"), "segment", value, size, ref, cur),
-        _causes(one("rule_decay"), "rule", value, size, ref, cur),
-        _causes(one("label"), "target", F.lit(snapshot.roles.target), size, ref, cur),
+        _causes(one("schema"), "schema", value, F.lit(1.0), tags=tags),
+        _causes(one("population"), "segment", value, size, ref, cur, tags),
+        _causes(one("rule_decay"), "rule", value, size, ref, cur, tags),
+        _causes(one("label"), "target", F.lit(snapshot.roles.target), size, ref, cur, tags),
     ]
     roles = snapshot.roles
     if roles.segment in current.columns:
         if roles.target in current.columns:
-            frames.append(_label_causes(one("label"), snapshot, current))
-        present = [f.feature for f in comparable_features(snapshot, current)]
+            frames.append(_label_causes(one("label"), snapshot, known))
+        present = [f.feature for f in known.features]
         if present:
-            frames += _feature_causes(alerts, segment_contributions(snapshot, current, present))
+            frames += _feature_causes(alerts, segment_contributions(snapshot, known, present), tags)
     ranked = union_all(frames).withColumn(
         "rank",
         F.row_number()
         .over(
-            W.partitionBy("alert_id").orderBy(
+            W.partitionBy(*tags, "alert_id").orderBy(
                 # Rounded, so that summation order cannot reorder equal parts.
                 F.round("contribution", 9).desc(),
                 F.array_position(F.array(*[F.lit(d) for d in DIMENSIONS]), F.col("dimension")),
@@ -663,54 +775,52 @@ def root_causes(
     return ranked.filter(F.col("rank") <= top_k)
 
 
-def _label_causes(alerts: DataFrame, snapshot: Snapshot, current: DataFrame) -> DataFrame:
-    seg, target = snapshot.roles.segment, snapshot.roles.target
-    groups = staged(
-        current.groupBy(F.col(seg).cast("string").alias("segment")).agg(
-            F.count("*").alias("n"), F.count_if(F.col(target) == 1).alias("pos")
-        ),
-        "segments",
-    )
-    total = F.lit(groups.agg(F.sum("n")).first()[0])
-    groups = groups.withColumn("share", F.col("n") / total).filter(
-        F.col("segment").isNotNull() & (F.col("n") >= snapshot.min_group_size)
-    )
-    rate = F.col("pos") / F.col("n")
-    # There is one target, so at most one alert about it.
-    ids = [r["alert_id"] for r in alerts.filter("alert_type = 'label'").select("alert_id").collect()]
-    named = F.array(*[F.lit(x) for x in ids]).cast("array<string>")
-    joined = groups.select("*", F.lit("label").alias("alert_type"), F.explode(named).alias("alert_id"))
+def _label_causes(alerts: DataFrame, snapshot: Snapshot, known: Facts) -> DataFrame:
+    tags = known.tags
+    # There is one target, so a table has at most one alert about it.
+    ids = alerts.filter("alert_type = 'label'").select(*tags, "alert_id")
+    groups, totals = _rows(known, "segment"), _rows(known).select(*tags, F.col("rows").alias("all_rows"))
+    if tags:
+        joined = groups.join(totals, list(tags)).join(ids, list(tags))
+    else:
+        total, named = totals.first(), [r["alert_id"] for r in ids.collect()]
+        joined = groups.withColumn("all_rows", F.lit(total["all_rows"] if total else 0)).select(
+            "*", F.explode(F.array(*[F.lit(x) for x in named]).cast("array<string>")).alias("alert_id")
+        )
+    joined = joined.withColumn("share", F.col("rows") / F.col("all_rows"))
+    joined = joined.filter(F.col("segment").isNotNull() & (F.col("rows") >= snapshot.min_group_size))
+    rate = F.col("positives") / F.col("rows")
     base = F.lit(snapshot.positive_rate)
-    return _causes(joined, "segment", F.col("segment"), F.abs(rate - base) * F.col("share"), base, rate)
+    return _causes(joined, "segment", F.col("segment"), F.abs(rate - base) * F.col("share"), base, rate, tags)
 
 
-def _feature_causes(alerts: DataFrame, parts: DataFrame) -> list[DataFrame]:
+def _feature_causes(alerts: DataFrame, parts: DataFrame, tags: Sequence[str] = ()) -> list[DataFrame]:
     """Causes of feature alerts (missingness, distribution) and of family alerts."""
     features = alerts.filter(F.col("scope") == "feature").select(
-        "alert_id", "alert_type", F.col("scope_value").alias("feature"), "delta"
+        *tags, "alert_id", "alert_type", F.col("scope_value").alias("feature"), "delta"
     )
     frames = []
     for kind, part, ref, cur in (
         ("missingness", "missing_part", "ref_missing", "missing_rate"),
         ("distribution", "center_part", "ref_center", "center"),
     ):
-        mine = features.filter(F.col("alert_type") == kind).join(parts, "feature")
+        mine = features.filter(F.col("alert_type") == kind).join(parts, [*tags, "feature"])
         frames.append(
-            _causes(mine, "segment", F.col("segment"), F.col(part), F.col(ref), F.col(cur))
+            _causes(mine, "segment", F.col("segment"), F.col(part), F.col(ref), F.col(cur), tags)
         )
-        whole = mine.groupBy("alert_id", "feature", "family", "delta").agg(F.sum(part).alias("part"))
-        frames.append(_causes(whole, "feature", F.col("feature"), F.abs("delta")))
-        frames.append(_causes(whole, "family", F.col("family"), F.col("part")))
+        whole = mine.groupBy(*tags, "alert_id", "feature", "family", "delta").agg(F.sum(part).alias("part"))
+        frames.append(_causes(whole, "feature", F.col("feature"), F.abs("delta"), tags=tags))
+        frames.append(_causes(whole, "family", F.col("family"), F.col("part"), tags=tags))
     family = alerts.filter((F.col("scope") == "family")).select(
-        "alert_id", F.col("scope_value").alias("family")
+        *tags, "alert_id", F.col("scope_value").alias("family")
     )
-    mine = family.join(parts, "family")
+    mine = family.join(parts, [*tags, "family"])
     part = F.sum("missing_part").alias("part")
     by = {
-        "segment": mine.groupBy("alert_id", F.col("segment").alias("value")).agg(part),
-        "feature": mine.groupBy("alert_id", F.col("feature").alias("value")).agg(part),
-        "family": mine.groupBy("alert_id", F.col("family").alias("value")).agg(part),
+        "segment": mine.groupBy(*tags, "alert_id", F.col("segment").alias("value")).agg(part),
+        "feature": mine.groupBy(*tags, "alert_id", F.col("feature").alias("value")).agg(part),
+        "family": mine.groupBy(*tags, "alert_id", F.col("family").alias("value")).agg(part),
     }
     return frames + [
-        _causes(df, dimension, F.col("value"), F.col("part")) for dimension, df in by.items()
+        _causes(df, dimension, F.col("value"), F.col("part"), tags=tags) for dimension, df in by.items()
     ]

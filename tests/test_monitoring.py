@@ -1,3 +1,4 @@
+import dataclasses
 import hashlib
 import json
 import math
@@ -212,3 +213,39 @@ def test_report_limitations(spark):
     assert off == ["time_monitoring_disabled", "insufficient_drift_reference"]
     ordered = findings.report_limitations(df, ROLES, time_enabled=False, order_by="k", grade="A")
     assert ordered == ["time_monitoring_disabled"]
+
+
+def test_backtest_equals_one_scenario_after_another(planted):
+    from scorewatch.functions.expr import small_table
+
+    names = ["f_a", "f_b", "f_c"]
+    roles = ROLES
+    snapshot = monitoring.build_snapshot(planted, roles, names, dataset_id="demo", min_group_size=50)
+    scenarios = injection.standard_scenarios("f_a", "B", "rule-1")
+    scenarios.append(injection.Scenario("lost", "schema", "segment", 1.0))
+    rules = planted.sparkSession.createDataFrame([("rule-1", 3.0)], "rule_id string, lift double")
+    snapshot = dataclasses.replace(snapshot, rules=rules)
+    got = {r["scenario_id"]: r.asDict() for r in injection.backtest(planted, snapshot, scenarios, rules).collect()}
+    assert set(got) == {s.scenario_id for s in scenarios}
+    for s in scenarios:
+        now = injection.inject(planted, s).cache()
+        current = rules.withColumn("lift", F.lit(1.0 if s.drift_type == "rule_decay" else 3.0))
+        alerts = small_table(monitoring.detect(snapshot, now, current))
+        causes = monitoring.root_causes(alerts, snapshot, now)
+        (row,) = injection.truth_rows([s])
+        scope = {"population_shift": s.segment, "label_shift": "demo"}.get(s.drift_type, row[2])
+        truth = injection.truth_frame(planted.sparkSession, [(row[0], row[1], scope, row[3], row[4])])
+        tag = F.lit(s.scenario_id).alias("scenario_id")
+        want = injection.alert_scores(alerts.select(tag, "*"), truth, causes.select(tag, "*")).first().asDict()
+        assert got[s.scenario_id] == pytest.approx(want), s.scenario_id
+
+
+def test_all_alerts_read_the_table_once(planted):
+    roles = ROLES
+    snapshot = monitoring.build_snapshot(planted, roles, ["f_a", "f_b"], dataset_id="demo", min_group_size=50)
+    segments = planted.sparkSession.createDataFrame(snapshot.segments.collect(), snapshot.segments.schema)
+    snapshot = dataclasses.replace(snapshot, segments=segments)
+    known = monitoring.facts(snapshot, planted)
+    for made in (monitoring.detect(snapshot, planted, known=known), monitoring.root_causes(monitoring.detect(snapshot, planted, known=known), snapshot, planted, known=known)):
+        assert "InMemoryTableScan" not in made._jdf.queryExecution().executedPlan().toString()
+    assert known.counts.count() <= 4 * 3 * 6

@@ -115,14 +115,16 @@ def build_index(documents: DataFrame, *, size: int = BLOCK) -> Index:
     """
     postings = staged(term_counts(documents, "scope", "citation_id"), "postings")
     idf = staged(inverse_frequency(postings, documents), "idf")
-    weight = F.struct("term", (F.col("tf") * F.col("idf")).alias("w"))
+    weight = F.col("tf") * F.col("idf")
     maps = (
         postings.join(idf, ["scope", "term"])
         .groupBy("scope", "citation_id")
-        .agg(F.array_sort(F.collect_list(weight)).alias("map"))
+        .agg(
+            F.collect_list(F.struct("term", weight.alias("w"))).alias("map"),
+            F.sqrt(F.sum(weight * weight)).alias("norm"),
+        )
     )
-    norm = F.sqrt(F.aggregate("map", F.lit(0.0), lambda acc, x: acc + x["w"] * x["w"]))
-    maps = maps.withColumn("norm", norm).select(
+    maps = maps.select(
         "scope",
         "citation_id",
         F.col("map.term").alias("terms"),

@@ -98,45 +98,56 @@ SLACK = 1e-9
 
 
 class Index(NamedTuple):
-    """``vectors`` (a row per document: parallel arrays of terms and weights, and its block),
-    ``blocks`` (a row per block: its terms and the largest weight of each), ``idf`` (scope, term)."""
+    """``vectors`` (a row per document: its ids, block, terms, and counts of terms over its norm),
+    ``blocks`` (a row per block: its terms and the largest of these weights), ``idf`` (scope, term)."""
 
     vectors: DataFrame
     blocks: DataFrame
     idf: DataFrame
 
 
+def _term_maps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct terms and their counts instead of every document's list of terms."""
+    for batch in batches:
+        lists = batch.column("terms")
+        coded = lists.flatten().dictionary_encode()
+        size = max(1, len(coded.dictionary))
+        line = np.repeat(np.arange(len(lists)), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+        key, tf = np.unique(line * size + coded.indices.to_numpy(), return_counts=True)
+        edges = pa.array(np.append(0, np.cumsum(np.bincount(key // size, minlength=len(lists)))), pa.int32())
+        terms_ = pa.ListArray.from_arrays(edges, coded.dictionary.take(pa.array(key % size)))
+        counts = pa.ListArray.from_arrays(edges, pa.array(tf, pa.int64()))
+        names = [n for n in batch.schema.names if n != "terms"]
+        yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), terms_, counts], [*names, "terms", "tf"])
+
+
 def build_index(documents: DataFrame, *, size: int = BLOCK) -> Index:
     """Inverted index in blocks over one row per document, written to the shared folder.
 
-    A document keeps its whole weighted term map in one row.  Documents of a scope with about the same number
-    of terms have weights of about the same size; they share blocks, so that the largest weight of a
-    block says something about all its documents.
+    A document keeps its term map in one row; its terms are only taken apart to count documents per
+    term and to add up norms.  Documents of a scope with about the same number of terms have weights
+    of about the same size; they share blocks, so that the largest weight of a block says something
+    about all its documents.
     """
-    postings = staged(term_counts(documents, "scope", "citation_id"), "postings")
-    idf = staged(inverse_frequency(postings, documents), "idf")
-    weight = F.col("tf") * F.col("idf")
-    maps = (
-        postings.join(idf, ["scope", "term"])
-        .groupBy("scope", "citation_id")
-        .agg(
-            F.collect_list(F.struct("term", weight.alias("w"))).alias("map"),
-            F.sqrt(F.sum(weight * weight)).alias("norm"),
-        )
-    )
-    maps = maps.select(
-        "scope",
-        "citation_id",
-        F.col("map.term").alias("terms"),
-        F.transform("map", lambda x: x["w"] / F.col("norm")).alias("weights"),
-        F.floor(2 * F.log2(F.size("map"))).cast("int").alias("kind"),
-    )
-    maps = staged(maps, "maps")
+    ids = ["scope", "citation_id", "document_id", "content_hash"]
+    kinds = {f.name: f.dataType.simpleString() for f in documents.schema}
+    schema = ", ".join(f"{c} {kinds[c]}" for c in ids) + ", terms array<string>, tf array<bigint>"
+    # Finding terms costs more than dealing the texts out: partitions are made by rows, not by bytes.
+    dealt = documents.repartition(int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), "citation_id")
+    maps = staged(dealt.select(*ids, terms("text").alias("terms")).mapInArrow(_term_maps, schema), "maps")
+    postings = maps.select("scope", "citation_id", F.explode(F.arrays_zip("terms", "tf")).alias("x"))
+    postings = postings.select("scope", "citation_id", F.col("x.terms").alias("term"), F.col("x.tf").alias("tf"))
+    idf = staged(inverse_frequency(postings, maps.select("scope")), "idf")
+    norms = document_norms(postings, idf)
+    kind = F.floor(2 * F.log2(F.size("terms"))).cast("int").alias("kind")
+    weighted = maps.filter(F.size("terms") > 0).join(norms, ["scope", "citation_id"]).select("*", kind)
     # One row per scope and kind of length: a few dozen.
-    kinds = maps.groupBy("scope", "kind").agg(F.ceil(F.count("*") / size).alias("parts"))
+    counted = maps.filter(F.size("terms") > 0).groupBy("scope", kind)
+    parts = counted.agg(F.ceil(F.count("*") / size).alias("parts"))
     part = F.pmod(F.xxhash64("citation_id"), F.col("parts"))
-    vectors = maps.join(kinds, ["scope", "kind"]).select(
-        "scope", F.struct("kind", part.alias("part")).alias("block"), "citation_id", "terms", "weights"
+    vectors = weighted.join(F.broadcast(parts), ["scope", "kind"]).select(
+        *ids, F.struct("kind", part.alias("part")).alias("block"), "terms",
+        F.transform("tf", lambda n: n / F.col("norm")).alias("weights"),
     )
     vectors = staged(vectors.repartition("scope", "block").sortWithinPartitions("scope", "block"), "vectors")
     largest = vectors.select("scope", "block", F.explode(F.arrays_zip("terms", "weights")).alias("x"))
@@ -147,7 +158,10 @@ def build_index(documents: DataFrame, *, size: int = BLOCK) -> Index:
 
 
 class _Asked(NamedTuple):
-    """Queries of one scope: their numbers, all their terms, and weights as terms x queries."""
+    """Queries of one scope: their numbers, all their terms, and weights as terms x queries.
+
+    The inverse frequency of the documents' side is part of the weights too.
+    """
 
     numbers: list[int]
     terms: list[str]
@@ -160,16 +174,17 @@ def _asked(index: Index, queries: list[tuple]) -> dict:
     rows = spark.createDataFrame([(n, scope, text) for n, (_, scope, text) in enumerate(queries)], "n int, scope string, text string")
     counted = term_counts(rows, "n", "scope").join(index.idf, ["scope", "term"])
     found: dict = {}
-    for r in counted.select("scope", "n", "term", (F.col("tf") * F.col("idf")).alias("w")).collect():
-        found.setdefault(r["scope"], []).append((r["n"], r["term"], r["w"]))
+    for r in counted.select("scope", "n", "term", "tf", "idf").collect():
+        found.setdefault(r["scope"], []).append((r["n"], r["term"], r["tf"] * r["idf"], r["idf"]))
     out = {}
     for scope, entries in found.items():
         numbers, terms = sorted({e[0] for e in entries}), sorted({e[1] for e in entries})
         at, row = {n: k for k, n in enumerate(numbers)}, {t: k for k, t in enumerate(terms)}
-        weights = np.zeros((len(terms), len(numbers)))
-        for n, term, w in entries:
+        weights, idf = np.zeros((len(terms), len(numbers))), np.zeros((len(terms), 1))
+        for n, term, w, rarity in entries:
             weights[row[term], at[n]] = w
-        out[scope] = _Asked(numbers, terms, weights / np.sqrt((weights**2).sum(axis=0)))
+            idf[row[term]] = rarity
+        out[scope] = _Asked(numbers, terms, idf * weights / np.sqrt((weights**2).sum(axis=0)))
     return out
 
 
@@ -255,7 +270,7 @@ def _best(index: Index, asked: dict, wanted: DataFrame, limit: int) -> DataFrame
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).drop("rank")
 
 
-def ask(index: Index, documents: DataFrame, queries: DataFrame, *, limit: int = 5, first_blocks: int = 4) -> DataFrame:
+def ask(index: Index, queries: DataFrame, *, limit: int = 5, first_blocks: int = 4) -> DataFrame:
     """Best ``limit`` citations of every query inside its scope, from a built index.
 
     ``queries`` has ``query_id, scope, text``.  The cosine is clamped to [0, 1], rounded to 12 digits
@@ -282,13 +297,13 @@ def ask(index: Index, documents: DataFrame, queries: DataFrame, *, limit: int =
         answers = [empty]
     order = W.partitionBy("query_id", "scope").orderBy(F.desc("score"), "citation_id")
     ranked = reduce(DataFrame.unionAll, answers).withColumn("rank", F.row_number().over(order))
-    ids = documents.select("scope", "citation_id", "document_id", "content_hash")
-    return ranked.join(ids, ["scope", "citation_id"])
+    ids = index.vectors.select("scope", "citation_id", "document_id", "content_hash")
+    return ids.join(ranked, ["scope", "citation_id"])
 
 
 def search(documents: DataFrame, queries: DataFrame, *, limit: int = 5) -> DataFrame:
     """:func:`ask` on an index built for this call."""
-    return ask(build_index(documents), documents, queries, limit=limit)
+    return ask(build_index(documents), queries, limit=limit)
 
 
 def replace_scope(documents: DataFrame, path: str) -> None:

@@ -1,6 +1,7 @@
 import hashlib
 import json
 import math
+import random
 import re
 from collections import Counter
 
@@ -52,6 +53,36 @@ def test_search_matches_brute_force(spark):
     assert got == pytest.approx(want, abs=1e-11)
 
 
+def test_search_by_blocks_equals_scoring_all(spark):
+    r = random.Random(2)
+    words = [f"word{k}" for k in range(60)]
+    docs = [("ab"[k % 2], " ".join(r.choices(words, k=r.choice([2, 8, 40])))) for k in range(240)]
+    docs += [("a", "word1 word2 word3"), ("a", "word3 word2 word1"), ("a", "word2 word1 word3"), ("a", "123 456"), ("a", "")]
+    corpus = retrieval.citations(spark.createDataFrame(docs, "scope string, text string")).cache()
+    queries = [(k, "abc"[k % 3], " ".join(r.choices(words, k=6))) for k in range(9)] + [(9, "a", "word1 word2 word3"), (10, "a", "unheard"), (11, "b", None)]
+    asked = spark.createDataFrame(queries, "query_id int, scope string, text string")
+    index = retrieval.build_index(corpus, size=8)
+    got = {(x.query_id, x["rank"]): (x.citation_id, round(x.score, 9)) for x in retrieval.ask(index, asked, limit=4, first_blocks=1).collect()}
+    every = {}
+    for x in corpus.collect():
+        every.setdefault(x.scope, []).append((x.citation_id, Counter(TOKEN.findall(x.text))))
+    want = {}
+    for number, scope, text in queries:
+        own = every.get(scope, [])
+        df = Counter(t for _, c in own for t in c)
+        idf = {t: math.log((1 + len(own)) / (1 + n)) + 1 for t, n in df.items()}
+        q = {t: n * idf[t] for t, n in Counter(TOKEN.findall(text or "")).items() if t in idf}
+        size = math.sqrt(sum(v * v for v in q.values()))
+        scores = []
+        for citation, c in own:
+            norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in c.items()))
+            score = round(sum(n * idf[t] * q.get(t, 0) for t, n in c.items()) / (norm * size), 9) if norm and size else 0
+            if score > 0:
+                scores.append((-score, citation))
+        want |= {(number, k): (c, -v) for k, (v, c) in enumerate(sorted(scores)[:4], 1)}
+    assert got == want
+
+
 SAFE = "plain sentence without anything special. another one"
 UNSAFE = {
     "uri": "see http://a.example now",

@@ -90,7 +90,7 @@ def tfidf(postings: DataFrame, documents: DataFrame) -> DataFrame:
 #: Documents of a block, about.
 BLOCK = 128
 #: Queries that are answered together; their weights and k-th scores are all that the driver holds.
-QUERY_BATCH = 512
+QUERY_BATCH = 1024
 #: Block and query pairs up to which the documents are filtered by a broadcast join; about 4 MB.
 BROADCAST_PAIRS = 100_000
 #: Bounds are sums of doubles in another order than scores; this covers the difference.

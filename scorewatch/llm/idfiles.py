@@ -22,165 +22,26 @@ columns are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
-from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from scorewatch.llm.packing import vocabulary_path
+from scorewatch.llm.words import ByteEncoder, gathered, kept_encoder, vocabulary_path
 
 FORMAT = 1
 #: Ids of a shard; its arrays take about 40 bytes an id while it is compressed.
 SHARD_IDS = 1 << 20
 #: Slots in which pairs are counted; pairs of one slot share their count, which only guides the choice.
 _SLOT_BITS = 18
-_MEMO = 1_000_000
 #: Documents that are encoded together.
 _DOCS = 2000
 _NO_ID = -(1 << 63)
-#: A blank with no white space beside it: the splitter of the vocabulary always cuts in front of it.
-_BLANK = re.compile(r"(?<=\S) (?=\S)")
-_SPACE = r"[\t-\r\x1c- \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
-_BESIDE = rf"{_SPACE}{_SPACE}|\A{_SPACE}|{_SPACE}\z"
-#: Runs of Latin letters, which the splitter takes whole, with a blank in front of them.
-_RUN = r"( ?[a-zA-Z\x{aa}\x{b5}\x{ba}\x{c0}-\x{d6}\x{d8}-\x{f6}\x{f8}-\x{24f}]+)"
-#: Parts that are not cut at letters: with an apostrophe (a shortened word may follow), blanks, or other signs.
-_UNCUT = r"['\x00-\x08\x0b\x0c\x0e-\x20\x7f-\x{a0}]|[^\x00-\x{24f}\x{2010}-\x{2027}\x{2030}-\x{205e}]"
-_LATIN = re.compile("[a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f]+\\Z")
-_MARK = "\x01"
-
-
-def _gathered(table: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The entries `code` of a table of runs one after another, and the end of each."""
-    starts, length = np.cumsum(sizes) - sizes, sizes[code]
-    after = np.cumsum(length)
-    place = np.repeat(starts[code] - (after - length), length)
-    return table[place + np.arange(len(place))], after
-
-
-def _sums(sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Sum of the sizes between one edge and the next."""
-    return np.diff(np.append(0, np.cumsum(sizes))[edges])
-
-
-class Encoder:
-    """Ids of texts; every distinct word of a batch is looked up once, and what was seen before is remembered.
-
-    The splitter of the vocabulary cuts a text into words, each of which is encoded by itself.  It
-    always cuts in front of a blank that stands alone, and around a run of letters.  So texts are cut
-    at such blanks into parts, and distinct parts around letters; parts for which the second is not
-    certain stay whole, and a text that names a special token goes to the tokenizer as it is.
-    """
-
-    def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        # Words that were seen, by number, and their ids one after another.
-        self.memo: dict[str, int] = {}
-        self.ids, self.sizes = np.zeros(0, dtype="<u4"), np.zeros(0, dtype=np.int64)
-
-    def batch(self, texts: pa.Array) -> list[bytes]:
-        """Little-endian 32-bit ids of every text; null is empty."""
-        texts = pc.fill_null(texts, "")
-        special = np.zeros(len(texts), dtype=bool)
-        for s in self.special:
-            special |= pc.match_substring(texts, s).to_numpy(zero_copy_only=False)
-        beside = pc.match_substring_regex(texts, _BESIDE).to_numpy(zero_copy_only=False) & ~special
-        out: list[bytes] = [b""] * len(texts)
-        for k in np.flatnonzero(special).tolist():
-            out[k] = array("I", self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids).tobytes()
-        easy = np.flatnonzero(~special & ~beside)
-        if len(easy):
-            self._put(out, easy, pc.split_pattern(texts.take(pa.array(easy)), " "))
-        hard = np.flatnonzero(beside)
-        if len(hard):
-            parts = [_BLANK.split(texts[k].as_py()) for k in hard.tolist()]
-            self._put(out, hard, pa.array(parts, pa.list_(texts.type)))
-        return out
-
-    def _put(self, out: list[bytes], places: np.ndarray, lists: pa.ListArray) -> None:
-        """Ids of texts that were cut into parts; all parts but the first had a blank in front."""
-        edges = lists.offsets.to_numpy()
-        coded = lists.flatten().dictionary_encode()
-        code, distinct = coded.indices.to_numpy().astype(np.int64), coded.dictionary
-        first = edges[:-1]
-        parts = pa.concat_arrays(
-            [pc.binary_join_element_wise(" ", distinct, ""), distinct.take(pa.array(code[first]))]
-        )
-        code[first] = len(distinct) + np.arange(len(first))
-        bare = pa.concat_arrays([distinct, distinct.take(pa.array(coded.indices.to_numpy()[first]))])
-        uncut = pc.match_substring_regex(bare, _UNCUT)
-        cut = pc.if_else(uncut, parts, pc.replace_substring_regex(parts, _RUN, f"{_MARK}\\1{_MARK}"))
-        words = pc.split_pattern(cut, _MARK)
-        word_edges = words.offsets.to_numpy()
-        coded = words.flatten().dictionary_encode()
-        numbers, ids, sizes = self._words(coded.dictionary.to_pylist())
-        word_code = numbers[coded.indices.to_numpy()]
-        table, _ = _gathered(ids, sizes, word_code)
-        ids, after = _gathered(table, _sums(sizes[word_code], word_edges), code)
-        data, ends = ids.tobytes(), 4 * np.append(0, after)[edges]
-        for k, a, b in zip(places.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
-            out[k] = data[a:b]
-
-    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Numbers of words in a table of ids and sizes.
-
-        New words of letters share calls, with their blank or else a line end between them.  They are
-        remembered until the memory is full; later ones serve one batch.
-        """
-        memo, encode = self.memo, self.tokenizer.encode_batch
-        plain: tuple[list, list] = ([], [])
-        others = []
-        for w in words:
-            if w not in memo:
-                bare = w[1:] if w[:1] == " " else w
-                plain[bare is w].append(w) if _LATIN.match(bare) else others.append(w)
-        ids, sizes = [self.ids], [self.sizes]
-        for bare, found in enumerate(plain):
-            groups = [found[k : k + 1024] for k in range(0, len(found), 1024)]
-            for group, made in zip(groups, encode([("\n" * bare).join(g) for g in groups], add_special_tokens=False)):
-                owners = np.array(made.word_ids)
-                own = owners % (1 + bare) == 0  # what is between is a line end
-                ids.append(np.array(made.ids, dtype="<u4")[own])
-                sizes.append(np.bincount(owners[own] // (1 + bare), minlength=len(group)))
-        for made in encode(others, add_special_tokens=False):
-            ids.append(np.array(made.ids, dtype="<u4"))
-        sizes.append(np.array([len(x) for x in ids[len(ids) - len(others) :]], dtype=np.int64))
-        new = [*plain[0], *plain[1], *others]
-        table, size = np.concatenate(ids), np.concatenate(sizes)
-        numbered = dict(zip(new, range(len(self.sizes), len(size))))
-        if len(memo) + len(new) <= _MEMO:
-            memo.update(numbered)
-            self.ids, self.sizes = table, size
-            look = memo.__getitem__
-        else:
-            look = lambda w: numbered[w] if w in numbered else memo[w]
-        return np.fromiter(map(look, words), dtype=np.int64, count=len(words)), table, size
-
-
-_READY: dict[str, Encoder] = {}
-
-
-def _encoder(path: str) -> Encoder:
-    """The encoder of a vocabulary; a worker serves many tasks and keeps it."""
-    if path not in _READY:
-        _READY.clear()
-        _READY[path] = Encoder(path)
-    return _READY[path]
-
-
 def compress(ids: np.ndarray, base: int, least: int = 4, gain: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Symbols, rules (left, right) and ids per rule; symbol `base + k` is rule k.
 
@@ -278,7 +139,7 @@ class Shard(NamedTuple):
             code = np.where(rule, found - self.base, len(self.rules) + np.cumsum(~rule) - 1)
             table = np.append(self._expanded(np.arange(len(self.rules)) + self.base), found[~rule])
             sizes = np.append(self.lengths, np.ones(int((~rule).sum()), dtype=np.int64))
-            out, _ = _gathered(table, sizes, code)
+            out, _ = gathered(table, sizes, code)
         else:
             out = self._expanded(found)
         return out[first - skipped : after - skipped].astype("<u4")
@@ -307,7 +168,7 @@ def written(docs: DataFrame, path: str, vocabulary: str, end_id: int = 0, shard_
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = _encoder(vocabulary_path(vocabulary)), np.array([end_id], dtype="<u4").tobytes()
+        encode, end = kept_encoder(ByteEncoder, vocabulary_path(vocabulary)), np.array([end_id], dtype="<u4").tobytes()
         part, shard, before = TaskContext.get().partitionId(), 0, 0
         base = max(encode.size, end_id + 1)
         doc_ids: list[int] = []

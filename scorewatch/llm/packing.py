@@ -2,9 +2,10 @@
 
 Documents become token ids, an end id after each; only longer ones are cut.  Pieces are dealt to
 partitions of bounded size by hash, every partition is packed best-fit decreasing, and
-dual-feasible functions give a lower bound that certifies its bin count.  The least filled bins of
-partitions with room left are opened again, their pieces meet in fewer partitions and are packed
-anew, until one partition has held all that is open or a round saves nothing.
+dual-feasible functions give a lower bound that certifies its bin count.  Partitions that need no more
+bins than their bound are closed; those with a gap open their least filled bins and exchange the
+documents in them, which are packed anew until the bound is met or several rounds save nothing; at last
+all partitions do so where the bound of what they open shows a gap.
 
 Cases: null text is an empty document (its end id alone); rows given twice are packed twice; an
 empty table packs to no rows.  Extra columns of the input are not read.
@@ -12,9 +13,9 @@ empty table packs to no rows.  Extra columns of the input are not read.
 
 from __future__ import annotations
 
-import re
 import zlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -23,66 +24,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from scorewatch.llm.common import staged, total
+from scorewatch.llm.words import WordEncoder, kept_encoder, vocabulary_path
 
-#: Letters and digits of Latin-1 as the vocabulary's splitter sees them.
-_LETTERS = "a-zA-Z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff"
-_DIGITS = "0-9\xb2\xb3\xb9\xbc-\xbe"
-_WORDS = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\s\x85\xa0{_LETTERS}{_DIGITS}]+")
-_PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*\Z")
-_MEMO = 300_000
-
-
-class Encoder:
-    """Little-endian 32-bit ids of texts; words seen before are not encoded again.
-
-    The vocabulary lower-cases, drops white space and encodes each word by itself, so a text in
-    Latin-1 without marks of special tokens is the ids of its words one after another.  Any other
-    text goes to the tokenizer whole.
-    """
-
-    def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(vocabulary)
-        self.memo: dict[str, bytes] = {}
-
-    def whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-
-    def __call__(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.match(text):
-            return self.whole(text)
-        memo, words = self.memo, _WORDS.findall(text.lower())
-        try:
-            return b"".join([memo[w] for w in words])
-        except KeyError:
-            pass
-        if len(memo) > _MEMO:
-            memo.clear()
-        new = list({w for w in words if w not in memo})
-        for word, found in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            memo[word] = np.array(found.ids, dtype="<u4").tobytes()
-        return b"".join([memo[w] for w in words])
-
-
-_READY: dict[str, Encoder] = {}
-
-
-def encoder_of(path: str) -> Encoder:
-    """The encoder of a vocabulary; a worker serves many tasks and keeps it."""
-    if path not in _READY:
-        _READY.clear()
-        _READY[path] = Encoder(path)
-    return _READY[path]
-
-
-def vocabulary_path(name: str) -> str:
-    """A path as it is; a bare name is looked up among the installed public vocabularies."""
-    if "/" in name:
-        return name
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
+#: Documents that are encoded together.
+_DOCS = 2000
 
 
 def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0, ids: bool = True) -> DataFrame:
@@ -93,11 +38,11 @@ def pieces(docs: DataFrame, vocabulary: str, size: int = 2048, end_id: int = 0,
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, end = encoder_of(vocabulary_path(vocabulary)), np.array([end_id], dtype="<u4").tobytes()
-        for batch in batches:
+        encode, end = kept_encoder(WordEncoder, vocabulary_path(vocabulary)), np.array([end_id], dtype="<u4").tobytes()
+        for batch in (b.slice(k, _DOCS) for b in batches for k in range(0, b.num_rows, _DOCS)):
             out: list[list] = [[] for _ in names]
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
-                data = encode(text.as_py() or "") + end
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), encode.batch(batch.column("text"))):
+                data += end
                 for k, at in enumerate(range(0, len(data), 4 * size)):
                     part = data[at : at + 4 * size]
                     found = (doc_id, k, at // 4, len(part) // 4, zlib.crc32(part))
@@ -136,29 +81,38 @@ def best_fit(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, in
 
 
 def lower_bound(lengths: np.ndarray, size: int) -> int:
-    """Most bins that a dual-feasible function proves to be needed.
+    """Most bins that a dual-feasible function proves to be needed."""
+    return histogram_bound(np.bincount(lengths, minlength=size + 1), size)
+
+
+def histogram_bound(counts: np.ndarray, size: int) -> int:
+    """:func:`lower_bound` from the number of pieces of every length from 0 to `size`.
 
-    For a limit l, lengths over size - l count whole, those under l nothing, the others their
-    share; for a step k, lengths count as rounded shares of k + 1.
+    For every limit l up to half a bin, lengths over size - l count whole, those under l nothing, the
+    others their share; for a step k, lengths count as rounded shares of k + 1.
     """
-    if not len(lengths):
+    length = np.arange(size + 1, dtype=np.int64)
+    number, filled = np.cumsum(counts), np.cumsum(length * counts)
+    if not number[-1]:
         return 0
-    best = -(-int(lengths.sum()) // size)
-    for limit in np.unique(np.concatenate([lengths[lengths <= size // 2], [1]])).tolist()[:: max(1, size // 256)]:
-        weight = np.where(lengths > size - limit, size, np.where(lengths < limit, 0, lengths))
-        best = max(best, -(-int(weight.sum()) // size))
+    limit = np.arange(1, size // 2 + 1)
+    whole = size * (number[-1] - number[size - limit]) + filled[size - limit] - filled[limit - 1]
+    best = -(-int(max(filled[-1], whole.max(initial=0))) // size)
     for k in range(1, 21):
-        share = (k + 1) * lengths
-        weight = np.where(share % size == 0, k * lengths, (share // size) * size)
-        best = max(best, -(-int(weight.sum()) // (k * size)))
+        share = (k + 1) * length
+        weight = np.where(share % size == 0, k * length, (share // size) * size)
+        best = max(best, -(-int((weight * counts).sum()) // (k * size)))
     return best
 
 
-_PLACED = "bin long, offset long, open boolean, bins long, bound long"
+_PLACED = "bin long, offset long, emptier double, bins long, bound long"
 
 
-def _packed(rows: DataFrame, size: int, partitions: int, salt: int, opened: float) -> DataFrame:
-    """Pack each of `partitions` hash partitions; `open` marks the bins to be packed again."""
+def _packed(rows: DataFrame, size: int, partitions: int, salt: int) -> DataFrame:
+    """Pack each of `partitions` hash partitions.
+
+    `emptier` is the share of its partition's bins that are filled less than the row's, 1 for full bins.
+    """
     named = rows.withColumn("part", F.pmod(F.xxhash64(F.lit(salt), "doc_id", "piece", "start"), F.lit(partitions)))
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in named.schema) + ", " + _PLACED
 
@@ -166,43 +120,75 @@ def _packed(rows: DataFrame, size: int, partitions: int, salt: int, opened: floa
         lengths = group["length"].to_numpy()
         bins, offsets, count = best_fit(lengths, size)
         filled = np.bincount(bins, weights=lengths, minlength=count)
-        worst = np.argsort(filled, kind="stable")[: max(1, int(count * opened))]
-        marked = np.zeros(count, dtype=bool)
-        marked[worst] = filled[worst] < size
-        return group.assign(bin=bins, offset=offsets, open=marked[bins], bins=count, bound=lower_bound(lengths, size))
+        emptier = np.empty(count)
+        emptier[np.argsort(filled, kind="stable")] = np.arange(count) / count
+        emptier[filled >= size] = 1.0
+        return group.assign(bin=bins, offset=offsets, emptier=emptier[bins], bins=count, bound=lower_bound(lengths, size))
 
     return named.groupBy("part").applyInPandas(pack, schema)
 
 
+def _bound_of(rows: DataFrame, size: int) -> tuple[int, int]:
+    """Number of rows and bound of all their lengths together; there are `size` different ones at most."""
+    counts = np.zeros(size + 1, dtype=np.int64)
+    for length, count in rows.groupBy("length").agg(F.count("*")).collect():
+        counts[length] = count
+    return int(counts.sum()), histogram_bound(counts, size)
+
+
 def place(
-    rows: DataFrame, size: int = 2048, per_partition: int = 20_000, opened: float = 0.125
+    rows: DataFrame, size: int = 2048, per_partition: int = 20_000, opened: float = 0.125, patience: int = 3
 ) -> DataFrame:
     """`rows` (with `doc_id`, `piece`, `start`, `length`) plus `sequence_id`, `offset`, `bins`, `bound`.
 
     `bins` and `bound` are the bin count of the partition that placed the row and its certificate.
+    Partitions with a gap between the two open the `opened` share of their bins that is filled least;
+    the documents in them are dealt out anew and packed again, which mixes those of different
+    partitions.  When they have nothing more to gain, all partitions open bins in the same way, as long as the bound of
+    the opened documents is below the number of their bins.  A round that saves bins is kept; one that
+    hardly does (under a thousandth) doubles the share, and after `patience` of these, or once the bins
+    equal the bound of all documents, the packing is done.
     """
     columns = rows.columns
     waiting = staged(rows, "pieces")
-    count = total(waiting, F.count("*"))[0]
-    done, turn, before = [], 0, None
-    while True:
-        partitions = max(1, -(-count // per_partition))
-        now = staged(_packed(waiting.select(*columns), size, partitions, turn, opened), "placed")
+    count, needed = _bound_of(waiting, size)
+    turn = 0
+
+    def packed(found: DataFrame, count: int) -> tuple[DataFrame, int]:
+        now = staged(_packed(found.select(*columns), size, max(1, -(-count // per_partition)), turn), "placed")
         used = now.select("part", "bins").distinct().agg(F.coalesce(F.sum("bins"), F.lit(0))).first()[0]
-        if before is not None and used >= before[1]:
-            done.append(before[0])  # the round saved nothing: what was opened stays as it was
-            break
-        numbered = now.withColumn("sequence_id", (F.lit(turn << 24) + F.col("part")) * (1 << 32) + F.col("bin"))
-        if partitions == 1:
-            done.append(numbered)
-            break
-        done.append(numbered.where("not open"))
-        waiting = numbered.where("open")
-        count, bins = total(waiting, F.count("*"), F.count_distinct("sequence_id"))
-        before, turn = (waiting, bins), turn + 1
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionAll(more)
+        numbered = F.lit(turn << 24) + F.col("part")
+        return now.withColumn("sequence_id", numbered * (1 << 32) + F.col("bin")), used
+
+    now, used = packed(waiting, count)
+    parts, failures, share, everywhere = [now], 0, opened, False
+
+    def chosen(found: DataFrame) -> DataFrame:
+        emptiest = F.col("emptier") < share
+        return found.where(emptiest if everywhere else emptiest & (F.col("bins") > F.col("bound")))
+
+    def others(found: DataFrame) -> DataFrame:
+        emptiest = F.col("emptier") < share
+        return found.where(~emptiest if everywhere else ~emptiest | (F.col("bins") <= F.col("bound")))
+
+    while used > needed:
+        held = staged(reduce(DataFrame.unionAll, [chosen(p) for p in parts]), "opened")
+        held_bins = total(held, F.count_distinct("sequence_id"))[0]
+        count, bound = _bound_of(held, size)
+        saved = 0
+        if held_bins > bound:
+            turn += 1
+            again, again_bins = packed(held, count)
+            saved = held_bins - again_bins
+            if saved > 0:
+                used, parts = used - saved, [*[others(p) for p in parts], again]
+        if saved * 1000 < max(1, held_bins):
+            failures, share = failures + 1, min(1.0, 2 * share)
+            if failures == patience or not held_bins:
+                if everywhere:
+                    break
+                everywhere, failures, share = True, 0, opened
+    out = reduce(DataFrame.unionAll, parts)
     return out.select(*columns, "sequence_id", "offset", "bins", "bound")
 
 

@@ -203,6 +203,60 @@ def test_packing_rounds_lose_nothing_and_help(shared):
     assert one.where("bins < bound").count() == 0
 
 
+def fewest_bins(lengths, size):
+    """The least number of bins, by trying every bin for every piece, longest first."""
+    lengths, best = sorted(lengths, reverse=True), [len(lengths)]
+
+    def put(k, rooms):
+        if len(rooms) >= best[0]:
+            return
+        if k == len(lengths):
+            best[0] = len(rooms)
+            return
+        for i in {r: i for i, r in enumerate(rooms) if r >= lengths[k]}.values():
+            put(k + 1, [r - lengths[k] * (i == j) for j, r in enumerate(rooms)])
+        put(k + 1, [*rooms, size - lengths[k]])
+
+    put(0, [])
+    return best[0]
+
+
+def test_small_packings_meet_the_least_number_of_bins(shared):
+    r = random.Random(8)
+    missed = 0
+    for _ in range(40):
+        lengths = [r.randrange(1, 21) for _ in range(r.randrange(1, 11))]
+        bound, least = packing.lower_bound(np.array(lengths), 20), fewest_bins(lengths, 20)
+        used = packing.best_fit(np.array(lengths), 20)[2]
+        assert bound <= least <= used
+        missed += used > least
+    assert missed <= 2
+    lengths = [r.randrange(3, 18) for _ in range(12)]
+    rows = shared.createDataFrame([(k, 0, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long")
+    placed = packing.place(rows, size=20, per_partition=3).collect()
+    assert len({x["sequence_id"] for x in placed}) <= fewest_bins(lengths, 20) + 1
+
+
+def test_partitions_with_a_gap_exchange_documents(shared, monkeypatch):
+    # Pieces of 600 and of 1448 fill a sequence together; partitions of few pieces rarely hold as many of both.
+    lengths = [600] * 300 + [1448] * 300
+    rows = shared.createDataFrame([(k, 0, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long")
+    rounds = []
+    packed = packing._packed
+    monkeypatch.setattr(packing, "_packed", lambda *a: rounds.append(a[2]) or packed(*a))
+    placed = packing.place(rows, per_partition=40).collect()
+    used = len({x["sequence_id"] for x in placed})
+    first = shared.createDataFrame([(k, 0, 0, n) for k, n in enumerate(lengths)], "doc_id long, piece int, start long, length long")
+    alone = packed(first, 2048, 15, 0).select("part", "bins").distinct().agg(F.sum("bins")).first()[0]
+    assert len(placed) == 600 and len(rounds) > 1 and 300 <= used < alone
+    for x in placed:
+        assert x["bins"] >= x["bound"]
+    # What is certified at once is not packed again.
+    rounds.clear()
+    packing.place(rows.where("length = 600"), per_partition=30).count()
+    assert len(rounds) <= 4
+
+
 def test_lower_bounds():
     assert packing.lower_bound(np.array([], dtype=int), 10) == 0
     assert packing.lower_bound(np.array([6, 6, 6]), 10) == 3

@@ -388,8 +388,14 @@ def stratified_split(
 
 
 def discovery_sample(df: DataFrame, rows: int, *, seed: int = SEED) -> DataFrame:
-    """A fixed-size random sample in hash order: the sampling operator itself."""
-    return df.orderBy(F.xxhash64(F.lit(seed), *df.columns), *df.columns).limit(rows)
+    """A fixed-size random sample: the ``rows`` rows of lowest hash, found as :func:`take_exact` does.
+
+    Counting hash buckets finds the bucket in which the sample ends; rows are neither sorted nor sent
+    to one task.  A table of fewer rows is returned whole.
+    """
+    quota = df.sparkSession.createDataFrame([(1, rows)], "_one int, quota long")
+    drawn = take_exact(df.withColumn("_one", F.lit(1)), ["_one"], quota, seed=seed, name="_side", inside="in", outside="out")
+    return drawn.filter(F.col("_side") == "in").drop("_one", "_side")
 
 
 def segment_subset(df: DataFrame, segment: str, value: str) -> DataFrame:

@@ -416,14 +416,19 @@ def _(spark, sf):
 
 @query(
     "c4_sample_membership",
-    f"""WITH {RISK_SQL} SELECT least(5000, count(*)) AS sampled, least(5000, count(*)) AS members FROM risk""",
+    f"""WITH {RISK_SQL} SELECT least(5000, count(*)) AS sampled, CAST(0 AS BIGINT) AS strangers, CAST(0 AS BIGINT) AS drawn_too_often FROM risk""",
 )
 def _(spark, sf):
+    # Every drawn row is looked up by all its columns, and no row is drawn more often than it exists.
     rows = risk(spark, sf)
-    drawn = split.discovery_sample(rows, 5_000)
-    keys = ["entity_id", "line_no", "part_id", "supplier_id"]
-    both = drawn.join(rows.select(*keys).distinct().withColumn("known", F.lit(1)), keys, "left")
-    return both.agg(F.count("*").alias("sampled"), F.count("known").alias("members"))
+    drawn = split.discovery_sample(rows, 5_000).groupBy(*rows.columns).agg(F.count("*").alias("drawn"))
+    known = rows.groupBy(*rows.columns).agg(F.count("*").alias("known"))
+    both = drawn.join(known, rows.columns, "left")
+    return both.agg(
+        F.sum("drawn").alias("sampled"),
+        F.count_if(F.col("known").isNull()).alias("strangers"),
+        F.count_if(F.col("drawn") > F.col("known")).alias("drawn_too_often"),
+    )
 
 
 PERIOD_SQL = (

@@ -419,14 +419,14 @@ def _(spark, sf):
     f"""WITH {RISK_SQL} SELECT least(5000, count(*)) AS sampled, CAST(0 AS BIGINT) AS strangers, CAST(0 AS BIGINT) AS drawn_too_often FROM risk""",
 )
 def _(spark, sf):
-    # Every drawn row is looked up by all its columns, and no row is drawn more often than it exists.
+    # Rows are compared by all their columns; none may be drawn more often than it exists.
     rows = risk(spark, sf)
-    drawn = split.discovery_sample(rows, 5_000).groupBy(*rows.columns).agg(F.count("*").alias("drawn"))
-    known = rows.groupBy(*rows.columns).agg(F.count("*").alias("known"))
-    both = drawn.join(known, rows.columns, "left")
-    return both.agg(
+    drawn = split.discovery_sample(rows, 5_000).withColumns({"drawn": F.lit(1), "known": F.lit(0)})
+    both = drawn.unionByName(rows.withColumns({"drawn": F.lit(0), "known": F.lit(1)}))
+    counts = both.groupBy(*rows.columns).agg(F.sum("drawn").alias("drawn"), F.sum("known").alias("known"))
+    return counts.agg(
         F.sum("drawn").alias("sampled"),
-        F.count_if(F.col("known").isNull()).alias("strangers"),
+        F.count_if(F.col("known") == 0).alias("strangers"),
         F.count_if(F.col("drawn") > F.col("known")).alias("drawn_too_often"),
     )
 

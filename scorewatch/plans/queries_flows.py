@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from scorewatch.functions.expr import rounded
 from scorewatch.operators import history, retrieval
+from scorewatch.operators.monitoring import FeatureReference
 from scorewatch.plans import workflows
 from scorewatch.plans.queries_models import HISTORY_SQL, J_SQL, history_inputs
 from scorewatch.plans.queries_monitor import current_rules, snapshot_of
@@ -110,6 +111,30 @@ def _(spark, sf):
     )
 
 
+@query(
+    "s2_window_alerts",
+    f"""WITH b AS (SELECT date_trunc('day', ts) AS window_start, (value >= 20)::INT + (value >= 60)::INT AS bin, count(*) AS n FROM events
+      WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY AND isfinite(value) GROUP BY 1, 2),
+    w AS (SELECT window_start, sum(n) AS total FROM b GROUP BY 1), g AS (SELECT window_start, total, bin, r FROM w, (VALUES (0, 0.6::DOUBLE), (1, 0.3::DOUBLE), (2, 0.1::DOUBLE)) AS v(bin, r)),
+    p AS (SELECT window_start, greatest(coalesce(n, 0)::DOUBLE / total, 1e-6) AS c, r FROM g LEFT JOIN b USING (window_start, bin)),
+    s AS (SELECT window_start, sum((c - r) * ln(c / r)) AS psi FROM p GROUP BY 1)
+    SELECT window_start, 'value' AS feature, {r6('psi')} AS psi, CASE WHEN abs(psi) >= 0.3 THEN 'critical' ELSE 'warning' END AS severity FROM s WHERE abs(psi) >= 0.2""",
+)
+def _(spark, sf):
+    reference = FeatureReference("value", "events", "double", 0.0, 0.0, (0.0, 20.0, 60.0, 1000.0), (60, 30, 10))
+    bins = streaming.window_bins(read_stream(spark, sf, "events"), "ts", {"value": reference.edges})
+    path = scratch_path(spark, "alerts")
+    running = streaming.alert_stream(bins, [reference], path, scratch_path(spark, "alerts-state"))
+    try:
+        running.awaitTermination()
+    finally:
+        running.stop()
+    schema = "alert_id string, window_start timestamp, feature string, psi double, severity string"
+    found = spark.read.schema(schema).parquet(path)
+    start = F.col("window_start").cast("timestamp_ntz").alias("window_start")
+    return rounded(found.select(start, "feature", "psi", "severity"))
+
+
 @query("w1_analysis")
 def _(spark, sf):
     result = workflows.analyse(

@@ -132,3 +132,53 @@ def test_grade_precedence(spark, adjusted, low, thin, decay, share, grade):
         "max_time_decay double, segment_consistency double, any_lift int",
     )
     assert df.select(validation.grade_column(ValidationConfig())).first()[0] == grade
+
+
+CONFIGS = (
+    DiscoveryConfig(max_single_rules=15, max_pair_rules=6, beam_width=8),
+    DiscoveryConfig(max_single_rules=8, max_pair_rules=3, beam_width=70, tree_cuts=False, boosted_cuts=True, balanced=True),
+)
+
+
+@pytest.mark.parametrize("config", CONFIGS)
+def test_groups_equal_separate_searches(planted, config):
+    columns = ["rule_id", "origin", "expression", "n", "pos", "hit", "hit_pos", "lift"]
+    rows = planted.withColumn("segment", F.when(F.col("f_c") < 5, F.col("segment")))
+    one_class = F.when(F.col("segment") == "C", 0).otherwise(F.col("target"))
+    rows = rows.withColumn("target", one_class)
+    found = discovery.discover_groups(rows, "segment", FEATURES, "target", config).collect()
+    assert {r["g"] for r in found} == {"A", "B", "None"}
+    for g in ("A", "B", "None"):
+        own = rows.filter(F.coalesce("segment", F.lit("None")) == g)
+        want = [tuple(r) for r in discovery.discover(own, FEATURES, "target", config).frame.select(*columns).collect()]
+        assert sorted(tuple(r[c] for c in columns) for r in found if r["g"] == g) == sorted(want)
+
+
+def test_jobs_do_not_grow_with_the_groups(planted):
+    context = planted.sparkSession.sparkContext
+
+    def jobs(rows, name):
+        context.setJobGroup(name, name)
+        try:
+            discovery.discover_groups(rows, "segment", FEATURES, "target", CONFIGS[0])
+            return len(context.statusTracker().getJobIdsForGroup(name))
+        finally:
+            context.setLocalProperty("spark.jobGroup.id", None)
+
+    many = planted.withColumn("segment", F.concat("segment", (F.col("f_c") % 3).cast("string")))
+    one = jobs(planted.filter("segment = 'A'"), "one-group")
+    assert jobs(many, "nine-groups") <= one + 3
+
+
+def test_one_round_of_boosting_by_hand():
+    n, bad = np.full(4, 10.0), np.array([0.0, 5.0, 5.0, 10.0])
+    # Residuals are -5, 0, 0, 5: the first split is after the first range, the second before the last one.
+    assert discovery.boosted_cuts(n, bad, trees=1, rate=0.1) == [1, 3]
+    assert discovery.boosted_cuts(n, np.array([0.0, 0.0, 10.0, 10.0]), trees=1, rate=0.1) == [2]
+    assert discovery.boosted_cuts(n, np.zeros(4), trees=5, rate=0.1) == []
+
+
+def test_boosted_cuts_find_the_step(planted):
+    found = discovery.boosted_thresholds(planted, FEATURES, "target")
+    assert min(abs(t - 0.8) for t in found["f_a"]) < 0.02
+    assert set(found) <= set(FEATURES)

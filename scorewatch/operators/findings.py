@@ -10,6 +10,7 @@ import hashlib
 import json
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -596,6 +597,23 @@ def diagnose(
     return identified(union_all(found))
 
 
+@dataclass(frozen=True)
+class DiagnosticReport:
+    """The findings about a table, in report order, and what they cannot show."""
+
+    findings: DataFrame
+    limitations: tuple[str, ...]
+
+
+def diagnostic_report(
+    df: DataFrame, roles: Roles, features: Sequence[str], *, grade: str = "B", **settings
+) -> DiagnosticReport:
+    """:func:`diagnose` with the limitations of the report; ``settings`` go to both."""
+    asked = {k: v for k, v in settings.items() if k in ("time_enabled", "order_by")}
+    limits = report_limitations(df, roles, grade=grade, **asked)
+    return DiagnosticReport(report_order(diagnose(df, roles, features, **settings)), tuple(limits))
+
+
 # What a report says about its own limits.
 TIME_DISABLED = "time_monitoring_disabled"
 TOO_LITTLE_REFERENCE = "insufficient_drift_reference"

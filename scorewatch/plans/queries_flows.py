@@ -16,7 +16,7 @@ from scorewatch.plans.registry import query
 from scorewatch.plans.views import FEATURES, RISK_SQL, ROLES, current, r6, risk, table
 from scorewatch.roles import Rule
 from scorewatch.sources.scratch import scratch_path
-from scorewatch.sources.tables import read_history_csv, write_table
+from scorewatch.sources.tables import read_history_csv, unreadable_cells, write_table
 from scorewatch.streaming import monitor as streaming
 
 
@@ -28,6 +28,22 @@ def _(spark, sf):
     return rounded(history.bureau_records(read_history_csv(spark, path, "bureau")))
 
 
+@query(
+    "a2_unreadable_cells",
+    """WITH n AS (SELECT count(*) AS row_count, count(*) FILTER (o_custkey % 13 = 0) AS bad, count(*) FILTER (o_custkey % 7 = 0) AS late FROM orders)
+    SELECT row_count, 'SK_ID_CURR' AS "column", CAST(0 AS BIGINT) AS unreadable FROM n UNION ALL SELECT row_count, 'DAYS_CREDIT', late FROM n
+    UNION ALL SELECT row_count, 'AMT_CREDIT_SUM', bad FROM n UNION ALL SELECT row_count, 'AMT_CREDIT_SUM_DEBT', 0 FROM n UNION ALL SELECT row_count, 'CREDIT_ACTIVE', 0 FROM n""",
+)
+def _(spark, sf):
+    path = scratch_path(spark, "bureau")
+    rows = history_inputs(spark, sf)["bureau"]
+    texts = {c: F.col(c).cast("string") for c in rows.columns}
+    texts["AMT_CREDIT_SUM"] = F.when(F.col("SK_ID_CURR") % 13 == 0, "n/a").otherwise(texts["AMT_CREDIT_SUM"])
+    texts["DAYS_CREDIT"] = F.when(F.col("SK_ID_CURR") % 7 == 0, "12 days").otherwise(texts["DAYS_CREDIT"])
+    rows.select(*[c.alias(n) for n, c in texts.items()]).write.option("header", True).csv(path)
+    return unreadable_cells(spark, path, "bureau")
+
+
 @query(
     "a3_table_sink",
     f"WITH {RISK_SQL} SELECT segment, count(*) AS row_count, {r6('sum(ord_total)')} AS total FROM risk GROUP BY 1",

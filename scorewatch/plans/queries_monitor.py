@@ -297,6 +297,23 @@ def diagnosed(spark, sf):
 _ALL = "SELECT kind, severity, code, feature, period, segment_token FROM"
 
 
+@query(
+    "i11_report_limitations",
+    f"""WITH {DIRTY_SQL}, d AS (SELECT count(DISTINCT snapshot_date) AS days FROM dirty)
+    SELECT 'dated' AS run, 'label_performance_window_unknown' AS limitation UNION ALL SELECT 'dated', 'insufficient_drift_reference' FROM d WHERE days < 2
+    UNION ALL SELECT 'undated', unnest(['time_monitoring_disabled', 'insufficient_drift_reference', 'label_performance_window_unknown'])""",
+)
+def _(spark, sf):
+    rows = dirty(spark, sf).withColumn("target", F.coalesce("target", F.lit(0)))
+    found = []
+    for run, time_enabled in (("dated", True), ("undated", False)):
+        report = findings.diagnostic_report(
+            rows, ROLES, DIRTY_FEATURES, dataset_id="risk", ranges=RANGES, time_enabled=time_enabled
+        )
+        found += [(run, limit) for limit in report.limitations]
+    return spark.createDataFrame(found, "run string, limitation string")
+
+
 @query(
     "i11_diagnose",
     f"""WITH {DIRTY_SQL.replace('dirty AS (', 'dirty0 AS (')}, dirty AS (SELECT * REPLACE (coalesce(target, 0) AS target) FROM dirty0),

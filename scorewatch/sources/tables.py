@@ -57,16 +57,33 @@ def read_history_csv(spark: SparkSession, path: str, table: str) -> DataFrame:
     """CSV scan limited to the whitelisted columns of one history table.
 
     The header is matched by name; only the wanted columns are converted, with
-    declared types, so no inference pass over the data is needed.
+    declared types, so no inference pass over the data is needed.  A cell that is
+    not of its type is null; :func:`unreadable_cells` counts these.
     """
+    wanted, header = _history_cells(spark, path, table)
+    return header.select(
+        *[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in wanted]
+    )
+
+
+def _history_cells(spark: SparkSession, path: str, table: str) -> tuple[T.StructType, DataFrame]:
     wanted = T.StructType.fromDDL(HISTORY_SCHEMAS[table])
     header = spark.read.csv(path, header=True)
     missing = [f.name for f in wanted if f.name not in header.columns]
     if missing:
         raise ContractError(f"missing columns in {table}: {', '.join(missing)}")
-    return header.select(
-        *[F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name) for f in wanted]
-    )
+    return wanted, header
+
+
+def unreadable_cells(spark: SparkSession, path: str, table: str) -> DataFrame:
+    """Per wanted column of a history file its rows and the cells whose text is not of the column's type."""
+    wanted, header = _history_cells(spark, path, table)
+    bad = [
+        F.count_if(F.expr(f"`{f.name}` IS NOT NULL AND try_cast(`{f.name}` AS {f.dataType.simpleString()}) IS NULL")).alias(f.name)
+        for f in wanted
+    ]
+    counted = header.agg(F.count("*").alias("_rows"), *bad)
+    return counted.unpivot(["_rows"], [f.name for f in wanted], "column", "unreadable").withColumnRenamed("_rows", "row_count")
 
 
 def history_tables(tables: Mapping[str, DataFrame]) -> dict[str, DataFrame]:

@@ -213,6 +213,21 @@ def test_report_limitations(spark):
     assert off == ["time_monitoring_disabled", "insufficient_drift_reference"]
     ordered = findings.report_limitations(df, ROLES, time_enabled=False, order_by="k", grade="A")
     assert ordered == ["time_monitoring_disabled"]
+    wide = with_time.withColumn("x", F.col("k").cast("double"))
+    report = findings.diagnostic_report(wide, ROLES, ["x"], time_enabled=False, order_by="k", min_group_size=1)
+    assert report.limitations == ("time_monitoring_disabled", "label_performance_window_unknown")
+    assert report.findings.columns == findings.diagnose(wide, ROLES, ["x"], min_group_size=1).columns
+
+
+def test_unreadable_cells_are_counted(spark, tmp_path):
+    from scorewatch.sources.tables import read_history_csv, unreadable_cells
+
+    text = "SK_ID_CURR,DAYS_CREDIT,AMT_CREDIT_SUM,AMT_CREDIT_SUM_DEBT,CREDIT_ACTIVE,MORE\n1,-5,10.5,,Active,x\n2,five,1e3,n/a,Closed,y\n,-1,bad,2,,z\n"
+    (tmp_path / "bureau.csv").write_text(text)
+    path = str(tmp_path / "bureau.csv")
+    got = {r["column"]: (r["row_count"], r["unreadable"]) for r in unreadable_cells(spark, path, "bureau").collect()}
+    assert got == {"SK_ID_CURR": (3, 0), "DAYS_CREDIT": (3, 1), "AMT_CREDIT_SUM": (3, 1), "AMT_CREDIT_SUM_DEBT": (3, 1), "CREDIT_ACTIVE": (3, 0)}
+    assert [r["DAYS_CREDIT"] for r in read_history_csv(spark, path, "bureau").collect()] == [-5, None, -1]
 
 
 def test_backtest_equals_one_scenario_after_another(planted):

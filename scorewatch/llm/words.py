@@ -37,7 +37,7 @@ def gathered(table: np.ndarray, sizes: np.ndarray, code: np.ndarray) -> tuple[np
     return table[place + np.arange(len(place))], after
 
 
-def _sums(sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
+def sums(sizes: np.ndarray, edges: np.ndarray) -> np.ndarray:
     """Sum of the sizes between one edge and the next."""
     return np.diff(np.append(0, np.cumsum(sizes))[edges])
 
@@ -83,7 +83,7 @@ class Encoder:
         numbers, ids, sizes = self._words(coded.dictionary.to_pylist())
         word_code = numbers[coded.indices.to_numpy()]
         table, _ = gathered(ids, sizes, word_code)
-        ids, after = gathered(table, _sums(sizes[word_code], word_edges), code)
+        ids, after = gathered(table, sums(sizes[word_code], word_edges), code)
         data, ends = ids.tobytes(), 4 * np.append(0, after)[edges]
         for k, a, b in zip(places.tolist(), ends[:-1].tolist(), ends[1:].tolist()):
             out[k] = data[a:b]

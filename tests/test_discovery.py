@@ -167,7 +167,8 @@ def test_jobs_do_not_grow_with_the_groups(planted):
 
     many = planted.withColumn("segment", F.concat("segment", (F.col("f_c") % 3).cast("string")))
     one = jobs(planted.filter("segment = 'A'"), "one-group")
-    assert jobs(many, "nine-groups") <= one + 3
+    # Rounds of the quantiles depend on the values; a search for every group would need nine times as many.
+    assert jobs(many, "nine-groups") < 2 * one
 
 
 def test_one_round_of_boosting_by_hand():

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from scorewatch.functions.expr import day_of, literal_sql, month_of, rule_sql, small_table
+from scorewatch.functions.expr import day_of, literal_sql, month_of, rule_sql, small_table, union_all
 from scorewatch.functions.stats import (
     METRICS,
     fisher_p,

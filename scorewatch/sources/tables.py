@@ -115,7 +115,9 @@ def portable_fingerprint(df: DataFrame) -> DataFrame:
     """The same for texts and whole numbers, by SHA-256 of the row's text, which any engine repeats."""
     text = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns])
     head = F.conv(F.substring(F.sha2(text, 256), 1, 12), 16, 10).cast("long")
-    return df.agg(F.count("*").alias("row_count"), F.sum(head).cast("string").alias("digest_sum"))
+    # 48-bit numbers: a sum of longs would overflow from about 65,000 rows on.
+    total = F.sum(head.cast("decimal(20,0)")).cast("string")
+    return df.agg(F.count("*").alias("row_count"), total.alias("digest_sum"))
 
 
 # --- rules -------------------------------------------------------------------

@@ -189,58 +189,73 @@ def stratum_quotas(df: DataFrame, target: str, segment: str) -> DataFrame:
     return _stratum_quotas(df.groupBy(*names).agg(F.count("*").alias("size")))
 
 
+def _class_shapes(strata: DataFrame) -> DataFrame:
+    """A row per class: strata ``m``, ``quota``, sum of ``size - 1``, and whether the split is feasible."""
+    # Counting needs no order, so this is the part that may run over one stratum per row.
+    classes = strata.groupBy("target").agg(
+        F.sum("size").alias("n"),
+        F.count("*").alias("m"),
+        F.sum(F.col("size") - 1).alias("cap_total"),
+        F.min("size").alias("small"),
+    )
+    classes = staged(classes, "classes")
+    quotas = _class_quotas(classes).select(F.col("target").alias("_t"), "quota")
+    each = (F.col("quota") >= F.col("m")) & (F.col("quota") <= F.col("cap_total")) & (F.col("small") >= 2)
+    feasible = F.min(each.cast("int")).over(W.partitionBy()) == 1
+    return (
+        classes.join(quotas, F.col("target").eqNullSafe(F.col("_t")))
+        .withColumn("feasible", feasible)
+        .select("target", "m", "quota", "feasible")
+    )
+
+
 def _stratum_quotas(strata: DataFrame) -> DataFrame:
-    """The same from the rows ``size`` of every ``segment`` and ``target``."""
-    classes = _class_quotas(strata.groupBy("target").agg(F.sum("size").alias("n")))
-    label = F.coalesce(F.concat(F.lit('"'), F.col("segment").cast("string"), F.lit('"')), F.lit("null"))
-    by_cap = W.partitionBy("target").orderBy("cap", "label")
+    """The same from the rows ``size`` of every ``segment`` and ``target``.
+
+    The water level comes from the strata counted by their size.  Sizes that differ add up to the
+    rows at most, so n rows have fewer than sqrt(2 n) of them, however many strata there are.  The
+    place in label order, which decides who gets one more, is a running total over ranges of labels.
+    """
+    strata = staged(strata.withColumn("cap", F.col("size") - 1), "strata")
+    shapes = staged(_class_shapes(strata), "shapes").withColumnRenamed("target", "_t")
     whole = W.partitionBy("target")
-    leveled = (
-        strata.join(
-            classes.select(F.col("target").alias("_t"), "quota"),
-            F.col("target").eqNullSafe(F.col("_t")),
-        )
-        .drop("_t")
-        .withColumns({"cap": F.col("size") - 1, "label": label})
+    upward = whole.orderBy("cap").rowsBetween(W.unboundedPreceding, 0)
+    sizes = (
+        strata.groupBy("target", "cap")
+        .agg(F.count("*").alias("c"))
         .withColumns(
             {
-                "k": F.row_number().over(by_cap),
-                "m": F.count("*").over(whole),
-                "cap_sum": F.sum("cap").over(by_cap.rowsBetween(W.unboundedPreceding, 0)),
-                "cap_total": F.sum("cap").over(whole),
-                "small": F.min("size").over(W.partitionBy()),
+                "cap_sum": F.sum(F.col("cap") * F.col("c")).over(upward),
+                "over": F.sum("c").over(whole) - F.sum("c").over(upward),
             }
         )
-        .withColumn("filled", F.col("cap_sum") + (F.col("m") - F.col("k")) * F.col("cap"))
+        .withColumn("filled", F.col("cap_sum") + F.col("over") * F.col("cap"))
+        .join(F.broadcast(shapes), F.col("target").eqNullSafe(F.col("_t")))
     )
     # Strata that are full at the water level, and what is left for the others.
     full = F.col("filled") <= F.col("quota")
-    base = (
-        leveled.withColumns(
-            {
-                "n_full": F.count_if(full).over(whole),
-                "cap_full": F.coalesce(F.max(F.when(full, F.col("cap"))).over(whole), F.lit(0)),
-                "fill_full": F.coalesce(F.max(F.when(full, F.col("filled"))).over(whole), F.lit(0)),
-            }
+    levels = (
+        sizes.groupBy("_t", "m", "quota", "feasible")
+        .agg(
+            F.coalesce(F.sum(F.when(full, F.col("c"))), F.lit(0)).alias("n_full"),
+            F.coalesce(F.max(F.when(full, F.col("cap"))), F.lit(0)).alias("cap_full"),
+            F.coalesce(F.max(F.when(full, F.col("filled"))), F.lit(0)).alias("fill_full"),
         )
         .withColumn("open", F.greatest(F.col("m") - F.col("n_full"), F.lit(1)))
         .withColumn("rest", F.col("quota") - F.col("fill_full"))
         .withColumn("level", F.col("cap_full") + F.floor(F.col("rest") / F.col("open")))
+        .select("_t", "feasible", "level", (F.col("rest") % F.col("open")).alias("left"))
+    )
+    label = F.coalesce(F.concat(F.lit('"'), F.col("segment").cast("string"), F.lit('"')), F.lit("null"))
+    joined = strata.join(F.broadcast(staged(levels, "levels")), F.col("target").eqNullSafe(F.col("_t")))
+    placed = running_totals(
+        joined.withColumns({"label": label, "above": (F.col("cap") > F.col("level")).cast("long")}),
+        by=["target"], order=["label"], sums=["above"],
     )
-    above = F.col("cap") > F.col("level")
-    turn = F.sum(above.cast("long")).over(
-        W.partitionBy("target").orderBy("label").rowsBetween(W.unboundedPreceding, 0)
+    extra = ((F.col("above") == 1) & (F.col("cum_above") <= F.col("left"))).cast("long")
+    return placed.select(
+        "segment", "target", "size", (F.least(F.col("cap"), F.col("level")) + extra).alias("quota"), "feasible"
     )
-    extra = (above & (turn <= F.col("rest") % F.col("open"))).cast("long")
-    per_class_ok = (F.col("quota") >= F.col("m")) & (F.col("quota") <= F.col("cap_total"))
-    return base.select(
-        "segment",
-        "target",
-        "size",
-        (F.least(F.col("cap"), F.col("level")) + extra).alias("quota"),
-        (F.min(per_class_ok.cast("int")).over(W.partitionBy()) == 1).alias("_ok"),
-        (F.col("small") >= 2).alias("_big"),
-    ).select("segment", "target", "size", "quota", (F.col("_ok") & F.col("_big")).alias("feasible"))
 
 
 def _hash_part(level: int) -> Column:
@@ -377,12 +392,14 @@ def stratified_split(
     strata = counted.groupBy(F.col(segment).alias("segment"), F.col(target).alias("target")).agg(
         F.sum("_n").alias("size")
     )
-    quotas = staged(_stratum_quotas(strata), "quotas")
-    if quotas.agg(F.min(F.col("feasible").cast("int"))).first()[0] == 1:
+    strata = staged(strata, "sizes")
+    # Whether the strata can be served at all is known from the classes, before any is put in order.
+    if _class_shapes(strata).agg(F.min(F.col("feasible").cast("int"))).first()[0] == 1:
+        quotas = staged(_stratum_quotas(strata), "quotas")
         named = quotas.select(F.col("segment").alias(segment), F.col("target").alias(target), "quota")
         return _take(hashed, [segment, target], counted, named, "partition", TRAIN, TEST), []
     classes = counted.groupBy(target, "_b").agg(F.sum("_n").alias("_n"))
-    sizes = counted.groupBy(F.col(target).alias("target")).agg(F.sum("_n").alias("n"))
+    sizes = strata.groupBy("target").agg(F.sum("size").alias("n"))
     named = _class_quotas(sizes).select(F.col("target").alias(target), "quota")
     return _take(hashed, [target], classes, named, "partition", TRAIN, TEST), [FALLBACK_LIMITATION]
 

@@ -15,7 +15,7 @@ from scorewatch.plans.queries_monitor import (
 )
 from scorewatch.plans.queries_core import quantile_sql
 from scorewatch.plans.registry import query
-from scorewatch.plans.views import FEATURE_NAMES, REF_CUR_SQL, RISK_SQL, ROLES, r6, reference, risk
+from scorewatch.plans.views import FEATURE_NAMES, REF_CUR_SQL, RISK_SQL, ROLES, r6, reference, risk, stored
 from scorewatch.roles import Condition
 
 # --- K. actions and retests -----------------------------------------------------------------
@@ -23,8 +23,8 @@ from scorewatch.roles import Condition
 
 def bridged(spark, sf):
     """Findings of the detected alerts, computed once and kept as a small table."""
-    snap, now, alerts = detected(spark, sf)
-    causes = small_table(monitoring.root_causes(alerts, snap, now, top_k=3))
+    snap, now, known, alerts = detected(spark, sf)
+    causes = small_table(monitoring.root_causes(alerts, snap, now, top_k=3, known=known))
     found = findings.identified(
         remediation.alert_findings(alerts, causes), [remediation.BRIDGE_LIMITATION]
     )
@@ -137,7 +137,7 @@ def count_sql(share: float, source: str = "risk") -> str:
 )
 def _(spark, sf):
     s = injection.Scenario("a", "missingness", "ord_qty", 0.3, segment="BUILDING")
-    chosen = injection.select_rows(risk(spark, sf), s)
+    chosen = injection.select_rows(stored(spark, sf), s)
     return chosen.agg(
         F.count_if("_selected").alias("selected"),
         F.count("*").alias("row_count"),
@@ -146,7 +146,9 @@ def _(spark, sf):
 
 
 def injected(spark, sf, *args, **kwargs):
-    return injection.inject(risk(spark, sf), injection.Scenario("x", *args, **kwargs))
+    # A schema drift reads no rows; the others read them to count, to choose and to change.
+    rows = risk(spark, sf) if args[0] == "schema" else stored(spark, sf)
+    return injection.inject(rows, injection.Scenario("x", *args, **kwargs))
 
 
 @query(
@@ -212,9 +214,9 @@ TRUTH = [
     {r6('(n - m) / n')} AS false_discovery_rate, {r6('2::DOUBLE / 3')} AS top_k_root_cause_hit FROM c""",
 )
 def _(spark, sf):
-    snap, now, alerts = detected(spark, sf)
+    snap, now, known, alerts = detected(spark, sf)
     tagged = alerts.withColumn("scenario_id", F.lit("s1"))
-    causes = monitoring.root_causes(alerts, snap, now, top_k=6).withColumn("scenario_id", F.lit("s1"))
+    causes = monitoring.root_causes(alerts, snap, now, top_k=6, known=known).withColumn("scenario_id", F.lit("s1"))
     truth = injection.truth_frame(spark, TRUTH)
     return rounded(injection.alert_scores(tagged, truth, causes, top_k=6))
 
@@ -253,7 +255,7 @@ L9_SQL = f"""{REF_CUR_SQL}, seg AS (SELECT segment, count(*) AS ref FROM referen
     {r6('CASE WHEN alerts > 0 THEN (alerts - matched)::DOUBLE / alerts ELSE 0 END')} AS false_discovery_rate, {r6("least(matched, CASE WHEN scenario_id = 'numeric' THEN (SELECT hit FROM numeric_hit) ELSE 1 END)")} AS top_k_root_cause_hit FROM raised""",
 )
 def _(spark, sf):
-    ref = reference(spark, sf)
+    ref = reference(spark, sf, stored(spark, sf))
     rules = alert_rules(ref, 10 * F.avg("target"))
     ref = ref.persist()
     snap = monitoring.build_snapshot(

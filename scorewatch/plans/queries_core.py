@@ -28,6 +28,7 @@ from scorewatch.plans.views import (
     dirty,
     r6,
     risk,
+    stored,
     table,
 )
 from scorewatch.roles import Condition, Features, Rule
@@ -376,7 +377,7 @@ QUOTA_SQL = (
 def uneven(spark, sf):
     """The risk view with some small segments split off, for uneven strata."""
     digit = F.col("supplier_id") % 11
-    return risk(spark, sf).withColumn(
+    return stored(spark, sf).withColumn(
         "segment",
         F.when(digit < 8, F.col("segment")).otherwise(F.concat_ws("-", "segment", digit)),
     )
@@ -403,7 +404,7 @@ def _(spark, sf):
     f"""WITH {QUOTA_SQL} SELECT target, quota AS train, n - quota AS test FROM cq""",
 )
 def _(spark, sf):
-    df = risk(spark, sf)
+    df = stored(spark, sf)
     # The entity is a segment of one row per stratum somewhere, so classes are used.
     parts, _ = split.stratified_split(df, "target", "entity_id")
     return _split_counts(parts, "target")
@@ -411,7 +412,7 @@ def _(spark, sf):
 
 @query("c4_discovery_sample")
 def _(spark, sf):
-    return split.discovery_sample(risk(spark, sf), 5_000)
+    return split.discovery_sample(stored(spark, sf), 5_000)
 
 
 @query(
@@ -420,7 +421,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     # Rows are compared by all their columns; none may be drawn more often than it exists.
-    rows = risk(spark, sf)
+    rows = stored(spark, sf)
     drawn = split.discovery_sample(rows, 5_000).withColumns({"drawn": F.lit(1), "known": F.lit(0)})
     both = drawn.unionByName(rows.withColumns({"drawn": F.lit(0), "known": F.lit(1)}))
     counts = both.groupBy(*rows.columns).agg(F.sum("drawn").alias("drawn"), F.sum("known").alias("known"))

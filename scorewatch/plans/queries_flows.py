@@ -9,11 +9,11 @@ from scorewatch.operators import history, retrieval
 from scorewatch.operators.monitoring import FeatureReference
 from scorewatch.plans import workflows
 from scorewatch.plans.queries_models import HISTORY_SQL, J_SQL, history_inputs
-from scorewatch.plans.queries_monitor import current_rules, snapshot_of
+from scorewatch.plans.queries_monitor import both_periods, current_rules
 from scorewatch.plans.queries_rules import VALIDATION
 from scorewatch.plans.queries_text import CORPUS_SQL, corpus
 from scorewatch.plans.registry import query
-from scorewatch.plans.views import FEATURES, RISK_SQL, ROLES, current, r6, risk, table
+from scorewatch.plans.views import FEATURES, RISK_SQL, ROLES, r6, risk, stored, table
 from scorewatch.roles import Rule
 from scorewatch.sources.scratch import scratch_path
 from scorewatch.sources.tables import read_history_csv, unreadable_cells, write_table
@@ -154,7 +154,7 @@ def _(spark, sf):
 @query("w1_analysis")
 def _(spark, sf):
     result = workflows.analyse(
-        risk(spark, sf), ROLES, FEATURES, dataset_id="risk", config=VALIDATION
+        stored(spark, sf), ROLES, FEATURES, dataset_id="risk", config=VALIDATION
     )
     columns = [
         "rule_id", "grade", "test_n", "support_count", "coverage", "lift", "lift_lower", "lift_upper",
@@ -165,7 +165,6 @@ def _(spark, sf):
 
 @query("w2_monitoring")
 def _(spark, sf):
-    out = workflows.monitor(
-        snapshot_of(spark, sf), current(spark, sf), current_rules=current_rules(spark, sf)
-    )
+    snap, now = both_periods(spark, sf)
+    out = workflows.monitor(snap, now, current_rules=current_rules(now))
     return out["recommendations"]

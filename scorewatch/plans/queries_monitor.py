@@ -21,6 +21,7 @@ from scorewatch.plans.views import (
     reference,
     risk,
     sql_list,
+    stored,
 )
 
 
@@ -144,13 +145,19 @@ def psi_bins_sql(ref: str, cur: str, names, probs=DECILES) -> str:
     )
 
 
+def periods_of(spark, sf):
+    """Reference and current rows, joined once."""
+    rows = stored(spark, sf, "entity_id", "supplier_id", "line_no")
+    return reference(spark, sf, rows), current(spark, sf, rows)
+
+
 @query(
     "i6_feature_psi",
     f"WITH {REF_CUR_SQL}, {psi_bins_sql('reference', 'current_', FEATURE_NAMES)} "
     f"SELECT feature, reference_count, current_count, {r6('psi')} AS psi FROM psi",
 )
 def _(spark, sf):
-    periods = findings.label_periods(reference(spark, sf), current(spark, sf))
+    periods = findings.label_periods(*periods_of(spark, sf))
     return rounded(findings.feature_psi(periods, FEATURE_NAMES))
 
 
@@ -188,7 +195,7 @@ DRIFT_METRICS = ["reference_rate", "current_rate", "rate_shift", "psi", "referen
     f"{drift_sql('reference', 'current_', FEATURE_NAMES)} SELECT * FROM drift",
 )
 def _(spark, sf):
-    periods = findings.label_periods(reference(spark, sf), current(spark, sf))
+    periods = findings.label_periods(*periods_of(spark, sf))
     return flat(findings.drift_findings(periods, FEATURE_NAMES, "target"), *DRIFT_METRICS)
 
 
@@ -287,9 +294,14 @@ def _(spark, sf):
     return flat(df, *TIME_METRICS)
 
 
+def diagnosed_rows(spark, sf):
+    rows = stored(spark, sf, "ord_disc", "ord_tax", "ord_total", "line_no", "supplier_id")
+    return dirty(spark, sf, rows).withColumn("target", F.coalesce("target", F.lit(0)))
+
+
 def diagnosed(spark, sf):
     return findings.diagnose(
-        dirty(spark, sf).withColumn("target", F.coalesce("target", F.lit(0))),
+        diagnosed_rows(spark, sf),
         ROLES, DIRTY_FEATURES, dataset_id="risk", ranges=RANGES,
     )
 
@@ -304,7 +316,7 @@ _ALL = "SELECT kind, severity, code, feature, period, segment_token FROM"
     UNION ALL SELECT 'undated', unnest(['time_monitoring_disabled', 'insufficient_drift_reference', 'label_performance_window_unknown'])""",
 )
 def _(spark, sf):
-    rows = dirty(spark, sf).withColumn("target", F.coalesce("target", F.lit(0)))
+    rows = diagnosed_rows(spark, sf)
     found = []
     for run, time_enabled in (("dated", True), ("undated", False)):
         report = findings.diagnostic_report(
@@ -352,8 +364,13 @@ def alert_rules(frame, lift):
     )
 
 
-def snapshot_of(spark, sf):
-    ref = reference(spark, sf)
+def monitored(spark, sf):
+    """What snapshots and alerts read of the risk view, joined once."""
+    return stored(spark, sf, "entity_id", "supplier_id")
+
+
+def snapshot_of(spark, sf, rows=None):
+    ref = reference(spark, sf, monitored(spark, sf) if rows is None else rows)
     evidence = alert_rules(ref, 10 * F.avg("target"))
     return monitoring.build_snapshot(
         ref, ROLES, FEATURE_NAMES, dataset_id="risk", catalog=order_catalog(spark), evidence=evidence
@@ -410,6 +427,12 @@ def _(spark, sf):
     return monitoring.snapshot_id(snapshot_of(spark, sf))
 
 
+def both_periods(spark, sf):
+    """Snapshot of the reference period and the rows of the current one."""
+    rows = monitored(spark, sf)
+    return snapshot_of(spark, sf, rows), current(spark, sf, rows)
+
+
 def drifted(spark, sf):
     """The current period without one feature and with one feature as text."""
     return current(spark, sf).drop("cust_bal").withColumn("ord_disc", F.col("ord_disc").cast("string"))
@@ -452,7 +475,7 @@ MISSING_ALERT_SQL = (
 
 @query("i16_missingness_alerts", f"WITH {REF_CUR_SQL}, {MISSING_ALERT_SQL} SELECT * FROM missing_")
 def _(spark, sf):
-    return alert_view(monitoring.missing_alerts(snapshot_of(spark, sf), current(spark, sf)))
+    return alert_view(monitoring.missing_alerts(*both_periods(spark, sf)))
 
 
 _CUR_LONG = " UNION ALL ".join(
@@ -473,7 +496,7 @@ DIST_SQL = (
 
 @query("i17_distribution_alerts", f"WITH {REF_CUR_SQL}, {DIST_SQL} SELECT * FROM dist_")
 def _(spark, sf):
-    return alert_view(monitoring.distribution_alerts(snapshot_of(spark, sf), current(spark, sf)))
+    return alert_view(monitoring.distribution_alerts(*both_periods(spark, sf)))
 
 
 @query(
@@ -481,7 +504,7 @@ def _(spark, sf):
     f"WITH {REF_CUR_SQL}, {DIST_SQL} SELECT feature, CAST(bins AS BIGINT) AS bins, {r6('psi')} AS psi FROM fp",
 )
 def _(spark, sf):
-    df = monitoring.psi_floored(snapshot_of(spark, sf), current(spark, sf))
+    df = monitoring.psi_floored(*both_periods(spark, sf))
     return rounded(df.withColumn("bins", F.col("bins").cast("long")))
 
 
@@ -498,8 +521,8 @@ FAMILY_SQL = (
     f"WITH {REF_CUR_SQL}, {MISSING_ALERT_SQL}, {FAMILY_SQL} SELECT * FROM family_",
 )
 def _(spark, sf):
-    snap = snapshot_of(spark, sf)
-    missing = monitoring.missing_alerts(snap, current(spark, sf))
+    snap, now = both_periods(spark, sf)
+    missing = monitoring.missing_alerts(snap, now)
     return alert_view(monitoring.family_alerts(snap, missing))
 
 
@@ -512,7 +535,7 @@ LABEL_SQL = (
 
 @query("i19_label_alerts", f"WITH {REF_CUR_SQL}, {LABEL_SQL} SELECT * FROM label_")
 def _(spark, sf):
-    return alert_view(monitoring.label_alerts(snapshot_of(spark, sf), current(spark, sf)))
+    return alert_view(monitoring.label_alerts(*both_periods(spark, sf)))
 
 
 POP_SQL = (
@@ -528,7 +551,7 @@ POP_SQL = (
 
 @query("i20_population_alerts", f"WITH {REF_CUR_SQL}, {POP_SQL} SELECT * FROM population_")
 def _(spark, sf):
-    return alert_view(monitoring.population_alerts(snapshot_of(spark, sf), current(spark, sf)))
+    return alert_view(monitoring.population_alerts(*both_periods(spark, sf)))
 
 
 DECAY_SQL = (
@@ -540,17 +563,14 @@ DECAY_SQL = (
 )
 
 
-def current_rules(spark, sf):
-    return alert_rules(
-        current(spark, sf).filter(F.col("line_no") % 4 != 3), 1.3 + 0.1 * F.first(F.col("line_no") % 4)
-    )
+def current_rules(now):
+    return alert_rules(now.filter(F.col("line_no") % 4 != 3), 1.3 + 0.1 * F.first(F.col("line_no") % 4))
 
 
 @query("i21_rule_decay_alerts", f"WITH {REF_CUR_SQL}, {DECAY_SQL} SELECT * FROM decay_")
 def _(spark, sf):
-    return alert_view(
-        monitoring.rule_decay_alerts(snapshot_of(spark, sf).rules, current_rules(spark, sf))
-    )
+    snap, now = both_periods(spark, sf)
+    return alert_view(monitoring.rule_decay_alerts(snap.rules, current_rules(now)))
 
 
 ALERTS_SQL = (
@@ -561,14 +581,15 @@ ALERTS_SQL = (
 
 
 def detected(spark, sf):
-    snap = snapshot_of(spark, sf)
-    now = current(spark, sf)
-    return snap, now, small_table(monitoring.detect(snap, now, current_rules(spark, sf)))
+    """Snapshot, current rows, their facts (read once for alerts and causes) and alerts."""
+    snap, now = both_periods(spark, sf)
+    known = monitoring.facts(snap, now)
+    return snap, now, known, small_table(monitoring.detect(snap, now, current_rules(now), known))
 
 
 @query("i22_detect", f"WITH {REF_CUR_SQL}, {ALERTS_SQL} SELECT * FROM alerts")
 def _(spark, sf):
-    return alert_view(monitoring.alert_order(detected(spark, sf)[2]))
+    return alert_view(monitoring.alert_order(detected(spark, sf)[-1]))
 
 
 @query(
@@ -579,7 +600,7 @@ def _(spark, sf):
     LEFT JOIN alerts a USING (alert_type) GROUP BY 1""",
 )
 def _(spark, sf):
-    return monitoring.alert_overview(detected(spark, sf)[2])
+    return monitoring.alert_overview(detected(spark, sf)[-1])
 
 
 # --- K. attribution ------------------------------------------------------------------------------
@@ -619,7 +640,7 @@ def _parts_sql():
     f"{r6('ref_missing')} AS ref_missing, {r6('missing_rate')} AS missing_rate, {r6('missing_part')} AS missing_part FROM parts",
 )
 def _(spark, sf):
-    parts = monitoring.segment_contributions(snapshot_of(spark, sf), current(spark, sf), FEATURE_NAMES)
+    parts = monitoring.segment_contributions(*both_periods(spark, sf), FEATURE_NAMES)
     return rounded(parts.select("feature", "segment", "share", "ref_missing", "missing_rate", "missing_part"))
 
 
@@ -629,7 +650,7 @@ def _(spark, sf):
     f"round({r6('center')}, 3) AS center, round({r6('center_part')}, 3) AS center_part FROM parts",
 )
 def _(spark, sf):
-    parts = monitoring.segment_contributions(snapshot_of(spark, sf), current(spark, sf), FEATURE_NAMES)
+    parts = monitoring.segment_contributions(*both_periods(spark, sf), FEATURE_NAMES)
     return rounded(parts.select("feature", "segment", "ref_center", "center", "center_part"), 3)
 
 
@@ -663,8 +684,8 @@ def _cause_query(name, where, top=100):
 
     @query(name, sql)
     def _(spark, sf):
-        snap, now, alerts = detected(spark, sf)
-        causes = monitoring.root_causes(alerts.filter(where), snap, now, top_k=top)
+        snap, now, known, alerts = detected(spark, sf)
+        causes = monitoring.root_causes(alerts.filter(where), snap, now, top_k=top, known=known)
         return rounded(causes.select("alert_id", "dimension", "value", "contribution", "rank"), 4)
 
 

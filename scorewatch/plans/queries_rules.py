@@ -27,6 +27,7 @@ from scorewatch.plans.views import (
     dirty,
     r6,
     risk,
+    stored,
 )
 from scorewatch.roles import DiscoveryConfig, ValidationConfig
 from scorewatch.sources.tables import evidence_output, rules_frame
@@ -36,7 +37,7 @@ VALIDATION = ValidationConfig(bootstrap_rounds=200)
 
 
 def parts(spark, sf):
-    return time_split(risk(spark, sf), "snapshot_date")
+    return time_split(stored(spark, sf, "entity_id", "line_no", "part_id", "supplier_id"), "snapshot_date")
 
 
 def train(spark, sf):

@@ -117,10 +117,12 @@ def monitor(
 ) -> Mapping[str, DataFrame]:
     """Alerts, root causes, findings and recommendations for a current table.
 
-    Alerts are a few rows per feature and segment; they are computed once.
+    Alerts are a few rows per feature and segment; they are computed once.  The current rows are
+    read once for the facts behind alerts and causes.
     """
-    alerts = small_table(monitoring.detect(snapshot, current, current_rules))
-    causes = small_table(monitoring.root_causes(alerts, snapshot, current, top_k=top_k))
+    known = monitoring.facts(snapshot, current)
+    alerts = small_table(monitoring.detect(snapshot, current, current_rules, known))
+    causes = small_table(monitoring.root_causes(alerts, snapshot, current, top_k=top_k, known=known))
     found = small_table(
         findings.identified(
             remediation.alert_findings(alerts, causes), [remediation.BRIDGE_LIMITATION]

@@ -96,3 +96,25 @@ def test_risk_view_is_joined_once(spark):
     from scorewatch.plans import queries_rules
 
     assert not any("lineitem" in f for f in queries_rules.train(spark, DATA).inputFiles())
+
+
+def test_tfidf_from_term_maps(spark):
+    """Weights equal a plain computation; postings carry a number, not the 64 characters of an id."""
+    import math
+    from collections import Counter
+
+    from scorewatch.operators import retrieval
+
+    texts = ["alpha beta beta", "beta gamma", "gamma gamma delta", "alpha beta beta", "1 2"]
+    docs = retrieval.citations(spark.createDataFrame([("s", t) for t in texts], "scope string, text string"))
+    maps = retrieval.term_maps(docs, "scope", "citation_id")
+    assert retrieval.postings_of(maps).columns == ["scope", "doc", "term", "tf"]
+    assert maps.select("doc").distinct().count() == 4
+    names = {r["citation_id"]: r["text"] for r in docs.collect()}
+    got = {(names[r["citation_id"]], r["term"]): r["weight"] for r in retrieval.tfidf(docs).collect()}
+    n, seen = 4, Counter(w for t in set(texts[:4]) for w in set(t.split()))
+    want = {}
+    for t in set(texts[:4]):
+        w = {x: c * (math.log((1 + n) / (1 + seen[x])) + 1) for x, c in Counter(t.split()).items()}
+        want |= {(t, x): v / math.sqrt(sum(y * y for y in w.values())) for x, v in w.items()}
+    assert got == pytest.approx(want)

@@ -41,6 +41,8 @@ RESEMBLES = {
 #: Costs in nats of a sign for a letter, of a sign as a break, of a dropped sign, of a dropped repeat.
 SIGN, BREAK, DROP, REPEAT = 0.7, 4.0, 5.0, 0.3
 BEAM, MEMO, LM_ORDER = 24, 200_000, 3
+#: Log probabilities that a worker remembers.
+LOGS = 1_000_000
 OPENINGS = (4, 5, 6)
 #: What may stand around a word without being part of it.
 _AROUND = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "$@") + "«»“”„’‘…"
@@ -54,6 +56,19 @@ class Restorer:
 
     def __init__(self, scorer: charlm.Scorer):
         self.scorer, self.memo = scorer, {}
+        self.logs: dict[int, float] = {}
+
+    def _logs(self, keys: list[int]) -> list[float]:
+        """Log probabilities of packed letters; the same few come again and again."""
+        known = self.logs
+        new = [k for k in keys if k not in known]
+        if new:
+            if len(known) + len(new) > LOGS:
+                known.clear()
+                new = keys
+            found = self.scorer.log_probability(np.array(new, dtype=np.uint64), LM_ORDER)[:, 0]
+            known.update(zip(new, found.tolist()))
+        return [known[k] for k in keys]
 
     def decode(self, token: str) -> str:
         """The likeliest letters of one token; a break is a space."""
@@ -77,10 +92,10 @@ class Restorer:
             before = c
             heard = [(s, x, w) for s in beam for x, w in arcs if x is not None]
             keys = [(s << 16 | (0 if x == " " else ord(x) & 0xFFFF)) for s, x, _ in heard]
-            logs = self.scorer.log_probability(np.array(keys, dtype=np.uint64), LM_ORDER)[:, 0] if keys else ()
+            logs = self._logs(keys)
             after: dict[int, tuple[float, tuple]] = {}
             for (s, x, w), key, log in zip(heard, keys, logs):
-                cost, state = beam[s][0] + w - float(log), key & mask
+                cost, state = beam[s][0] + w - log, key & mask
                 if state not in after or cost < after[state][0]:
                     after[state] = cost, (x, beam[s][1])
             for w in (w for x, w in arcs if x is None):
@@ -88,9 +103,8 @@ class Restorer:
                     if s not in after or cost + w < after[s][0]:
                         after[s] = cost + w, path
             beam = after if len(after) <= BEAM else dict(sorted(after.items(), key=lambda e: e[1][0])[:BEAM])
-        ends = np.array([s << 16 for s in beam], dtype=np.uint64)
-        logs = self.scorer.log_probability(ends, LM_ORDER)[:, 0]
-        path = min(zip(beam.values(), logs), key=lambda e: e[0][0] - float(e[1]))[0][1]
+        logs = self._logs([s << 16 for s in beam])
+        path = min(zip(beam.values(), logs), key=lambda e: e[0][0] - e[1])[0][1]
         out = []
         while path:
             out.append(path[0])
@@ -251,7 +265,8 @@ def fit(
 
     A feature enters the lexicon if it is in at least `support` of the toxic documents, and surely in
     `lift` times as large a share of them as of the clean ones; so its size is bounded by the words of a
-    document over `support`.
+    document over `support`.  `held_out` is a condition on `doc_id`, so the texts that are held out are
+    left out before the others meet their labels.
     """
     import uuid
 
@@ -265,7 +280,9 @@ def fit(
         return Model(letters, name, {}, [], base)
     half = (F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))) % 2).cast("int").alias("half")
     marks = marks.select("doc_id", "mark", half)
-    texts = staged(docs.select("doc_id", "text").where("text is not null").join(marks, "doc_id"), "labelled")
+    some = docs.select("doc_id", "text").where(F.col("text").isNotNull() & ~held_out)
+    # Labels grow with the texts: the same join at every size.
+    texts = staged(some.join(marks.hint("merge"), "doc_id"), "labelled")
     size = {(r["mark"], r["half"]): r["count"] for r in texts.groupBy("mark", "half").count().collect()}
     n = [[size.get((v, h), 0) for h in (0, 1)] for v in (0, 1)]
     found = _counted(texts.where("mark = 1"), letters, name, None).where(F.col("n0") + F.col("n1") >= max(2.0, support * sum(n[1])))

@@ -231,6 +231,38 @@ def test_restored_words(shared):
     assert restore.words(None) == restore.words("12 34 -- **") == set()
 
 
+def test_letters_are_scored_once(shared):
+    letters = charlm.fit(charlm.gram_counts(frame(shared, [" ".join(INSULTS) + " " + prose(k, 30) for k in range(60)]), "lang"))
+    scorer, asked = letters.ready(), []
+    plain = scorer.log_probability
+
+    class Counting:
+        def log_probability(self, packed, order):
+            asked.extend(packed.tolist())
+            return plain(packed, order)
+
+    restore = toxicity.Restorer(Counting())
+    assert [restore.decode(w) for w in ("m0r0n", "m0ron", "mor0n", "sc*m", "$c*m")] == ["moron"] * 3 + ["scum"] * 2
+    assert len(asked) == len(set(asked))
+
+
+def test_labelled_texts_meet_labels_in_one_way(shared, monkeypatch):
+    """Texts that are held out are not shuffled, and few labels are joined like many."""
+    plans, plain = [], toxicity.staged
+
+    def spied(df, name):
+        if name == "labelled":
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return plain(df, name)
+
+    monkeypatch.setattr(toxicity, "staged", spied)
+    docs = frame(shared, [prose(k, 20) for k in range(60)])
+    labels = shared.createDataFrame([(k, k % 2) for k in range(60)], "doc_id long, toxic int")
+    toxicity.fit(docs, labels, held_out(3, 1))
+    [plan] = plans
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan and plan.count("crc32") >= 2
+
+
 def test_toxicity_query(shared, given):
     marks = labelled(shared, given, "toxic")
     rows = QUERIES["op8_toxicity"](shared, given).collect()

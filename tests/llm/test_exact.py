@@ -439,6 +439,21 @@ def test_streaming_holds_a_bounded_window(codec):
     assert "".join(out) == text and search.widest < 10 * codec.v.longest
 
 
+def test_words_of_known_signs_are_not_decoded(codec, monkeypatch):
+    """Pieces that make up a word decode to it, so only words with byte pieces are decoded."""
+    words = [pieces.MARK + w for w in set(prose(12, 3000).split())]
+    wanted = [codec._part(w) for w in words]
+
+    def fail(ids):
+        raise AssertionError("a word was decoded")
+
+    fresh = pieces.Codec.__new__(pieces.Codec)
+    fresh.v, fresh.memo, fresh.older = codec.v, {}, {}
+    monkeypatch.setattr(fresh, "raw_text", fail)
+    assert [fresh.known(w) for w in words] == [(ids, True) for ids in wanted]
+    assert pieces.ending_lengths(["ab", "cab", "xcab", "b"], 3) == {"cab": (4, 3, 2, 1)}
+
+
 def test_unigram_vocabulary_keeps_the_best_sum(codec):
     v = object.__new__(pieces.Vocabulary)
     v.merges, v.texts, v.scores = False, ["a", "b", "ab", "ba", "aba"], [-1.0, -1.0, -1.5, -1.2, -3.0]

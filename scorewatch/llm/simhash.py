@@ -13,6 +13,8 @@ a null id never names a group.  Extra columns of the input are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -145,6 +147,9 @@ FIFTHS = 4
 SEVERAL, BAND = 16, 16
 #: Bits of the first two fingerprints that may differ; near copies at 0.8 differ in 19 of 128, with a deviation of 4.
 DIFFERING = 40
+#: Longs of the parity sketch of a shingle set; its columns in rows that are compared.
+PARITY = 4
+PARITIES = [f"parity{k}" for k in range(PARITY)]
 
 
 def _copy_key() -> Column:
@@ -152,24 +157,39 @@ def _copy_key() -> Column:
     return F.xxhash64("text")
 
 
+def parity_of(kinds: np.ndarray) -> list[int]:
+    """Of each of 256 cells whether an odd number of the distinct hashes `kinds` falls in it.
+
+    A hash that is in both of two sets changes neither side, so at most as many cells differ as
+    hashes are in one set only.
+    """
+    cells = ((kinds >> np.uint64(20)) % np.uint64(64 * PARITY)).astype(np.int64)
+    odd = (np.bincount(cells, minlength=64 * PARITY) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").tolist()
+
+
 def _sets(known: DataFrame, words: int) -> DataFrame:
-    """`doc_id`, `copy`, `n` distinct shingles, `node` (a hash of their set) and `fps` of every row."""
+    """`doc_id`, `copy`, `n` distinct shingles, `node` (a hash of their set), `fps` and `parity` of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sizes, nodes, prints = [], [], []
+            sizes, nodes, prints, parities = [], [], [], []
             for text in batch.column("text"):
                 plain = shingles_of(text.as_py(), words)
                 kinds = np.unique(plain)
                 sizes.append(len(kinds))
                 nodes.append(xxhash.xxh64_intdigest(kinds.tobytes(), 7) - (1 << 63))
                 prints.append(_prints(kinds, SEVERAL))
-            columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prints, pa.list_(pa.int64()))]
+                parities.append(parity_of(kinds))
+            lists = pa.list_(pa.int64())
+            columns = [
+                pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prints, lists), pa.array(parities, lists)
+            ]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("copy"), *columns], ["doc_id", "copy", "n", "node", "fps"]
+                [batch.column("doc_id"), batch.column("copy"), *columns], ["doc_id", "copy", "n", "node", "fps", "parity"]
             )
 
-    return known.mapInArrow(rows, "doc_id long, copy long, n long, node long, fps array<long>")
+    return known.mapInArrow(rows, "doc_id long, copy long, n long, node long, fps array<long>, parity array<long>")
 
 
 def _bands(nodes: DataFrame, *more: str, several: int = SEVERAL) -> DataFrame:
@@ -180,16 +200,24 @@ def _bands(nodes: DataFrame, *more: str, several: int = SEVERAL) -> DataFrame:
         for low in range(0, BITS, BAND)
     ]
     # Distinct sets of fewer than five shingles share less than 0.8 with any other.
-    some = nodes.where("n >= 4").select(
-        "node", "n", F.col("fps")[0].alias("fp"), F.col("fps")[1].alias("fp1"), *more, F.array(*keys).alias("keys")
-    )
-    return some.select("node", "n", "fp", "fp1", *more, F.explode("keys").alias("key"))
+    compared = [F.col("fps")[0].alias("fp"), F.col("fps")[1].alias("fp1")]
+    compared += [F.col("parity")[k].alias(name) for k, name in enumerate(PARITIES)]
+    some = nodes.where("n >= 4").select("node", "n", *compared, *more, F.array(*keys).alias("keys"))
+    return some.select("node", "n", "fp", "fp1", *PARITIES, *more, F.explode("keys").alias("key"))
 
 
 def _may_be_near(a: DataFrame, b: DataFrame) -> Column:
-    """What holds for every pair at the least similarity: the shares of sizes surely, of bits nearly."""
-    bits = F.bit_count(a["fp"].bitwiseXOR(b["other_fp"])) + F.bit_count(a["fp1"].bitwiseXOR(b["other_fp1"]))
-    return (5 * F.least(a["n"], b["other_n"]) >= FIFTHS * F.greatest(a["n"], b["other_n"])) & (bits <= DIFFERING)
+    """What holds for every pair at the least similarity: the shares of sizes and of odd cells surely, of bits nearly.
+
+    Two sets that share four fifths of their union have at most a ninth of their sizes in one of them only.
+    """
+
+    def differing(*names: str) -> Column:
+        return reduce(add, [F.bit_count(a[c].bitwiseXOR(b[f"other_{c}"])) for c in names])
+
+    sizes = 5 * F.least(a["n"], b["other_n"]) >= FIFTHS * F.greatest(a["n"], b["other_n"])
+    apart = (5 + FIFTHS) * differing(*PARITIES) <= (5 - FIFTHS) * (a["n"] + b["other_n"])
+    return sizes & (differing("fp", "fp1") <= DIFFERING) & apart
 
 
 def _renamed(bands: DataFrame) -> DataFrame:
@@ -238,16 +266,19 @@ def survivors(docs: DataFrame, words: int = 5) -> DataFrame:
     share 0.8 do, nearly all that share more.  So that a large group does not make all of its pairs, every
     node is first compared with the smallest one of each value of the first 16 bands; then, within each
     value of any band, all pairs of different groups are, and those of its commonest group among
-    themselves need not be.
+    themselves need not be.  Sizes, fingerprints and a parity sketch are compared inside these joins, so
+    of a group whose members resemble each other without being near copies few pairs reach their texts.
     """
     known = docs.select(identity().alias("doc_id"), _copy_key().alias("copy"), "text")
     rows = staged(_sets(known, words), "sets")
     nodes = staged(
-        rows.groupBy("node").agg(F.min(F.struct("doc_id", "copy")).alias("first"), F.first("n").alias("n"), F.first("fps").alias("fps")),
+        rows.groupBy("node").agg(
+            F.min(F.struct("doc_id", "copy")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fps", "parity")]
+        ),
         "nodes",
     )
     bands = _bands(nodes, several=4)
-    lead = bands.groupBy("key").agg(F.min(F.struct("node", "n", "fp", "fp1")).alias("lead"), F.count("*").alias("many"))
+    lead = bands.groupBy("key").agg(F.min(F.struct("node", "n", "fp", "fp1", *PARITIES)).alias("lead"), F.count("*").alias("many"))
     lead = _renamed(staged(lead.where("many > 1").select("key", "lead.*"), "leads"))
     met = bands.join(lead, (bands["key"] == lead["key"]) & (bands["node"] > lead["other_node"]) & _may_be_near(bands, lead))
     found = _verified(met.select(F.col("other_node").alias("a"), F.col("node").alias("b")), nodes, known, words)

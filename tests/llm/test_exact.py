@@ -154,6 +154,36 @@ def test_survivors_unite_links_and_take_only_verified_ones(shared):
     assert left == set(want.values())
 
 
+def test_survivors_of_a_large_group_of_loose_copies(shared, monkeypatch):
+    """Pairs that meet in a band but are no near copies are told apart before their texts are read."""
+    base = prose(5000, 160)
+    texts = [changed(base, k, 3 + k % 2) for k in range(150)]
+    near = near_pairs(texts)
+    verified, seen = simhash._verified, []
+
+    def counted(pairs, *rest):
+        seen.append(pairs.distinct().count())
+        return verified(pairs, *rest)
+
+    monkeypatch.setattr(simhash, "_verified", counted)
+    left = {r["doc_id"] for r in simhash.survivors(frame(shared, texts)).collect()}
+    assert left == set(groups_of(range(len(texts)), near).values())
+    assert len(near) < 150 and sum(seen) <= len(near) + 150
+
+
+def test_parity_never_excludes_near_copies():
+    r = np.random.default_rng(1)
+    for n in (1, 4, 5, 9, 50, 400, 5000):
+        for _ in range(50):
+            kinds = np.unique(r.integers(0, 2**64, 2 * n, dtype=np.uint64))
+            cut = len(kinds) // 5  # four fifths and, where it divides, not one more are shared
+            one, other = kinds[: len(kinds) - cut // 2], kinds[cut - cut // 2 :]
+            shared = len(np.intersect1d(one, other))
+            assert 5 * shared >= 4 * len(kinds)
+            a, b = (np.array(simhash.parity_of(x), dtype="<i8").view("<u8") for x in (one, other))
+            assert 9 * int(np.bitwise_count(a ^ b).sum()) <= len(one) + len(other)
+
+
 def test_packing(shared, given):
     import public_tokenizers
     from tokenizers import Tokenizer

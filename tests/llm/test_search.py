@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -213,3 +214,28 @@ def test_whole_tables(shared, given):
     assert sorted([tuple(r) for r in QUERIES["op11_search"](shared, given).collect()], key=repr) == slow_ranks(docs, items)
     got = QUERIES["op13_idfiles"](shared, given).collect()
     assert sorted(tuple(r) for r in got) == [w[:4] for w in whole_files(docs)]
+
+
+def test_byte_words_straight_to_the_merges():
+    """Words of letters never pass the splitter, and a part that is a known word is not cut again."""
+    from scorewatch.llm.words import ByteEncoder, strings
+
+    encode = ByteEncoder(idfiles.vocabulary_path("byte_bpe_50k.json"))
+    whole, asked, cut = encode.tokenizer, [], []
+
+    class Recorder:
+        model = whole.model
+
+        def encode_batch(self, texts, **options):
+            asked.extend(texts)
+            return whole.encode_batch(texts, **options)
+
+    encode.tokenizer = Recorder()
+    own = encode._cut
+    encode._cut = lambda parts: cut.extend(strings(parts)) or own(parts)
+    texts = ["Élan vital, ñandú straße", "straße vital Élan", "vital, (straße)"]
+    for _ in range(2):
+        want = [np.array(whole.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+        assert encode.batch(pa.array(texts)) == want
+    assert all(not any(c.isalpha() for c in t) for t in asked)
+    assert set(cut) == {" vital,", "vital,", " (straße)"}

@@ -549,3 +549,15 @@ def test_suffix_odd_texts_and_hot_grams(shared, kinds):
     assert suffix.without_repeats(docs.limit(0), 40).count() == 0
     twice = docs.where("doc_id = 52").select("doc_id", "text")
     assert [len(r["kept"]) for r in suffix.without_repeats(twice.unionAll(twice), 40).collect()] == [0, 0]
+
+
+def test_strings_of_arrays():
+    """Texts of an array, slices included, as Python strings."""
+    import pyarrow as pa
+
+    from scorewatch.llm.words import strings
+
+    texts = ["", "é", "a b", "\x00", "中"]
+    assert strings(pa.array(texts)) == texts
+    assert strings(pa.array(texts).slice(1, 3)) == texts[1:4]
+    assert strings(pa.array([], pa.string())) == []

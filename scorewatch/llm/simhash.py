@@ -104,6 +104,8 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
     """All pairs `a` < `b` of different fingerprints (`fp`, distinct) within `distance` bits, each once.
 
     A pair may meet in several segments; the first of those that differ in at most one bit reports it.
+    Spark sizes an exploded side as its source, so that the sides would be broadcast while the
+    fingerprints alone are small enough; sides of some 35 rows each are always dealt out.
     """
     segments = max(2, (distance + 2) // 2)
     zeros = _index(prints, segments, 0).withColumnRenamed("fp", "a")
@@ -116,7 +118,7 @@ def links(prints: DataFrame, distance: int = 3) -> DataFrame:
         mask = ((1 << high) - 1) ^ ((1 << low) - 1)
         first &= (segment <= k) | (F.bit_count(differing.bitwiseAND(F.lit(mask))) > 1)
     near = F.bit_count(differing) <= distance
-    met = zeros.join(ones, (zeros["key"] == ones["key"]) & (deleted | (F.col("a") < F.col("b"))) & near & first)
+    met = zeros.hint("merge").join(ones, (zeros["key"] == ones["key"]) & (deleted | (F.col("a") < F.col("b"))) & near & first)
     return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
 
 

@@ -100,6 +100,13 @@ def test_all_links_of_random_fingerprints(shared, distance):
     assert len(found) == len(want)
 
 
+def test_links_broadcast_no_exploded_side(shared):
+    """Spark takes an exploded side for as small as its source, here 8 KB; the sides have to be dealt out."""
+    found = simhash.links(shared.range(1000).selectExpr("id * 1234567891011 fp"))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+
+
 def test_survivors_of_rounds(shared):
     base = prose(3, 400).split()
     near = [" ".join([*base[:k], "changed", *base[k + 1 :]]) for k in range(0, 400, 100)]

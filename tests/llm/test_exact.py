@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -491,6 +492,21 @@ def test_words_of_known_signs_are_not_decoded(codec, monkeypatch):
     assert pieces.ending_lengths(["ab", "cab", "xcab", "b"], 3) == {"cab": (4, 3, 2, 1)}
 
 
+def test_ids_of_known_signs_are_decoded_too():
+    """`round_trip` is found by decoding the ids, also of words that are searched in one go."""
+    import public_tokenizers
+
+    own = pieces.Codec(public_tokenizers.path("piece_bpe_32k.model"))
+    assert own.raw_text([own.v.ids["▁town"]]) == " town"
+    own.v.texts[own.v.ids["▁town"]] = "▁tower"  # what decoding gives is no longer what was encoded
+    own.v.__dict__.pop("raw", None)
+    own.__dict__.pop("raw", None)
+    ids, same = own.checked("every town by night")
+    assert own.decode(ids.tolist()) == "every tower by night" and not same
+    found = own.batch(pa.array(["every town by night", "every hill by night"]))
+    assert [x[1] for x in found] == [False, True]
+
+
 def test_unigram_vocabulary_keeps_the_best_sum(codec):
     v = object.__new__(pieces.Vocabulary)
     v.merges, v.texts, v.scores = False, ["a", "b", "ab", "ba", "aba"], [-1.0, -1.0, -1.5, -1.2, -3.0]

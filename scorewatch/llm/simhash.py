@@ -146,9 +146,13 @@ def near_copies(docs: DataFrame, words: int = 5, distance: int = 3) -> DataFrame
 #: Least Jaccard similarity of near copies: this many fifths of the distinct shingles of both.
 FIFTHS = 4
 #: Fingerprints of a document, and bits of each of the bands they are cut into.
-SEVERAL, BAND = 16, 16
+SEVERAL, BAND = 4, 16
 #: Bits of the first two fingerprints that may differ; near copies at 0.8 differ in 19 of 128, with a deviation of 4.
 DIFFERING = 40
+#: Distinct sets of fewer than five shingles share less than 0.8 with any other, but one of four with one of five.
+COMPARED = "n >= 4"
+#: Documents whose sets are held together.
+_SETS = 500
 #: Longs of the parity sketch of a shingle set; its columns in rows that are compared.
 PARITY = 4
 PARITIES = [f"parity{k}" for k in range(PARITY)]
@@ -170,12 +174,27 @@ def parity_of(kinds: np.ndarray) -> list[int]:
     return np.packbits(odd, bitorder="little").view("<i8").tolist()
 
 
+def _missing(n: Column | int) -> Column | int:
+    """Of `n` distinct shingles, how many a near copy can lack at most."""
+    whole = F.floor if isinstance(n, Column) else int
+    return whole(n * (5 - FIFTHS) / 5)
+
+
+def _extra(n: Column | int) -> Column | int:
+    """How many more of the least hashes of `n` are kept than a near copy can lack."""
+    whole = F.floor if isinstance(n, Column) else int
+    return whole(n / 10) + 1
+
+
 def _sets(known: DataFrame, words: int) -> DataFrame:
-    """`doc_id`, `copy`, `n` distinct shingles, `node` (a hash of their set), `fps` and `parity` of every row."""
+    """`doc_id`, `copy`, `n` distinct shingles, `node` (a hash of their set), `fps`, `parity` and `least` of every row.
+
+    `least` holds the least hashes of the set, in their order and some more than a near copy can lack.
+    """
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, nodes, prints, parities = [], [], [], []
+        for batch in (b.slice(k, _SETS) for b in batches for k in range(0, b.num_rows, _SETS)):
+            sizes, nodes, prints, parities, least = [], [], [], [], []
             for text in batch.column("text"):
                 plain = shingles_of(text.as_py(), words)
                 kinds = np.unique(plain)
@@ -183,43 +202,63 @@ def _sets(known: DataFrame, words: int) -> DataFrame:
                 nodes.append(xxhash.xxh64_intdigest(kinds.tobytes(), 7) - (1 << 63))
                 prints.append(_prints(kinds, SEVERAL))
                 parities.append(parity_of(kinds))
+                least.append(kinds[: _missing(len(kinds)) + _extra(len(kinds))].astype("<i8"))
             lists = pa.list_(pa.int64())
-            columns = [
-                pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(prints, lists), pa.array(parities, lists)
-            ]
+            columns = [pa.array(x, pa.int64()) for x in (sizes, nodes)] + [pa.array(x, lists) for x in (prints, parities, least)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("copy"), *columns], ["doc_id", "copy", "n", "node", "fps", "parity"]
+                [batch.column("doc_id"), batch.column("copy"), *columns],
+                ["doc_id", "copy", "n", "node", "fps", "parity", "least"],
             )
 
-    return known.mapInArrow(rows, "doc_id long, copy long, n long, node long, fps array<long>, parity array<long>")
+    lists = "fps array<long>, parity array<long>, least array<long>"
+    return known.mapInArrow(rows, f"doc_id long, copy long, n long, node long, {lists}")
 
 
-def _bands(nodes: DataFrame, *more: str, several: int = SEVERAL) -> DataFrame:
-    """One row per node and band of the first `several` fingerprints: its number and bits (`key`)."""
+def _bands(nodes: DataFrame) -> DataFrame:
+    """One row per node and band of its fingerprints: its number and bits (`key`)."""
     keys = [
         F.shiftrightunsigned(F.col("fps")[k], low).bitwiseAND(F.lit((1 << BAND) - 1)) + F.lit((k * BITS + low) << BAND)
-        for k in range(several)
+        for k in range(SEVERAL)
         for low in range(0, BITS, BAND)
     ]
-    # Distinct sets of fewer than five shingles share less than 0.8 with any other.
-    compared = [F.col("fps")[0].alias("fp"), F.col("fps")[1].alias("fp1")]
-    compared += [F.col("parity")[k].alias(name) for k, name in enumerate(PARITIES)]
-    some = nodes.where("n >= 4").select("node", "n", *compared, *more, F.array(*keys).alias("keys"))
-    return some.select("node", "n", "fp", "fp1", *PARITIES, *more, F.explode("keys").alias("key"))
+    some = nodes.where(COMPARED).select(
+        "node", "n", F.col("fps")[0].alias("fp"), F.col("fps")[1].alias("fp1"), *_parities(), F.array(*keys).alias("keys")
+    )
+    return some.select("node", "n", "fp", "fp1", *PARITIES, F.explode("keys").alias("key"))
+
+
+def _parities() -> list[Column]:
+    return [F.col("parity")[k].alias(name) for k, name in enumerate(PARITIES)]
+
+
+def _differing(a: DataFrame, b: DataFrame, *names: str) -> Column:
+    return reduce(add, [F.bit_count(a[c].bitwiseXOR(b[f"other_{c}"])) for c in names])
 
 
 def _may_be_near(a: DataFrame, b: DataFrame) -> Column:
-    """What holds for every pair at the least similarity: the shares of sizes and of odd cells surely, of bits nearly.
+    """What surely holds for every pair at the least similarity: the shares of sizes and of odd cells.
 
     Two sets that share four fifths of their union have at most a ninth of their sizes in one of them only.
     """
+    sizes = 5 * F.least(a["n"], b["other_n"]) >= FIFTHS * F.greatest(a["n"], b["other_n"])
+    return sizes & ((5 + FIFTHS) * _differing(a, b, *PARITIES) <= (5 - FIFTHS) * (a["n"] + b["other_n"]))
 
-    def differing(*names: str) -> Column:
-        return reduce(add, [F.bit_count(a[c].bitwiseXOR(b[f"other_{c}"])) for c in names])
 
-    sizes = 5 * F.least(a["n"], b["other_n"]) >= FIFTHS * F.greatest(a["n"], b["other_n"])
-    apart = (5 + FIFTHS) * differing(*PARITIES) <= (5 - FIFTHS) * (a["n"] + b["other_n"])
-    return sizes & (differing("fp", "fp1") <= DIFFERING) & apart
+def _shared_least(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """Rows of the `marked` nodes and those of their least hashes (`key`) under which any near copies meet.
+
+    The k-th least of the hashes that two near copies share stands at most as many places after k in
+    either as that one has hashes which the other lacks: a fifth.  So both keep the first ones, as many as
+    the smaller keeps beyond its fifth (`_extra`).  Nodes of which fewer kept hashes are kept by any other
+    node have no near copy and are left aside.
+    """
+    keys = rows.where(COMPARED).select("node", "n", F.explode("least").alias("key"))
+    several = keys.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a < b").select("key")
+    found = staged(keys.hint("merge").join(staged(several, "repeated"), "key"), "hits")
+    # Rows of one node are alike, so its hits are counted as often as it has rows.
+    enough = marked.join(found.groupBy("node").agg(F.count("*").alias("hits")), "node")
+    enough = enough.where(F.col("hits") >= F.col("copies") * _extra(F.col("n") - _missing(F.col("n")))).select("node", "own", "linked", *_parities())
+    return staged(found.distinct().join(enough, "node"), "index")
 
 
 def _renamed(bands: DataFrame) -> DataFrame:
@@ -264,38 +303,43 @@ def survivors(docs: DataFrame, words: int = 5) -> DataFrame:
     link is a pair whose distinct shingles have a Jaccard similarity of 0.8 at least, counted from
     their texts.  Equal sets of shingles are one node.
 
-    Two nodes meet where one of 64 bands of 16 bits is equal: by calculation 0.99 of the pairs that
-    share 0.8 do, nearly all that share more.  So that a large group does not make all of its pairs, every
-    node is first compared with the smallest one of each value of the first 16 bands; then, within each
-    value of any band, all pairs of different groups are, and those of its commonest group among
-    themselves need not be.  Sizes, fingerprints and a parity sketch are compared inside these joins, so
-    of a group whose members resemble each other without being near copies few pairs reach their texts.
+    So that a large group does not make all of its pairs, every node is first compared with the
+    smallest one of each value of 16 bands of 16 bits of its fingerprints.  Then two nodes meet where they share
+    enough of their least hashes, which all pairs at 0.8 do: under each such hash all pairs of different groups are
+    counted, and those of its commonest group among themselves need not be.  Sizes and a parity sketch are compared inside these
+    joins, so of a group whose members resemble each other without being near copies few pairs reach their texts.
     """
     known = docs.select(identity().alias("doc_id"), _copy_key().alias("copy"), "text")
     rows = staged(_sets(known, words), "sets")
     nodes = staged(
         rows.groupBy("node").agg(
-            F.min(F.struct("doc_id", "copy")).alias("first"), *[F.first(c).alias(c) for c in ("n", "fps", "parity")]
+            F.min(F.struct("doc_id", "copy")).alias("first"),
+            F.count("*").alias("copies"),
+            *[F.first(c).alias(c) for c in ("n", "fps", "parity")],
         ),
         "nodes",
     )
-    bands = _bands(nodes, several=4)
+    bands = _bands(nodes)
     lead = bands.groupBy("key").agg(F.min(F.struct("node", "n", "fp", "fp1", *PARITIES)).alias("lead"), F.count("*").alias("many"))
     lead = _renamed(staged(lead.where("many > 1").select("key", "lead.*"), "leads"))
-    met = bands.join(lead, (bands["key"] == lead["key"]) & (bands["node"] > lead["other_node"]) & _may_be_near(bands, lead))
+    close = _may_be_near(bands, lead) & (_differing(bands, lead, "fp", "fp1") <= DIFFERING)
+    met = bands.hint("merge").join(lead, (bands["key"] == lead["key"]) & (bands["node"] > lead["other_node"]) & close)
     found = _verified(met.select(F.col("other_node").alias("a"), F.col("node").alias("b")), nodes, known, words)
 
     groups = connected(found, "a", "b")
-    marked = staged(nodes.join(groups, "node", "left").withColumn("own", F.coalesce("root", "node")), "marked")
-    counts = _bands(marked.where("root is not null"), "own").groupBy("key", "own").count()
+    marked = nodes.join(groups, "node", "left").withColumn("own", F.coalesce("root", "node"))
+    index = _shared_least(rows, marked.withColumn("linked", F.col("root").isNotNull()))
+    counts = index.where("linked").groupBy("key", "own").count()
     chief = staged(counts.groupBy("key").agg(F.max(F.struct("count", "own"))["own"].alias("chief")), "chiefs")
-    bands = _bands(marked, "own").join(chief, "key", "left")
-    minor, every = bands.where("chief is null or own <> chief"), _renamed(bands)
+    index = index.join(chief, "key", "left")
+    minor, every = index.where("chief is null or own <> chief"), _renamed(index)
     once = F.coalesce(every["other_own"] == every["other_chief"], F.lit(False)) | (minor["node"] < every["other_node"])
-    met = minor.join(
+    met = minor.hint("merge").join(
         every, (minor["key"] == every["key"]) & (minor["own"] != every["other_own"]) & once & _may_be_near(minor, every)
     )
-    met = met.select(F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b"))
+    ends = F.least("node", "other_node").alias("a"), F.greatest("node", "other_node").alias("b")
+    shared = met.groupBy(*ends, F.least("n", "other_n").alias("n")).count()
+    met = shared.where(F.col("count") >= _extra(F.col("n"))).select("a", "b")
     found = found.unionAll(_verified(met, nodes, known, words))
 
     groups = connected(found, "a", "b")

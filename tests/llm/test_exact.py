@@ -144,6 +144,26 @@ def test_survivors_recall_of_loose_near_copies(shared):
     assert sum(b not in left for _, b in near) >= 0.98 * len(near)
 
 
+def test_survivors_miss_no_pair(shared):
+    """All pairs at 0.8, of short texts too, whose fingerprints differ more often in all bands."""
+    texts = []
+    for k in range(400):  # five shingles, and four of them
+        base = [f"w{k}x{j}" for j in range(9)]
+        texts += [" ".join(base), " ".join(base[k % 2 :][:8])]
+    for k in range(160):  # a text and the four fifths of its shingles it begins with
+        base = [f"v{k}x{j}" for j in range(5 * (1 + k % 60) + 4)]
+        texts += [" ".join(base), " ".join(base[: 4 * (1 + k % 60) + 4])]
+    near = near_pairs_of_neighbours(texts)
+    assert len(near) == 560
+    twice = frame(shared, texts).unionAll(frame(shared, texts).where("doc_id % 7 = 0"))
+    left = {r["doc_id"] for r in simhash.survivors(twice).collect()}
+    assert left == set(groups_of(range(len(texts)), near).values())
+
+
+def near_pairs_of_neighbours(texts):
+    return [(k, k + 1) for k in range(0, len(texts), 2) if near_pairs(texts[k : k + 2])]
+
+
 def test_survivors_unite_links_and_take_only_verified_ones(shared):
     texts = []
     for k in range(30):  # chains: the ends share less than 0.8, the middle 0.8 and more with both
